@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cadenza.model import Clip
 
-P = F.col("position")
+def _pos() -> Column:
+    return F.col("position")
 
 
 def muxer(video: Clip, audio: Clip, use_longest: bool = True) -> Clip:
@@ -22,8 +23,8 @@ def muxer(video: Clip, audio: Clip, use_longest: bool = True) -> Clip:
 
     def stretched(c: Clip) -> DataFrame:
         if not use_longest or c.length in (0, n):
-            return c.df.where(P < n)
-        at = F.when(P == c.length - 1, F.sequence(F.lit(c.length - 1), F.lit(n - 1))).otherwise(F.array(P.cast("int")))
+            return c.df.where(_pos() < n)
+        at = F.when(_pos() == c.length - 1, F.sequence(F.lit(c.length - 1), F.lit(n - 1))).otherwise(F.array(_pos().cast("int")))
         return c.df.withColumn("_at", F.explode(at)).drop("position").withColumn("position", F.col("_at").cast("long")).drop("_at")
 
     kind = "full" if not video.length or not audio.length else "inner"
@@ -38,7 +39,7 @@ def active(background: DataFrame, overlays: DataFrame, bucket: int = 1024) -> Da
     """
     spans = overlays.where("duration > 0").withColumn("_b", F.explode(F.sequence(F.expr(f"start div {bucket}"), F.expr(f"(start + duration - 1) div {bucket}"))))
     rows = background.withColumn("_b", F.expr(f"position div {bucket}"))
-    return rows.join(spans, "_b").where((P >= F.col("start")) & (P < F.col("start") + F.col("duration"))).drop("_b")
+    return rows.join(spans, "_b").where((_pos() >= F.col("start")) & (_pos() < F.col("start") + F.col("duration"))).drop("_b")
 
 
 def composite_order(joined: DataFrame, fields: list[str]) -> DataFrame:
@@ -87,7 +88,7 @@ def montage_window(c: Clip, column: str, frames: int, step: int = 1) -> Clip:
     window has it, and grouped there; places outside the clip are left out.
     """
     half = frames // 2
-    rows = c.df.where(P % step == 0).select(F.col("position").alias("source"), column)
+    rows = c.df.where(_pos() % step == 0).select(F.col("position").alias("source"), column)
     base = F.explode(F.sequence(F.greatest(F.lit(0), F.col("source") - half * step), F.col("source") + half * step, F.lit(step))).alias("base")
     spread = rows.select("source", column, base).where(F.col("base") < c.length)
     grouped = spread.groupBy("base").agg(F.sort_array(F.collect_list(F.struct("source", column))).alias("window"))
@@ -100,7 +101,7 @@ def montage_sheet(c: Clip, column: str, step: int = 1, orient: int = 2) -> DataF
     n = -(-c.length // step)
     cols, _ = montage_grid(n, orient)
     cell = F.expr(f"position div {step}")
-    return c.df.where(P % step == 0).select(cell.alias("cell"), (cell % cols).alias("col"), F.expr(f"cast(position div {step} as bigint) div {cols}").alias("row"), column)
+    return c.df.where(_pos() % step == 0).select(cell.alias("cell"), (cell % cols).alias("col"), F.expr(f"cast(position div {step} as bigint) div {cols}").alias("row"), column)
 
 
 def tee(df: DataFrame, *sinks) -> DataFrame:

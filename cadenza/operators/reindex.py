@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from cadenza.model import Clip
 
-P = F.col("position")
+def _pos() -> Column:
+    return F.col("position")
 
 
 def _bound(value: int, length: int, start: bool) -> int:
@@ -30,14 +31,14 @@ def clip(c: Clip, first: int = 0, out: int = -1) -> Clip:
     """The rows from first to before out. first at or behind out: from first backwards to after out."""
     a, b = _bound(first, c.length, True), _bound(out, c.length, False)
     if a < b:
-        return c.with_df(c.df.where(P.between(a, b - 1)).withColumn("position", P - a), b - a)
-    return c.with_df(c.df.where((P <= a) & (P > b)).withColumn("position", F.lit(a) - P), a - b)
+        return c.with_df(c.df.where(_pos().between(a, b - 1)).withColumn("position", _pos() - a), b - a)
+    return c.with_df(c.df.where((_pos() <= a) & (_pos() > b)).withColumn("position", F.lit(a) - _pos()), a - b)
 
 
 def offset(c: Clip, first: int) -> Clip:
     """first empty rows (nulls), then the clip."""
     blank = c.df.sparkSession.range(first).select(F.col("id").alias("position"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in c.df.schema if f.name != "position"))
-    moved = c.df.withColumn("position", P + first)
+    moved = c.df.withColumn("position", _pos() + first)
     return c.with_df(blank.unionByName(moved) if first > 0 else c.df, c.length + max(first, 0))
 
 
@@ -46,7 +47,7 @@ def step(c: Clip, speed: int = 2) -> Clip:
     if speed == 0:
         return c
     n = max(0, c.length // speed) if speed > 0 else 0
-    rows = c.df.where((P % speed == 0) & (P < n * speed)) if n else c.df.limit(0)
+    rows = c.df.where((_pos() % speed == 0) & (_pos() < n * speed)) if n else c.df.limit(0)
     return c.with_df(rows.withColumn("position", F.expr(f"position div {speed}")), n)
 
 
@@ -75,7 +76,7 @@ def hold(c: Clip, frame: int = 0, count: int = 25) -> Clip:
     count = max(count, 0)
     if not 0 <= h < c.length or not count:
         return c.with_df(c.df.withColumn("silent", F.lit(False)), c.length + count)
-    at = F.when(P < h, F.array(P)).when(P > h, F.array(P + count)).otherwise(F.sequence(F.lit(h), F.lit(h + count)))
+    at = F.when(_pos() < h, F.array(_pos())).when(_pos() > h, F.array(_pos() + count)).otherwise(F.sequence(F.lit(h), F.lit(h + count)))
     rows = c.df.withColumn("_at", F.explode(at.cast("array<long>"))).withColumn("silent", F.col("_at").between(h, h + count - 1))
     return c.with_df(rows.drop("position").withColumnRenamed("_at", "position"), c.length + count)
 
@@ -86,15 +87,15 @@ def repeat(c: Clip, kind: str = "repeat", count: int = 2) -> Clip:
         raise ValueError(kind)
     rows = c.df.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))) if count > 0 else c.df.withColumn("_q", F.lit(0)).limit(0)
     back = {"repeat": F.lit(False), "pingpong": F.col("_q") % 2 == 1, "pongping": F.col("_q") % 2 == 0}[kind]
-    at = F.col("_q") * F.lit(c.length).cast("long") + F.when(back, c.length - 1 - P).otherwise(P)
+    at = F.col("_q") * F.lit(c.length).cast("long") + F.when(back, c.length - 1 - _pos()).otherwise(_pos())
     return c.with_df(rows.withColumn("position", at).withColumn("reversed", back).drop("_q"), c.length * max(count, 0))
 
 
 def loop(c: Clip, rows: int) -> Clip:
     """The clip over and over, as many rows as the consumer asks for."""
     last = F.expr(f"({rows - 1} - position) div {c.length}")
-    out = c.df.where(P < rows).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return c.with_df(out.withColumn("position", P + F.col("_q") * c.length).drop("_q"), rows)
+    out = c.df.where(_pos() < rows).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return c.with_df(out.withColumn("position", _pos() + F.col("_q") * c.length).drop("_q"), rows)
 
 
 def pulldown(c: Clip, payload: list[str]) -> Clip:
@@ -104,14 +105,14 @@ def pulldown(c: Clip, payload: list[str]) -> Clip:
     """
     n = c.length * 5 // 4
     last = c.length - 1
-    group, place = F.expr("position div 4"), P % 4
+    group, place = F.expr("position div 4"), _pos() % 4
     base = group * 5
     # (output place, fields) of each source row in its group of four
     uses = F.when(place == 0, F.array(_use(0, 3))).when(place == 1, F.array(_use(1, 3), _use(2, 1))).when(place == 2, F.array(_use(2, 2), _use(3, 1))).otherwise(F.array(_use(3, 2), _use(4, 3)))
     short = c.length % 4
     if short:
         tail = F.array(*(_use(k, 3 if top >= short - 1 and bottom >= short - 1 else 1 if top >= short - 1 else 2) for k, (top, bottom) in enumerate(((0, 0), (1, 1), (1, 2), (2, 3), (3, 3))) if max(top, bottom) >= short - 1))
-        uses = F.when(P == last, tail).otherwise(uses)
+        uses = F.when(_pos() == last, tail).otherwise(uses)
     rows = c.df.withColumn("_u", F.explode(uses)).withColumn("_p", base + F.col("_u.k")).where(F.col("_p") < n)
     top, bottom = F.col("_u.fields").bitwiseAND(1) > 0, F.col("_u.fields").bitwiseAND(2) > 0
     cols = [x for name in payload for x in (F.max(F.when(top, F.col(name))).alias(f"{name}_top"), F.max(F.when(bottom, F.col(name))).alias(f"{name}_bottom"))]
@@ -127,10 +128,10 @@ def interlace(c: Clip, payload: list[str], bff: bool = True, enable: bool = True
     if not enable or round(c.fps[0] / c.fps[1]) < 48:
         return c
     n = c.length // 2
-    even = P % 2 == 0
+    even = _pos() % 2 == 0
     first, second = ("bottom", "top") if bff else ("top", "bottom")
     cols = [x for name in payload for x in (F.max(F.when(even, F.col(name))).alias(f"{name}_{first}"), F.max(F.when(~even, F.col(name))).alias(f"{name}_{second}"))]
-    rows = c.df.where(P < 2 * n).groupBy(F.expr("position div 2").alias("position")).agg(*cols)
+    rows = c.df.where(_pos() < 2 * n).groupBy(F.expr("position div 2").alias("position")).agg(*cols)
     return c.with_df(rows, n, (c.fps[0], c.fps[1] * 2))
 
 
@@ -148,7 +149,7 @@ def playlist(clips: list[Clip]) -> Clip:
     out: DataFrame | None = None
     total = 0
     for k, c in enumerate(clips):
-        part = c.df.withColumn("position", P + total).withColumn("slot", F.lit(k))
+        part = c.df.withColumn("position", _pos() + total).withColumn("slot", F.lit(k))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         total += c.length
     return clips[0].with_df(out, total)
@@ -181,5 +182,5 @@ def frame_rate(c: Clip, num: int, den: int = 1, reverse: bool = False) -> Clip:
         lo, hi = F.expr(f"(position * {b} + {a - 1}) div {a}"), F.expr(f"((position + 1) * {b} + {a - 1}) div {a} - 1")
     hi = F.least(hi, F.lit(n - 1))
     rows = c.df.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi")
-    rows = rows.withColumn("source", P).withColumn("position", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+    rows = rows.withColumn("source", _pos()).withColumn("position", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
     return c.with_df(rows, n, (num, den))

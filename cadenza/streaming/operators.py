@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 
-def growing(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
-    """A folder that grows as an unbounded table; at most so many new files a batch, so a backlog doesn't flood it."""
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
+def growing(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 100, names: str = "*") -> DataFrame:
+    """The files of a folder that grows as an unbounded table; at most so many new ones a batch, so a backlog doesn't flood it."""
+    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", names).load(path)
 
 
 def nudged(stream: DataFrame, key: str, time: str, wait: str = "5 seconds") -> DataFrame:
