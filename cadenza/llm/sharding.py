@@ -40,7 +40,7 @@ def _poured(segments: list[tuple], capacity: int, most: int) -> list[int]:
     while i < len(segments) and len(ends) <= most:
         room = capacity
         while i < len(segments):
-            lo, hi, size = segments[i]
+            lo, hi, size, _ = segments[i]
             left = size - into
             if left <= room:
                 room, i, into = room - left, i + 1, 0
@@ -82,18 +82,26 @@ def _bounds(segments: list[tuple], shards: int) -> tuple[int, int, set[int]]:
     return low, upper, open_
 
 
-def _cells(groups: DataFrame, ranges: list[tuple[int, int]]) -> list[tuple]:
-    """Size and least and greatest key of the groups in each of at most CELLS equal cells of the ranges."""
-    each = max(2, CELLS // len(ranges))
-    key, cell, where = F.col("key"), None, None
-    for k, (lo, hi) in enumerate(ranges):
-        width = -(-(hi - lo + 1) // each)
-        step = F.expr(f"cast((cast(key as decimal(20,0)) - {lo}) div {width} as int)") if hi - lo >= 1 << 62 else F.expr(f"cast((key - ({lo}L)) div {width}L as int)")
+def _cells(groups: DataFrame, runs: list[list[tuple]]) -> list[tuple]:
+    """The segments of the groups in equal cells of each run of segments: least and greatest key, size, cell width.
+
+    A run gets its share of CELLS; its cells are at most half as wide as those before, so that every
+    round makes progress. Empty cells cost nothing.
+    """
+    each = max(2, CELLS // len(runs))
+    key, cell, where, first = F.col("key"), None, None, 0
+    widths = []
+    for run in runs:
+        lo, hi = run[0][0], run[-1][1]
+        width = max(1, min(-(-(hi - lo + 1) // each), min(s[3] for s in run) // 2))
+        step = F.expr(f"cast((cast(key as decimal(20,0)) - {lo}) div {width} as bigint)") if hi - lo >= 1 << 62 else F.expr(f"(key - ({lo}L)) div {width}L")
         inside = key.between(lo, hi)
-        cell = F.when(inside, step + k * each) if cell is None else cell.when(inside, step + k * each)
+        cell = F.when(inside, step + first) if cell is None else cell.when(inside, step + first)
         where = inside if where is None else where | inside
+        first += (hi - lo) // width + 1
+        widths.append((first, width))
     found = groups.where(where).groupBy(cell.alias("cell")).agg(F.min("key"), F.max("key"), F.sum("size")).collect()
-    return sorted((r[1], r[2], int(r[3])) for r in found)
+    return sorted((r[1], r[2], int(r[3]), next(w for end, w in widths if r[0] < end)) for r in found)
 
 
 def cut_keys(groups: DataFrame, shards: int) -> list[int]:
@@ -106,7 +114,7 @@ def cut_keys(groups: DataFrame, shards: int) -> list[int]:
     lo, hi, size = groups.agg(F.min("key"), F.max("key"), F.sum("size")).first()
     if lo is None:
         return []
-    segments = [(lo, hi, int(size))]
+    segments = [(lo, hi, int(size), hi - lo + 1)]
     while True:
         _, upper, open_ = _bounds(segments, shards)
         if not open_:
@@ -117,7 +125,7 @@ def cut_keys(groups: DataFrame, shards: int) -> list[int]:
                 runs[-1][1] = i
             else:
                 runs.append([i, i])
-        finer = _cells(groups, [(segments[a][0], segments[b][1]) for a, b in runs])
+        finer = _cells(groups, [segments[a : b + 1] for a, b in runs])
         segments = sorted([s for i, s in enumerate(segments) if not any(a <= i <= b for a, b in runs)] + finer)
     return [segments[i][0] for i in greedy([s[2] for s in segments], upper)]
 
