@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,37 +13,68 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ODD = tuple(map(chr, range(0x1C, 0x20)))
+#: Words of printable ASCII and Latin letters without a special token: their normal form is the lower-case one,
+#: and how the tokenizer parts them is as simple as _PARTS. All others go through the whole tokenizer.
+_PLAIN = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+_LETTER = "a-z\u00df-\u00f6\u00f8-\u017e"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Tokens:
-    """Ids of texts by a tokenizer that never joins what white space parts, as little-endian uint32 bytes.
+    """Ids of texts by a lower-casing byte-level tokenizer that parts words at white space.
 
-    Words between white space are encoded once and kept, up to so many; later new ones are encoded each time.
+    They come as little-endian uint32 bytes. Words between white space are encoded once and kept, up to
+    so many; so are their parts, which the tokenizer's model encodes one by one.
     """
 
     def __init__(self, tokenizer_file: str, most_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.model = self.tokenizer.model
+        self.letters = {chr(b): c for b, c in _byte_letters().items()}
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.most = most_words
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            word = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode().decode("latin-1")))
+            ids = [t.id for t in self.model.tokenize(word)]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.parts) < self.most:
+                self.parts[part] = got
+        return got
+
+    def _words(self, words: set[str]) -> dict[str, bytes]:
+        out, odd = {}, []
+        for w in words:
+            if _PLAIN.fullmatch(w):
+                out[w] = b"".join(map(self._part, _PARTS.findall(w.lower())))
+            else:
+                odd.append(w)
+        out.update(zip(odd, self._encode(odd), strict=True))
+        return out
+
     def batch(self, texts: list[str]) -> list[bytes]:
         split = [None if any(c in x for c in _ODD) else x.split() for x in texts]
-        new = {w for words in split if words for w in words}
+        new = set().union(*(words for words in split if words))
         new.difference_update(self.known)
-        fresh: dict[str, bytes] = {}
-        if new:
-            order = list(new)
-            for k in range(0, len(order), 20_000):
-                fresh.update(zip(part := order[k : k + 20_000], self._encode(part), strict=True))
-            room = self.most - len(self.known)
-            if room >= len(fresh):
-                self.known.update(fresh)
-                fresh = {}
+        fresh = self._words(new)
+        if len(self.known) + len(fresh) <= self.most:
+            self.known.update(fresh)
+            fresh = {}
         known = self.known
         out = []
         for text, words in zip(texts, split, strict=True):
