@@ -144,7 +144,8 @@ def _fit(features: Features, languages: list[str], idf: np.ndarray, per_language
                     at, x = model.vector(text)
                     rows.append((draw, languages.index(lang), at.astype(np.int32), x.astype(np.float32)))
         rows.sort(key=lambda r: r[0])
-        held, learnt = rows[::5], [r for k, r in enumerate(rows) if k % 5]
+        held = rows[::5] if len(rows) >= 50 else []
+        learnt = [r for k, r in enumerate(rows) if k % 5] if held else rows
         ftrl = Ftrl(len(languages), features.size)
         for _ in range(epochs):
             for _, label, at, x in learnt:
@@ -161,7 +162,7 @@ def learn(labelled: DataFrame, features: Features | None = None, per_language: i
 
     Inverse document frequencies are counted over all rows. The classifier is fitted by one task on a
     sample of at most per_language rows of each language, drawn by a hash of the text; a fifth of them
-    calibrates the temperature. No labelled row: a model that answers und.
+    calibrates the temperature (1 with fewer than 50 rows, which are all learnt from). No labelled row: a model that answers und.
     """
     features = features or Features()
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null and text <> ''")

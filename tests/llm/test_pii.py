@@ -52,4 +52,4 @@ def test_every_document_and_column_stays(spark):
         if "@" not in plain:
             assert len(r["t2"]) == len(r["text"]) or re.search(r"\d+\.\d+\.\d+\.\d+", r["text"])
         for card in re.findall(r"(?<!\d)\d{16}(?!\d)", r["text"]):
-            assert card not in r["t2"]
+            assert (card in r["t2"]) != luhn(card)
