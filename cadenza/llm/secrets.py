@@ -78,9 +78,9 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     rows = versions.select(F.col(path_col).alias("path"), blob_id(text).alias("blob"), text.alias("text"))
     if first.count() * 2 > paths.count():
         skip = stored(paths.join(first, same(paths, first), "left_anti").distinct().select(F.col("path").alias("_path"), F.col("blob").alias("_blob")), "seen")
-        rows = rows.join(skip, same(rows, skip), "left_anti")
+        rows = rows.join(skip.hint("merge"), same(rows, skip), "left_anti")
     else:
-        rows = rows.join(first, same(rows, first), "left_semi")
+        rows = rows.join(first.hint("merge"), same(rows, first), "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = compiled_rules(rules)
