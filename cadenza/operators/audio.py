@@ -7,6 +7,7 @@ from math import exp, pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.bind import let
 from cadenza.functions.timecode import frame_of_sample, samples_to_frame
 
 #: pcm24 is kept in 32 bits.
@@ -45,16 +46,19 @@ def mix_matrix(samples: Column, matrix: list[list[float]], low: float = -1.0, hi
         return samples
     clamp = lambda x: F.greatest(F.lit(low), F.least(F.lit(high), x))
 
-    def frame(i: Column) -> Column:
-        outs = []
-        for o in range(n_out):
-            acc: Column = F.lit(0.0)
-            for k in range(n_in):
-                acc = clamp(acc + _at(samples, i * n_in + k).cast("double") * matrix[k][o])
-            outs.append(acc)
-        return F.array(*outs)
+    def mixed(x: Column) -> Column:
+        def frame(i: Column) -> Column:
+            outs = []
+            for o in range(n_out):
+                acc: Column = F.lit(0.0)
+                for k in range(n_in):
+                    acc = clamp(acc + _at(x, i * n_in + k) * matrix[k][o])
+                outs.append(acc)
+            return F.array(*outs)
 
-    return F.flatten(F.transform(_indexes(F.floor(F.size(samples) / n_in)), frame))
+        return F.flatten(F.transform(_indexes(F.floor(F.size(x) / n_in)), frame))
+
+    return let(samples.cast("array<double>"), mixed)
 
 
 #: Which inputs each output sums, for layouts L R (C LFE) (Ls Rs): by (inputs, outputs).
@@ -68,13 +72,16 @@ def smooth(samples: Column, channels: int = 1, taps: int = 13) -> Column:
     """
     a = exp(-pi)
 
-    def one(_: Column, i: Column) -> Column:
-        terms: Column = F.lit(0.0)
-        for k in range(taps - 1, -1, -1):
-            terms = terms + F.coalesce(_at(samples, i - k * channels).cast("double"), F.lit(0.0)) * ((1 - a) * a**k)
-        return terms
+    def filtered(x: Column) -> Column:
+        def one(_: Column, i: Column) -> Column:
+            terms: Column = F.lit(0.0)
+            for k in range(taps - 1, -1, -1):
+                terms = terms + F.coalesce(_at(x, i - k * channels), F.lit(0.0)) * ((1 - a) * a**k)
+            return terms
+
+        return F.transform(x, one)
 
-    return F.transform(samples, one)
+    return let(samples.cast("array<double>"), filtered)
 
 
 def channel_convert(samples: Column, n_in: int, n_out: int, low: float = -1.0, high: float = 1.0) -> Column:
@@ -82,8 +89,12 @@ def channel_convert(samples: Column, n_in: int, n_out: int, low: float = -1.0, h
     if n_in == n_out:
         return samples
     sums = _SUMS.get((n_in, n_out)) or [[k for k in range(n_in) if k % n_out == o] for o in range(n_out)]
-    frame = lambda i: F.array(*(F.greatest(F.lit(low), F.least(F.lit(high), sum((_at(samples, i * n_in + k).cast("double") for k in ks), F.lit(0.0)))) for ks in sums))
-    return smooth(F.flatten(F.transform(_indexes(F.floor(F.size(samples) / n_in)), frame)), n_out)
+
+    def summed(x: Column) -> Column:
+        frame = lambda i: F.array(*(F.greatest(F.lit(low), F.least(F.lit(high), sum((_at(x, i * n_in + k) for k in ks), F.lit(0.0)))) for ks in sums))
+        return F.flatten(F.transform(_indexes(F.floor(F.size(x) / n_in)), frame))
+
+    return smooth(let(samples.cast("array<double>"), summed), n_out)
 
 
 def channel_extract(samples: Column, channels: int, channel: int) -> Column:
@@ -97,8 +108,13 @@ def channel_place(samples: Column, channels: int, channel: int) -> Column:
 
 def combine(blocks: list[Column]) -> Column:
     """Mono blocks interleaved; the shortest gives the length."""
-    n = F.least(*(F.size(b) for b in blocks)) if len(blocks) > 1 else F.size(blocks[0])
-    return F.flatten(F.transform(_indexes(n), lambda i: F.array(*(_at(b, i).cast("double") for b in blocks))))
+
+    def woven(bound: Column) -> Column:
+        parts = [bound[k] for k in range(len(blocks))]
+        n = F.array_min(F.transform(bound, lambda b: F.size(b)))
+        return F.flatten(F.transform(_indexes(n), lambda i: F.array(*(_at(b, i) for b in parts))))
+
+    return let(F.array(*(b.cast("array<double>") for b in blocks)), woven)
 
 
 def level(samples: Column, largest: float = 1.0) -> Column:
@@ -115,21 +131,30 @@ def volume(samples: Column, start: float, end: float, channels: int = 1, low: fl
 
 def pitch(samples: Column, required: int, channels: int = 1) -> Column:
     """A block of another number of samples: the mean of the sample at i * ratio and the next; the last is copied."""
-    n = F.floor(F.size(samples) / channels)
 
-    def one(k: Column) -> Column:
-        i, ch = F.floor(k / channels), k % channels
-        j = F.floor(i * (n.cast("double") / required))
-        here = _at(samples, j * channels + ch).cast("double")
-        following = _at(samples, F.least(j + 1, n - 1) * channels + ch).cast("double")
-        return F.when(i == required - 1, _at(samples, (n - 1) * channels + ch).cast("double")).otherwise((here + following) / 2)
+    def resampled(x: Column) -> Column:
+        n = F.floor(F.size(x) / channels)
+
+        def one(k: Column) -> Column:
+            i, ch = F.floor(k / channels), k % channels
+            j = F.floor(i * (n.cast("double") / required))
+            here = _at(x, j * channels + ch)
+            following = _at(x, F.least(j + 1, n - 1) * channels + ch)
+            return F.when(i == required - 1, _at(x, (n - 1) * channels + ch)).otherwise((here + following) / 2)
+
+        return F.transform(_indexes(F.lit(required * channels)), one)
 
-    return F.transform(_indexes(F.lit(required * channels)), one)
+    return let(samples.cast("array<double>"), resampled)
 
 
 def reverse(samples: Column, channels: int = 1) -> Column:
-    n = F.floor(F.size(samples) / channels)
-    return F.transform(samples, lambda _, i: _at(samples, (n - 1 - F.floor(i / channels)) * channels + i % channels))
+    """The sample frames in reverse order; the channels of each stay as they are."""
+
+    def turned(x: Column) -> Column:
+        n = F.floor(F.size(x) / channels)
+        return F.transform(x, lambda _, i: _at(x, (n - 1 - F.floor(i / channels)) * channels + i % channels))
+
+    return let(samples, turned)
 
 
 def convert(samples: Column, src: str, dst: str) -> Column:
@@ -162,8 +187,8 @@ def lowpass(df: DataFrame, column: str, mag: int = 14, channels: int = 1, block:
     silent = F.transform(F.col(column), lambda _: F.lit(0.0))
     line = F.concat(*(F.coalesce(F.col(n).cast("array<double>"), silent) for n in names), F.col(column).cast("array<double>"))
     shift = (back * block - mag) * channels
-    out = F.transform(F.col(column), lambda x, i: 0.625 * (x.cast("double") + 0.8 * F.get(F.col("_line"), i + shift)))
-    return df.withColumn("_line", line).withColumn(column, out).drop("_line", *names)
+    out = let(line, lambda past: F.transform(F.col(column), lambda x, i: 0.625 * (x.cast("double") + 0.8 * F.get(past, i + shift))))
+    return df.withColumn(column, out).drop(*names)
 
 
 def reseat(df: DataFrame, column: str, block: int, frequency: int, fps: tuple[int, int], length: int) -> DataFrame:
