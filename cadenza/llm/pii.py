@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.bind import let
+
 ROUNDS = 8
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _DATE = "(?:[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})"
@@ -57,8 +59,7 @@ def permuted_digits(digits: Column, key: str, tweak: Column) -> Column:
     first = F.concat(F.lit("0"), F.substring(digits, F.lit(1), half)).cast("long")
     rest = F.substring(digits, half + 1, n - half).cast("long")
     done = feistel(first, rest, size(half), size(n - half), key, tweak)
-    joined = F.transform(F.array(done), lambda s: F.concat(F.when(half > 0, F.lpad(s["h"].cast("string"), half, "0")).otherwise(""), F.lpad(s["l"].cast("string"), n - half, "0")))
-    return F.element_at(joined, 1)
+    return let(done, lambda s: F.concat(F.when(half > 0, F.lpad(s["h"].cast("string"), half, "0")).otherwise(""), F.lpad(s["l"].cast("string"), n - half, "0")))
 
 
 def _moved(char: Column, by: Column) -> Column:
@@ -77,8 +78,8 @@ def permuted_letters(text: Column, key: str, tweak: Column) -> Column:
         even = i % 2 == 0
         own, other = F.when(even, s["a"]).otherwise(s["b"]), F.when(even, s["b"]).otherwise(s["a"])
         digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, n.cast("string"), i.cast("string"), other), 256)
-        move = lambda c, j: _moved(c, F.conv(F.substring(digest, j * 2 % 60 + 1, F.lit(4)), 16, 10).cast("int"))
-        new = F.array_join(F.transform(F.split(own, ""), move), "")
+        moved = lambda d: F.transform(F.split(own, ""), lambda c, j: _moved(c, F.conv(F.substring(d, j * 2 % 60 + 1, F.lit(4)), 16, 10).cast("int")))
+        new = F.array_join(let(digest, moved), "")
         return F.struct(F.when(even, new).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(new).alias("b"))
 
     start = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, n).alias("b"))
@@ -89,8 +90,7 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def _refilled(form: Column, digits: Column) -> Column:
-    """form with its digits replaced by those given, in order."""
+def _filled(form: Column, digits: Column) -> Column:
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
 
     def step(s: Column, c: Column) -> Column:
@@ -100,6 +100,11 @@ def _refilled(form: Column, digits: Column) -> Column:
     return F.aggregate(F.split(form, ""), start, step, lambda s: s["out"])
 
 
+def _refilled(form: Column, digits: Column) -> Column:
+    """form with its digits replaced by those given, in order."""
+    return let(digits, lambda d: _filled(form, d))
+
+
 def luhn_sum(digits: Column, doubled: int) -> Column:
     """The Luhn sum; doubled: 1 if the digits lack the check digit, so that the last one is doubled."""
     at = F.transform(F.reverse(F.split(digits, "")), lambda c, i: F.when((i + doubled) % 2 == 0, c.cast("int")).when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2))
@@ -120,19 +125,22 @@ def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     n = F.length(digits)
     body = F.concat(F.substring(digits, 1, 1), permuted_digits(F.substring(digits, F.lit(2), n - 2), key, F.concat(F.lit("card"), F.substring(digits, 1, 1))))
-    check = F.pmod(10 - luhn_sum(body, 1) % 10, F.lit(10)).cast("string")
-    return F.when(luhn_sum(digits, 0) % 10 == 0, _refilled(m, F.concat(body, check))).otherwise(m)
+    checked = let(body, lambda b: F.concat(b, F.pmod(10 - luhn_sum(b, 1) % 10, F.lit(10)).cast("string")))
+    return F.when(luhn_sum(digits, 0) % 10 == 0, _refilled(m, checked)).otherwise(m)
 
 
 def _iban(m: Column, key: str) -> Column:
     plain = F.regexp_replace(m, " ", "")
     country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain) - 4)
     valid = mod97(F.concat(account, F.substring(plain, 1, 4))) == 1
-    new = permuted_letters(account, key, F.concat(F.lit("iban"), country))
-    check = F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    whole = F.concat(country, check, new)
-    spaced = F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), lambda s, c: F.struct(F.concat(s["out"], F.when(c == " ", c).otherwise(F.substring(whole, s["k"], F.lit(1)))).alias("out"), (s["k"] + (c != " ").cast("int")).alias("k")), lambda s: s["out"])
-    return F.when(valid, spaced).otherwise(m)
+    check = lambda a: F.lpad((98 - mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0")
+    whole = let(permuted_letters(account, key, F.concat(F.lit("iban"), country)), lambda a: F.concat(country, check(a), a))
+
+    def spaced(w: Column) -> Column:
+        step = lambda s, c: F.struct(F.concat(s["out"], F.when(c == " ", c).otherwise(F.substring(w, s["k"], F.lit(1)))).alias("out"), (s["k"] + (c != " ").cast("int")).alias("k"))
+        return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), step, lambda s: s["out"])
+
+    return F.when(valid, let(whole, spaced)).otherwise(m)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -141,14 +149,14 @@ def _ssn(m: Column, key: str) -> Column:
     place = area - F.when(area > 666, 2).otherwise(1)  # 0 to 897
     done = feistel(place, (group - 1) * 9999 + serial - 1, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"), key, F.lit("ssn"))
     write = lambda s: F.concat(F.lpad((s["h"] + F.when(s["h"] > 664, 2).otherwise(1)).cast("string"), 3, "0"), F.lit("-"), F.lpad((F.floor(s["l"] / 9999) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((s["l"] % 9999 + 1).cast("string"), 4, "0"))
-    return F.element_at(F.transform(F.array(done), write), 1)
+    return let(done, write)
 
 
 def _ip(m: Column, key: str) -> Column:
     o = [F.split(m, "\\.")[k].cast("int") for k in range(4)]
     done = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536).cast("long"), F.lit(65536).cast("long"), key, F.lit("ip"))
     write = lambda s: F.concat_ws(".", *(F.floor(x).cast("int").cast("string") for x in (s["h"] / 256, s["h"] % 256, s["l"] / 256, s["l"] % 256)))
-    return F.element_at(F.transform(F.array(done), write), 1)
+    return let(done, write)
 
 
 def _date(m: Column, key: str) -> Column:
@@ -172,7 +180,7 @@ def _date(m: Column, key: str) -> Column:
         # A swapped date must still be read as one: its day stays above 12 or else it is written the other way.
         return F.when(iso, F.concat_ws("-", y, mo, d)).when(swapped & (F.day(new) > 12), F.concat(mo, mark, d, mark2, y)).otherwise(F.concat(d, mark, mo, mark2, y))
 
-    return F.coalesce(F.when(date.isNotNull() & F.year(date).between(1, 9999), F.element_at(F.transform(F.array(done), write), 1)), m)
+    return F.coalesce(F.when(date.isNotNull() & F.year(date).between(1, 9999), let(done, write)), m)
 
 
 def _phone(m: Column, key: str) -> Column:
