@@ -34,7 +34,7 @@ class Tokens:
     so many; so are their parts, which the tokenizer's model encodes one by one.
     """
 
-    def __init__(self, tokenizer_file: str, most_words: int = 300_000):
+    def __init__(self, tokenizer_file: str, most_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -57,7 +57,7 @@ class Tokens:
                 self.parts[part] = got
         return got
 
-    def _words(self, words: set[str]) -> dict[str, bytes]:
+    def _words(self, words: list[str]) -> dict[str, bytes]:
         out, odd = {}, []
         for w in words:
             if _PLAIN.fullmatch(w):
@@ -69,19 +69,18 @@ class Tokens:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         split = [None if any(c in x for c in _ODD) else x.split() for x in texts]
-        new = set().union(*(words for words in split if words))
-        new.difference_update(self.known)
-        fresh = self._words(new)
+        known = self.known
+        fresh = self._words([w for w in set().union(*(words for words in split if words)) if w not in known])
         if len(self.known) + len(fresh) <= self.most:
-            self.known.update(fresh)
+            known.update(fresh)
             fresh = {}
-        known = self.known
+        get = known.get
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:
                 out += self._encode([text])
             elif fresh:
-                out.append(b"".join([known[w] if w in known else fresh[w] for w in words]))
+                out.append(b"".join([get(w) or fresh.get(w, b"") for w in words]))
             else:
                 out.append(b"".join(map(known.__getitem__, words)))
         return out

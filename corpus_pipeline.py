@@ -16,9 +16,9 @@ NEAR_MASKS = simhash.random_masks(words=2, bits=16, count=40)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that the model tells with a probability of at least 0.5."""
+    """Keep documents in a language that the model tells with a probability of at least 0.35 (a text without letters never)."""
     model = langid.learn(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    return langid.keep_known(docs, model, 0.5)
+    return langid.keep_known(docs, model, 0.35)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
