@@ -93,8 +93,8 @@ def properties_matching(columns: list[str], pattern: str) -> list[str]:
 
 
 def unfold_properties(columns: dict[str, str]) -> Column:
-    """An array of (name, type, value as text) of a row's properties by name; those for debugging are left out."""
-    shown = sorted(n for n in columns if n != "debug" and not n.startswith(".aml_"))
+    """An array of (name, type, value as text) of a row's properties by name; debug and hidden ones (with a leading dot) are left out."""
+    shown = sorted(n for n in columns if n != "debug" and not n.startswith("."))
     return F.array(*(F.struct(F.lit(n).alias("name"), F.lit(columns[n]).alias("type"), F.col(n).cast("string").alias("value")) for n in shown))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.bind import let
-from cadenza.functions.timecode import frame_of_sample, samples_to_frame
+from cadenza.functions.timecode import frame_of_sample, samples_for_frame, samples_to_frame
 
 #: pcm24 is kept in 32 bits.
 LARGEST = {"pcm16": (1 << 15) - 1, "pcm24": (1 << 31) - 1, "pcm32": (1 << 31) - 1, "float": 1.0}
@@ -122,6 +122,21 @@ def level(samples: Column, largest: float = 1.0) -> Column:
     return F.array_max(F.transform(samples, lambda x: F.abs(x.cast("double")))) / largest
 
 
+def channel_mixer(a: Column, b: Column, volumes: list[float], channels: int, low: float = -1.0, high: float = 1.0) -> Column:
+    """A mono block b added to each channel of a by its volume (0 to 1), saturating; b is brought to a's length."""
+    if any(not 0 <= v <= 1 for v in volumes) or len(volumes) != channels:
+        raise ValueError("a volume from 0 to 1 is needed for each channel")
+    gain = F.array(*map(F.lit, volumes))
+    added = lambda y: F.transform(a, lambda x, i: F.greatest(F.lit(low), F.least(F.lit(high), x.cast("double") + _at(y, F.floor(i / channels)) * _at(gain, i % channels))))
+    return let(pitch(b, F.floor(F.size(a) / channels).cast("int")), added)
+
+
+def locked(df: DataFrame, column: str, frequency: int, fps: tuple[int, int], profile: str, channels: int = 1) -> DataFrame:
+    """Every block brought to the number of samples that the profile's fixed cadence has at its position."""
+    n = samples_for_frame(F.col("position"), frequency, fps, profile).cast("int")
+    return df.withColumn(column, F.when(F.floor(F.size(column) / channels) == n, F.col(column).cast("array<double>")).otherwise(pitch(F.col(column), n, channels)))
+
+
 def volume(samples: Column, start: float, end: float, channels: int = 1, low: float = -1.0, high: float = 1.0) -> Column:
     """A linear ramp of the gain over a block, clipped, then the low-pass (also at gain 1)."""
     n = F.greatest(F.floor(F.size(samples) / channels), F.lit(1))
@@ -129,8 +144,9 @@ def volume(samples: Column, start: float, end: float, channels: int = 1, low: fl
     return smooth(gained, channels)
 
 
-def pitch(samples: Column, required: int, channels: int = 1) -> Column:
+def pitch(samples: Column, required: int | Column, channels: int = 1) -> Column:
     """A block of another number of samples: the mean of the sample at i * ratio and the next; the last is copied."""
+    required = F.lit(required) if isinstance(required, int) else required
 
     def resampled(x: Column) -> Column:
         n = F.floor(F.size(x) / channels)
@@ -142,7 +158,7 @@ def pitch(samples: Column, required: int, channels: int = 1) -> Column:
             following = _at(x, F.least(j + 1, n - 1) * channels + ch)
             return F.when(i == required - 1, _at(x, (n - 1) * channels + ch)).otherwise((here + following) / 2)
 
-        return F.transform(_indexes(F.lit(required * channels)), one)
+        return F.transform(_indexes(required * channels), one)
 
     return let(samples.cast("array<double>"), resampled)
 

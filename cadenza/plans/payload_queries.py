@@ -119,6 +119,19 @@ def audio_reseat(spark, d):
     return _sums(A.reseat(c.df, "audio", 64, 1600, (30000, 1001), c.length))
 
 
+@query(_sums_sql(f"{_E}, m AS (SELECT x.vec_id, list_transform(range(1, 65), lambda k: greatest(-1.0, least(1.0, x.a[k] + CASE WHEN (k - 1) // 2 = 31 THEN y.a[64] ELSE (y.a[(k - 1) // 2 * 2 + 1] + y.a[(k - 1) // 2 * 2 + 2]) / 2 END * CASE WHEN k % 2 = 1 THEN 0.5 ELSE 0.25 END))) AS x FROM e x JOIN e y ON y.vec_id = x.vec_id + 1)", "m"))
+def audio_channel_mixer(spark, d):
+    c = stereo(spark, d)
+    other = c.df.select((F.col("position") - 1).alias("position"), F.col("audio").alias("b"))
+    return _sums(c.df.join(other, "position").select("position", A.channel_mixer(F.col("audio"), F.col("b"), [0.5, 0.25], 2).alias("audio")))
+
+
+@query("SELECT vec_id AS position, (vec_id % 30000 + 1) * 2102100 // 30000 - vec_id % 30000 * 2102100 // 30000 AS n FROM embeddings")
+def locked_audio(spark, d):
+    c = stereo(spark, d)
+    return A.locked(c.df, "audio", 2100, (30000, 1001), "").select("position", F.size("audio").cast("long").alias("n"))
+
+
 @query("SELECT vec_id AS position, round(list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))), 9) AS level FROM embeddings")
 def max_level(spark, d):
     return stereo(spark, d).df.select("position", F.round(A.level(F.col("audio")), 9).alias("level"))
