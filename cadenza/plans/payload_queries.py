@@ -71,6 +71,14 @@ def geometry_smart(spark, d):
     return _geometry(spark, d, "smart")
 
 
+@query("""WITH s AS (SELECT p_partkey AS k, CAST(p_size * 16 AS BIGINT) AS w, CAST(p_partkey % 50 * 9 + 9 AS BIGINT) AS h FROM part)
+SELECT k, CAST(floor(w * 0.25::DOUBLE) AS BIGINT) AS x, CAST(floor(h * 0.5::DOUBLE) AS BIGINT) AS y, least(CAST(floor(w * 0.9::DOUBLE) AS BIGINT), w - CAST(floor(w * 0.25::DOUBLE) AS BIGINT)) AS cw, least(CAST(floor(h * 0.3::DOUBLE) AS BIGINT), h - CAST(floor(h * 0.5::DOUBLE) AS BIGINT)) AS ch FROM s""")
+def crop_geometry(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") * 16).cast("long").alias("sw"), (F.col("p_partkey") % 50 * 9 + 9).cast("long").alias("sh"))
+    g = P.crop(F.col("sw"), F.col("sh"), 0.25, 0.5, 0.9, 0.3)
+    return parts.select("k", g["x"].alias("x"), g["y"].alias("y"), g["w"].alias("cw"), g["h"].alias("ch"))
+
+
 @query("SELECT event_id AS position, NULL AS value, event_type, 59 AS sar_num, 54 AS sar_den FROM events")
 def remove_and_sar(spark, d):
     c = events(spark, d, "value", "event_type")
@@ -126,6 +134,11 @@ def audio_channel_mixer(spark, d):
     return _sums(c.df.join(other, "position").select("position", A.channel_mixer(F.col("audio"), F.col("b"), [0.5, 0.25], 2).alias("audio")))
 
 
+@query(_sums_sql(f"{_E}, g AS (SELECT vec_id, list_transform(range(1, 33), lambda k: greatest(-1.0, least(1.0, a[2 * k - 1] + a[2 * k]))) AS a FROM e), m AS (SELECT vec_id, list_transform(range(1, 33), lambda k: list_sum(list_transform(range(0, 13), lambda t: CASE WHEN k - t >= 1 THEN a[k - t] * (1 - {_LOW}) * pow({_LOW}, t) ELSE 0.0 END))) AS x FROM g)", "m"))
+def audio_channel_convert(spark, d):
+    return _sums(stereo(spark, d).df.select("position", A.channel_convert(F.col("audio"), 2, 1).alias("audio")))
+
+
 @query("SELECT vec_id AS position, (vec_id % 30000 + 1) * 2102100 // 30000 - vec_id % 30000 * 2102100 // 30000 AS n FROM embeddings")
 def locked_audio(spark, d):
     c = stereo(spark, d)

@@ -136,3 +136,9 @@ def slots_slice(spark, d):
 @query("SELECT event_id AS position, value, NULL AS o_totalprice, 0 AS slot FROM events UNION ALL SELECT o_orderkey + (SELECT count(*) FROM events), NULL, o_totalprice, 1 FROM orders")
 def playlist_concat(spark, d):
     return R.playlist([events(spark, d), orders(spark, d)]).df.select("position", "value", "o_totalprice", "slot")
+
+
+@query("""WITH p AS (SELECT unnest(range((SELECT (count(*) * 24 + 24) // 25 FROM events))) AS p), n AS (SELECT count(*) AS L FROM events)
+SELECT p AS position, event_id AS source, value FROM p, n JOIN events ON event_id = ((p + 1) * 25 + 23) // 24 - 1""")
+def frame_rate_reverse(spark, d):
+    return R.frame_rate(events(spark, d), 24, 1, reverse=True).df.select("position", "source", "value")
