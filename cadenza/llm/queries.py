@@ -99,4 +99,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_pack_best_fit, op3_simhash_near_dedup, op4_license_scan, op5_kneser_ney, op6_pii_feistel, op7_language_id, op8_secret_ledger, op9_embedding_near_dedup, op10_decontaminate, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+#: Only vector links can be told in SQL; the others hold a tokenizer, a trained model, XXH64 or a search for a capacity.
+ORACLE_SQL: dict[str, str] = {
+    "op9_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS m FROM r GROUP BY x), n AS (SELECT x, count(*) AS k FROM l GROUP BY x)
+SELECT vec_id, coalesce(k, 0) AS n_links, m AS component_id, vec_id = m AS kept FROM v JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id""",
+}

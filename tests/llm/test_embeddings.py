@@ -73,3 +73,11 @@ def test_windows_count_like_a_plain_comparison():
     want = {(a, b) for a in range(50) for b in range(70) if (np.abs(p[a] - q[b]) <= 1.0).sum() >= 6}
     x, y = collisions(p, q, 1.0, 6)
     assert set(zip(x.tolist(), y.tolist())) == want
+
+
+def test_sql_gives_the_same_rows(spark):
+    from cadenza.llm.queries import ORACLE_SQL, QUERIES
+    from tests.compare import compare
+
+    name = "op9_embedding_near_dedup"
+    compare(spark, "/root/testdata/sf0.01", QUERIES[name], ORACLE_SQL[name])
