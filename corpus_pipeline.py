@@ -1,4 +1,9 @@
-"""A corpus from raw documents to packed token sequences, stage by stage."""
+"""A corpus from raw documents to packed token sequences, stage by stage.
+
+All stages take nulls in any column, empty and very long texts, empty tables and further columns. All but
+the last return the columns of their input. A row with a null doc_id is judged by its text like any other in
+the filters; near-dedup keeps it.
+"""
 
 from __future__ import annotations
 
@@ -16,13 +21,23 @@ NEAR_MASKS = simhash.random_masks(words=2, bits=16, count=40)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that the model tells with a probability of at least 0.35 (a text without letters never)."""
+    """Keep documents in a language that the model tells with a probability of at least 0.35.
+
+    A text that is null or has no letter is rejected. Without any labelled text to learn from, nothing is.
+    """
     model = langid.learn(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    return langid.keep_known(docs, model, 0.35)
+    return langid.keep_known(docs, model, 0.35) if model.languages else docs
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies keep one document, that with the smallest id."""
+    """Of each group of near copies keep one document, that with the smallest id.
+
+    Rows of equal id and text are one document and are kept once.
+    """
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
+    if not again.isEmpty():
+        own = F.col("doc_id") == F.col("_again")
+        docs = stored(docs.join(again, own, "left_anti").unionByName(docs.join(again, own, "left_semi").dropDuplicates(["doc_id", "text"])), "documents-once")
     found = simhash.near_duplicates(docs, 5, NEAR_BITS, NEAR_SEEDS, NEAR_MASKS)
     gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "near-copies")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -31,3 +31,21 @@ def test_stages(spark):
 
     tokenizer = Tokenizer.from_file(tokenizer_file())
     assert sum(r["length"] for r in packed) == sum(len(ids_of(tokenizer, r["text"])) for r in after.collect())
+
+
+def test_odd_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    text = "the cat and the dog and the bird and one more word here"
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text, "en", None, None), (3, None, "en", "a", 1), (4, "", "en", "a", 1), (None, "another text altogether, of some words", None, "a", 1), (5, "long words " * 20000, "en", "a", 1), (6, "12 34", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "1 as component_id", "2 as lang_pred", "3 as n", "4 as ids")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        docs = out
+        kept.append(sorted((r["doc_id"] or 0) for r in docs.select("doc_id").collect()))
+    assert kept == [[0, 1, 1, 2, 5], [0, 1, 5], [0, 1, 5], [0, 1, 5]]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], schema), sf).count() == 0
