@@ -128,8 +128,7 @@ def key_frame_of(positions: DataFrame, index: DataFrame, bucket: int = 1 << 16)
 
     marks = index.select(F.col("frame").alias("position"), F.col("frame").alias("_mark")).distinct()
     both = positions.select("position", F.lit(None).cast("long").alias("_mark"), F.lit(True).alias("_asked")).unionAll(marks.select("position", "_mark", F.lit(False).alias("_asked")))
-    merged = both.groupBy("position").agg(F.max("_mark").alias("_mark"), F.max("_asked").alias("_asked"))
-    seen = last_seen(merged, "_mark", "_seen", bucket).where("_asked").select("position", "_seen")
+    seen = last_seen(both, "_mark", "_seen", bucket).where("_asked").select("position", "_seen")  # a mark at the position itself counts
     first = index.agg(F.coalesce(F.min("frame"), F.lit(-1)).alias("_first"))
     return seen.crossJoin(F.broadcast(first)).select("position", F.coalesce("_seen", "_first").alias("key_frame"))  # one row
 
