@@ -125,7 +125,7 @@ def _cell_links(plan: Plan, least_cosine: float):
     return work
 
 
-def near_duplicates(vectors: DataFrame, least_cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block_rows: int = 1500) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least_cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block_rows: int = 1000) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row: vectors of equal label and high cosine are linked.
 
     Cosines are in double precision. Equal vectors of a label are one entry with a number of copies.
@@ -170,7 +170,9 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.98, id_col: str
     blocks = F.ceil(F.col("n") / block_rows).cast("int")
     placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    found = stored(paired.select("label", "t", "cell", "one", "two", "id", "copies", "unit", "block").groupBy("label", "t", "cell", "one", "two").applyInArrow(_cell_links(plan, least_cosine), "id long, root long, links long"), "vector-links")
+    keys = ["label", "t", "cell", "one", "two"]
+    dealt = paired.select(*keys, "id", "copies", "unit", "block").repartition(*keys)  # else all blocks of a cell stay in its task
+    found = stored(dealt.groupBy(*keys).applyInArrow(_cell_links(plan, least_cosine), "id long, root long, links long"), "vector-links")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     member = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     entry = entries.join(linked, "id", "left").join(member, F.col("id") == F.col("node"), "left").select(F.col("label").alias("_label"), F.col("h").alias("_h"), F.col("v").alias("_v"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component_id", "id").alias("component_id"))
