@@ -177,27 +177,29 @@ def _slices(na: np.ndarray, nb: np.ndarray, chunk: int) -> Iterator[tuple]:
         yield 0, len(na)
 
 
-def near_links(distinct: DataFrame, masks: list[tuple], most_differing: int, words: int) -> DataFrame:
+def near_links(distinct: DataFrame, masks: list[tuple], most_differing: int, words: int, least: float | None = None) -> DataFrame:
     """Links (a, b) between the ids of distinct fingerprints (id, f0, ...) with few differing bits.
 
+    With least, distinct has the size n of each row's set; sets whose sizes rule out that Jaccard similarity aren't linked.
+
     Every mask's bit pattern is an upper node. Rows are dealt out by mask and pattern and sorted by
     them and by Gray rank; a task walks its nodes in turn. Of the pairs found in a node only a spanning
     forest goes out, so a large group of copies gives a link per row.
     """
     names = [f"f{w}" for w in range(words)]
+    kept = ["id", *names, *(["n"] if least else [])]
     entries = distinct.select(
-        "id",
-        *names,
+        *kept,
         F.explode(F.array(*(F.struct(F.lit(k).alias("m"), *(F.col(n).bitwiseAND(F.lit(_signed(m[w]))).alias(f"p{w}") for w, n in enumerate(names))) for k, m in enumerate(masks)))).alias("node"),
-    ).select("id", *names, F.xxhash64("node").alias("node"))
-    return entries.repartition("node").sortWithinPartitions("node").mapInArrow(NodeWalk(words, most_differing), "a long, b long")
+    ).select(*kept, F.xxhash64("node").alias("node"))
+    return entries.repartition("node").sortWithinPartitions("node").mapInArrow(NodeWalk(words, most_differing, least=least), "a long, b long")
 
 
 class NodeWalk:
     """The task side of near_links: takes rows sorted by node, many nodes at a time."""
 
-    def __init__(self, words: int, most_differing: int, rows: int = 100_000):
-        self.words, self.most, self.rows = words, most_differing, rows
+    def __init__(self, words: int, most_differing: int, rows: int = 100_000, least: float | None = None):
+        self.words, self.most, self.rows, self.least = words, most_differing, rows, least
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -221,10 +223,14 @@ class NodeWalk:
         f = np.stack([table.column(f"f{w}").to_numpy() for w in range(self.words)], 1).view(np.uint64)
         byid = np.argsort(ids, kind="stable")  # a component's root is its smallest id
         ids, node, f = ids[byid], node[byid], f[byid]
+        size = table.column("n").to_numpy()[byid] if self.least else None
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         found: list[tuple] = []
         pending = 0
         for x, y in near_pairs(node, f, self.most):
+            if size is not None:
+                fit = np.minimum(size[x], size[y]) >= self.least * np.maximum(size[x], size[y]) - 1e-6
+                x, y = x[fit], y[fit]
             found.append((x, y))
             pending += len(x)
             if pending > 500_000:
@@ -269,3 +275,154 @@ def near_duplicates(docs: DataFrame, width: int = 4, most_differing: int = 4, se
     member = components(near_links(known, masks, most_differing, words))
     labelled = distinct.join(member, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("component_id", "id").alias("component_id"))
     return base.join(labelled, names).select("doc_id", *names, "component_id")
+
+
+def shingle_sets(docs: DataFrame, width: int, seeds: tuple[int, ...]) -> DataFrame:
+    """doc_id, h (hash of the text), s (hash of the set of its shingles), n (the set's size) and the set's fingerprint f0, ..."""
+    names = [f"f{k}" for k in range(len(seeds))]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, n, f = [], [], []
+            for x in batch.column(2):
+                hashes = shingle_hashes(x.as_py(), width, seeds)
+                one, at = np.unique(hashes[:, 0], return_index=True)
+                s.append(xxhash.xxh64_intdigest(one.tobytes(), 1))
+                n.append(len(one))
+                f.append(fingerprint(hashes[at]))
+            f = np.array(f, np.uint64).reshape(-1, len(seeds)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(s, np.uint64).astype(np.int64)), pa.array(n, pa.int32()), *(pa.array(f[:, k]) for k in range(len(seeds)))], ["doc_id", "h", "s", "n", *names])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(work, "doc_id long, h long, s long, n int, " + ", ".join(f"{x} long" for x in names))
+
+
+def alike(values: np.ndarray, own: np.ndarray, side: np.ndarray, least: float, columns: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of the two sides (of one, if only one is there) with a Jaccard similarity of at least least.
+
+    Set own[k] has values[k], each once. The intersections of all pairs are counted by products of membership matrices.
+    """
+    size = np.bincount(own, minlength=len(side))
+    order = np.argsort(values, kind="stable")
+    values, own = values[order], own[order]
+    start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[start, len(values)])
+    shared = np.repeat(times > 1, times)
+    column = np.repeat(np.cumsum(times > 1) - 1, times)[shared]
+    own = own[shared]
+    one = np.flatnonzero(side == side.min())
+    two = np.flatnonzero(side != side.min())
+    same = not len(two)
+    two = one if same else two
+    place = np.zeros(len(side), np.int64)
+    place[two] = np.arange(len(two))
+    place[one] = np.arange(len(one))
+    first = side[own] == side.min()
+    both = np.zeros((len(one), len(two)), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        lo, hi = np.searchsorted(column, (c, c + columns))
+        width = int(column[hi - 1]) - c + 1
+        at, left = column[lo:hi] - c, first[lo:hi]
+        a = np.zeros((len(one), width), np.float32)
+        a[place[own[lo:hi][left]], at[left]] = 1
+        b = a
+        if not same:
+            b = np.zeros((len(two), width), np.float32)
+            b[place[own[lo:hi][~left]], at[~left]] = 1
+        both += a @ b.T
+    fit = both >= least * (size[one][:, None] + size[two][None, :] - both) - 1e-4
+    if same:
+        fit = np.triu(fit, 1)
+    x, y = np.nonzero(fit)
+    return one[x], two[y]
+
+
+class BlockCompare:
+    """Takes rows (cell, side, s, hashes) sorted by cell; gives a spanning forest (a, b) of the alike pairs of each cell."""
+
+    def __init__(self, least: float):
+        self.least = least
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            if not len(cell):
+                continue
+            if held and cell[0] != last:
+                yield from self.cells(pa.Table.from_batches(held))
+                held = []
+            cut = int(np.searchsorted(cell, cell[-1]))
+            if cut:  # the last cell may go on in the next batch
+                yield from self.cells(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+            last = cell[-1]
+        if held:
+            yield from self.cells(pa.Table.from_batches(held))
+
+    def cells(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        cell, side, s = (table.column(k).to_numpy() for k in ("cell", "side", "s"))
+        hashes = table.column("hashes").chunk(0)
+        values, ends = hashes.flatten().to_numpy(), np.r_[0, np.cumsum(hashes.value_lengths().to_numpy())]
+        edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+        a, b = [], []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi - lo < 2:
+                continue
+            own = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+            x, y = alike(values[ends[lo] : ends[hi]], own, side[lo:hi], self.least)
+            root = roots(x, y, hi - lo)
+            leaf = np.flatnonzero(root != np.arange(hi - lo))
+            a.append(s[lo + leaf])
+            b.append(s[lo + root[leaf]])
+        if sum(map(len, a)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+def alike_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, width: int, seed: int, least: float, texts: int = 1024, shingles: int = 200_000) -> DataFrame:
+    """Links (a, b) between the sets s of distinct whose texts have a Jaccard similarity of at least least, exactly.
+
+    candidates (node, component_id) are groups of sets; every pair in a group is compared, or linked by others. A group
+    is dealt into blocks of about so many texts and shingles at most, and each pair of blocks is compared in a cell of its own.
+    distinct has for each s the row (first: doc_id and h) whose text stands for it.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), width, (seed,))[:, 0]).astype(np.int64) for x in batch.column(0)]
+            ends = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], ["s", "component_id", "blocks", "hashes"])
+
+    member = candidates.join(distinct, F.col("node") == F.col("s"))
+    sizes = member.groupBy(F.col("component_id").alias("_c")).agg(F.greatest(F.ceil(F.sum("n") / shingles), F.ceil(F.count("*") / texts)).cast("int").alias("blocks"))
+    member = stored(member.join(sizes, F.col("component_id") == F.col("_c")).select("s", "component_id", "blocks", F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")), "near-candidates")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    rows = own.join(member, own["doc_id"].eqNullSafe(member["_id"]) & (own["h"] == member["_h"])).select("text", "s", "component_id", "blocks")
+    sets = rows.mapInArrow(work, "s long, component_id long, blocks int, hashes array<long>")
+    block = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
+    dealt = sets.withColumn("_own", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select(F.xxhash64("component_id", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("cell"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), "s", "hashes")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(BlockCompare(least), "a long, b long")
+
+
+def near_copies(docs: DataFrame, width: int, least: float, most_differing: int, seeds: tuple[int, ...], masks: list[tuple]) -> DataFrame:
+    """doc_id and h (xxhash64 of the text) of the rows that are a near copy of another row which stays.
+
+    Two texts are near copies if the sets of their word shingles have a Jaccard similarity of at least least. The index of
+    SimHash fingerprints only finds groups of candidates; all links are checked exactly. Of each group of rows
+    linked, also through others, the one with the smallest doc_id (then h; null ids last) stays. Texts without
+    a word are equal. No two rows may have both doc_id and text equal.
+    """
+    names = [f"f{w}" for w in range(len(seeds))]
+    base = stored(shingle_sets(docs, width, seeds), "shingle-sets")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    distinct = stored(base.groupBy("s").agg(F.min(row).alias("first"), *(F.min(x).alias(x) for x in ("n", *names))), "shingle-sets-distinct")
+    links = near_links(distinct.withColumnRenamed("s", "id"), masks, most_differing, len(seeds), least)
+    member = components(alike_links(docs, distinct, components(links), width, seeds[0], least))
+    labelled = distinct.join(member, F.col("s") == F.col("node"), "left").select("s", "first", F.coalesce("component_id", "s").alias("c"))
+    stays = labelled.groupBy(F.col("c").alias("_c")).agg(F.min("first").alias("stays"))
+    labelled = labelled.join(stays, F.col("c") == F.col("_c")).select(F.col("s").alias("_s"), "stays")
+    return base.join(labelled, F.col("s") == F.col("_s")).where(row != F.col("stays")).select("doc_id", "h")

@@ -14,10 +14,10 @@ from cadenza.llm import decontaminate, langid, packing, pii, simhash
 from cadenza.llm.common import new_folder, stored
 from cadenza.llm.queries import PII_KEY, tokenizer_file
 
-#: 128-bit SimHash of five-word shingles. Texts with a Jaccard similarity of 0.8 differ in about 19 of
-#: the bits (their angle is acos(2 * 0.8 / 1.8)); unrelated ones in about 64.
-NEAR_SEEDS, NEAR_BITS = (42, 43), 24
-NEAR_MASKS = simhash.random_masks(words=2, bits=16, count=40)
+#: Near copies share 0.8 of the five-word shingles of both. Their 128-bit SimHash differs in about 19 bits then (acos(2 * 0.8 / 1.8)),
+#: that of unrelated texts in about 64; the index takes what differs in up to 34 as candidates.
+NEAR_LEAST, NEAR_SEEDS, NEAR_BITS = 0.8, (42, 43), 34
+NEAR_MASKS = simhash.random_masks(words=2, bits=14, count=80)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,17 +30,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies keep one document, that with the smallest id.
+    """Of each group of near copies (Jaccard similarity of the five-word shingles of 0.8, exactly checked) keep one document, that with the smallest id.
 
     Rows of equal id and text are one document and are kept once.
     """
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
+    key = F.struct("doc_id", F.xxhash64("text"))
+    again = stored(docs.groupBy(key.alias("_again")).count().where("count > 1").select("_again"), "documents-again")
     if not again.isEmpty():
-        own = F.col("doc_id") == F.col("_again")
+        own = key == F.col("_again")
         docs = stored(docs.join(again, own, "left_anti").unionByName(docs.join(again, own, "left_semi").dropDuplicates(["doc_id", "text"])), "documents-once")
-    found = simhash.near_duplicates(docs, 5, NEAR_BITS, NEAR_SEEDS, NEAR_MASKS)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    found = simhash.near_copies(docs, 5, NEAR_LEAST, NEAR_BITS, NEAR_SEEDS, NEAR_MASKS)
+    gone = stored(found.select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")), "near-copies")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_h"]), "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

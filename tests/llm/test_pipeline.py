@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline
 from tests.llm.test_packing import ids_of
 
@@ -49,3 +51,43 @@ def test_odd_rows(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], schema), sf).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_copies_are_those_of_all_pairs(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    words = [f"w{k}" for k in range(104)]
+    changed = lambda k: " ".join([*words[:-k], *("x" for _ in range(k))])
+    extra = spark.createDataFrame([(90001, " ".join(words), "en", "s", 1), (90002, changed(11), "en", "s", 1), (90003, changed(12), "en", "s", 1), (None, " ".join(words), "en", "s", 1)], docs.schema)
+    docs = docs.unionByName(extra)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = []
+    for _, text in rows:
+        part = (text or "").encode().lower().split()
+        sets.append(frozenset(b" ".join(part[k : k + 5]) for k in range(max(1, len(part) - 4))) if part else frozenset())
+    holders = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    parent = list(range(len(rows)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for k, s in enumerate(sets):
+        shared = {}
+        for x in s:
+            for j in holders[x]:
+                if j < k:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if n * 5 >= (len(s) + len(sets[j]) - n) * 4:
+                parent[find(k)] = find(j)
+    groups = {}
+    for k, row in enumerate(rows):
+        groups.setdefault(find(k), []).append(row)
+    want = {min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()}
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
