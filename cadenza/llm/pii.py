@@ -13,6 +13,13 @@ from cadenza.functions.bind import let
 ROUNDS = 8
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _DATE = "(?:[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})"
+#: With a country code any area and a long last group are taken; without one the area is bracketed or begins with 2 to 9.
+_PHONE = "|".join((
+    r"(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])|\([0-9]{3}\) ?|[2-9][0-9]{2}[ .\-])[0-9]{3}[ .\-][0-9]{4}",
+    r"\+[0-9]{7,15}",
+    r"(?=\+(?:[ .\-()]{0,2}[0-9]){7})\+[0-9]{1,3}(?:[ .\-]?\([0-9]{1,5}\)[ .\-]?|[ .\-])(?:[0-9]{1,5}[ .\-]){0,4}[0-9]{2,10}",
+    r"\+[0-9]{1,3}(?:[ .\-][0-9]{2,4}){2,4}",
+))
 #: The form of each kind; in a text the first that fits counts. Only email has @; the others start with no letter but iban.
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
@@ -20,7 +27,7 @@ FORMS = {
     "date": rf"(?<![0-9/.\-]){_DATE}(?![0-9])",
     "ssn": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|\+[0-9]{7,15}(?![0-9])|\+[0-9]{1,3}(?:[ .\-][0-9]{2,4}){2,4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:" + _PHONE + r")(?![0-9]|(?:\.[0-9]{1,3}){3}|[/.][0-9]{1,2}[/.][0-9]{4})",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in FORMS.values())

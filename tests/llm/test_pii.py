@@ -53,3 +53,17 @@ def test_every_document_and_column_stays(spark):
             assert len(r["t2"]) == len(r["text"]) or re.search(r"\d+\.\d+\.\d+\.\d+", r["text"])
         for card in re.findall(r"(?<!\d)\d{16}(?!\d)", r["text"]):
             assert (card in r["t2"]) != luhn(card)
+
+
+def test_phones_of_any_area(spark):
+    phones = ["+1 (017) 555-7713", "+1 (578) 555-6437", "+1 117-555-0199", "(017) 555-7713", "+49 30 1234567", "+49 (30) 1234567", "+44 (0)20 7946 0958", "+33 1 23 45 67 89", "+442079460958"]
+    for phone, new in zip(phones, run(spark, [f"call {p} 10.20.30.40 now" for p in phones])):
+        got = re.fullmatch(r"call (.+) ([\d.]+) now", new)
+        assert re.sub(r"\d", "0", got[1]) == re.sub(r"\d", "0", phone) and got[1] != phone and got[2] != "10.20.30.40"
+
+
+def test_no_planted_phone_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    pairs = pii.pseudonymise(docs.withColumnRenamed("text", "old").withColumn("text", F.col("old")), "k").collect()
+    found = [(p, r["text"]) for r in pairs for p in re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", r["old"] or "")]
+    assert found and not [p for p, new in found if p in new]
