@@ -28,9 +28,23 @@ FORMS = {
     "ssn": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9+])(?:" + _PHONE + r")(?![0-9]|(?:\.[0-9]{1,3}){3}|[/.][0-9]{1,2}[/.][0-9]{4})",
-    "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
 }
+#: No date, SSN, IP or phone number begins within a card or an IBAN.
+_APART = "(?!" + "|".join(f"(?:{FORMS[k]})" for k in ("date", "ssn", "ip", "phone")) + ")"
+FORMS["iban"] = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: APART)?[A-Z0-9]{4}){2,7}(?:(?: APART)?[A-Z0-9]{1,3})?(?![A-Za-z0-9])".replace("APART", _APART)
+FORMS["card"] = r"(?<![0-9])[0-9](?:(?:[ \-]APART)?[0-9]){12,18}(?![0-9])".replace("APART", _APART)
 PATTERN = "|".join(f"(?:{p})" for p in FORMS.values())
+#: Where a card or an IBAN may begin, a match goes on over all that could belong to it or to a value after it; see _resolved.
+#: Possessive, as Java's regular expressions else recurse once a repetition; it stops before an e-mail address.
+_NO_MAIL = r"(?![A-Za-z0-9._%+\-]{0,64}@)"
+_TAIL = rf"(?:[ \-./()+]{{0,3}}{_NO_MAIL}(?:[0-9]++|[A-Z]++(?![a-z])))*+"
+RUNS = {
+    "iban": rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:(?: {_NO_MAIL})?[A-Z0-9]){{11}}" + _TAIL,
+    "card": rf"(?<![0-9])[0-9](?:(?:[ \-]{_NO_MAIL})?[0-9]){{12}}[0-9]*+" + _TAIL,
+}
+SEARCH = "|".join(f"(?:{RUNS.get(k, p)})" for k, p in FORMS.items())
+#: The longest form is an IBAN of 34 characters with spaces; what follows is looked at too.
+_WINDOW = 80
 #: Days from 1800-01-01 to 2199-12-31, as a product: one Gregorian cycle.
 DAYS, HIGH, LOW = 146_097, 189, 773
 
@@ -223,6 +237,50 @@ def pseudonym(match: Column, key: str) -> Column:
     return out
 
 
+def _candidates(window: Column) -> Column:
+    """What may be a value at the window's second character, long before short; the first character is the one before it."""
+    form = lambda p: F.regexp_extract(window, f"(?s)^.({p})", 1)
+    ibans = [form(rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:(?: {_APART})?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in range(34, 11, -1)]
+    plain = [form(FORMS[k]) for k in ("date", "ssn", "ip", "phone")]
+    cards = [form(rf"(?<![0-9])[0-9](?:(?:[ \-]{_APART})?[0-9]){{{n - 1}}}(?![0-9])") for n in range(19, 12, -1)]
+    letter = F.substring(window, 2, 1).rlike("[A-Z]")
+    return F.filter(F.when(letter, F.array(*ibans)).otherwise(F.array(*plain, *cards)), lambda c: c != "")
+
+
+def _resolved(run: Column, key: str) -> Column:
+    """A run with every valid value in it replaced, as a struct of text and n (how many).
+
+    From left to right, at each place where a value may begin, candidates of all forms and lengths are validated
+    first; the first valid one is taken and the search goes on behind it.
+    """
+
+    def walk(chars: Column) -> Column:
+        size = F.size(chars)
+        before = lambda k: F.when(k == 1, F.lit(" ")).otherwise(F.get(chars, k - 2))
+        starts = F.filter(F.sequence(F.lit(1), size), lambda k: F.get(chars, k - 1).rlike("[A-Z0-9+(]") & ~(F.get(chars, k - 1).rlike("[A-Z0-9]") & before(k).rlike("[A-Z0-9]")))
+        window = lambda k: F.concat(before(k), F.array_join(F.slice(chars, k, F.lit(_WINDOW)), ""))
+
+        def step(s: Column, k: Column) -> Column:
+            tried = lambda w: F.filter(F.transform(_candidates(w), lambda c: F.struct(c.alias("old"), pseudonym(c, key).alias("new"))), lambda c: c["old"] != c["new"])
+            take = lambda v: F.struct(F.concat(s["text"], F.array_join(F.slice(chars, s["at"], k - s["at"]), ""), v["new"]).alias("text"), (s["n"] + 1).alias("n"), (k + F.length(v["old"])).alias("at"))
+            found = let(window(k), lambda w: let(tried(w), lambda t: F.when(F.size(t) > 0, let(F.get(t, F.lit(0)), take)).otherwise(s)))
+            return F.when(k < s["at"], s).otherwise(found)
+
+        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(1).alias("at"))
+        rest = lambda s: F.array_join(F.slice(chars, s["at"], F.greatest(size - s["at"] + 1, F.lit(0))), "")
+        return F.aggregate(starts, start, step, lambda s: F.struct(F.concat(s["text"], rest(s)).alias("text"), s["n"].alias("n")))
+
+    return let(F.split(run, ""), walk)
+
+
+def replaced(match: Column, key: str) -> Column:
+    """A match of SEARCH with its values replaced, as a struct of text and n."""
+    whole = F.when(match.rlike(f"^(?:{PATTERN})$"), pseudonym(match, key)).otherwise(match)
+    run = match.rlike(f"^(?:{RUNS['iban']}|{RUNS['card']})$")
+    done = lambda new: F.when((new == match) & run, _resolved(match, key)).otherwise(F.struct(new.alias("text"), (new != match).cast("int").alias("n")))
+    return let(whole, done)
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with every valid e-mail address, IBAN, date, social security, IP, phone and card number in the
     text replaced by a keyed pseudonym of the same form; count_col, if named, gets how many changed.
@@ -237,12 +295,12 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """
     text = F.col(text_col)
     # Every form has a digit or an @; only texts with either are searched.
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    rows = docs.withColumn("__found", found).withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
+    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(SEARCH), F.lit(0)))
+    rows = docs.withColumn("__found", found).withColumn("__new", F.transform("__found", lambda m: replaced(m, key)))
     # one more piece than matches: the text between them, each followed by the new value
-    pieces = F.zip_with(F.split(text, PATTERN, -1), "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    pieces = F.zip_with(F.split(text, SEARCH, -1), "__new", lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit(""))))
     rows = rows.withColumn(text_col, F.when(F.size("__new") > 0, F.array_join(pieces, "")).otherwise(text))
     if count_col:
-        changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
+        changed = F.aggregate("__new", F.lit(0), lambda s, x: s + x["n"])
         rows = rows.withColumn(count_col, F.when(F.size("__new") > 0, changed).otherwise(0))
     return rows.drop("__found", "__new")

@@ -67,3 +67,17 @@ def test_no_planted_phone_stays(spark):
     pairs = pii.pseudonymise(docs.withColumnRenamed("text", "old").withColumn("text", F.col("old")), "k").collect()
     found = [(p, r["text"]) for r in pairs for p in re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", r["old"] or "")]
     assert found and not [p for p, new in found if p in new]
+
+
+def test_values_beside_other_digits(spark):
+    card, spaced, iban = "4111111111111111", "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = [f"{spaced} 12/27", f"{card} 123", "4567 123-45-6789", "order 1234567 202-555-0123", f"{iban} EUR", f"12345678 {spaced}", f"{iban} {spaced} 202-555-0123", f"{card}, 1234567890123 10.1.2.3 12/05/1999 x", f"{card} 123@mail.com"]
+    values = [[spaced], [card], ["123-45-6789"], ["202-555-0123"], [iban], [spaced], [iban, spaced, "202-555-0123"], [card, "10.1.2.3", "12/05/1999"], [card, "123@"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pii.pseudonymise(df, "key", count_col="n").orderBy("doc_id").collect()
+    for text, parts, r in zip(texts, values, got):
+        assert not [p for p in parts if p in r["text"]] and r["n"] == len(parts), (text, r["text"], r["n"])
+    assert luhn(re.match(r"[\d ]{19}", got[0]["text"])[0].replace(" ", "")) and got[0]["text"].endswith(" 12/27")
+    assert got[1]["text"].endswith(" 123") and got[3]["text"].startswith("order 1234567 ") and got[4]["text"].endswith(" EUR")
+    long = "1234567 " * 3000
+    assert len(run(spark, [long])[0]) == len(long)
