@@ -1,13 +1,15 @@
-"""What the training-data operators share: the shared folder, stored tables, components."""
+"""What the training-data operators share: the shared folder, stored tables, components, links in groups."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -108,30 +110,101 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
+def forests(links: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Links (a, b) of the same components, at most one per node and task: each task joins what it reads, so many links at a time."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def thinned() -> pa.RecordBatch:
+            a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+            nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+            root = roots(at[: len(a)], at[len(a) :], len(nodes))
+            leaf = np.flatnonzero(root != np.arange(len(nodes)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[root[leaf]])], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            count += len(batch)
+            if count >= most:
+                held = [thinned()]
+                count = len(held[0])
+                if count > most // 2:
+                    yield held.pop()
+                    count = 0
+        if count:
+            yield thinned()
+
+    return links.select("a", "b").mapInArrow(work, "a long, b long")
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component_id) for every node of links (a, b): component_id is the smallest node reachable.
 
-    Alternating large-star and small-star steps, each an aggregation and a join, until a round changes
-    nothing; each round's links are stored, so that the plan stays short. No links: no rows.
-    Links with a null end are left out.
+    Tasks first thin the links that they read to forests. Then alternating large-star and small-star steps, each an
+    aggregation and a join, until a round changes nothing. Each round's links are stored, so that the plan stays short; so are
+    the least neighbours, whose joins can then split a hub's links among tasks. No links: no rows. Links with a null end are left out.
     """
-    now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    now = stored(forests(links.where("a <> b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(most_rounds):
         if now.isEmpty():
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("m"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m")), "links-low")
+        large = stored(both.join(low, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "links-large")
+        low = stored(large.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("m")), "links-low")
         joined = large.join(low, F.col("a") == F.col("_a"))
         small = joined.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionAll(low.select(F.col("_a").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        after = stored(small, "links")
+        now = stored(small, "links")
         # Stars only: no node is both a centre and a leaf, and every leaf has one centre.
-        n, leaves = after.agg(F.count("*"), F.countDistinct("a")).first()
-        chained = not after.join(after.select(F.col("a").alias("_a")), F.col("b") == F.col("_a"), "left_semi").isEmpty()
-        now = after
-        if n == leaves and not chained:
+        n, leaves = now.agg(F.count("*"), F.countDistinct("a")).first()
+        if n == leaves and now.select(F.col("b").alias("_b")).distinct().join(now, F.col("a") == F.col("_b"), "left_semi").isEmpty():
             break
     else:
         raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component_id")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component_id")).distinct())
+
+
+def grouped_links(rows: DataFrame, near: Column, compare: Callable, block_weight: int, anchors: int = 8) -> DataFrame:
+    """Links (a, b) between keys that join, in each group, what all its pairs of near rows would join.
+
+    rows, a stored table, has g (group), id (unique in the group), k (key: what is linked), w (weight) and further
+    columns, by which near compares them with those of another row, named alike with a leading underscore.
+
+    Every row is compared with some anchors of its group: all rows of a small one, else up to so many drawn by a hash.
+    In a group of many rows that are alike nearly all are then linked; those not in the group's largest class are compared
+    with all its rows, block by block (about block_weight each), each two blocks in a cell of its own. compare takes batches of
+    (cell, side, k, further columns) sorted by cell and gives links (a, b) between the two sides.
+    """
+    further = [c for c in rows.columns if c not in ("g", "id", "k", "w")]
+    own = ["g", "id", "k", "w", *further]
+    sizes = stored(rows.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("m")), "group-sizes")
+    if sizes.isEmpty():
+        return rows.select(F.col("k").alias("a"), F.col("k").alias("b")).limit(0)
+    rows = stored(rows.join(sizes, F.col("g") == F.col("_g")).select(*own, "m"), "group-rows")
+    drawn = rows.where(F.col("m") > anchors).groupBy("g", F.pmod(F.xxhash64("id"), F.lit(anchors))).agg(F.min(F.struct(F.xxhash64("id", F.lit(1)), F.col("id").alias("i")))["i"].alias("i"))
+    drawn = stored(drawn.select(F.col("g").alias("_g"), F.col("i").alias("_i")), "group-drawn")
+    named = lambda df: df.select(*(F.col(c).alias(f"_{c}") for c in own))
+    chosen = stored(named(rows.where(F.col("m") <= anchors)).unionAll(named(rows.join(drawn, (F.col("g") == F.col("_g")) & (F.col("id") == F.col("_i"))).select(*own))), "group-anchors")
+    meet = (F.col("g") == F.col("_g")) & ((F.col("m") > anchors) | (F.col("id") > F.col("_id"))) & (F.col("k") != F.col("_k")) & near
+    first = stored(rows.join(chosen, meet).select(F.col("k").alias("a"), F.col("_k").alias("b")), "group-links")
+    large = rows.where(F.col("m") > anchors)
+    if large.isEmpty():
+        return first
+    member = stored(components(first), "group-classes")
+    large = stored(large.join(member, F.col("k") == F.col("node"), "left").select(*own, F.coalesce("component_id", "k").alias("class")), "group-large")
+    classes = large.groupBy("g", "class").agg(F.count("*").alias("n"))
+    largest = stored(classes.groupBy(F.col("g").alias("_g")).agg(F.max_by("class", F.struct("n", "class")).alias("main")), "group-largest")
+    large = stored(large.join(largest, F.col("g") == F.col("_g")).select(*own, (F.col("class") != F.col("main")).alias("apart")), "group-apart")
+    blocks = lambda w: F.greatest(F.ceil(F.sum(w) / block_weight), F.lit(1)).cast("int")
+    cut = stored(large.groupBy(F.col("g").alias("_g")).agg(blocks(F.when(F.col("apart"), F.col("w"))).alias("i_blocks"), blocks(F.col("w")).alias("j_blocks"), F.bool_or("apart").alias("any")).where("any"), "group-blocks")
+    if cut.isEmpty():
+        return first
+    rows = large.join(cut, F.col("g") == F.col("_g"))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = rows.where("apart").withColumn("_i", block("i_blocks")).withColumn("_j", every("j_blocks")).withColumn("side", F.lit(0))
+    two = rows.withColumn("_i", every("i_blocks")).withColumn("_j", block("j_blocks")).withColumn("side", F.lit(1))
+    cells = one.unionByName(two).select(F.xxhash64("g", "_i", "_j").alias("cell"), "side", "k", *further)
+    more = stored(cells.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(compare, "a long, b long"), "group-links")
+    return first.unionAll(more)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import components, roots, stored
+from cadenza.llm.common import components, grouped_links, roots, stored
 
 ONES = (1 << 64) - 1
 
@@ -177,34 +178,152 @@ def _slices(na: np.ndarray, nb: np.ndarray, chunk: int) -> Iterator[tuple]:
         yield 0, len(na)
 
 
-def near_links(distinct: DataFrame, masks: list[tuple], most_differing: int, words: int, least: float | None = None) -> DataFrame:
-    """Links (a, b) between the ids of distinct fingerprints (id, f0, ...) with few differing bits.
+def mask_plan(rows: int, words: int, differing: float, miss: float = 2e-4, node_rows: int = 16, least_bits: int = 14) -> list[tuple]:
+    """Random masks for so many rows: bits for about node_rows unrelated rows a node, masks so that a pair whose fingerprints differ in so many bits is missed by all with a probability of miss."""
+    bits = max(least_bits, ceil(log2(max(rows, 1) / node_rows)))
+    return random_masks(words, bits, ceil(log(miss) / log(1 - (1 - differing / (64 * words)) ** bits)))
 
-    With least, distinct has the size n of each row's set; sets whose sizes rule out that Jaccard similarity aren't linked.
+
+def near_links(distinct: DataFrame, masks: list[tuple], most_differing: int, words: int, least: float | None = None, node_rows: int = 4096) -> DataFrame:
+    """Links (a, b) between the labels of distinct fingerprints (id, f0, ...) with few differing bits.
+
+    A column label, if there, says which rows are linked already; else id is the label. With least, distinct has the
+    size n of each row's set; sets whose sizes rule out that Jaccard similarity aren't linked.
 
     Every mask's bit pattern is an upper node. Rows are dealt out by mask and pattern and sorted by
     them and by Gray rank; a task walks its nodes in turn. Of the pairs found in a node only a spanning
-    forest goes out, so a large group of copies gives a link per row.
+    forest goes out, so a large group of copies gives a link per row. A node of more than node_rows rows is left to a
+    second step, which deals its rows out over many tasks (grouped_links).
     """
     names = [f"f{w}" for w in range(words)]
-    kept = ["id", *names, *(["n"] if least else [])]
-    entries = distinct.select(
+    label = F.col("label") if "label" in distinct.columns else F.col("id").alias("label")
+    kept = ["id", "label", *names, *(["n"] if least else [])]
+    entries = distinct.select("id", label, *kept[2:]).select(
         *kept,
         F.explode(F.array(*(F.struct(F.lit(k).alias("m"), *(F.col(n).bitwiseAND(F.lit(_signed(m[w]))).alias(f"p{w}") for w, n in enumerate(names))) for k, m in enumerate(masks)))).alias("node"),
     ).select(*kept, F.xxhash64("node").alias("node"))
-    return entries.repartition("node").sortWithinPartitions("node").mapInArrow(NodeWalk(words, most_differing, least=least), "a long, b long")
+    found = stored(entries.repartition("node").sortWithinPartitions("node").mapInArrow(NodeWalk(words, most_differing, least=least, node_rows=node_rows), "a long, b long"), "node-links")
+    hot = stored(found.where("b is null").select(F.col("a").alias("_node")), "nodes-hot")
+    found = found.where("b is not null")
+    if hot.isEmpty():
+        return found
+    further = [*names, *(["n"] if least else [])]
+    rows = stored(entries.join(hot, F.col("node") == F.col("_node")).select(F.col("node").alias("g"), "id", F.col("label").alias("k"), F.lit(1).alias("w"), *further), "node-rows")
+    apart = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"_{n}"))) for n in names), F.lit(0))
+    near = apart <= most_differing
+    if least:
+        near = near & (F.least("n", "_n") >= F.greatest("n", "_n") * F.lit(least) - 1e-6)
+    return found.unionAll(grouped_links(rows, near, CellCompare(words, most_differing, least), node_rows // 2))
+
+
+class ByCell:
+    """Takes rows sorted by the first column and hands on whole runs of equal ones, many at a time."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            if not len(cell):
+                continue
+            if held and cell[0] != last:
+                yield from self.cells(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            cut = int(np.searchsorted(cell, cell[-1]))
+            if cut:  # the last cell may go on in the next batch
+                yield from self.cells(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
+                held = []
+            held.append(batch.slice(cut))
+            last = cell[-1]
+        if held:
+            yield from self.cells(pa.Table.from_batches(held).combine_chunks())
+
+    def cells(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The links between the two sides of each cell, thinned to a forest."""
+        cell, side, key = (table.column(c).to_numpy() for c in ("cell", "side", "k"))
+        edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            half = lo + int(np.searchsorted(side[lo:hi], 1))
+            if lo < half < hi:
+                x, y = self.linked(table, lo, half, hi)
+                if len(x):
+                    yield _forest(key, x, y)
+
+
+def _forest(key: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """A spanning forest of the links key[x]-key[y]."""
+    ends, at = np.unique(np.r_[key[x], key[y]], return_inverse=True)
+    root = roots(at[: len(x)], at[len(x) :], len(ends))
+    leaf = np.flatnonzero(root != np.arange(len(ends)))
+    return pa.RecordBatch.from_arrays([pa.array(ends[leaf]), pa.array(ends[root[leaf]])], ["a", "b"])
+
+
+def joined(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) pairs of a boolean matrix that connect what all its true cells connect."""
+    left, rows, columns = near.any(1), [], []
+    while left.any():
+        first = int(left.argmax())
+        group, reached = np.zeros(len(near), bool), near[first].copy()
+        group[first] = True
+        fresh = reached
+        while True:
+            more = near[:, fresh].any(1) & ~group
+            if not more.any():
+                break
+            group |= more
+            fresh = near[more].any(0) & ~reached
+            reached |= fresh
+        members, ends = np.flatnonzero(group), np.flatnonzero(reached)
+        rows += [members, np.full(len(ends), first)]
+        columns += [near[members].argmax(1), ends]
+        left &= ~group
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *columns])
+
+
+def near_matrix(f: np.ndarray, g: np.ndarray, most_differing: int, n: np.ndarray | None = None, m: np.ndarray | None = None, least: float | None = None) -> np.ndarray:
+    """Which rows of f are near which of g: by differing bits, and by what the sizes n and m of their sets allow."""
+    apart = sum(np.bitwise_count(f[:, w][:, None] ^ g[:, w][None, :]) for w in range(f.shape[1]))
+    near = apart <= most_differing
+    if least:
+        near &= np.minimum(n[:, None], m[None, :]) >= least * np.maximum(n[:, None], m[None, :]) - 1e-6
+    return near
+
+
+class CellCompare(ByCell):
+    """Links of the near fingerprints of two blocks of a node."""
+
+    def __init__(self, words: int, most_differing: int, least: float | None, strip: int = 512):
+        self.words, self.most, self.least, self.strip = words, most_differing, least, strip
+
+    def linked(self, table: pa.Table, lo: int, half: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        f = np.stack([table.column(f"f{w}").to_numpy() for w in range(self.words)], 1).view(np.uint64)
+        n = table.column("n").to_numpy() if self.least else None
+        size = lambda a, b: n[a:b] if self.least else None
+        x, y = [], []
+        for a in range(lo, half, self.strip):
+            b = min(a + self.strip, half)
+            r, c = joined(near_matrix(f[a:b], f[half:hi], self.most, size(a, b), size(half, hi), self.least))
+            x.append(r + a)
+            y.append(c + half)
+        return np.concatenate(x), np.concatenate(y)
 
 
 class NodeWalk:
-    """The task side of near_links: takes rows sorted by node, many nodes at a time."""
+    """The task side of near_links: takes rows sorted by node, many nodes at a time.
 
-    def __init__(self, words: int, most_differing: int, rows: int = 100_000, least: float | None = None):
-        self.words, self.most, self.rows, self.least = words, most_differing, rows, least
+    Gives links (a, b), and (node, null) for a node of too many rows.
+    """
+
+    def __init__(self, words: int, most_differing: int, rows: int = 100_000, least: float | None = None, node_rows: int = 4096, dense: int = 128):
+        self.words, self.most, self.rows, self.least, self.node_rows, self.dense = words, most_differing, rows, least, node_rows, dense
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        count = 0
+        count, hot = 0, None
         for batch in batches:
+            if hot is not None:
+                batch = batch.filter(pa.array(batch.column("node").to_numpy() != hot))
             held.append(batch)
             count += len(batch)
             if count >= self.rows:
@@ -214,40 +333,75 @@ class NodeWalk:
                 if cut:  # the last node may go on in the next batch
                     yield from self.links(table.slice(0, cut))
                     held = table.slice(cut).to_batches()
-                    count = len(table) - cut
+                else:
+                    hot, held = node[0], []
+                    yield self._hot(node[:1])
+                count = len(table) - cut if cut else 0
         if count:
             yield from self.links(pa.Table.from_batches(held))
 
+    @staticmethod
+    def _hot(nodes: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64())], ["a", "b"])
+
     def links(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, node = table.column("id").to_numpy(), table.column("node").to_numpy()
-        f = np.stack([table.column(f"f{w}").to_numpy() for w in range(self.words)], 1).view(np.uint64)
-        byid = np.argsort(ids, kind="stable")  # a component's root is its smallest id
-        ids, node, f = ids[byid], node[byid], f[byid]
-        size = table.column("n").to_numpy()[byid] if self.least else None
-        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found: list[tuple] = []
-        pending = 0
-        for x, y in near_pairs(node, f, self.most):
-            if size is not None:
-                fit = np.minimum(size[x], size[y]) >= self.least * np.maximum(size[x], size[y]) - 1e-6
-                x, y = x[fit], y[fit]
-            found.append((x, y))
-            pending += len(x)
+        names = [f"f{w}" for w in range(self.words)]
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        # Nodes in which all have one label have nothing to link.
+        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        size = np.diff(np.r_[starts, len(node)])
+        mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+        hot = mixed & (size > self.node_rows)
+        if hot.any():
+            yield self._hot(node[starts[hot]])
+        keep = np.repeat(mixed & ~hot, size)
+        if not keep.any():
+            return
+        node, label = node[keep], label[keep]
+        f = np.stack([table.column(n).to_numpy() for n in names], 1)[keep].view(np.uint64)
+        n = table.column("n").to_numpy()[keep] if self.least else None
+        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        size = np.diff(np.r_[starts, len(node)])
+        x, y, pending = [], [], 0
+        few = np.repeat(size <= self.dense, size)
+        for lo, m in zip(starts[size > self.dense].tolist(), size[size > self.dense].tolist(), strict=True):
+            for a in range(lo, lo + m, 512):
+                b = min(a + 512, lo + m)
+                part = lambda v, i, j: v[i:j] if self.least else None
+                r, c = joined(near_matrix(f[a:b], f[lo : lo + m], self.most, part(n, a, b), part(n, lo, lo + m), self.least))
+                x.append(r + a)
+                y.append(c + lo)
+        at = np.flatnonzero(few)
+        for r, c in near_pairs(node[at], f[at], self.most):
+            r, c = at[r], at[c]
+            fit = label[r] != label[c]
+            if self.least:
+                fit &= np.minimum(n[r], n[c]) >= self.least * np.maximum(n[r], n[c]) - 1e-6
+            x.append(r[fit])
+            y.append(c[fit])
+            pending += len(x[-1])
             if pending > 500_000:
-                a, b = self._forest(found, a, b, len(ids))
-                found, pending = [], 0
-        a, b = self._forest(found, a, b, len(ids))
-        differ = ids[a] != ids[b]
-        if differ.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a[differ]]), pa.array(ids[b[differ]])], ["a", "b"])
+                yield _forest(label, np.concatenate(x), np.concatenate(y))
+                x, y, pending = [], [], 0
+        if sum(map(len, x)):
+            yield _forest(label, np.concatenate(x), np.concatenate(y))
 
-    @staticmethod
-    def _forest(found: list[tuple], a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        x = np.concatenate([a, *(p[0] for p in found)])
-        y = np.concatenate([b, *(p[1] for p in found)])
-        root = roots(x, y, n)
-        leaf = np.flatnonzero(root != np.arange(n))
-        return leaf, root[leaf]
+
+def near_groups(distinct: DataFrame, masks: list[tuple], most_differing: int, words: int, least: float | None = None, first: int = 12) -> DataFrame:
+    """(node, component_id) of the fingerprints linked by near_links, also through others; those without a link are left out.
+
+    Many masks are taken in two steps: what the first ones have linked is labelled, and the others only link labels. So a large group of near copies
+    doesn't give a link for each row and mask.
+    """
+    member = None
+    for part in [masks] if len(masks) <= 2 * first else [masks[:first], masks[first:]]:
+        rows, known = distinct, None
+        if member is not None:
+            known = member.select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+            rows = stored(distinct.join(member, F.col("id") == F.col("node"), "left").select(*distinct.columns, F.coalesce("component_id", "id").alias("label")), "fingerprints-labelled")
+        links = near_links(rows, part, most_differing, words, least)
+        member = components(links if known is None else links.unionAll(known))
+    return member
 
 
 def _signed(x: int) -> int:
@@ -272,7 +426,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, most_differing: int = 4, se
     distinct = stored(base.groupBy(*names).agg(F.min("doc_id").alias("id")), "fingerprints-distinct")
     known = distinct.where("id is not null")
     masks = masks or pigeonhole_masks(most_differing, known.count())
-    member = components(near_links(known, masks, most_differing, words))
+    member = near_groups(known, masks, most_differing, words)
     labelled = distinct.join(member, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("component_id", "id").alias("component_id"))
     return base.join(labelled, names).select("doc_id", *names, "component_id")
 
@@ -296,8 +450,8 @@ def shingle_sets(docs: DataFrame, width: int, seeds: tuple[int, ...]) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(work, "doc_id long, h long, s long, n int, " + ", ".join(f"{x} long" for x in names))
 
 
-def alike(values: np.ndarray, own: np.ndarray, side: np.ndarray, least: float, columns: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets of the two sides (of one, if only one is there) with a Jaccard similarity of at least least.
+def alike(values: np.ndarray, own: np.ndarray, side: np.ndarray, least: float, columns: int = 2048) -> np.ndarray:
+    """Which sets of side 0 have a Jaccard similarity of at least least with which of side 1, as a boolean matrix.
 
     Set own[k] has values[k], each once. The intersections of all pairs are counted by products of membership matrices.
     """
@@ -309,83 +463,39 @@ def alike(values: np.ndarray, own: np.ndarray, side: np.ndarray, least: float, c
     shared = np.repeat(times > 1, times)
     column = np.repeat(np.cumsum(times > 1) - 1, times)[shared]
     own = own[shared]
-    one = np.flatnonzero(side == side.min())
-    two = np.flatnonzero(side != side.min())
-    same = not len(two)
-    two = one if same else two
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     place = np.zeros(len(side), np.int64)
-    place[two] = np.arange(len(two))
-    place[one] = np.arange(len(one))
-    first = side[own] == side.min()
+    place[one], place[two] = np.arange(len(one)), np.arange(len(two))
+    first = side[own] == 0
     both = np.zeros((len(one), len(two)), np.float32)
     for c in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
         lo, hi = np.searchsorted(column, (c, c + columns))
         width = int(column[hi - 1]) - c + 1
         at, left = column[lo:hi] - c, first[lo:hi]
-        a = np.zeros((len(one), width), np.float32)
+        a, b = np.zeros((len(one), width), np.float32), np.zeros((len(two), width), np.float32)
         a[place[own[lo:hi][left]], at[left]] = 1
-        b = a
-        if not same:
-            b = np.zeros((len(two), width), np.float32)
-            b[place[own[lo:hi][~left]], at[~left]] = 1
+        b[place[own[lo:hi][~left]], at[~left]] = 1
         both += a @ b.T
-    fit = both >= least * (size[one][:, None] + size[two][None, :] - both) - 1e-4
-    if same:
-        fit = np.triu(fit, 1)
-    x, y = np.nonzero(fit)
-    return one[x], two[y]
+    return both >= least * (size[one][:, None] + size[two][None, :] - both) - 1e-4
 
 
-class BlockCompare:
-    """Takes rows (cell, side, s, hashes) sorted by cell; gives a spanning forest (a, b) of the alike pairs of each cell."""
+class BlockCompare(ByCell):
+    """Links of the alike sets (hashes) of two blocks of a group."""
 
     def __init__(self, least: float):
         self.least = least
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            cell = batch.column(0).to_numpy()
-            if not len(cell):
-                continue
-            if held and cell[0] != last:
-                yield from self.cells(pa.Table.from_batches(held))
-                held = []
-            cut = int(np.searchsorted(cell, cell[-1]))
-            if cut:  # the last cell may go on in the next batch
-                yield from self.cells(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-            last = cell[-1]
-        if held:
-            yield from self.cells(pa.Table.from_batches(held))
-
-    def cells(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = table.combine_chunks()
-        cell, side, s = (table.column(k).to_numpy() for k in ("cell", "side", "s"))
-        hashes = table.column("hashes").chunk(0)
-        values, ends = hashes.flatten().to_numpy(), np.r_[0, np.cumsum(hashes.value_lengths().to_numpy())]
-        edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
-        a, b = [], []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if hi - lo < 2:
-                continue
-            own = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
-            x, y = alike(values[ends[lo] : ends[hi]], own, side[lo:hi], self.least)
-            root = roots(x, y, hi - lo)
-            leaf = np.flatnonzero(root != np.arange(hi - lo))
-            a.append(s[lo + leaf])
-            b.append(s[lo + root[leaf]])
-        if sum(map(len, a)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+    def linked(self, table: pa.Table, lo: int, half: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        hashes = table.column("hashes").chunk(0).slice(lo, hi - lo)
+        own = np.repeat(np.arange(hi - lo), hashes.value_lengths().to_numpy())
+        r, c = joined(alike(hashes.flatten().to_numpy(), own, table.column("side").to_numpy()[lo:hi], self.least))
+        return r + lo, c + half
 
 
-def alike_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, width: int, seed: int, least: float, texts: int = 1024, shingles: int = 200_000) -> DataFrame:
+def alike_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, width: int, seed: int, least: float, shingles: int = 200_000) -> DataFrame:
     """Links (a, b) between the sets s of distinct whose texts have a Jaccard similarity of at least least, exactly.
 
-    candidates (node, component_id) are groups of sets; every pair in a group is compared, or linked by others. A group
-    is dealt into blocks of about so many texts and shingles at most, and each pair of blocks is compared in a cell of its own.
+    candidates (node, component_id) are groups of sets; what all pairs of a group would link is linked (grouped_links).
     distinct has for each s the row (first: doc_id and h) whose text stands for it.
     """
 
@@ -394,25 +504,22 @@ def alike_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, wid
             sets = [np.unique(shingle_hashes(x.as_py(), width, (seed,))[:, 0]).astype(np.int64) for x in batch.column(0)]
             ends = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], ["s", "component_id", "blocks", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), lists], ["g", "id", "hashes"])
 
-    member = candidates.join(distinct, F.col("node") == F.col("s"))
-    sizes = member.groupBy(F.col("component_id").alias("_c")).agg(F.greatest(F.ceil(F.sum("n") / shingles), F.ceil(F.count("*") / texts)).cast("int").alias("blocks"))
-    member = stored(member.join(sizes, F.col("component_id") == F.col("_c")).select("s", "component_id", "blocks", F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")), "near-candidates")
+    member = stored(candidates.join(distinct, F.col("node") == F.col("s")).select("s", "component_id", F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")), "near-candidates")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    rows = own.join(member, own["doc_id"].eqNullSafe(member["_id"]) & (own["h"] == member["_h"])).select("text", "s", "component_id", "blocks")
-    sets = rows.mapInArrow(work, "s long, component_id long, blocks int, hashes array<long>")
-    block = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("_own", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select(F.xxhash64("component_id", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("cell"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), "s", "hashes")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(BlockCompare(least), "a long, b long")
+    rows = own.join(member, own["doc_id"].eqNullSafe(member["_id"]) & (own["h"] == member["_h"])).select("text", "component_id", "s")
+    sets = rows.mapInArrow(work, "g long, id long, hashes array<long>").select("g", "id", F.col("id").alias("k"), F.greatest(F.size("hashes"), F.lit(shingles // 1024)).alias("w"), "hashes")
+    n, m, shared = F.size("hashes"), F.size("_hashes"), F.size(F.array_intersect("hashes", "_hashes"))
+    near = (F.least(n, m) >= F.greatest(n, m) * F.lit(least) - 1e-6) & (shared >= (n + m - shared) * F.lit(least) - 1e-6)
+    return grouped_links(stored(sets, "near-sets"), near, BlockCompare(least), shingles)
 
 
-def near_copies(docs: DataFrame, width: int, least: float, most_differing: int, seeds: tuple[int, ...], masks: list[tuple]) -> DataFrame:
+def near_copies(docs: DataFrame, width: int, least: float, most_differing: int, seeds: tuple[int, ...]) -> DataFrame:
     """doc_id and h (xxhash64 of the text) of the rows that are a near copy of another row which stays.
 
     Two texts are near copies if the sets of their word shingles have a Jaccard similarity of at least least. The index of
-    SimHash fingerprints only finds groups of candidates; all links are checked exactly. Of each group of rows
+    SimHash fingerprints only finds groups of candidates (see mask_plan); all links are checked exactly. Of each group of rows
     linked, also through others, the one with the smallest doc_id (then h; null ids last) stays. Texts without
     a word are equal. No two rows may have both doc_id and text equal.
     """
@@ -420,9 +527,11 @@ def near_copies(docs: DataFrame, width: int, least: float, most_differing: int,
     base = stored(shingle_sets(docs, width, seeds), "shingle-sets")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     distinct = stored(base.groupBy("s").agg(F.min(row).alias("first"), *(F.min(x).alias(x) for x in ("n", *names))), "shingle-sets-distinct")
-    links = near_links(distinct.withColumnRenamed("s", "id"), masks, most_differing, len(seeds), least)
-    member = components(alike_links(docs, distinct, components(links), width, seeds[0], least))
+    differing = 64 * len(seeds) * acos(2 * least / (1 + least)) / pi  # of sets of equal size with just this similarity
+    masks = mask_plan(distinct.count(), len(seeds), differing)
+    groups = near_groups(distinct.select(F.col("s").alias("id"), *names, "n"), masks, most_differing, len(seeds), least)
+    member = components(alike_links(docs, distinct, groups, width, seeds[0], least))
     labelled = distinct.join(member, F.col("s") == F.col("node"), "left").select("s", "first", F.coalesce("component_id", "s").alias("c"))
     stays = labelled.groupBy(F.col("c").alias("_c")).agg(F.min("first").alias("stays"))
-    labelled = labelled.join(stays, F.col("c") == F.col("_c")).select(F.col("s").alias("_s"), "stays")
+    labelled = stored(labelled.join(stays, F.col("c") == F.col("_c")).select(F.col("s").alias("_s"), "stays"), "shingle-sets-stay")
     return base.join(labelled, F.col("s") == F.col("_s")).where(row != F.col("stays")).select("doc_id", "h")

@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cadenza.llm import simhash
 
@@ -86,3 +87,128 @@ def test_long_chains_are_one_component(spark):
     links = [(k, k + 1) for k in range(1000, 1090)] + [(5, 1040), (7, 8), (8, 7), (9, 9), (None, 1)]
     got = {r["node"]: r["component_id"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 5 for k in [5, *range(1000, 1091)]} | {7: 7, 8: 7}
+
+
+def test_a_node_of_many_rows_is_dealt_out(spark):
+    """Chains, dense clusters and strangers of one node, by both ways, against all pairs."""
+    rng = np.random.default_rng(9)
+    rows = [int(x) for x in rng.integers(0, 1 << 40, 30)]
+    for k in range(6):  # a dense cluster and a chain of steps of 4 bits
+        base = int(rng.integers(0, 1 << 40))
+        rows += [base ^ (1 << int(b)) for b in rng.permutation(40)[:25]]
+        for _ in range(25):
+            base ^= sum(1 << int(b) for b in rng.permutation(40)[:4])
+            rows.append(base)
+    rows = sorted(set(rows))
+    rng.shuffle(rows)
+    prints = list(enumerate(rows))
+    df = spark.createDataFrame(prints, "id long, f0 long")
+    want = brute_components(prints, 4)
+    for node_rows in (4096, 40):
+        links = simhash.near_links(df, [(1 << 63,)], 4, 1, node_rows=node_rows)
+        from cadenza.llm.common import components
+
+        got = {r["node"]: r["component_id"] for r in components(links).collect()}
+        assert {i: got.get(i, i) for i in want} == want
+    labelled = df.selectExpr("*", "cast(if(id < 150, 0, id) as long) as label")
+    known = labelled.selectExpr("id as a", "label as b")
+    for node_rows in (4096, 40):
+        got = {r["node"]: r["component_id"] for r in components(simhash.near_links(labelled, [(1 << 63,)], 4, 1, node_rows=node_rows).unionAll(known)).collect()}
+        joined = brute_components(prints + [], 4)
+        low = {joined[i] for i in range(150)}
+        assert {i: got.get(i, i) for i in want} == {i: 0 if c in low else c for i, c in joined.items()}
+
+
+def test_a_full_node_ends_soon():
+    """16,000 mutually near fingerprints of 128 bits: two blocks of a node are compared in seconds."""
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    f = np.zeros((4096, 2), np.uint64)
+    for k in range(len(f)):
+        for b in rng.integers(0, 128, 8):
+            f[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    key = np.arange(len(f))
+    table = pa.table({"cell": np.zeros(len(f), np.int64), "side": (key >= 2048).astype(np.int32), "k": key, "f0": f[:, 0].view(np.int64), "f1": f[:, 1].view(np.int64)})
+    began = time.time()
+    out = list(simhash.CellCompare(2, 24, None)(table.to_batches()))
+    assert sum(map(len, out)) == len(f) - 1 and time.time() - began < 10
+    node = pa.table({"id": key, "label": key, "f0": f[:, 0].view(np.int64), "f1": f[:, 1].view(np.int64), "node": np.zeros(len(f), np.int64)})
+    out = list(simhash.NodeWalk(2, 24)(node.to_batches()))
+    assert sum(map(len, out)) == len(f) - 1 and time.time() - began < 20
+    out = list(simhash.NodeWalk(2, 24, rows=1000, node_rows=500)(node.to_batches(max_chunksize=300)))
+    assert [(x.column(0).to_pylist(), x.column(1).to_pylist()) for x in out] == [([0], [None])]
+
+
+def near_pair(rnd, words, shared):
+    """Two texts of which so many words are one run and the rest differ: the Jaccard similarity of the five-word shingles is known."""
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    a = [word() for _ in range(words)]
+    return " ".join(a), " ".join([*a[:shared], *(word() for _ in range(words - shared))])
+
+
+def test_planted_pairs(spark):
+    """Of pairs at a similarity of just over 0.8 nearly all lose one text, of those below none."""
+    import random
+
+    rnd = random.Random(4)
+    words = 404
+    plan = {0.8: 360, 0.78: 354, 0.7: 334, 0.6: 304}  # run of s words: s - 4 shingles of 400 shared
+    rows, kind = [], {}
+    for j, s in plan.items():
+        assert (j >= 0.8) == ((s - 4) * 5 >= (800 - s + 4) * 4)
+        for _ in range(200):
+            for text in near_pair(rnd, words, s):
+                kind[len(rows)] = j
+                rows.append((len(rows), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = [r["doc_id"] for r in simhash.near_copies(docs, 5, 0.8, 34, (42, 43)).collect()]
+    assert all(i % 2 == 1 for i in gone)
+    lost = {j: sum(kind[i] == j for i in gone) for j in plan}
+    assert lost[0.8] >= 194 and lost[0.78] == lost[0.7] == lost[0.6] == 0, lost
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Texts like a common one, not all like each other, beside a chain of edits and strangers, against all pairs."""
+    import random
+
+    rnd = random.Random(8)
+    base = [f"b{k}" for k in range(120)]
+    texts = [" ".join(base)]
+    for k in range(150):
+        edited = list(base)
+        for at in rnd.sample(range(120), 1):
+            edited[at] = f"x{k}"
+        cut = rnd.randrange(12)
+        texts.append(" ".join(edited[cut:] if k % 2 else edited[: 120 - cut]))
+    step = [f"c{k}" for k in range(100)]
+    for k in range(40):
+        step = [*step[4:], *(f"d{k}_{i}" for i in range(4))]
+        texts.append(" ".join(step))
+    rows = list(enumerate(texts))
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n * 5 >= (len(sets[a]) + len(sets[b]) - n) * 4:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    distinct = spark.createDataFrame([(k, (False, k, None), len(s)) for k, s in enumerate(sets)], "s long, first struct<none:boolean,doc_id:long,h:long>, n int")
+    distinct = distinct.join(docs.selectExpr("doc_id as _d", "xxhash64(text) as _h"), distinct["s"] == F.col("_d")).select("s", F.struct(F.lit(False).alias("none"), F.col("s").alias("doc_id"), F.col("_h").alias("h")).alias("first"), "n")
+    group = docs.selectExpr("doc_id as node", "0L as component_id")
+    from cadenza.llm.common import components
+
+    for shingles in (200_000, 4000):
+        links = simhash.alike_links(docs, distinct, group, 5, 42, 0.8, shingles=shingles)
+        got = {r["node"]: r["component_id"] for r in components(links).collect()}
+        assert {k: got.get(k, k) for k in range(len(rows))} == {k: find(k) for k in range(len(rows))}
