@@ -17,7 +17,6 @@ from cadenza.llm.queries import PII_KEY, tokenizer_file
 #: Near copies share 0.8 of the five-word shingles of both. Their 128-bit SimHash differs in about 19 bits then (acos(2 * 0.8 / 1.8)),
 #: that of unrelated texts in about 64; the index takes what differs in up to 34 as candidates.
 NEAR_LEAST, NEAR_SEEDS, NEAR_BITS = 0.8, (42, 43), 34
-NEAR_MASKS = simhash.random_masks(words=2, bits=14, count=80)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if not again.isEmpty():
         own = key == F.col("_again")
         docs = stored(docs.join(again, own, "left_anti").unionByName(docs.join(again, own, "left_semi").dropDuplicates(["doc_id", "text"])), "documents-once")
-    found = simhash.near_copies(docs, 5, NEAR_LEAST, NEAR_BITS, NEAR_SEEDS, NEAR_MASKS)
+    found = simhash.near_copies(docs, 5, NEAR_LEAST, NEAR_BITS, NEAR_SEEDS)
     gone = stored(found.select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")), "near-copies")
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_h"]), "left_anti")
 
