@@ -7,13 +7,15 @@ from math import gcd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cadenza.functions.bind import let
+
 #: name: (frames a second as counted, exact rate, frames dropped a minute when drop-frame)
 RATES = {"movie": (24, (24, 1), 0), "pal": (25, (25, 1), 0), "ntsc": (30, (30000, 1001), 2), "pal_50": (50, (50, 1), 0), "ntsc_60": (60, (60000, 1001), 4)}
 
 
-def _div(a: Column, b: int) -> Column:
+def _div(a: Column, b: int | Column) -> Column:
     """Integer quotient of a column that is not negative."""
-    return ((a - a % b) / b).cast("long")
+    return F.call_function("div", a, F.lit(b).cast("long"))
 
 
 def to_timecode(frame: Column, rate: str, drop: bool = False) -> dict[str, Column]:
@@ -49,24 +51,49 @@ def seconds(frame: Column, fps: tuple[int, int]) -> dict[str, Column]:
     return {"num": frame.cast("long") * fps[1], "den": F.lit(fps[0]).cast("long")}
 
 
-def time_add(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
-    return a[0] * b[1] + b[0] * a[1], a[1] * b[1]
+def common_divisor(a: Column, b: Column) -> Column:
+    """The greatest common divisor of two longs by Euclid's steps, which are at most 92 for them; 1 of zeros."""
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.nullif(s["b"], F.lit(0).cast("long"))).alias("b")))
+    start = F.struct(F.abs(a).cast("long").alias("a"), F.abs(b).cast("long").alias("b"))
+    return F.greatest(F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["a"]), F.lit(1).cast("long"))
+
+
+def reduced(num: Column, den: Column) -> tuple[Column, Column]:
+    """An exact time in lowest terms, its denominator positive; a null where the denominator is zero."""
+    num, den = (x.cast("decimal(38,0)") for x in (num, den))
+    fits = F.greatest(F.abs(num), F.abs(den)) <= F.lit((1 << 63) - 1).cast("decimal(38,0)")
+    n, d = F.when(fits, num).cast("long"), F.when(fits & (den != 0), den).cast("long")
+    sign = F.when(d < 0, -1).otherwise(1)
+    both = let(F.struct(n.alias("n"), d.alias("d"), sign.cast("long").alias("s")), lambda x: let(common_divisor(x["n"], x["d"]), lambda k: F.struct(_div(F.abs(x["n"]), k).alias("n"), _div(F.abs(x["d"]), k).alias("d"), (F.signum(x["n"].cast("double")) * x["s"]).cast("long").alias("s"))))
+    return F.when(d.isNotNull(), both["n"] * both["s"]), both["d"]
+
+
+Time = tuple[Column, Column]
+
+
+def _times(a: Column, b: Column) -> Column:
+    return a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+
+
+def time_add(a: Time, b: Time) -> Time:
+    return reduced(_times(a[0], b[1]) + _times(b[0], a[1]), _times(a[1], b[1]))
 
 
-def time_sub(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
-    return a[0] * b[1] - b[0] * a[1], a[1] * b[1]
+def time_sub(a: Time, b: Time) -> Time:
+    return reduced(_times(a[0], b[1]) - _times(b[0], a[1]), _times(a[1], b[1]))
 
 
-def time_mul(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
-    return a[0] * b[0], a[1] * b[1]
+def time_mul(a: Time, b: Time) -> Time:
+    return reduced(_times(a[0], b[0]), _times(a[1], b[1]))
 
 
-def time_div(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
-    return a[0] * b[1], a[1] * b[0]
+def time_div(a: Time, b: Time) -> Time:
+    return reduced(_times(a[0], b[1]), _times(a[1], b[0]))
 
 
-def time_less(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
-    return a[0] * b[1] < b[0] * a[1]
+def time_less(a: Time, b: Time) -> Column:
+    """Of times with positive denominators."""
+    return _times(a[0], b[1]) < _times(b[0], a[1])
 
 
 #: Samples a frame at 48 kHz where they follow a fixed cycle.

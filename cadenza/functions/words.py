@@ -40,6 +40,22 @@ def mod(a: Column, b: Column) -> Column:
     return F.when(_d(b) == 0, float("nan")).otherwise(_d(a) % F.nullif(_d(b), F.lit(0.0)))
 
 
+def absolute(a: Column) -> Column:
+    return F.abs(_d(a))
+
+
+def sin(a: Column) -> Column:
+    return F.sin(_d(a))
+
+
+def cos(a: Column) -> Column:
+    return F.cos(_d(a))
+
+
+def tan(a: Column) -> Column:
+    return F.tan(_d(a))
+
+
 def floor(a: Column) -> Column:
     return _d(F.floor(_d(a)))
 

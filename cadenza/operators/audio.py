@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.bind import let
-from cadenza.functions.timecode import frame_of_sample, samples_for_frame, samples_to_frame
+from cadenza.functions.timecode import CYCLES, frame_of_sample, samples_to_frame
 
 #: pcm24 is kept in 32 bits.
 LARGEST = {"pcm16": (1 << 15) - 1, "pcm24": (1 << 31) - 1, "pcm32": (1 << 31) - 1, "float": 1.0}
@@ -131,10 +131,28 @@ def channel_mixer(a: Column, b: Column, volumes: list[float], channels: int, low
     return let(pitch(b, F.floor(F.size(a) / channels).cast("int")), added)
 
 
-def locked(df: DataFrame, column: str, frequency: int, fps: tuple[int, int], profile: str, channels: int = 1) -> DataFrame:
-    """Every block brought to the number of samples that the profile's fixed cadence has at its position."""
-    n = samples_for_frame(F.col("position"), frequency, fps, profile).cast("int")
-    return df.withColumn(column, F.when(F.floor(F.size(column) / channels) == n, F.col(column).cast("array<double>")).otherwise(pitch(F.col(column), n, channels)))
+def locked(df: DataFrame, column: str, fps: tuple[int, int], profile: str = "dv", channels: int = 1, frequency: int = 48000) -> DataFrame:
+    """Blocks brought to the fixed cadence of a profile (dv, imx), cycle by cycle.
+
+    A cycle whose blocks have as many samples as the cadence is cut anew at its places; in any other each block
+    is brought to its number of samples. Rates or frequencies without a cadence, and null audio, stay as they are.
+    """
+    cycle = CYCLES.get(({"imx": "mpeg"}.get(profile, profile), *fps)) if frequency == 48000 else None
+    if not cycle or len(cycle) == 1:
+        return df
+    k = len(cycle)
+    sizes = F.array(*map(F.lit, cycle))
+    starts = F.array(*(F.lit(sum(cycle[:i])) for i in range(k)))
+    block = F.col(column).cast("array<double>")
+    groups = df.groupBy(F.expr(f"position div {k}").alias("_g")).agg(F.sort_array(F.collect_list(F.struct("position", block.alias("x")))).alias("_rows"))
+    whole = F.flatten(F.transform(F.col("_rows"), lambda r: F.coalesce(r["x"], F.array().cast("array<double>"))))
+    cut = groups.select(F.explode("_rows").alias("_r"), F.when((F.size(whole) == sum(cycle) * channels) & (F.size("_rows") == k), whole).alias("_whole"))
+    at = (F.col("_r.position") % k).cast("int")
+    n, start = F.get(sizes, at), F.get(starts, at)
+    x = F.col("_r.x")
+    new = F.when(F.col("_whole").isNotNull(), F.slice("_whole", start * channels + 1, n * channels)).when(F.size(x) == n * channels, x).otherwise(pitch(x, n, channels))
+    made = cut.select(F.col("_r.position").alias("position"), F.when(x.isNotNull(), new).alias(column))
+    return df.drop(column).join(made, "position") if len(df.columns) > 2 else made
 
 
 def volume(samples: Column, start: float, end: float, channels: int = 1, low: float = -1.0, high: float = 1.0) -> Column:
@@ -186,13 +204,15 @@ def convert(samples: Column, src: str, dst: str) -> Column:
 
 
 def lowpass(df: DataFrame, column: str, mag: int = 14, channels: int = 1, block: int | None = None) -> DataFrame:
-    """0.625 * (x + 0.8 * the sample mag before), over the whole stream: the delay goes on across frames.
+    """0.625 * (x + 0.8 * the sample mag before), over the whole stream: the delay goes on across frames. mag 1 or less: unchanged.
 
     Frames have block sample frames each. A frame needs only the end of the ones before it, which an
     equi-join brings; no window over all frames.
     """
     from cadenza.operators.windows import lagged
 
+    if mag <= 1:
+        return df
     if not block:
         raise ValueError("the number of sample frames in a block is needed")
     back = -(-mag // block)
@@ -208,15 +228,24 @@ def lowpass(df: DataFrame, column: str, mag: int = 14, channels: int = 1, block:
 
 
 def reseat(df: DataFrame, column: str, block: int, frequency: int, fps: tuple[int, int], length: int) -> DataFrame:
-    """Blocks of a fixed size cut anew at the frame starts of a cadence; the last is padded with zeros.
+    """Blocks of a fixed size cut anew at the frame starts of a cadence; the last is padded with zeros."""
+    return recut(df, column, F.col("position") * block, frequency, fps)
+
+
+def recut(df: DataFrame, column: str, start: Column, frequency: int, fps: tuple[int, int], channels: int = 1) -> DataFrame:
+    """Blocks that begin at the sample start, cut anew at the frame starts of a cadence: position and column. A frame's missing end is zeros.
 
-    Samples are numbered from their block's position, sent to the frame that holds them, and gathered.
+    Each block is sliced into the frames that it touches, mostly one or two, and the slices are gathered by frame.
     """
-    sample = F.col("position") * block + F.col("i")
-    rows = df.select("position", F.posexplode(column).alias("i", "x")).select(sample.alias("sample"), F.col("x").cast("double").alias("x"))
-    framed = rows.withColumn("frame", frame_of_sample(F.col("sample"), frequency, fps))
-    got = framed.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("sample", "x"))).alias("s"))
-    n = samples_to_frame(F.col("frame") + 1, frequency, fps) - samples_to_frame(F.col("frame"), frequency, fps)
-    data = F.transform("s", lambda v: v["x"])
-    padded = F.concat(data, F.array_repeat(F.lit(0.0), F.greatest((n - F.size("s")).cast("int"), F.lit(0))))
+    size = F.floor(F.size(column) / channels).cast("long")
+    rows = df.select(start.cast("long").alias("_s"), size.alias("_n"), F.col(column).cast("array<double>").alias("_x")).where("_n > 0")
+    lo, hi = (frame_of_sample(x, frequency, fps) for x in (F.col("_s"), F.col("_s") + F.col("_n") - 1))
+    parts = rows.withColumn("frame", F.explode(F.sequence(lo, hi)))
+    a = F.greatest(F.col("_s"), samples_to_frame(F.col("frame"), frequency, fps))
+    b = F.least(F.col("_s") + F.col("_n"), samples_to_frame(F.col("frame") + 1, frequency, fps))
+    piece = F.slice("_x", ((a - F.col("_s")) * channels + 1).cast("int"), ((b - a) * channels).cast("int"))
+    got = parts.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct(a.alias("a"), piece.alias("x")))).alias("s"))
+    n = (samples_to_frame(F.col("frame") + 1, frequency, fps) - samples_to_frame(F.col("frame"), frequency, fps)) * channels
+    data = F.flatten(F.transform("s", lambda v: v["x"]))
+    padded = F.concat(data, F.array_repeat(F.lit(0.0), F.greatest((n - F.size(data)).cast("int"), F.lit(0))))
     return got.select(F.col("frame").alias("position"), padded.alias(column))

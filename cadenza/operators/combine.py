@@ -14,8 +14,8 @@ def _pos() -> Column:
 def muxer(video: Clip, audio: Clip, use_longest: bool = True) -> Clip:
     """Columns of both clips at equal positions.
 
-    With use_longest the shorter one's last row goes on; it is exploded over the rest, so the join
-    keys stay unique. If one clip is empty, the other's rows with nulls.
+    With use_longest the shorter one's last row goes on: that one row is joined to the range of the positions left, so
+    no row or task makes them all. If one clip is empty, the other's rows with nulls.
     """
     if not video.length or not audio.length:
         use_longest = True
@@ -24,13 +24,18 @@ def muxer(video: Clip, audio: Clip, use_longest: bool = True) -> Clip:
     def stretched(c: Clip) -> DataFrame:
         if not use_longest or c.length in (0, n):
             return c.df.where(_pos() < n)
-        at = F.when(_pos() == c.length - 1, F.sequence(F.lit(c.length - 1), F.lit(n - 1))).otherwise(F.array(_pos().cast("int")))
-        return c.df.withColumn("_at", F.explode(at)).drop("position").withColumn("position", F.col("_at").cast("long")).drop("_at")
+        return c.df.unionByName(held_on(c.df, c.length - 1, c.length, n))
 
     kind = "full" if not video.length or not audio.length else "inner"
     return video.with_df(stretched(video).join(stretched(audio), "position", kind), n)
 
 
+def held_on(df: DataFrame, source: int, first: int, end: int) -> DataFrame:
+    """The row at position source, again at every position from first to before end."""
+    row = df.where(_pos() == source).drop("position")
+    return df.sparkSession.range(first, end).withColumnRenamed("id", "position").crossJoin(F.broadcast(row)).select(*df.columns)  # one row
+
+
 def active(background: DataFrame, overlays: DataFrame, bucket: int = 1024) -> DataFrame:
     """Each background row with each overlay (slot, z, start, duration, ...) whose [start, start+duration) has it.
 
@@ -60,6 +65,24 @@ def visible(joined: DataFrame, covers: Column) -> DataFrame:
     return joined.withColumn("_top", top).where(F.col("_top").isNull() | (order >= F.col("_top"))).drop("_top")
 
 
+def conform_audio(df: DataFrame, column: str, channels: int, to_channels: int, samples: int) -> DataFrame:
+    """Blocks brought to a number of sample frames and channels; null audio becomes silence."""
+    from cadenza.operators.audio import channel_convert, pitch
+
+    silent = F.array_repeat(F.lit(0.0), samples * to_channels)
+    x = F.col(column).cast("array<double>")
+    sized = F.when(F.size(x) == samples * channels, x).otherwise(pitch(x, samples, channels))
+    return df.withColumn(column, F.when(x.isNotNull(), channel_convert(sized, channels, to_channels)).otherwise(silent))
+
+
+def events_at(df: DataFrame, in_points: list[int]) -> DataFrame:
+    """df with event: how many of the sorted in-points have begun at the position; event_start: the latest one (null before the first)."""
+    points = sorted(set(in_points))
+    at = F.array(*(F.lit(p).cast("long") for p in points)) if points else F.array().cast("array<bigint>")
+    begun = F.filter(at, lambda p: p <= _pos())
+    return df.withColumns({"event": F.size(begun), "event_start": F.when(F.size(begun) > 0, F.element_at(begun, -1))})
+
+
 def conform(df: DataFrame, defaults: dict[str, object], drop: list[str] | None = None) -> DataFrame:
     """Null components get their default; those to drop become null."""
     for name, value in defaults.items():
@@ -104,24 +127,39 @@ def montage_sheet(c: Clip, column: str, step: int = 1, orient: int = 2) -> DataF
     return c.df.where(_pos() % step == 0).select(cell.alias("cell"), (cell % cols).alias("col"), F.expr(f"cast(position div {step} as bigint) div {cols}").alias("row"), column)
 
 
-def tee(df: DataFrame, *sinks) -> DataFrame:
-    """df for the caller and, cached once, for each sink (a function of a DataFrame)."""
-    kept = df.persist()
+def tee(df: DataFrame, path: str, *sinks) -> DataFrame:
+    """df for the caller and for each sink (a function of a DataFrame): computed once, into a table at path."""
+    df.write.mode("overwrite").parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
     for sink in sinks:
         sink(kept)
     return kept
 
 
-fork = tee
+def fork(df: DataFrame, path: str, *branches) -> list[DataFrame]:
+    """What each branch (a function of a DataFrame) makes of df, which is computed once, into a table at path."""
+    kept = tee(df, path)
+    return [branch(kept) for branch in branches]
 
 
 def voodoo(c: Clip, video_op, audio_op, video_cols: list[str], audio_cols: list[str]) -> Clip:
-    """Two column sets of a clip processed apart and joined again by position."""
+    """Two column sets of a clip processed apart and joined again by position.
+
+    For operators that only change columns in place, of_columns does the same without a join.
+    """
     video = video_op(c.with_df(c.df.select("position", *video_cols)))
     audio = audio_op(c.with_df(c.df.select("position", *audio_cols)))
     return muxer(video, audio)
 
 
+def of_columns(c: Clip, *ops) -> Clip:
+    """Operators that keep positions (functions of a DataFrame), one after another on the same rows."""
+    df = c.df
+    for op in ops:
+        df = op(df)
+    return c.with_df(df)
+
+
 def key_frame_of(positions: DataFrame, index: DataFrame, bucket: int = 1 << 16) -> DataFrame:
     """positions with key_frame: the greatest indexed frame at or before, else the first one, else -1."""
     from cadenza.operators.windows import last_seen
@@ -138,7 +176,17 @@ def available_frames(index: DataFrame, size: int, finished: bool = False) -> Dat
 
     The last item wholly inside tells; a finished file of at least its indexed size has all of them.
     """
+    return index.agg(_available(size, finished).alias("frames"))
+
+
+def available_at(index: DataFrame, sizes: list[int]) -> DataFrame:
+    """size and frames for each of some sizes, in one pass over the index."""
+    made = index.agg(F.array(*(F.struct(F.lit(n).cast("long").alias("size"), _available(n).cast("long").alias("frames")) for n in sizes)).alias("all"))
+    return made.select(F.inline("all"))
+
+
+def _available(size: int, finished: bool = False) -> Column:
     end = F.col("offset") + F.col("length")
     inside = F.max(F.when(end <= size, F.struct("offset", (F.col("frame") + F.col("frames")).alias("n"))))
     whole = F.max(F.col("frame") + F.col("frames"))
-    return index.agg(F.when(F.lit(finished) & (F.max(end) <= size), whole).otherwise(F.coalesce(inside["n"], F.lit(0))).alias("frames"))
+    return F.when(F.lit(finished) & (F.max(end) <= size), whole).otherwise(F.coalesce(inside["n"], F.lit(0)))

@@ -1,7 +1,7 @@
 """Planar image operators.
 
 An image is a struct of pf, width, height and planes (array of binary, 8 bits a sample). Kernels work on
-Arrow batches; what needs no neighbour pixels and is small (geometry, masks of lists) is in payload.py.
+Arrow batches, on all images of a batch that have one form at once (planes of shape images x lines x samples); what needs no neighbour pixels and is small (geometry, masks of lists) is in payload.py.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 IMAGE = "struct<pf:string,width:int,height:int,planes:array<binary>>"
 #: Horizontal and vertical division of the chroma planes.
-CHROMA = {"yuv420p": (2, 2), "yuv422p": (2, 1), "yuv444p": (1, 1), "grey8": None, "rgb24p": (1, 1)}
+CHROMA = {"yuv420p": (2, 2), "yuv422p": (2, 1), "yuv444p": (1, 1), "yuva444p": (1, 1), "grey8": None, "rgb24p": (1, 1)}
 
 Planes = list[np.ndarray]
 
@@ -24,32 +24,46 @@ def plane_shapes(pf: str, width: int, height: int) -> list[tuple[int, int]]:
     div = CHROMA[pf]
     if div is None:
         return [(height, width)]
-    return [(height, width)] + [(-(-height // div[1]), -(-width // div[0]))] * 2
+    return [(height, width)] + [(-(-height // div[1]), -(-width // div[0]))] * 2 + [(height, width)] * (pf == "yuva444p")
 
 
 def apply(df: DataFrame, column: str, kernel: Callable[[Planes, str], tuple[Planes, str]]) -> DataFrame:
     """kernel(planes, pf) -> (planes, pf) on every image of a column; null images stay null."""
 
-    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            out = []
-            for pf, w, h, planes in frame.itertuples(index=False):
-                if planes is None:
-                    out.append((None, None, None, None))
-                    continue
-                got, pf = kernel([np.frombuffer(p, np.uint8).reshape(s) for p, s in zip(planes, plane_shapes(pf, int(w), int(h)), strict=False)], pf)
-                out.append((pf, got[0].shape[1], got[0].shape[0], [np.ascontiguousarray(p, np.uint8).tobytes() for p in got]))
-            yield pd.DataFrame(out, columns=["pf", "width", "height", "planes"])
+            yield _stacked(frame.reset_index(drop=True), lambda f: kernel(planes_of(f), f["pf"].iloc[0]))
 
-    return df.withColumn(column, F.when(F.col(column).isNotNull(), F.pandas_udf(_typed(work), IMAGE)(column)))
+    work.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    return df.withColumn(column, F.when(F.col(column).isNotNull(), F.pandas_udf(work, IMAGE)(column)))
 
 
-def _typed(work):
-    def images(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from work(batches)
+def planes_of(frame: pd.DataFrame) -> Planes:
+    """The planes of images of one form, each of shape images x lines x samples."""
+    shapes = plane_shapes(frame["pf"].iloc[0], int(frame["width"].iloc[0]), int(frame["height"].iloc[0]))
+    return [np.stack([np.frombuffer(p[k], np.uint8) for p in frame["planes"]]).reshape(-1, *s) for k, s in enumerate(shapes)]
 
-    images.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    return images
+
+def _stacked(frame: pd.DataFrame, made: Callable[[pd.DataFrame], tuple[Planes, str]], forms: tuple[str, ...] = ("pf", "width", "height"), most: int = 1 << 26) -> pd.DataFrame:
+    """made of the rows of each form (in parts of bounded size), in the order of the rows; null where an image is."""
+    out: list = [(None, None, None, None)] * len(frame)
+    for _, at in frame[frame["planes"].notna()].groupby(list(forms)).groups.items():
+        own = frame.loc[at]
+        step = max(1, most // max(1, int(own["width"].iloc[0]) * int(own["height"].iloc[0])))
+        for a in range(0, len(own), step):
+            part = own.iloc[a : a + step]
+            got, pf = made(part)
+            raw = [np.ascontiguousarray(p, np.uint8) for p in got]
+            h, w = got[0].shape[-2:]
+            for k, i in enumerate(part.index):
+                out[i] = (pf, w, h, [p[k].tobytes() for p in raw])
+    return pd.DataFrame(out, columns=["pf", "width", "height", "planes"])
+
+
+def _wide(x: np.ndarray, h: int, w: int) -> np.ndarray:
+    """A plane repeated to h lines of w samples."""
+    dy, dx = -(-h // x.shape[-2]), -(-w // x.shape[-1])
+    return x.repeat(dy, -2).repeat(dx, -1)[..., :h, :w]
 
 
 def _clip(x: np.ndarray) -> np.ndarray:
@@ -89,9 +103,10 @@ def charcoal(scale: float = 1.5):
     """The edge strength of the luma, inverted."""
 
     def kernel(p: Planes, pf: str):
-        y = np.pad(p[0].astype(float), 1, mode="edge")
-        dx = y[:-2, 2:] + 2 * y[1:-1, 2:] + y[2:, 2:] - y[:-2, :-2] - 2 * y[1:-1, :-2] - y[2:, :-2]
-        dy = y[2:, :-2] + 2 * y[2:, 1:-1] + y[2:, 2:] - y[:-2, :-2] - 2 * y[:-2, 1:-1] - y[:-2, 2:]
+        y = np.pad(p[0].astype(float), [(0, 0)] * (p[0].ndim - 2) + [(1, 1)] * 2, mode="edge")
+        up, mid, low = y[..., :-2, :], y[..., 1:-1, :], y[..., 2:, :]
+        dx = (up + 2 * mid + low)[..., 2:] - (up + 2 * mid + low)[..., :-2]
+        dy = (low - up)[..., :-2] + 2 * (low - up)[..., 1:-1] + (low - up)[..., 2:]
         return [_clip(255 - scale * np.hypot(dx, dy) / 4), *(np.full_like(x, 128) for x in p[1:])], pf
 
     return kernel
@@ -102,8 +117,7 @@ def chroma_key(u: int = 145, v: int = 112, var: int = 4):
 
     def kernel(p: Planes, pf: str):
         hit = (np.abs(p[1].astype(int) - u) <= var) & (np.abs(p[2].astype(int) - v) <= var)
-        dy, dx = (-(-a // b) for a, b in zip(p[0].shape, p[1].shape, strict=True))
-        return [np.where(np.kron(hit, np.ones((dy, dx), bool))[: p[0].shape[0], : p[0].shape[1]], 0, 255)], "grey8"
+        return [np.where(_wide(hit, *p[0].shape[-2:]), 0, 255)], "grey8"
 
     return kernel
 
@@ -112,15 +126,17 @@ def rescale(width: int = 640, height: int = 360, bilinear: bool = True):
     """Another size, with the nearest or the two nearest samples each way."""
 
     def one(x: np.ndarray, w: int, h: int) -> np.ndarray:
-        ys, xs = (np.arange(h) + 0.5) * x.shape[0] / h - 0.5, (np.arange(w) + 0.5) * x.shape[1] / w - 0.5
-        ys, xs = np.clip(ys, 0, x.shape[0] - 1), np.clip(xs, 0, x.shape[1] - 1)
+        own_h, own_w = x.shape[-2:]
+        ys, xs = (np.arange(h) + 0.5) * own_h / h - 0.5, (np.arange(w) + 0.5) * own_w / w - 0.5
+        ys, xs = np.clip(ys, 0, own_h - 1), np.clip(xs, 0, own_w - 1)
         if not bilinear:
-            return x[np.rint(ys).astype(int)][:, np.rint(xs).astype(int)]
+            return x[..., np.rint(ys).astype(int), :][..., np.rint(xs).astype(int)]
         y0, x0 = ys.astype(int), xs.astype(int)
-        y1, x1 = np.minimum(y0 + 1, x.shape[0] - 1), np.minimum(x0 + 1, x.shape[1] - 1)
-        fy, fx = (ys - y0)[:, None], (xs - x0)[None]
+        y1, x1 = np.minimum(y0 + 1, own_h - 1), np.minimum(x0 + 1, own_w - 1)
+        fy, fx = (ys - y0)[:, None], xs - x0
         x = x.astype(float)
-        return _clip((x[y0][:, x0] * (1 - fx) + x[y0][:, x1] * fx) * (1 - fy) + (x[y1][:, x0] * (1 - fx) + x[y1][:, x1] * fx) * fy + 0.5)
+        line = lambda r: r[..., x0] * (1 - fx) + r[..., x1] * fx
+        return _clip(line(x[..., y0, :]) * (1 - fy) + line(x[..., y1, :]) * fy + 0.5)
 
     return lambda p, pf: ([one(x, w, h) for x, (h, w) in zip(p, plane_shapes(pf, width, height), strict=False)], pf)
 
@@ -131,9 +147,9 @@ def crop(x: int, y: int, width: int, height: int):
     def kernel(p: Planes, pf: str):
         dx, dy = CHROMA[pf] or (1, 1)
         x0, y0 = x // dx * dx, y // dy * dy
-        w, h = min(width, p[0].shape[1] - x0), min(height, p[0].shape[0] - y0)
-        cut = [p[0][y0 : y0 + h, x0 : x0 + w]]
-        return cut + [c[y0 // dy : y0 // dy + -(-h // dy), x0 // dx : x0 // dx + -(-w // dx)] for c in p[1:]], pf
+        w, h = min(width, p[0].shape[-1] - x0), min(height, p[0].shape[-2] - y0)
+        cut = [p[0][..., y0 : y0 + h, x0 : x0 + w]]
+        return cut + [c[..., y0 // dy : y0 // dy + -(-h // dy), x0 // dx : x0 // dx + -(-w // dx)] for c in p[1:]], pf
 
     return kernel
 
@@ -143,15 +159,15 @@ def deinterlace(p: Planes, pf: str):
     out = []
     for x in p:
         y = x.copy()
-        if len(x) > 2:
-            n = len(x[1:-1:2])
-            y[1:-1:2] = ((x[0:-2:2][:n].astype(int) + x[2::2][:n] + 1) >> 1).astype(np.uint8)
+        if x.shape[-2] > 2:
+            n = len(range(1, x.shape[-2] - 1, 2))
+            y[..., 1:-1:2, :] = ((x[..., 0:-2:2, :][..., :n, :].astype(int) + x[..., 2::2, :][..., :n, :] + 1) >> 1).astype(np.uint8)
         out.append(y)
     return out, pf
 
 
 def swap_fields(p: Planes, pf: str):
-    return [x.reshape(-1, 2, x.shape[1])[:, ::-1].reshape(x.shape) if len(x) % 2 == 0 else x for x in p], pf
+    return [x.reshape(*x.shape[:-2], -1, 2, x.shape[-1])[..., ::-1, :].reshape(x.shape) if x.shape[-2] % 2 == 0 else x for x in p], pf
 
 
 def colour_space(pf_out: str):
@@ -160,22 +176,22 @@ def colour_space(pf_out: str):
     def kernel(p: Planes, pf: str):
         if pf == pf_out:
             return p, pf
-        h, w = p[0].shape
-        full = lambda c: np.kron(c, np.ones((-(-h // c.shape[0]), -(-w // c.shape[1])), np.uint8))[:h, :w].astype(float)
+        h, w = p[0].shape[-2:]
+        full = lambda c: _wide(c, h, w).astype(float)
         if pf == "rgb24p":
             r, g, b = (x.astype(float) for x in p)
             y, u, v = 16 + (65.738 * r + 129.057 * g + 25.064 * b) / 256, 128 + (-37.945 * r - 74.494 * g + 112.439 * b) / 256, 128 + (112.439 * r - 94.154 * g - 18.285 * b) / 256
         else:
             y = p[0].astype(float)
-            u, v = (full(c) for c in p[1:3]) if len(p) > 2 else (np.full((h, w), 128.0),) * 2
+            u, v = (full(c) for c in p[1:3]) if len(p) > 2 else (np.full(p[0].shape, 128.0),) * 2
         if pf_out == "rgb24p":
             c, d, e = 1.164383 * (y - 16), u - 128, v - 128
             return [_clip(c + 1.596027 * e + 0.5), _clip(c - 0.391762 * d - 0.812968 * e + 0.5), _clip(c + 2.017232 * d + 0.5)], pf_out
         out = [_clip(y)]
         for chroma_plane, (ch, cw) in zip((u, v), plane_shapes(pf_out, w, h)[1:], strict=False):
             dy, dx = -(-h // ch), -(-w // cw)
-            even = np.pad(chroma_plane, ((0, ch * dy - h), (0, cw * dx - w)), mode="edge")
-            out.append(_clip(even.reshape(ch, dy, cw, dx).mean((1, 3)) + 0.5))
+            even = np.pad(chroma_plane, [(0, 0)] * (chroma_plane.ndim - 2) + [(0, ch * dy - h), (0, cw * dx - w)], mode="edge")
+            out.append(_clip(even.reshape(*even.shape[:-2], ch, dy, cw, dx).mean((-3, -1)) + 0.5))
         return out, pf_out
 
     return kernel
@@ -184,25 +200,146 @@ def colour_space(pf_out: str):
 def blend(background: np.ndarray, over: np.ndarray, alpha: np.ndarray, x: int, y: int, mix: float = 1.0) -> np.ndarray:
     """over at (x, y) of a plane, weighted by its alpha and mix."""
     out = background.astype(float)
-    h, w = min(over.shape[0], out.shape[0] - y), min(over.shape[1], out.shape[1] - x)
-    a = alpha[:h, :w] / 255.0 * mix
-    out[y : y + h, x : x + w] = out[y : y + h, x : x + w] * (1 - a) + over[:h, :w] * a
+    h, w = min(over.shape[-2], out.shape[-2] - y), min(over.shape[-1], out.shape[-1] - x)
+    a = alpha[..., :h, :w] / 255.0 * mix
+    out[..., y : y + h, x : x + w] = out[..., y : y + h, x : x + w] * (1 - a) + over[..., :h, :w] * a
     return _clip(out + 0.5)
 
 
+def composite(df: DataFrame, background: str, over: str, column: str, mode: str = "fill", mix: float = 1.0, alpha: str | None = None, area: tuple[float, float, float, float] = (0.0, 0.0, 1.0, 1.0), target: tuple[int, int] = (720, 576)) -> DataFrame:
+    """over, fitted to the background (of size target) by a mode of payload.geometry, blended into it by its alpha (grey8; none: opaque) and mix.
+
+    What the geometry cuts of the source is cut, the rest scaled; chroma planes go by their share. A null in either: the background.
+    """
+    from cadenza.operators.payload import geometry
+
+    places = geometry(mode, (F.col(f"{over}.width"), F.col(f"{over}.height")), target, area=area)
+    names = list(places)
+
+    def work(batches: Iterator[tuple[pd.DataFrame, ...]]) -> Iterator[pd.DataFrame]:
+        for back, front, mask, place in batches:
+            frame = pd.concat([back, front.add_prefix("o_"), mask.add_prefix("a_"), place], axis=1).reset_index(drop=True)
+            for k in ("pf", "width", "height"):
+                frame[f"o_{k}"] = frame[f"o_{k}"].fillna(frame[k])
+
+            def made(f: pd.DataFrame) -> tuple[Planes, str]:
+                under = planes_of(f)
+                pf = f["pf"].iloc[0]
+                if f["o_planes"].isna().any():
+                    return under, pf
+                g = {k: int(f[k].iloc[0]) for k in names}
+                part = lambda q: f[[f"{q}_{k}" for k in ("pf", "width", "height", "planes")]].rename(columns=lambda c: c[2:])
+                top = planes_of(part("o"))
+                masks = planes_of(part("a"))[0] if f["a_planes"].notna().all() else np.full_like(top[0], 255)
+                own_h, own_w = top[0].shape[-2:]
+                full_h, full_w = under[0].shape[-2:]
+                fit = lambda x, h, w: rescale(w, h)([x[..., g["cy"] * x.shape[-2] // own_h : -(-(g["cy"] + g["ch"]) * x.shape[-2] // own_h), g["cx"] * x.shape[-1] // own_w : -(-(g["cx"] + g["cw"]) * x.shape[-1] // own_w)]], "grey8")[0][0]
+                out = []
+                for u, t in zip(under, top, strict=False):
+                    sy, sx = full_h // u.shape[-2], full_w // u.shape[-1]
+                    h, w = max(1, g["h"] // sy), max(1, g["w"] // sx)
+                    out.append(blend(u, fit(t, h, w), fit(masks, h, w), g["x"] // sx, g["y"] // sy, mix))
+                return out, pf
+
+            frame["_has"] = frame["o_planes"].notna() & (frame["a_planes"].notna() | True)
+            yield _stacked(frame, made, ("pf", "width", "height", "o_pf", "o_width", "o_height", "_has", *names))
+
+    work.__annotations__ = {"batches": Iterator[tuple[pd.DataFrame, ...]], "return": Iterator[pd.DataFrame]}
+    none = F.lit(None).cast(IMAGE)
+    place = F.struct(*(F.coalesce(v, F.lit(0)).alias(k) for k, v in places.items()))
+    return df.withColumn(column, F.when(F.col(background).isNotNull(), F.pandas_udf(work, IMAGE)(background, over, F.col(alpha) if alpha else none, place)))
+
+
+def extract_alpha(df: DataFrame, column: str, alpha: str) -> DataFrame:
+    """The alpha image in place of the image, or else the image's own alpha plane; an image without either stays. alpha is null then."""
+    image = F.col(column)
+    own = F.when(image["pf"] == "yuva444p", F.struct(F.lit("grey8").alias("pf"), image["width"].alias("width"), image["height"].alias("height"), F.slice(image["planes"], 4, 1).alias("planes")))
+    return df.withColumn(column, F.when(image.isNotNull(), F.coalesce(F.col(alpha), own, image))).withColumn(alpha, F.lit(None).cast(IMAGE))
+
+
+def field_order(df: DataFrame, column: str, order: int = 2, own: str = "field_order") -> DataFrame:
+    """Images whose fields are in the other order (own: 0 progressive, 1 top first, 2 bottom first) paired anew with the image before.
+
+    To 2: first lines of the image, second ones of the one before; to 1 the other way round. The first image repeats its
+    first lines. Progressive images and those in order stay.
+    """
+    from cadenza.operators.windows import lagged
+
+    def work(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for now, before in batches:
+            frame = pd.concat([now, before.add_prefix("b_")], axis=1).reset_index(drop=True)
+            frame["b_planes"] = [b if b is not None else None for b in frame["b_planes"]]
+            frame["_has"] = frame["b_planes"].notna()
+
+            def made(f: pd.DataFrame) -> tuple[Planes, str]:
+                p = planes_of(f)
+                if f["_has"].iloc[0]:
+                    q = planes_of(f[["b_pf", "b_width", "b_height", "b_planes"]].rename(columns=lambda c: c[2:]))
+                    first, second, at = (p, q, 1) if order == 2 else (q, p, 1)
+                else:
+                    first, second, at = p, p, 0
+                out = []
+                for a, b in zip(first, second, strict=True):
+                    x = a.copy()
+                    n = x.shape[-2] // 2 * 2
+                    x[..., 1:n:2, :] = b[..., at:n:2, :]
+                    out.append(x)
+                return out, f["pf"].iloc[0]
+
+            yield _stacked(frame, made, ("pf", "width", "height", "_has"))
+
+    work.__annotations__ = {"batches": Iterator[tuple[pd.DataFrame, pd.DataFrame]], "return": Iterator[pd.DataFrame]}
+    wrong = F.col(column).isNotNull() & ~F.col(own).isin(0, order) if order else F.lit(False)
+    rows = lagged(df, column, "_before")
+    new = F.when(wrong, F.pandas_udf(work, IMAGE)(column, "_before")).otherwise(F.col(column))
+    return rows.withColumns({column: new, own: F.when(wrong, F.lit(order)).otherwise(F.col(own))}).drop("_before")
+
+
 def write_code(frame_bits: int, lines: int = 2):
     """A number of 32 bits as black and white blocks in the first lines, low bit first."""
 
     def kernel(p: Planes, pf: str):
         y = p[0].copy()
-        cell = max(1, y.shape[1] // 32)
+        cell = max(1, y.shape[-1] // 32)
         for k in range(32):
-            y[:lines, k * cell : (k + 1) * cell] = 235 if frame_bits >> k & 1 else 16
+            y[..., :lines, k * cell : (k + 1) * cell] = 235 if frame_bits >> k & 1 else 16
         return [y, *p[1:]], pf
 
     return kernel
 
 
+def write_codes(df: DataFrame, column: str, number: str, lines: int = 2) -> DataFrame:
+    """The number of each row written into its image (see write_code)."""
+
+    def work(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for images, numbers in batches:
+            frame = images.assign(code=numbers.to_numpy()).reset_index(drop=True)
+
+            def made(f: pd.DataFrame) -> tuple[Planes, str]:
+                p = planes_of(f)
+                y = p[0].copy()
+                cell = max(1, y.shape[-1] // 32)
+                bits = (f["code"].to_numpy(np.int64)[:, None] >> np.arange(32)) & 1
+                y[:, :lines, : 32 * cell] = np.where(bits, 235, 16).repeat(cell, 1)[:, None, :]
+                return [y, *p[1:]], f["pf"].iloc[0]
+
+            yield _stacked(frame, made)
+
+    work.__annotations__ = {"batches": Iterator[tuple[pd.DataFrame, pd.Series]], "return": Iterator[pd.DataFrame]}
+    return df.withColumn(column, F.when(F.col(column).isNotNull(), F.pandas_udf(work, IMAGE)(column, number)))
+
+
+def read_codes(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The number in each image's first line, null where the image is."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for frame in batches:
+            yield pd.Series([None if p is None else read_code(np.frombuffer(p[0], np.uint8).reshape(int(h), int(w))) for p, h, w in zip(frame["planes"], frame["height"], frame["width"], strict=True)], dtype="Int64")
+
+    work.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
+    return df.withColumn(name, F.pandas_udf(work, "long")(column))
+
+
 def read_code(y: np.ndarray) -> int:
     cell = max(1, y.shape[1] // 32)
     return sum(1 << k for k in range(32) if y[0, k * cell : (k + 1) * cell].mean() >= 128)
@@ -220,12 +357,31 @@ def waveform(samples: np.ndarray, width: int = 64, height: int = 32) -> np.ndarr
     return out
 
 
-def grey(df: DataFrame, values: str, column: str, width: int, height: int, low: float = -1.0, high: float = 1.0) -> DataFrame:
-    """An array of numbers as a grey8 image, low black and high white."""
+def visualise(df: DataFrame, samples: str, column: str, width: int = 64, height: int = 32) -> DataFrame:
+    """A grey8 picture of each row's samples (-1 to 1); a null for null samples."""
+
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in batches:
+            yield pd.DataFrame([("grey8", width, height, [waveform(np.asarray(v, float), width, height).tobytes()]) if v is not None else (None,) * 4 for v in series], columns=["pf", "width", "height", "planes"])
+
+    work.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return df.withColumn(column, F.when(F.col(samples).isNotNull(), F.pandas_udf(work, IMAGE)(samples)))
+
+
+def planar(df: DataFrame, values: str, column: str, pf: str, width: int, height: int, low: float = -1.0, high: float = 1.0) -> DataFrame:
+    """An array of numbers as the planes of an image, one after another; low is 0 and high 255."""
+    shapes = plane_shapes(pf, width, height)
+    edges = np.cumsum([0, *(h * w for h, w in shapes)]).tolist()
 
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in batches:
-            yield pd.DataFrame([("grey8", width, height, [_clip(np.floor((np.asarray(v[: width * height], float) - low) / (high - low) * 255 + 0.5)).tobytes()]) for v in series], columns=["pf", "width", "height", "planes"])
+            rows = [_clip(np.floor((np.asarray(v[: edges[-1]], float) - low) / (high - low) * 255 + 0.5)) for v in series]
+            yield pd.DataFrame([(pf, width, height, [x[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]) for x in rows], columns=["pf", "width", "height", "planes"])
 
     work.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return df.withColumn(column, F.pandas_udf(work, IMAGE)(values))
+
+
+def grey(df: DataFrame, values: str, column: str, width: int, height: int, low: float = -1.0, high: float = 1.0) -> DataFrame:
+    """An array of numbers as a grey8 image, low black and high white."""
+    return planar(df, values, column, "grey8", width, height, low, high)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,25 +70,31 @@ def remove(df: DataFrame, component: str) -> DataFrame:
     return df.withColumn(component, F.lit(None).cast(df.schema[component].dataType))
 
 
-def evaluate(df: DataFrame) -> DataFrame:
-    """df computed and kept, so that what follows doesn't compute it again."""
-    return df.persist()
+def evaluate(df: DataFrame, path: str) -> DataFrame:
+    """df computed into a table at path and read from there, so that what follows doesn't compute it again."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def store_once(df: DataFrame, path: str, key: str = "position") -> DataFrame:
-    """Write each position once and pass df through."""
-    df.dropDuplicates([key]).write.mode("overwrite").parquet(path)
+    """Add the positions that the table at path doesn't have yet, each once, and pass df through."""
+    fresh = df.dropDuplicates([key])
+    try:
+        kept = df.sparkSession.read.schema(df.schema).parquet(path).select(key)
+    except AnalysisException:  # no table yet
+        kept = None
+    (fresh if kept is None else fresh.join(kept, key, "left_anti")).write.mode("append").parquet(path)
     return df
 
 
-def geometry(mode: str, src: tuple[Column, Column], target: tuple[int, int], src_sar: tuple[int, int] = (1, 1), dst_sar: tuple[int, int] = (1, 1)) -> dict[str, Column]:
+def geometry(mode: str, src: tuple[Column, Column], target: tuple[int, int], src_sar: tuple[int, int] = (1, 1), dst_sar: tuple[int, int] = (1, 1), area: tuple[float, float, float, float] = (0.0, 0.0, 1.0, 1.0)) -> dict[str, Column]:
     """How a source of a size fits a target: w, h placed at x, y; cx, cy, cw, ch what is cut of the source.
 
     fill covers with both in sight, smart covers wholly, letter fits the width, pillar the height, native
-    keeps the size, distort stretches.
+    keeps the size, corrected keeps it in square samples, distort stretches. area is the part of the target, as shares (x, y, w, h).
     """
     sw, sh = (c.cast("long") for c in src)
-    W, H = target
+    x0, y0, W, H = (int(full * share) for full, share in zip((*target, *target), area, strict=True))
     (ssn, ssd), (dsn, dsd) = (tuple(x if x > 0 else 1 for x in p) for p in (src_sar, dst_sar))
     letter_h = F.floor(F.lit(W) * sh * ssd * dsn / (sw * ssn * dsd))
     pillar_w = F.floor(F.lit(H) * sw * ssn * dsd / (sh * ssd * dsn))
@@ -97,14 +104,15 @@ def geometry(mode: str, src: tuple[Column, Column], target: tuple[int, int], src
         "letter": (F.lit(W), letter_h),
         "pillar": (pillar_w, F.lit(H)),
         "native": (sw, sh),
+        "corrected": (F.floor(sw * (ssn * dsd) / F.lit(float(ssd * dsn)) + 0.5), sh),
         "distort": (F.lit(W), F.lit(H)),
     }[mode]
     out: dict[str, Column] = {}
-    for axis, dim, full, limit, own in (("x", "w", size[0], W, sw), ("y", "h", size[1], H, sh)):
+    for axis, dim, full, limit, own, first in (("x", "w", size[0], W, sw, x0), ("y", "h", size[1], H, sh, y0)):
         full = full.cast("long")
         over = full > limit
         diff = (full - limit) / full.cast("double")
-        out[axis] = F.when(over, 0).otherwise(F.expr("0") + F.floor((F.lit(limit) - full) / 2)).cast("long")
+        out[axis] = (F.lit(first) + F.when(over, 0).otherwise(F.floor((F.lit(limit) - full) / 2))).cast("long")
         out[dim] = F.when(over, limit).otherwise(full).cast("long")
         out["c" + axis] = F.when(over, F.floor(own * diff / 2)).otherwise(0).cast("long")
         out["c" + dim] = F.when(over, F.floor(own * (1 - diff))).otherwise(own).cast("long")

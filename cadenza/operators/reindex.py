@@ -7,12 +7,13 @@ Operators that merge rows group them once.
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.timecode import samples_for_frame, samples_to_frame
 from cadenza.model import Clip
+from cadenza.operators.combine import held_on
+
 
 def _pos() -> Column:
     return F.col("position")
@@ -35,9 +36,12 @@ def clip(c: Clip, first: int = 0, out: int = -1) -> Clip:
     return c.with_df(c.df.where((_pos() <= a) & (_pos() > b)).withColumn("position", F.lit(a) - _pos()), a - b)
 
 
-def offset(c: Clip, first: int) -> Clip:
-    """first empty rows (nulls), then the clip."""
+def offset(c: Clip, first: int, audio: str | None = None, frequency: int = 48000, channels: int = 2) -> Clip:
+    """first empty rows (nulls), then the clip. If an audio column is named, the rows before have silence there, as many samples as each frame has."""
     blank = c.df.sparkSession.range(first).select(F.col("id").alias("position"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in c.df.schema if f.name != "position"))
+    if audio:
+        n = samples_for_frame(_pos(), frequency, c.fps) * channels
+        blank = blank.withColumn(audio, F.array_repeat(F.lit(0.0), n.cast("int")).cast(c.df.schema[audio].dataType))
     moved = c.df.withColumn("position", _pos() + first)
     return c.with_df(blank.unionByName(moved) if first > 0 else c.df, c.length + max(first, 0))
 
@@ -53,10 +57,10 @@ def step(c: Clip, speed: int = 2) -> Clip:
 
 def extract(c: Clip, frames: int = 180) -> Clip:
     """frames rows evenly from first to last, places as the double division gives them."""
-    domain = c.df.sparkSession.range(frames).withColumnRenamed("id", "p")
-    at = F.least(F.floor(F.col("p").cast("double") / (frames - 1) * c.length), F.lit(c.length - 1)) if frames > 1 else F.lit(0)
-    picked = domain.withColumn("position", at.cast("long"))
-    return c.with_df(c.df.join(picked, "position").drop("position").withColumnRenamed("p", "position"), frames)
+    places: dict[int, list[int]] = {}
+    for p in range(frames):
+        places.setdefault(min(int(p / (frames - 1) * c.length), c.length - 1) if frames > 1 else 0, []).append(p)
+    return _gathered(c, places, frames)
 
 
 def frame_list(c: Clip, frames: list[int]) -> Clip:
@@ -66,19 +70,32 @@ def frame_list(c: Clip, frames: list[int]) -> Clip:
     places: dict[int, list[int]] = {}
     for k, p in enumerate(frames):
         places.setdefault(p, []).append(k)
+    return _gathered(c, places, len(frames))
+
+
+def _gathered(c: Clip, places: dict[int, list[int]], length: int) -> Clip:
+    """Each source position at its places. A short list becomes a filter that reaches the scan; a longer one is joined."""
+    if not places:
+        return c.with_df(c.df.limit(0), 0)
+    rows = c.df.where(_pos().isin(list(places))) if len(places) <= 1000 else c.df.where(_pos().between(min(places), max(places)))
     wanted = c.df.sparkSession.createDataFrame(list(places.items()), "position long, at array<long>")
-    return c.with_df(c.df.join(wanted, "position").drop("position").select("*", F.explode("at").alias("position")).drop("at"), len(frames))
+    return c.with_df(rows.join(wanted, "position").drop("position").select("*", F.explode("at").alias("position")).drop("at"), length)
+
 
+def hold(c: Clip, frame: int = 0, count: int = 25, audio: str | None = None) -> Clip:
+    """Repeat one row count times more, marked silent, then go on with that row.
 
-def hold(c: Clip, frame: int = 0, count: int = 25) -> Clip:
-    """Repeat one row count times more, marked silent, then go on with that row."""
+    The repeats are the range of their positions joined to the one row. An audio column, if named, is silenced in them.
+    """
     h = c.length + frame if frame < 0 else frame
     count = max(count, 0)
     if not 0 <= h < c.length or not count:
         return c.with_df(c.df.withColumn("silent", F.lit(False)), c.length + count)
-    at = F.when(_pos() < h, F.array(_pos())).when(_pos() > h, F.array(_pos() + count)).otherwise(F.sequence(F.lit(h), F.lit(h + count)))
-    rows = c.df.withColumn("_at", F.explode(at.cast("array<long>"))).withColumn("silent", F.col("_at").between(h, h + count - 1))
-    return c.with_df(rows.drop("position").withColumnRenamed("_at", "position"), c.length + count)
+    moved = c.df.withColumn("position", F.when(_pos() < h, _pos()).otherwise(_pos() + count)).withColumn("silent", F.lit(False))
+    repeats = held_on(c.df, h, h, h + count).withColumn("silent", F.lit(True))
+    if audio:
+        repeats = repeats.withColumn(audio, F.transform(audio, lambda x: x - x))
+    return c.with_df(moved.unionByName(repeats), c.length + count)
 
 
 def repeat(c: Clip, kind: str = "repeat", count: int = 2) -> Clip:
@@ -163,10 +180,6 @@ def slots(clips: list, first: int = 0, out: int = -1) -> list:
     return [clips[k] for k in range(a, max(b, 0) - 1, -1)]
 
 
-def rate_length(length: int, src: tuple[int, int], dst: tuple[int, int]) -> int:
-    return ceil(length * dst[0] * src[1] / (dst[1] * src[0])) if length * dst[0] * src[1] < 1 << 50 else -(-length * dst[0] * src[1] // (dst[1] * src[0]))
-
-
 def frame_rate(c: Clip, num: int, den: int = 1, reverse: bool = False) -> Clip:
     """Nearest earlier row at another rate: position p shows floor(p * source / target), exactly.
 
@@ -184,3 +197,16 @@ def frame_rate(c: Clip, num: int, den: int = 1, reverse: bool = False) -> Clip:
     rows = c.df.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi")
     rows = rows.withColumn("source", _pos()).withColumn("position", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
     return c.with_df(rows, n, (num, den))
+
+
+def frame_rate_audio(c: Clip, column: str, frequency: int, num: int, den: int = 1, channels: int = 1) -> Clip:
+    """frame_rate, with the samples re-blocked: each row has those of its own time, so the stream of samples stays; its end is padded with zeros."""
+    from cadenza.operators.audio import recut
+
+    if (num, den) == c.fps:
+        return c
+    out = frame_rate(c.with_df(c.df.drop(column)), num, den)
+    blocks = recut(c.df.select("position", column), column, samples_to_frame(_pos(), frequency, c.fps), frequency, out.fps, channels)
+    n = samples_for_frame(_pos(), frequency, out.fps) * channels
+    silent = F.array_repeat(F.lit(0.0), n.cast("int"))
+    return out.with_df(out.df.join(blocks, "position", "left").withColumn(column, F.coalesce(column, silent)))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.functions.bind import let
 from cadenza.model import Clip
 
 
@@ -27,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one of spark.checkpoint.dir; where that is unset (tests), in a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-cadenza-")
+    return f"{root.rstrip('/')}/cadenza-{name}-{uuid.uuid4().hex}"
+
+
 def events(spark: SparkSession, sf_dir: str, *columns: str, fps: tuple[int, int] = (25, 1)) -> Clip:
     """The events as a clip; only the columns asked for are scanned."""
     columns = columns or ("value",)
@@ -43,3 +52,15 @@ def stereo(spark: SparkSession, sf_dir: str) -> Clip:
     """The embeddings as two-channel blocks of 32 sample frames."""
     df = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("audio"))
     return Clip.of(df, "vec_id")
+
+
+def plane_sums(df: DataFrame, planes: int, column: str = "image") -> DataFrame:
+    """position and, for each plane from 1, total and weighted: the sums of its samples and of samples times their place from 1."""
+    out = [F.col("position")]
+    for k in range(1, planes + 1):
+        hexed = F.hex(F.element_at(f"{column}.planes", k))
+        at = F.sequence(F.lit(0), (F.length(hexed) / 2 - 1).cast("int"))
+        samples = let(hexed, lambda h, at=at: F.transform(at, lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("long")))
+        zero = F.lit(0).cast("long")
+        out += [F.aggregate(samples, zero, lambda s, x: s + x).alias(f"total{k}"), F.aggregate(F.transform(samples, lambda x, i: x * (i + 1)), zero, lambda s, x: s + x).alias(f"weighted{k}")]
+    return df.select(*out)

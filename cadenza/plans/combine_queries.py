@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import combine as C
 from cadenza.operators import reindex as R
-from cadenza.plans.base import events, orders, registers, table
-from cadenza.sources.sinks import index_of
+from cadenza.plans.base import events, orders, registers, scratch, table
+from cadenza.sources.files import index_items
+from cadenza.sources.sinks import index_files, index_of
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,12 +71,7 @@ def awi_asof(spark, d):
 
 @query(f"WITH {_KEYS}, s(size) AS (VALUES (0), (500), (20000), (100000000)) SELECT CAST(size AS BIGINT) AS size, CAST(coalesce((SELECT max(frame + frames) FROM i WHERE \"offset\" + length <= size), 0) AS BIGINT) AS frames FROM s")
 def awi_available(spark, d):
-    index = _index(spark, d).persist()
-    out = None
-    for size in (0, 500, 20000, 100000000):
-        one = C.available_frames(index, size).select(F.lit(size).cast("long").alias("size"), F.col("frames").cast("long").alias("frames"))
-        out = one if out is None else out.unionAll(one)
-    return out
+    return C.available_at(_index(spark, d), [0, 500, 20000, 100000000])
 
 
 @query("""SELECT e.event_id AS position, round(sum(s.value), 6) AS total, count(*) AS n FROM events e JOIN events s ON s.event_id % 3 = 0 AND s.event_id >= e.event_id // 3 * 3 - 6 AND s.event_id < e.event_id // 3 * 3 + 9 GROUP BY 1""")
@@ -98,6 +94,44 @@ def voodoo_split(spark, d):
     return out.df.select("position", "value", "event_type")
 
 
+@query(f"WITH {_KEYS} SELECT CAST(v AS INT) AS version, true AS closed, frame, frames, \"offset\", length FROM i, (VALUES (2), (3), (4)) AS t(v)")
+def awi_files(spark, d):
+    """The index as binary files of each version, some thousand positions a file, and parsed again."""
+    index = _index(spark, d).withColumn("file", F.expr("frame div 4096"))
+    out = None
+    for version in (2, 3, 4):
+        files = index_files(index, "file", version).select(F.col("name").alias("path"), "content")
+        items = index_items(files).select("version", "closed", "frame", "frames", "offset", "length")
+        out = items if out is None else out.unionAll(items)
+    return out
+
+
+@query("SELECT event_id AS position, CAST((event_id >= 10) + (event_id >= 500) + (event_id >= 5000) AS INT) AS event, CASE WHEN event_id >= 5000 THEN 5000 WHEN event_id >= 500 THEN 500 WHEN event_id >= 10 THEN 10 END AS event_start FROM events".replace("(event_id >= 10) + (event_id >= 500) + (event_id >= 5000)", " + ".join(f"CAST(event_id >= {k} AS INT)" for k in (10, 500, 5000))))
+def compositor_events(spark, d):
+    return C.events_at(events(spark, d).df, [500, 10, 5000, 10]).select("position", "event", "event_start")
+
+
+@query("SELECT event_id AS position, value, sink FROM events, (VALUES (0), (1)) AS s(sink)")
+def tee_rows(spark, d):
+    path = scratch(spark, "tee")
+    sinks = [lambda df, k=k: df.write.parquet(f"{path}/sinks/sink={k}") for k in (0, 1)]
+    C.tee(events(spark, d).df, f"{path}/rows", *sinks)
+    return spark.read.parquet(f"{path}/sinks").select("position", "value", F.col("sink").cast("int").alias("sink"))
+
+
+@query("SELECT event_id AS position, value * 2 AS v FROM events UNION ALL SELECT event_id, -value FROM events WHERE event_id % 2 = 0")
+def fork_branches(spark, d):
+    a, b = C.fork(events(spark, d).df, scratch(spark, "fork"), lambda df: df.select("position", (F.col("value") * 2).alias("v")), lambda df: df.where("position % 2 = 0").select("position", (-F.col("value")).alias("v")))
+    return a.unionAll(b)
+
+
+@query("SELECT event_id AS position, value * 2 AS value, upper(event_type) AS event_type FROM events")
+def voodoo_columns(spark, d):
+    """voodoo_split for operators that keep positions: no join."""
+    c = events(spark, d, "value", "event_type")
+    return C.of_columns(c, lambda df: df.withColumn("value", F.col("value") * 2), lambda df: df.withColumn("event_type", F.upper("event_type"))).df
+
+
 @query("""WITH k AS (SELECT event_id, value, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (ORDER BY event_id) AS key FROM events)
 SELECT key, count(*) AS frames, round(sum(value), 6) AS total FROM k WHERE key IS NOT NULL GROUP BY 1""")
 def gop_sessions(spark, d):

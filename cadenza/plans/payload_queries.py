@@ -8,7 +8,7 @@ from cadenza.functions import words as W
 from cadenza.operators import audio as A
 from cadenza.operators import image as I
 from cadenza.operators import payload as P
-from cadenza.plans.base import events, registers, stereo, table
+from cadenza.plans.base import events, plane_sums, registers, stereo, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,9 +49,9 @@ def bezier_xy(spark, d):
 _SIZED = "s AS (SELECT p_partkey AS k, CAST(p_size * 16 AS BIGINT) AS sw, CAST(p_partkey % 50 * 9 + 9 AS BIGINT) AS sh FROM part), g AS (SELECT *, CAST(floor(640 * sh / CAST(sw AS DOUBLE)) AS BIGINT) AS lh, CAST(floor(360 * sw / CAST(sh AS DOUBLE)) AS BIGINT) AS pw FROM s)"
 
 
-def _geometry(spark, d, mode):
+def _geometry(spark, d, mode, **options):
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") * 16).cast("long").alias("sw"), (F.col("p_partkey") % 50 * 9 + 9).cast("long").alias("sh"))
-    g = P.geometry(mode, (F.col("sw"), F.col("sh")), (640, 360))
+    g = P.geometry(mode, (F.col("sw"), F.col("sh")), (640, 360), **options)
     return parts.select("k", g["w"].alias("w"), g["h"].alias("h"), g["x"].alias("x"), g["y"].alias("y"), g["cw"].alias("cw"), g["ch"].alias("ch"))
 
 
@@ -71,6 +71,31 @@ def geometry_smart(spark, d):
     return _geometry(spark, d, "smart")
 
 
+@query(_geometry_sql("640", "lh"))
+def geometry_letter(spark, d):
+    return _geometry(spark, d, "letter")
+
+
+@query(_geometry_sql("pw", "360"))
+def geometry_pillar(spark, d):
+    return _geometry(spark, d, "pillar")
+
+
+@query(_geometry_sql("sw", "sh"))
+def geometry_native(spark, d):
+    return _geometry(spark, d, "native")
+
+
+@query(_geometry_sql("floor(sw * 59 / 54.0::DOUBLE + 0.5)", "sh"))
+def geometry_corrected(spark, d):
+    return _geometry(spark, d, "corrected", src_sar=(59, 54))
+
+
+@query(_geometry_sql("640", "360"))
+def geometry_distort(spark, d):
+    return _geometry(spark, d, "distort")
+
+
 @query("""WITH s AS (SELECT p_partkey AS k, CAST(p_size * 16 AS BIGINT) AS w, CAST(p_partkey % 50 * 9 + 9 AS BIGINT) AS h FROM part)
 SELECT k, CAST(floor(w * 0.25::DOUBLE) AS BIGINT) AS x, CAST(floor(h * 0.5::DOUBLE) AS BIGINT) AS y, least(CAST(floor(w * 0.9::DOUBLE) AS BIGINT), w - CAST(floor(w * 0.25::DOUBLE) AS BIGINT)) AS cw, least(CAST(floor(h * 0.3::DOUBLE) AS BIGINT), h - CAST(floor(h * 0.5::DOUBLE) AS BIGINT)) AS ch FROM s""")
 def crop_geometry(spark, d):
@@ -139,12 +164,6 @@ def audio_channel_convert(spark, d):
     return _sums(stereo(spark, d).df.select("position", A.channel_convert(F.col("audio"), 2, 1).alias("audio")))
 
 
-@query("SELECT vec_id AS position, (vec_id % 30000 + 1) * 2102100 // 30000 - vec_id % 30000 * 2102100 // 30000 AS n FROM embeddings")
-def locked_audio(spark, d):
-    c = stereo(spark, d)
-    return A.locked(c.df, "audio", 2100, (30000, 1001), "").select("position", F.size("audio").cast("long").alias("n"))
-
-
 @query("SELECT vec_id AS position, round(list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))), 9) AS level FROM embeddings")
 def max_level(spark, d):
     return stereo(spark, d).df.select("position", F.round(A.level(F.col("audio")), 9).alias("level"))
@@ -207,8 +226,5 @@ def image_mono(spark, d):
 
 
 def _plane_sum(df):
-    """The sum of the samples of the first plane, from its hex digits."""
-    hex_ = F.hex(F.element_at("image.planes", 1))
-    at = F.sequence(F.lit(0), (F.length(hex_) / 2 - 1).cast("int"))
-    total = F.aggregate(F.transform(at, lambda i: F.conv(F.substring(hex_, i * 2 + 1, F.lit(2)), 16, 10).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    return df.select("position", total.alias("total"))
+    """The sum of the samples of the first plane."""
+    return plane_sums(df, 1).select("position", F.col("total1").alias("total"))

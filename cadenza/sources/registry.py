@@ -40,5 +40,7 @@ def default_registry() -> Registry:
     out.add(r"^nothing:", 50, lambda s, r, **o: synthetic.nothing(s, **o))
     out.add(r"\.parquet$", 60, lambda s, r, key="position", **o: Clip.of(s.read.parquet(r), key, **o))
     out.add(r"^wav:|\.wav$", 90, lambda s, r, **o: files.read_wav(s, r.removeprefix("wav:"), **o))
-    out.add(r"\.(raw|aud)$", 50, lambda s, r, **o: files.read_raw(s, r, **o))
+    out.add(r"^raw:|\.raw$", 50, lambda s, r, **o: files.read_raw(s, r.removeprefix("raw:"), **o))
+    out.add(r"^aud:|\.aud$", 50, lambda s, r, **o: files.read_aud(s, r.removeprefix("aud:"), **o))
+    out.add(r"\.awi$", 50, lambda s, r, **o: files.read_index(s, r, **o))
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,31 +32,40 @@ def sessions(stream: DataFrame, time: str, gap: str, keys: list[str], aggregates
 
 
 def carried_lowpass(stream: DataFrame, key: str, order: str, value: str, mag: int = 14) -> DataFrame:
-    """0.625 * (x + 0.8 * x[mag before]) per key; the delay line is state and goes on across batches."""
+    """0.625 * (x + 0.8 * x[mag before]) per key; the delay line is state and goes on across batches. mag 1 or less: unchanged.
+
+    A micro-batch's rows of a key are filtered in order; rows of a later batch come after those of an earlier one. A
+    batch's size bounds what a key can have in it.
+    """
 
     def work(keys, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        line = list(state.get[0]) if state.exists else [0.0] * mag
+        line = np.array(state.get[0]) if state.exists else np.zeros(max(mag, 0))
         rows = pd.concat(frames).sort_values(order)
-        out = []
-        for x in rows[value].astype(float):
-            out.append(0.625 * (x + 0.8 * line[0]))
-            line = [*line[1:], x]
-        state.update((line,))
-        yield pd.DataFrame({key: keys[0], order: rows[order], "filtered": out})
+        x = rows[value].to_numpy(float)
+        past = np.r_[line, x]
+        state.update((past[len(past) - len(line) :].tolist(),))
+        yield pd.DataFrame({key: keys[0], order: rows[order], "filtered": 0.625 * (x + 0.8 * past[: len(x)]) if mag > 1 else x})
 
     fields = {f.name: f.dataType.simpleString() for f in stream.schema}
     schema = f"{key} {fields[key]}, {order} {fields[order]}, filtered double"
     return stream.groupBy(key).applyInPandasWithState(work, schema, "line array<double>", "append", "NoTimeout")
 
 
-def tee(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
-    """Every batch, computed once, to several sinks; the checkpoint lets it go on after a failure."""
+def tee(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, preroll: int = 0) -> StreamingQuery:
+    """Every batch, computed once, to several sinks; the checkpoint lets it go on after a failure.
+
+    preroll batches are only counted, not handed on: sinks begin when the stream has run for a while.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
+        if number < preroll:
+            return
         batch.persist()
-        for sink in sinks:
-            sink(batch, number)
-        batch.unpersist()
+        try:
+            for sink in sinks:
+                sink(batch, number)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -137,8 +137,8 @@ def test_wav_files_and_registry(spark, tmp_path):
     for kind, data in (("i24", b"\x00\x00\x40\x00\x00\xc0"), ("<f4", np.array([0.5, -0.5], "<f4").tobytes())):
         assert files.decode(data, kind).tolist() == [0.5, -0.5]
     clip = spark.createDataFrame([(0, [0.5, -0.5]), (1, [0.25, -1.0])], "position long, audio array<double>")
-    sinks.write_wav_parts(clip, str(tmp_path / "parts"), "audio", 1, 8000)
-    wav = bytes(spark.read.parquet(str(tmp_path / "parts")).first()["wav"])
+    assert [tuple(r) for r in sinks.write_wav(clip, str(tmp_path / "parts"), "audio", 1, 8000).collect()] == [("part-0.wav", 52)]
+    wav = (tmp_path / "parts" / "part-0.wav").read_bytes()
     h = files.wav_header(wav)
     assert files.decode(wav[h["start"] :][: h["bytes"]], "<i2").tolist() == [0.5, -0.5, 0.25, -1.0]
     (tmp_path / "b.raw").write_bytes(b"HD" + b"abcd" + b"efgh")
