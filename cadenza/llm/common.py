@@ -72,6 +72,16 @@ def store_file(path: str, data: bytes) -> None:
     fs.move(part, inner)
 
 
+def file_exists(path: str) -> bool:
+    at = local_path(path)
+    if at:
+        return os.path.exists(at)
+    from pyarrow.fs import FileSystem, FileType
+
+    fs, inner = FileSystem.from_uri(path)
+    return fs.get_file_info(inner).type == FileType.File
+
+
 def map_file(path: str) -> np.ndarray:
     """The bytes of a shared file, memory-mapped.
 
@@ -92,6 +102,63 @@ def map_file(path: str) -> np.ndarray:
         return np.memmap(copy, dtype=np.uint8, mode="r") if size else np.zeros(0, np.uint8)
 
 
+class KeySet:
+    """A set of 128-bit keys as sorted arrays in the shared folder, mapped by the tasks that ask.
+
+    file_of(key) tells the file of a key in a plan; each file is bounded.
+    """
+
+    def __init__(self, folder: str, files: int):
+        self.folder, self.files, self._maps = folder, files, {}
+
+    @classmethod
+    def of(cls, keys: DataFrame, name: str, rows: int, file_rows: int = 4_000_000) -> KeySet:
+        """The set of the column key of keys (16 bytes each, without repeats); rows: how many there are."""
+        out = cls(new_folder(keys.sparkSession, name), max(1, -(-rows // file_rows)))
+        folder = out.folder
+
+        def work(table: pa.Table) -> pa.Table:
+            raw = np.frombuffer(b"".join(table.column("key").to_pylist()), "<u8").reshape(-1, 2)
+            raw = raw[np.lexsort((raw[:, 1], raw[:, 0]))]
+            k = table.column("file")[0].as_py()
+            store_file(f"{folder}/{k}", raw[:, 0].tobytes() + raw[:, 1].tobytes())
+            return pa.table({"file": pa.array([k], pa.int32())})
+
+        keys.select("key", out.file_of(F.col("key")).alias("file")).groupBy("file").applyInArrow(work, "file int").agg(F.count("*")).collect()
+        return out
+
+    def file_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.files)).cast("int")
+
+    def __getstate__(self):
+        return self.__dict__ | {"_maps": {}}
+
+    def has(self, keys: pa.Array, files: np.ndarray, most_open: int = 256) -> np.ndarray:
+        """Which of some keys the set has."""
+        raw = np.frombuffer(b"".join(keys.to_pylist()), "<u8").reshape(-1, 2)
+        out = np.zeros(len(raw), bool)
+        for k in np.unique(files).tolist():
+            at = np.flatnonzero(files == k)
+            if k not in self._maps:
+                if len(self._maps) >= most_open:
+                    self._maps.pop(next(iter(self._maps)))
+                self._maps[k] = map_file(f"{self.folder}/{k}").view("<u8") if file_exists(f"{self.folder}/{k}") else np.zeros(0, "<u8")
+            n = len(self._maps[k]) // 2
+            high, low = self._maps[k][:n], self._maps[k][n:]
+            place = np.searchsorted(high, raw[at, 0])
+            while True:  # keys of equal first half lie together
+                inside = np.minimum(place, max(n - 1, 0))
+                same = (place < n) & (high[inside] == raw[at, 0]) if n else np.zeros(len(at), bool)
+                hit = same & (low[inside] == raw[at, 1]) if n else same
+                out[at] |= hit
+                same &= ~hit
+                if not same.any():
+                    break
+                place = place + same
+                at, place = at[same], place[same]
+        return out
+
+
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For nodes 0..n-1 and links a[i]-b[i]: the smallest node of each node's component."""
     label = np.arange(n)

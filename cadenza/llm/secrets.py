@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import stored
+from cadenza.llm.common import KeySet, stored
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
@@ -33,9 +33,10 @@ RULES = (
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
     Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", base=False),
     Rule("hub", r"\bgh[oprsu]_[A-Za-z0-9]{36,}", base=False),
-    Rule("web", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", base=False),
+    # From the start of a run only and without going back into one, so that long runs take linear time.
+    Rule("web", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", base=False),
 )
-RULES_VERSION = "1"
+RULES_VERSION = "2"
 
 
 def spans_of(text: str | None, compiled: list[tuple]) -> list[tuple[str, int, int]]:
@@ -57,6 +58,12 @@ def blob_id(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def row_key(path: Column, blob: Column) -> Column:
+    """16 bytes that stand for a path and a blob."""
+    known = F.when(path.isNull(), F.lit("n")).otherwise(F.concat(F.lit("p"), path.cast("string")))
+    return F.substring(F.unhex(F.sha2(F.concat_ws("|", F.hex(blob), known), 256)), 1, 16)
+
+
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rules_version: str = RULES_VERSION, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Scan the texts that the ledger doesn't have under this version of the rules.
 
@@ -64,9 +71,9 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     of every row, entries the new ledger rows (blob, rules_version, spans), one for each blob scanned,
     with or without findings; append them to the ledger.
 
-    Blobs are found and compared by address, so no text is shuffled for that. Each unseen blob is scanned
-    once, from the row with its smallest path; the rows to skip or to scan, whichever are fewer, are
-    joined to the texts. Null paths, null and empty texts, repeated rows and an empty table are fine.
+    Blobs are found and compared by address. Each unseen blob is scanned from the row with its smallest path. The rows to
+    skip or to scan, whichever are fewer, are kept as sorted keys in the shared folder, which tasks look up where the texts are
+    read: no text is shuffled. Null paths, null and empty texts, repeated rows and an empty table are fine.
     """
     text = F.col(text_col)
     paths = stored(versions.select(F.col(path_col).alias("path"), blob_id(text).alias("blob")), "paths")
@@ -74,22 +81,22 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     if ledger is not None:
         first = first.join(ledger.where(F.col("rules_version") == rules_version).select("blob"), "blob", "left_anti")
     first = stored(first.select(F.col("path").alias("_path"), F.col("blob").alias("_blob")), "blobs")
-    same = lambda a, b: a["path"].eqNullSafe(b["_path"]) & (a["blob"] == b["_blob"])
-    rows = versions.select(F.col(path_col).alias("path"), blob_id(text).alias("blob"), text.alias("text"))
-    if first.count() * 2 > paths.count():
-        skip = stored(paths.join(first, same(paths, first), "left_anti").distinct().select(F.col("path").alias("_path"), F.col("blob").alias("_blob")), "seen")
-        rows = rows.join(skip.hint("merge"), same(rows, skip), "left_anti")
-    else:
-        rows = rows.join(first.hint("merge"), same(rows, first), "left_semi")
+    same = paths["path"].eqNullSafe(first["_path"]) & (paths["blob"] == first["_blob"])
+    n, unseen = paths.count(), first.count()
+    skip = unseen * 2 > n  # the same rows are scanned either way
+    some = stored(paths.join(first, same, "left_anti" if skip else "left_semi").select(row_key(F.col("path"), F.col("blob")).alias("key")).distinct(), "row-keys")
+    keys = KeySet.of(some, "row-set", some.count())
+    rows = versions.select(blob_id(text).alias("blob"), row_key(F.col(path_col), blob_id(text)).alias("key"), text.alias("text")).select("blob", "key", keys.file_of(F.col("key")).alias("file"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = compiled_rules(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            got = [[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(x.as_py(), compiled)] for x in batch.column(1)]
+            batch = batch.filter(pa.array(keys.has(batch.column(1), batch.column(2).to_numpy()) != skip))
+            got = [[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(x.as_py(), compiled)] for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, kind)], ["blob", "spans"])
 
-    scanned = rows.select("blob", "text").mapInArrow(work, f"blob binary, spans {SPANS}")
+    scanned = rows.mapInArrow(work, f"blob binary, spans {SPANS}")
     entries = scanned.dropDuplicates(["blob"]).select("blob", F.lit(rules_version).alias("rules_version"), "spans")
     return paths, stored(entries, "ledger")
 

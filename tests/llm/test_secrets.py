@@ -41,5 +41,35 @@ def test_only_unseen_blobs_are_scanned(spark):
     paths, entries = secrets.scan_unseen(more, ledger)
     assert entries.count() == 1
     assert secrets.findings(paths, ledger.unionByName(entries)).where("size(spans) = 1").count() == 2
-    assert secrets.scan_unseen(more, ledger, rules_version="2")[1].count() == 2
+    assert secrets.scan_unseen(more, ledger, rules_version="next")[1].count() == 2
     assert secrets.scan_unseen(first.limit(0))[1].count() == 0
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    compiled = secrets.compiled_rules(secrets.RULES)
+    for unit in ("eyJaaaaaaaaaa-", "eyJaaaaaaaaaa.", "password", "token  ", "AKIA", "ghp_", "-----BEGIN "):
+        text = unit * (1_000_000 // len(unit))
+        began = time.time()
+        secrets.spans_of(text, compiled)
+        assert time.time() - began < 5, unit
+    token = "eyJ" + "w" * 20 + "." + "x" * 20 + "." + "y" * 20
+    assert secrets.spans_of(f"x {token} y", compiled) == [("web", 2, 2 + len(token))]
+    df = spark.createDataFrame([(1, "secret = abcdefghijklmnop " * 40_000)], "doc_id long, text string")
+    paths, entries = secrets.scan_unseen(df)
+    assert secrets.findings(paths, entries).selectExpr("size(spans)").first()[0] == 40_000
+
+
+def test_keys_are_found_in_any_file(spark):
+    from pyspark.sql import functions as F
+
+    from cadenza.llm.common import KeySet
+
+    df = spark.range(3000).select("id", F.substring(F.unhex(F.sha2(F.col("id").cast("string"), 256)), 1, 16).alias("key"))
+    keys = KeySet.of(df.where("id % 3 = 0").select("key"), "t", 1000, file_rows=100)
+    rows = df.select("id", "key", keys.file_of(F.col("key")).alias("file")).toArrow()
+    got = keys.has(rows.column("key"), rows.column("file").to_numpy(), most_open=2)
+    assert keys.files == 10 and got.tolist() == [i % 3 == 0 for i in rows.column("id").to_pylist()]
+    none = KeySet.of(df.limit(0).select("key"), "t", 0)
+    assert not none.has(rows.column("key"), rows.column("file").to_numpy() * 0).any()
