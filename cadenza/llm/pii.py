@@ -12,7 +12,7 @@ from cadenza.functions.bind import let
 
 ROUNDS = 8
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_DATE = "(?:[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})"
+_DATE = "(?:" + "|".join(f"[0-9]{{4}}{m}(?:0[1-9]|1[0-2]){m}(?:0[1-9]|[12][0-9]|3[01])" for m in ("-", "/", r"\.")) + "|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})"
 #: With a country code any area and a long last group are taken; without one the area is bracketed or begins with 2 to 9.
 _PHONE = "|".join((
     r"(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])|\([0-9]{3}\) ?|[2-9][0-9]{2}[ .\-])[0-9]{3}[ .\-][0-9]{4}",
@@ -20,20 +20,30 @@ _PHONE = "|".join((
     r"(?=\+(?:[ .\-()]{0,2}[0-9]){7})\+[0-9]{1,3}(?:[ .\-]?\([0-9]{1,5}\)[ .\-]?|[ .\-])(?:[0-9]{1,5}[ .\-]){0,4}[0-9]{2,10}",
     r"\+[0-9]{1,3}(?:[ .\-][0-9]{2,4}){2,4}",
 ))
-#: The form of each kind; in a text the first that fits counts. Only email has @; the others start with no letter but iban.
+#: Country codes of telephone numbers.
+COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+#: The form of each kind; in a text the first that fits counts. Only email has @, only ipv6 a colon; a capital starts an iban only, a small letter an ibanlow.
 FORMS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
+    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": rf"(?<![0-9/.\-]){_DATE}(?![0-9])",
     "ssn": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?=[0-9A-Fa-f:]*[0-9])(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}})(?![0-9A-Za-z:])",
+    "spaced": r"(?<=(?i:ssn|social security|social security number|social security no\.)[ :#]{1,3})(?!000|666|9)[0-9]{3} (?!00)[0-9]{2} (?!0000)[0-9]{4}(?![0-9\-])",
+    "ibanlow": r"(?<![A-Za-z0-9])[a-z]{2}[0-9]{2}(?:[a-z0-9]{11,30}|(?: [a-z0-9]{4}){2,7}(?: [a-z0-9]{1,3})?)(?![A-Za-z0-9])",
     "phone": r"(?<![0-9+])(?:" + _PHONE + r")(?![0-9]|(?:\.[0-9]{1,3}){3}|[/.][0-9]{1,2}[/.][0-9]{4})",
 }
+#: Not within longer runs of digits, as parts of cards and IBANs look like it.
+FORMS["national"] = r"(?<![0-9+])(?<![0-9A-Z][ \-])0[0-9]{2,4}[ \-][0-9]{3,4}[ \-][0-9]{4}(?![0-9]|[ \-][0-9])"
 #: No date, SSN, IP or phone number begins within a card or an IBAN.
 _APART = "(?!" + "|".join(f"(?:{FORMS[k]})" for k in ("date", "ssn", "ip", "phone")) + ")"
 FORMS["iban"] = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: APART)?[A-Z0-9]{4}){2,7}(?:(?: APART)?[A-Z0-9]{1,3})?(?![A-Za-z0-9])".replace("APART", _APART)
 FORMS["card"] = r"(?<![0-9])[0-9](?:(?:[ \-]APART)?[0-9]){12,18}(?![0-9])".replace("APART", _APART)
-PATTERN = "|".join(f"(?:{p})" for p in FORMS.values())
+#: A match alone, without what stands before it.
+ALONE = FORMS | {"spaced": "[0-9]{3} [0-9]{2} [0-9]{4}"}
+PATTERN = "|".join(f"(?:{p})" for p in ALONE.values())
 #: Where a card or an IBAN may begin, a match goes on over all that could belong to it or to a value after it; see _resolved.
 #: Possessive, as Java's regular expressions else recurse once a repetition; it stops before an e-mail address.
 _NO_MAIL = r"(?![A-Za-z0-9._%+\-]{0,64}@)"
@@ -83,11 +93,19 @@ def permuted_digits(digits: Column, key: str, tweak: Column) -> Column:
     return let(done, lambda s: F.concat(F.when(half > 0, F.lpad(s["h"].cast("string"), half, "0")).otherwise(""), F.lpad(s["l"].cast("string"), n - half, "0")))
 
 
+#: Small and capital letters beyond a to z: Latin-1 and the basic Cyrillic and Greek alphabets.
+_ALPHABETS = [x for first, last in ((0xE0, 0xF6), (0x430, 0x44F), (0x3B1, 0x3C1)) for x in ("".join(map(chr, range(first, last + 1))), "".join(map(chr, range(first, last + 1))).upper())]
+
+
 def _moved(char: Column, by: Column) -> Column:
-    """The character by so many places on among the digits, small or capital letters; others stay."""
+    """The character by so many places on in its class (digits, small or capital letters of an alphabet); others stay."""
     code = F.ascii(char)
+    within = lambda alphabet: F.substring(F.lit(alphabet), F.pmod(F.instr(F.lit(alphabet), char) - 1 + by, F.lit(len(alphabet))) + 1, F.lit(1))
+    other = char
+    for alphabet in _ALPHABETS:
+        other = F.when(F.instr(F.lit(alphabet), char) > 0, within(alphabet)).otherwise(other)
     turn = lambda first, size: F.char(F.lit(first) + F.pmod(code - first + by, F.lit(size)))
-    return F.when(char.rlike("^[0-9]$"), turn(48, 10)).when(char.rlike("^[a-z]$"), turn(97, 26)).when(char.rlike("^[A-Z]$"), turn(65, 26)).otherwise(char)
+    return F.when(char.rlike("^[0-9]$"), turn(48, 10)).when(char.rlike("^[a-z]$"), turn(97, 26)).when(char.rlike("^[A-Z]$"), turn(65, 26)).when(char.rlike(r"^\p{L}$"), other).otherwise(char)
 
 
 def permuted_letters(text: Column, key: str, tweak: Column) -> Column:
@@ -169,7 +187,8 @@ def _ssn(m: Column, key: str) -> Column:
     area, group, serial = F.substring(m, 1, 3).cast("int"), F.substring(m, 5, 2).cast("int"), F.substring(m, 8, 4).cast("int")
     place = area - F.when(area > 666, 2).otherwise(1)  # 0 to 897
     done = feistel(place, (group - 1) * 9999 + serial - 1, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"), key, F.lit("ssn"))
-    write = lambda s: F.concat(F.lpad((s["h"] + F.when(s["h"] > 664, 2).otherwise(1)).cast("string"), 3, "0"), F.lit("-"), F.lpad((F.floor(s["l"] / 9999) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((s["l"] % 9999 + 1).cast("string"), 4, "0"))
+    mark = F.substring(m, 4, 1)
+    write = lambda s: F.concat(F.lpad((s["h"] + F.when(s["h"] > 664, 2).otherwise(1)).cast("string"), 3, "0"), mark, F.lpad((F.floor(s["l"] / 9999) + 1).cast("string"), 2, "0"), mark, F.lpad((s["l"] % 9999 + 1).cast("string"), 4, "0"))
     return let(done, write)
 
 
@@ -182,12 +201,12 @@ def _ip(m: Column, key: str) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     """The day is permuted within its 400 years, so the result is a day too; order of parts and marks stay."""
-    iso = m.rlike("^[0-9]{4}-")
+    iso = m.rlike("^[0-9]{4}[/.-]")
     part = F.split(m, "[/.-]")
     one, two, year = F.get(part, F.lit(0)).cast("int"), F.get(part, F.lit(1)).cast("int"), F.get(part, F.lit(2))
     swapped = ~iso & (two > 12)
     day, month = F.when(swapped, two).otherwise(one), F.when(swapped, one).otherwise(two)
-    date = F.when(iso, m).otherwise(F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))).try_cast("date")
+    date = F.when(iso, F.regexp_replace(m, "[/.]", "-")).otherwise(F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))).try_cast("date")
     n = F.datediff(date, F.lit("1800-01-01").cast("date"))
     cycle, at = F.floor(n / DAYS), F.pmod(n, F.lit(DAYS))
     done = feistel(F.floor(at / LOW), at % LOW, F.lit(HIGH).cast("long"), F.lit(LOW).cast("long"), key, F.lit("date"))
@@ -199,17 +218,54 @@ def _date(m: Column, key: str) -> Column:
         two_digits = lambda x: F.lpad(x.cast("string"), 2, "0")
         d, mo = two_digits(F.day(new)), two_digits(F.month(new))
         # A swapped date must still be read as one: its day stays above 12 or else it is written the other way.
-        return F.when(iso, F.concat_ws("-", y, mo, d)).when(swapped & (F.day(new) > 12), F.concat(mo, mark, d, mark2, y)).otherwise(F.concat(d, mark, mo, mark2, y))
+        return F.when(iso, F.concat(y, F.substring(m, 5, 1), mo, F.substring(m, 5, 1), d)).when(swapped & (F.day(new) > 12), F.concat(mo, mark, d, mark2, y)).otherwise(F.concat(d, mark, mo, mark2, y))
 
     return F.coalesce(F.when(date.isNotNull() & F.year(date).between(1, 9999), let(done, write)), m)
 
 
 def _phone(m: Column, key: str) -> Column:
-    """Country code (of a written +) and the first digit after it stay; the other digits are permuted."""
-    digits = _digits(m)
-    keep = F.when(m.startswith("+"), F.length(F.regexp_extract(m, "^\\+([0-9]{1,3}?)(?:[ .(-]|[0-9]{6,})", 1)) + 1).otherwise(1)
-    head, tail = F.substring(digits, F.lit(1), keep), F.substring(digits, keep + 1, F.length(digits) - keep)
-    return _refilled(m, F.concat(head, permuted_digits(tail, key, F.concat(F.lit("phone"), head))))
+    """Country code, a zero in brackets after it and the first digit of the number stay; the other digits are permuted.
+
+    A number of ten digits without a country code counts as one of country 1, so a number gets one pseudonym in either form.
+    """
+
+    def of(digits: Column) -> Column:
+        plus = m.startswith("+")
+        code = F.when(plus, F.regexp_extract(digits, f"^({COUNTRY})", 1)).when((F.length(digits) == 10) & ~digits.startswith("0"), "1").otherwise("")
+        trunk = F.when(plus & m.rlike(r"^\+[0-9 .\-]*\(0\)"), 1).otherwise(0)
+        keep = F.when(plus, F.length(code)).otherwise(0) + trunk + 1
+        head, first = F.substring(digits, F.lit(1), keep), F.substring(digits, keep, F.lit(1))
+        tail = F.substring(digits, keep + 1, F.length(digits) - keep)
+        return F.concat(head, permuted_digits(tail, key, F.concat_ws(":", F.lit("phone"), code, first)))
+
+    return _refilled(m, let(_digits(m), of))
+
+
+def _ipv6(m: Column, key: str) -> Column:
+    """The first group stays, the other 112 bits are permuted; written in full."""
+
+    def groups(part: Column) -> Column:
+        return F.filter(F.split(part, ":"), lambda g: g != "")
+
+    def of(s: Column) -> Column:
+        zeros = F.array_repeat(F.lit("0"), F.when(F.contains(m, F.lit("::")), 8 - F.size(s["a"]) - F.size(s["b"])).otherwise(0))
+        return F.array_join(F.transform(F.concat(s["a"], zeros, s["b"]), lambda g: F.lpad(F.lower(g), 4, "0")), "")
+
+    def write(digits: Column) -> Column:
+        number = lambda a, n: F.conv(F.substring(digits, a, n), 16, 10).cast("long")
+        half = F.lit(1 << 56)
+        done = feistel(number(5, 14), number(19, 14), half, half, key, F.concat(F.lit("ipv6"), F.substring(digits, 1, 4)))
+        hexed = let(done, lambda s: F.concat(F.substring(digits, 1, 4), F.lpad(F.hex(s["h"]), 14, "0"), F.lpad(F.hex(s["l"]), 14, "0")))
+        return let(F.lower(hexed), lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(F.substring(h, k * 4 + 1, F.lit(4)), "^0{1,3}", "")), ":"))
+
+    parts = F.struct(groups(F.substring_index(m, "::", 1)).alias("a"), F.when(F.contains(m, F.lit("::")), groups(F.substring_index(m, "::", -1))).otherwise(F.array().cast("array<string>")).alias("b"))
+    whole = let(parts, of)
+    valid = m.rlike(f"^(?:{_GROUP}:){{7}}{_GROUP}$") | (F.size(F.filter(F.split(m, ":"), lambda g: g != "")) <= 7)
+    return F.when(valid, let(whole, write)).otherwise(m)
+
+
+def _iban_low(m: Column, key: str) -> Column:
+    return F.lower(_iban(F.upper(m), key))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -217,13 +273,13 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(permuted_letters(F.substring(m, F.lit(1), at - 1), key, F.lit("email")), F.substring(m, at, F.length(m)))
 
 
-_NEW = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
+_NEW = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "ipv6": _ipv6, "spaced": _ssn, "ibanlow": _iban_low, "phone": _phone, "national": _phone, "card": _card}
 
 
 def kind_of(match: Column) -> Column:
-    out = F.when(F.contains(match, F.lit("@")), "email").when(match.rlike("^[A-Z]"), "iban")
-    for kind in ("date", "ssn", "ip", "phone"):
-        out = out.when(match.rlike(f"^(?:{FORMS[kind]})$"), kind)
+    out = F.when(F.contains(match, F.lit("@")), "email").when(F.contains(match, F.lit(":")), "ipv6").when(match.rlike("^[A-Z]"), "iban").when(match.rlike("^[a-z]"), "ibanlow")
+    for kind in ("date", "ssn", "spaced", "ip", "phone", "national"):
+        out = out.when(match.rlike(f"^(?:{ALONE[kind]})$"), kind)
     return out.otherwise("card")
 
 
@@ -282,25 +338,29 @@ def replaced(match: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """docs with every valid e-mail address, IBAN, date, social security, IP, phone and card number in the
+    """docs with every valid e-mail address, IBAN, date, social security, IP (4 and 6), phone and card number in the
     text replaced by a keyed pseudonym of the same form; count_col, if named, gets how many changed.
 
     Each value is permuted among the values of its form by Feistel rounds keyed with SHA-256, and check
     digits are made anew, so equal values get equal pseudonyms in all documents and different ones differ.
     Kept as they are: an address's domain, a card's first digit, a phone's country code and first digit,
-    an IBAN's country, separators. What looks like a number but fails its check stays.
+    an IBAN's country, an IPv6 address's first group, separators. What looks like a number but fails its check stays. A social security number
+    with spaces is taken only behind words that say so; a phone of a country other than 1 has one pseudonym only where its code is written.
 
-    A null text stays null (count 0), an empty one empty; all rows and other columns stay. If docs has
+    A null text stays null (count 0), an empty one empty; all rows and other columns stay, whatever their names. If docs has
     several columns named like the text, the first is taken as the text.
     """
-    text = F.col(text_col)
+    names = docs.columns
+    at = names.index(text_col)
+    docs = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    text = F.col(f"c{at}")
     # Every form has a digit or an @; only texts with either are searched.
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(SEARCH), F.lit(0)))
-    rows = docs.withColumn("__found", found).withColumn("__new", F.transform("__found", lambda m: replaced(m, key)))
+    rows = docs.withColumn("found", found).withColumn("new", F.transform("found", lambda m: replaced(m, key)))
     # one more piece than matches: the text between them, each followed by the new value
-    pieces = F.zip_with(F.split(text, SEARCH, -1), "__new", lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit(""))))
-    rows = rows.withColumn(text_col, F.when(F.size("__new") > 0, F.array_join(pieces, "")).otherwise(text))
+    pieces = F.zip_with(F.split(text, SEARCH, -1), "new", lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit(""))))
+    out = [F.when(F.size("new") > 0, F.array_join(pieces, "")).otherwise(text) if k == at else F.col(f"c{k}") for k in range(len(names))]
     if count_col:
-        changed = F.aggregate("__new", F.lit(0), lambda s, x: s + x["n"])
-        rows = rows.withColumn(count_col, F.when(F.size("__new") > 0, changed).otherwise(0))
-    return rows.drop("__found", "__new")
+        out.append(F.when(F.size("new") > 0, F.aggregate("new", F.lit(0), lambda s, x: s + x["n"])).otherwise(0))
+        names = [*names, count_col]
+    return rows.select(*(c.alias(f"o{k}") for k, c in enumerate(out))).toDF(*names)

@@ -81,3 +81,83 @@ def test_values_beside_other_digits(spark):
     assert got[1]["text"].endswith(" 123") and got[3]["text"].startswith("order 1234567 ") and got[4]["text"].endswith(" EUR")
     long = "1234567 " * 3000
     assert len(run(spark, [long])[0]) == len(long)
+
+
+def test_further_forms(spark):
+    texts = ["ip 2001:db8::8a2e:370:7334 and 2001:0db8:0000:0000:0000:8A2E:0370:7334.", "fe80::1 abc::def std::vector 12:30:45", "de89 3704 0044 0532 0130 00 or de89370400440532013000", "SSN 078 05 1120, Social Security number: 078 05 1120", "ring 020 7946 0958", "born 1990/05/06 or 1990.05.06", "write to É@x.org and josé.ñ@mail.com", "(555) 123-4567 or +1 555 123 4567 or +1 (555) 123-4567 or 555-123-4567", "+44 (0)20 7946 0958 +44 20 7946 0958 +442079460958"]
+    got = run(spark, texts)
+    one, two = re.fullmatch(r"ip (\S+) and (\S+)\.", got[0]).groups()
+    import ipaddress
+
+    assert one == two and ipaddress.ip_address(one) and one.startswith("2001:") and "370:7334" not in one
+    a, rest = got[1].split(" ", 1)
+    assert ipaddress.ip_address(a) and a != "fe80::1" and rest == "abc::def std::vector 12:30:45"
+    spaced, plain = re.fullmatch(r"(de\d\d (?:\d{4} ){4}\d\d) or (de\d{20})", got[2]).groups()
+    assert spaced.replace(" ", "") == plain != "de89370400440532013000"
+    assert plain.upper() == run(spark, ["DE89 3704 0044 0532 0130 00"])[0].replace(" ", "")
+    s1, s2 = re.fullmatch(r"SSN (\d{3} \d\d \d{4}), Social Security number: (\d{3} \d\d \d{4})", got[3]).groups()
+    assert s1 == s2 != "078 05 1120" and s1.replace(" ", "-") == run(spark, ["078-05-1120"])[0]
+    assert re.fullmatch(r"ring 0\d\d \d{4} \d{4}", got[4]) and got[4] != texts[4]
+    d1, d2 = re.fullmatch(r"born (\d{4}/\d\d/\d\d) or (\d{4}\.\d\d\.\d\d)", got[5]).groups()
+    assert d1.replace("/", ".") == d2 != "1990.05.06" and date.fromisoformat(d2.replace(".", "-"))
+    assert re.fullmatch(r"write to [À-Ö]@x\.org and [a-zà-ö]{4}\.[à-ö]@mail\.com", got[6]) and "É@" not in got[6] and "josé" not in got[6]
+    numbers = [re.sub(r"\D", "", x)[-10:] for x in got[7].split(" or ")]
+    assert len(set(numbers)) == 1 and numbers[0] != "5551234567" and numbers[0][0] == "5"
+    uk = [re.sub(r"\D", "", x).replace("440", "44", 1) for x in got[8].split(" +")]
+    assert len(set(uk)) == 1 and uk[0] != "442079460958" and "(0)" in got[8]
+
+
+def plain_feistel(high, low, sizes, key, tweak):
+    """The permutation, written out."""
+    import hashlib
+
+    tweak = f"{key}:{tweak}:{sizes[0]}:{sizes[1]}"
+    for k in range(pii.ROUNDS):
+        move = int(hashlib.sha256(f"{tweak}|{k}|{low if k % 2 == 0 else high}".encode()).hexdigest()[:15], 16)
+        if k % 2 == 0:
+            high = (high + move) % sizes[0]
+        else:
+            low = (low + move) % sizes[1]
+    return high, low
+
+
+def plain_digits(digits, key, tweak):
+    half = len(digits) // 2
+    h, l = plain_feistel(int("0" + digits[:half]), int(digits[half:]), (10**half, 10 ** (len(digits) - half)), key, tweak)
+    return (str(h).zfill(half) if half else "") + str(l).zfill(len(digits) - half)
+
+
+def test_against_plain_python(spark):
+    """Cards, SSNs, addresses and phones of many values against the same permutation in plain Python."""
+    import random
+
+    rnd = random.Random(5)
+    texts, want = [], []
+    for _ in range(60):
+        body = "4" + "".join(rnd.choice("0123456789") for _ in range(14))
+        check = lambda b: next(d for d in "0123456789" if luhn(b + d))
+        new = "4" + plain_digits(body[1:], "key", "card4")
+        texts.append(f"card {body}{check(body)}.")
+        want.append(f"card {new}{check(new)}.")
+        a, g, n = rnd.choice([k for k in range(1, 900) if k != 666]), rnd.randrange(1, 100), rnd.randrange(1, 10000)
+        h, l = plain_feistel(a - (2 if a > 666 else 1), (g - 1) * 9999 + n - 1, (898, 99 * 9999), "key", "ssn")
+        texts.append(f"ssn {a:03}-{g:02}-{n:04}.")
+        want.append(f"ssn {h + (2 if h > 664 else 1):03}-{l // 9999 + 1:02}-{l % 9999 + 1:04}.")
+        o = [rnd.randrange(256) for _ in range(4)]
+        h, l = plain_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), "key", "ip")
+        texts.append("at " + ".".join(map(str, o)) + " now")
+        want.append(f"at {h // 256}.{h % 256}.{l // 256}.{l % 256} now")
+        p = str(rnd.randrange(2, 10)) + "".join(rnd.choice("0123456789") for _ in range(9))
+        q = p[0] + plain_digits(p[1:], "key", f"phone:1:{p[0]}")
+        texts.append(f"+1 ({p[:3]}) {p[3:6]}-{p[6:]}")
+        want.append(f"+1 ({q[:3]}) {q[3:6]}-{q[6:]}")
+    assert run(spark, texts) == want
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a 078-05-1120", "x", "y", "keep 078-05-1120")], "doc_id long, text string, __found string, __new string, other string")
+    twice = df.selectExpr("*", "other as text2").toDF("doc_id", "text", "__found", "__new", "c1", "text")
+    out = pii.pseudonymise(twice, "key", count_col="n")
+    assert out.columns == ["doc_id", "text", "__found", "__new", "c1", "text", "n"]
+    row = tuple(out.collect()[0])
+    assert row[2:6] == ("x", "y", "keep 078-05-1120", "keep 078-05-1120") and row[1] != "a 078-05-1120" and row[6] == 1
