@@ -88,14 +88,14 @@ def _unit(values: np.ndarray) -> np.ndarray:
     return values / np.sqrt(np.einsum("ij,ij->i", values, values))[:, None]
 
 
-def _cell_links(plan: Plan, least_cosine: float):
+def _cell_links(plans: dict[int, Plan], least_cosine: float, kind: str):
     """For the rows (id, copies, vector, block, ...) of a cell's two blocks: links and numbers of links."""
 
     def work(table: pa.Table) -> pa.Table:
-        t = table.column("t")[0].as_py()
+        t, plan = table.column("t")[0].as_py(), plans[table.column("d")[0].as_py()]
         one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
         ids, copies, block = (table.column(c).to_numpy() for c in ("id", "copies", "block"))
-        unit = np.stack([np.frombuffer(x.as_py(), "<f8") for x in table.column("unit")])
+        unit = _unit(np.frombuffer(b"".join(table.column("raw").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64))
         cells = plan.cells(unit)
         p = unit @ plan.directions
         first, second = np.flatnonzero(block == one), np.flatnonzero(block == two)
@@ -125,7 +125,7 @@ def _cell_links(plan: Plan, least_cosine: float):
     return work
 
 
-def near_duplicates(vectors: DataFrame, least_cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block_rows: int = 1000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least_cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block_rows: int = 500) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row: vectors of equal label and high cosine are linked.
 
     Cosines are in double precision. Equal vectors of a label are one entry with a number of copies.
@@ -135,48 +135,48 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.98, id_col: str
     row per pair. A cell of more than about block_rows entries is cut into blocks and each two blocks
     are compared by a task of their own.
 
-    A vector that is null, empty, zero, of another length than most, or holds nulls or non-finite values,
+    Vectors of each length are compared among themselves. Rows carry their vector as it is in the table, 4 bytes a number of single precision.
+
+    A vector that is null, empty, zero, or holds nulls or non-finite values,
     and one with a null label, has no links and is its own component. Null ids are kept, alone.
     Repeated rows count as copies of each other. An empty table gives no rows.
     """
+    kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & (F.coalesce(norm, F.lit(0.0)) > 0) & (F.coalesce(norm, F.lit(0.0)) < float("inf")) & ~F.isnan(F.coalesce(norm, F.lit(0.0)))
     source = source.select("vec_id", "label", "v", F.coalesce(usable, F.lit(False)).alias("usable"), F.xxhash64("v").alias("h"), F.size("v").alias("d"))
     base = stored(source, "vectors")
-    lengths = base.where("usable").groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     alone = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if lengths is None:
+    entries = stored(base.where("usable").groupBy("label", "d", "h", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vector-entries")
+    most = entries.groupBy("label", "d").count().groupBy("d").agg(F.max("count").alias("n")).collect()  # a row a length
+    if not most:
         return alone
-    d = lengths["d"]
-    good = F.col("usable") & (F.col("d") == d)
-    entries = stored(base.where(good).groupBy("label", "h", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vector-entries")
-    most = entries.groupBy("label").count().agg(F.max("count")).first()[0]
-    plan = Plan(d, least_cosine, most)
+    plans = {r["d"]: Plan(r["d"], least_cosine, r["n"]) for r in most}
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            unit = _unit(batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
-            cells = plan.cells(unit).view(np.int64)
-            raw = pa.array([u.astype("<f8").tobytes() for u in unit], pa.binary())
-            for t in range(plan.tables):
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), raw, pa.array(np.full(len(unit), t, np.int32)), pa.array(cells[:, t])], ["label", "id", "copies", "unit", "t", "cell"])
-
-    placed = entries.select("label", "id", "copies", "v").mapInArrow(celled, "label string, id long, copies long, unit binary, t int, cell long")
-    sizes = placed.groupBy("label", "t", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    placed = placed.join(stored(sizes, "cells"), ["label", "t", "cell"])
+            lengths = batch.column(4).to_numpy()
+            for d in np.unique(lengths).tolist():
+                part, plan = batch.filter(pa.array(lengths == d)), plans[d]
+                values = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                cells = plan.cells(_unit(values)).view(np.int64)
+                raw = pa.array([x.tobytes() for x in values.astype(kind)], pa.binary())
+                for t in range(plan.tables):
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), raw, part.column(4), pa.array(np.full(len(part), t, np.int32)), pa.array(cells[:, t])], ["label", "id", "copies", "raw", "d", "t", "cell"])
+
+    placed = entries.select("label", "id", "copies", "v", "d").mapInArrow(celled, "label string, id long, copies long, raw binary, d int, t int, cell long")
+    sizes = placed.groupBy("label", "d", "t", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    placed = placed.join(stored(sizes, "cells"), ["label", "d", "t", "cell"])
     blocks = F.ceil(F.col("n") / block_rows).cast("int")
     placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    keys = ["label", "t", "cell", "one", "two"]
-    dealt = paired.select(*keys, "id", "copies", "unit", "block").repartition(*keys)  # else all blocks of a cell stay in its task
-    found = stored(dealt.groupBy(*keys).applyInArrow(_cell_links(plan, least_cosine), "id long, root long, links long"), "vector-links")
+    keys = ["label", "d", "t", "cell", "one", "two"]
+    dealt = paired.select(*keys, "id", "copies", "raw", "block").repartition(*keys)  # else all blocks of a cell stay in its task
+    found = stored(dealt.groupBy(*keys).applyInArrow(_cell_links(plans, least_cosine, kind), "id long, root long, links long"), "vector-links")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     member = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     entry = entries.join(linked, "id", "left").join(member, F.col("id") == F.col("node"), "left").select(F.col("label").alias("_label"), F.col("h").alias("_h"), F.col("v").alias("_v"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component_id", "id").alias("component_id"))
-    rows = base.withColumn("good", good)
-    joined = rows.join(entry, F.col("good") & (F.col("label") == F.col("_label")) & (F.col("h") == F.col("_h")) & (F.col("v") == F.col("_v")), "left")
+    joined = base.join(entry, F.col("usable") & (F.col("label") == F.col("_label")) & (F.col("h") == F.col("_h")) & (F.col("v") == F.col("_v")), "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -81,3 +81,34 @@ def test_sql_gives_the_same_rows(spark):
 
     name = "op9_embedding_near_dedup"
     compare(spark, "/root/testdata/sf0.01", QUERIES[name], ORACLE_SQL[name])
+
+
+def test_many_vectors_of_two_lengths(spark):
+    """10,000 vectors with groups of near copies, chains and strangers, in cells and blocks, against all pairs."""
+    rng = np.random.default_rng(4)
+    v = []
+    for d, n in ((32, 8000), (16, 2000)):
+        base = rng.standard_normal((n // 40, d))
+        near = base[rng.integers(0, len(base), n // 2)] + rng.normal(0, 0.08, (n // 2, d))
+        crowd = base[0] + rng.normal(0, 0.09, (n // 4, d))
+        v.append(np.concatenate([near, crowd, rng.standard_normal((n - n // 2 - n // 4, d))]).astype(np.float32))
+    rows, want, at = [], {}, 0
+    for x in v:
+        label = rng.integers(0, 2, len(x))
+        unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+        links = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+        np.fill_diagonal(links, False)
+        from cadenza.llm.common import roots
+
+        a, b = np.nonzero(links)
+        comp = roots(a, b, len(x)) + at
+        for k in range(len(x)):
+            rows.append((at + k, x[k].tolist(), int(label[k])))
+            want[at + k] = (int(links[k].sum()), int(comp[k]))
+        at += len(x)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(df).collect()}
+    total, found = sum(n for n, _ in want.values()), sum(n for n, _ in got.values())
+    assert len(got) == len(want) and all(got[i][0] <= want[i][0] for i in want)
+    assert found >= 0.998 * total > 100_000, (found, total)
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.995 * len(want)
