@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -104,14 +104,23 @@ class LanguageModel:
 
 
 def temperature_of(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least log loss, among 1/16 to 16."""
+    """The temperature with the least log loss on held-out texts, from 1/256 to 256.
+
+    As in Platt's calibration the targets are not 1 but (n + 1) / (n + 2) of n texts, the rest for the other classes: where
+    all texts are told right the loss is least at a probability that so many texts can vouch for, not at the grid's edge.
+    """
+    n, k = logits.shape if len(labels) else (0, 0)
+    if k < 2:
+        return 1.0
+    target = np.full((n, k), 1 / (n + 2) / (k - 1))
+    target[np.arange(n), labels] = (n + 1) / (n + 2)
 
     def loss(t: float) -> float:
         x = logits / t
         x = x - x.max(1, keepdims=True)
-        return float((np.log(np.exp(x).sum(1)) - x[np.arange(len(x)), labels]).mean())
+        return float((np.log(np.exp(x).sum(1)) - (target * x).sum(1)).mean())
 
-    return float(min(np.geomspace(1 / 16, 16, 65), key=loss)) if len(labels) else 1.0
+    return float(min(np.geomspace(1 / 256, 256, 257), key=loss))
 
 
 def _document_counts(features: Features):
@@ -130,20 +139,17 @@ def _document_counts(features: Features):
     return work
 
 
-def _fit(features: Features, languages: list[str], idf: np.ndarray, per_language: int, epochs: int):
+def _fit(features: Features, languages: list[str], idf: np.ndarray, epochs: int):
     """Trains on the rows (text, lang, draw) of one task; a row with temperature and weights comes out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(features, languages, idf, np.zeros((0, 0)), 1.0)
-        taken = dict.fromkeys(languages, 0)
         rows = []
         for batch in batches:
             for text, lang, draw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if taken[lang] < per_language:
-                    taken[lang] += 1
-                    at, x = model.vector(text)
-                    rows.append((draw, languages.index(lang), at.astype(np.int32), x.astype(np.float32)))
-        rows.sort(key=lambda r: r[0])
+                at, x = model.vector(text)
+                rows.append((draw, languages.index(lang), at.astype(np.int32), x.astype(np.float32)))
+        rows.sort(key=lambda r: r[:2])
         held = rows[::5] if len(rows) >= 50 else []
         learnt = [r for k, r in enumerate(rows) if k % 5] if held else rows
         ftrl = Ftrl(len(languages), features.size)
@@ -161,7 +167,7 @@ def learn(labelled: DataFrame, features: Features | None = None, per_language: i
     """Learn languages from rows of text and language; rows with a null in either are left out.
 
     Inverse document frequencies are counted over all rows. The classifier is fitted by one task on a
-    sample of at most per_language rows of each language, drawn by a hash of the text; a fifth of them
+    sample of at most per_language different texts of each language, those with the smallest hashes; a fifth of them
     calibrates the temperature (1 with fewer than 50 rows, which are all learnt from). No labelled row: a model that answers und.
     """
     features = features or Features()
@@ -177,9 +183,12 @@ def learn(labelled: DataFrame, features: Features | None = None, per_language: i
     share: Column = F.lit(None)
     for lang, k in count.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * per_language / k + 20 / k))).otherwise(share)
-    draw = F.xxhash64(F.lit("draw"), "text")
-    sample = rows.withColumn("draw", draw).where((F.pmod("draw", F.lit(1 << 30)) / (1 << 30)) < share)
-    fitted = sample.repartition(1).mapInArrow(_fit(features, languages, idf, per_language, epochs), "temperature double, weights binary").first()
+    draw = F.pmod(F.xxhash64(F.lit("draw"), "text"), F.lit(1 << 50))
+    drawn = rows.withColumn("draw", draw).where(F.col("draw") / (1 << 50) < share).dropDuplicates(["lang", "draw"])
+    # The share lets little more than the sample through, so a language's rows fit one task.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    sample = drawn.withColumn("rank", rank).where(F.col("rank") <= per_language).select("text", "lang", "draw")
+    fitted = sample.repartition(1).mapInArrow(_fit(features, languages, idf, epochs), "temperature double, weights binary").first()
     return LanguageModel(features, languages, idf, np.frombuffer(fitted["weights"], np.float32).reshape(features.size, len(languages)), fitted["temperature"])
 
 

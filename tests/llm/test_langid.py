@@ -29,3 +29,28 @@ def test_parts_of_long_texts_count_as_the_whole():
     text = "abcdefghij klmno" * 400
     whole, parts = f(text), f(text, part=100)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_temperature_is_inside_the_grid(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    labels = rng.integers(0, 3, 400)
+    apart = np.eye(3)[labels] * 9 + rng.normal(0, 0.5, (400, 3))  # all told right
+    mixed = np.eye(3)[labels] * 2 + rng.normal(0, 2.0, (400, 3))
+    for logits in (apart, mixed, apart / 100, mixed * 50):
+        t = langid.temperature_of(logits, labels)
+        assert 1 / 200 < t < 200
+    p = np.exp(mixed / langid.temperature_of(mixed, labels))
+    p = (p / p.sum(1, keepdims=True)).max(1)
+    assert abs(p.mean() - (mixed.argmax(1) == labels).mean()) < 0.05  # calibrated
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert 1 / 200 < langid.learn(docs).temperature < 200
+
+
+def test_the_sample_is_that_of_the_smallest_hashes(spark):
+    """Copies of one text count once, and how rows are dealt out doesn't matter."""
+    rows = [(f"{'the cat' if k % 2 else 'le chat'} number {k}", "en" if k % 2 else "fr") for k in range(400)] + [("the same text again", "en")] * 400
+    df = spark.createDataFrame(rows, "text string, lang string")
+    one, two = langid.learn(df.repartition(3), per_language=50), langid.learn(df.repartition(7), per_language=50)
+    assert (one.weights == two.weights).all() and one.temperature == two.temperature
