@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import map_file, new_folder, store_file
+
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -53,6 +56,7 @@ class Item:
     item_id: int
     text: str
     budget: int
+    whole: bool = False  # too short to be sought inside a document: only one that is nothing else holds it
 
 
 def pieces(item: Item) -> list[tuple[int, str]]:
@@ -68,7 +72,11 @@ class Matcher:
     def __init__(self, items: list[Item]):
         self.items = items
         at: dict[str, list[tuple[int, int]]] = {}
+        self.short: dict[str, list[int]] = {}
         for k, item in enumerate(items):
+            if item.whole:
+                self.short.setdefault(item.text, []).append(item.item_id)
+                continue
             for offset, piece in pieces(item):
                 at.setdefault(piece, []).append((k, offset))
         self.automaton = ahocorasick.Automaton()
@@ -82,7 +90,7 @@ class Matcher:
         if not self.items or not text:
             return []
         windows: dict[int, list[tuple[int, int]]] = {}
-        for end, (size, where) in self.automaton.iter(text):
+        for end, (size, where) in self.automaton.iter(text) if len(self.automaton) else ():
             for k, offset in where:
                 item = self.items[k]
                 a = max(0, end + 1 - size - offset - item.budget)
@@ -96,32 +104,45 @@ class Matcher:
         for k, spans in windows.items():
             item = self.items[k]
             best = item.budget + 1
+            if not item.budget:  # unchanged, from word to word
+                best = 0 if f" {item.text} " in f" {text} " else 1
             for a, b in spans:
-                if b - a >= len(item.text) - item.budget and best:
+                if item.budget and b - a >= len(item.text) - item.budget and best:
                     best = min(best, best_distance(item.text, text[a:b], item.budget))
             if best <= item.budget:
                 out.append((item.item_id, best))
-        return sorted(out)
+        return sorted(out + [(i, 0) for i in self.short.get(text, [])])
 
 
-def benchmark_items(benchmark: DataFrame, error_rate: float = 0.05, least_piece: int = 16, id_col: str = "item_id", text_col: str = "text", most_chars: int = 2_000_000) -> list[list[Item]]:
-    """The benchmark's items, normalised, in blocks of bounded size for one pass over the documents each.
+def benchmark_items(benchmark: DataFrame, error_rate: float = 0.05, least_piece: int = 16, least_chars: int = 20, id_col: str = "item_id", text_col: str = "text", block_chars: int = 2_000_000) -> list[str]:
+    """The paths of files in the shared folder with the benchmark's items, normalised, in blocks of about block_chars characters.
 
-    An item's budget is error_rate of its length, but no more than leaves pieces of least_piece
-    characters. Null items and those without a letter or digit match nothing and are left out.
+    Tasks write and read them; the driver knows the paths only. An item's budget is error_rate of its length, but no more than leaves pieces of
+    least_piece characters. Items of under least_chars characters count as whole (see Item). Null items and
+    those without a letter or digit match nothing and are left out.
     """
-    blocks: list[list[Item]] = [[]]
-    chars = 0
-    for r in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
-        text = normalised(r["t"])
-        if not text:
-            continue
-        if chars + len(text) > most_chars and blocks[-1]:
-            blocks.append([])
-            chars = 0
-        chars += len(text)
-        blocks[-1].append(Item(r["i"], text, max(0, min(int(len(text) * error_rate), len(text) // least_piece - 1))))
-    return blocks
+    chars = benchmark.agg(F.sum(F.length(text_col))).first()[0]
+    blocks = max(1, -(-(chars or 0) // block_chars))
+    folder = new_folder(benchmark.sparkSession, "benchmark")
+
+    def work(table: pa.Table) -> pa.Table:
+        k = table.column("block")[0].as_py()
+        items = []
+        for i, t in sorted(zip(table.column("i").to_pylist(), table.column("t").to_pylist(), strict=True)):
+            text = normalised(t)
+            if text:
+                short = len(text) < least_chars
+                items.append(Item(i, text, 0 if short else max(0, min(int(len(text) * error_rate), len(text) // least_piece - 1)), short))
+        store_file(f"{folder}/{k}", pickle.dumps(items))
+        return pa.table({"block": pa.array([k], pa.int32())})
+
+    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct()
+    made = items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(work, "block int")
+    return [f"{folder}/{r['block']}" for r in made.orderBy("block").collect()]
+
+
+def read_items(path: str) -> list[Item]:
+    return pickle.loads(map_file(path).tobytes())
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,22 +151,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05,
     A document is contaminated if it holds an item with edits for at most error_rate of its characters,
     after case, punctuation and white space are levelled. Pieces of all items are sought in one pass of a
     multi-pattern automaton; a pigeonhole piece must occur unchanged wherever an item does, so no match
-    within the budget is missed. Benchmarks larger than the bound of benchmark_items take a pass per block.
+    within the budget is missed. Items without a budget must stand from word to word; items of under 20 characters match only a
+    document that is nothing else, as they occur in ordinary text. Benchmarks larger than a block of benchmark_items take a pass per block.
 
     Null and empty texts hold nothing. Null ids and repeated rows each keep their row. Other columns are
     ignored.
     """
     kind = "array<struct<item_id:bigint,distance:int>>"
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.array().cast(kind).alias("items"))
-    for items in benchmark_items(benchmark, error_rate):
-        found = found.mapInArrow(_leaks(items), f"doc_id long, text string, items {kind}")
+    for path in benchmark_items(benchmark, error_rate):
+        found = found.mapInArrow(_leaks(path), f"doc_id long, text string, items {kind}")
     items = F.array_sort("items")
     return found.select("doc_id", F.size("items").alias("n_items"), items.alias("items"), (F.size("items") > 0).alias("contaminated"))
 
 
-def _leaks(items: list[Item]):
+def _leaks(path: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items)
+        matcher = Matcher(read_items(path))
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
         for batch in batches:
             got = [had + [{"item_id": i, "distance": d} for i, d in matcher.matches(normalised(x.as_py()))] for x, had in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
@@ -158,14 +180,14 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05,
     """The rows of docs, all columns, that hold no benchmark item."""
     at = docs.columns.index(text_col)
 
-    def dropping(items: list[Item]):
+    def dropping(path: str):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items)
+            matcher = Matcher(read_items(path))
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.matches(normalised(x.as_py())) for x in batch.column(at)], pa.bool_()))
 
         return work
 
-    for items in benchmark_items(benchmark, error_rate):
-        docs = docs.mapInArrow(dropping(items), docs.schema)
+    for path in benchmark_items(benchmark, error_rate):
+        docs = docs.mapInArrow(dropping(path), docs.schema)
     return docs

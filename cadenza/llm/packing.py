@@ -31,7 +31,7 @@ class Tokens:
     """Ids of texts by a lower-casing byte-level tokenizer that parts words at white space.
 
     They come as little-endian uint32 bytes. Words between white space are encoded once and kept, up to
-    so many; so are their parts, which the tokenizer's model encodes one by one.
+    so many of at most 64 characters; so are their parts, which the tokenizer's model encodes one by one.
     """
 
     def __init__(self, tokenizer_file: str, most_words: int = 500_000):
@@ -53,7 +53,7 @@ class Tokens:
             word = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode().decode("latin-1")))
             ids = [t.id for t in self.model.tokenize(word)]
             got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.parts) < self.most:
+            if len(self.parts) < self.most and len(part) <= 64:
                 self.parts[part] = got
         return got
 
@@ -72,8 +72,8 @@ class Tokens:
         known = self.known
         fresh = self._words([w for w in set().union(*(words for words in split if words)) if w not in known])
         if len(self.known) + len(fresh) <= self.most:
-            known.update(fresh)
-            fresh = {}
+            known.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
+            fresh = {w: ids for w, ids in fresh.items() if len(w) > 64}
         get = known.get
         out = []
         for text, words in zip(texts, split, strict=True):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,15 +175,10 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
         shard = F.when(F.col("digest") == F.lit(d), F.lit(i)).otherwise(shard)
     blocks = max(1, -(-(rows or 0) // (shards * block_rows)))
     placed = stored(
-        base.join(groups.select("digest", shard.cast("int").alias("shard")), "digest").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")),
+        base.join(groups.select("digest", shard.cast("int").alias("shard")), "digest").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).alias("block")),
         "shard-placed",
     )
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "block").agg(F.count("*").alias("n")).select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     numbered = placed.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32")))
     return numbered.join(starts, ["shard", "block"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"))
-
-
-def shard_of_positions(starts: list[int], n: int) -> list[int]:
-    """The shard of each of n ordered groups, from the positions at which shards start."""
-    return [bisect_right(starts, i) - 1 for i in range(n)]

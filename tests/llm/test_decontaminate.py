@@ -36,7 +36,7 @@ def test_no_match_within_the_budget_is_missed():
         text = "".join(rnd.choice("abcdefgh ") for _ in range(200))
         k = rnd.randrange(200)
         text = text[:k] + edited(rnd, item.text, rnd.randint(0, item.budget + 3)) + text[k:]
-        want = [(i.item_id, d) for i in items if (d := brute_distance(i.text, text)) <= i.budget]
+        want = [(i.item_id, d) for i in items if (d := brute_distance(i.text, text)) <= i.budget and (i.budget or f" {i.text} " in f" {text} ")]
         assert matcher.matches(text) == want
 
 
@@ -60,4 +60,15 @@ def test_odd_rows(spark):
     assert [(r["doc_id"], r["n_items"]) for r in D.find_leaks(docs, bench).collect()] == [(1, 0), (2, 0), (None, 1), (3, 0)]
     assert D.find_leaks(docs, bench.limit(0)).where("contaminated").count() == 0
     assert D.find_leaks(docs.limit(0), bench).count() == 0
-    assert len(D.benchmark_items(bench, most_chars=5)) == 1
+    more = spark.createDataFrame([(k, f"item number {k} of a benchmark, with some words") for k in range(30)], "item_id long, text string")
+    parts = D.benchmark_items(more, block_chars=300)
+    assert len(parts) > 1 and sorted(i.item_id for p in parts for i in D.read_items(p)) == list(range(30))
+    leaks = D.find_leaks(spark.createDataFrame([(k, f"so: Item number {k} of a benchmark - with some words.") for k in range(30)], "doc_id long, text string"), more.limit(30))
+    assert leaks.where("array_contains(transform(items, x -> x.item_id), doc_id)").count() == 30
+
+
+def test_short_items(spark):
+    docs = spark.createDataFrame([(1, "The museum opened yesterday."), (2, "Yes!"), (3, "yes yes"), (4, "a"), (5, "It was a cold night in the town."), (6, "it was a cold night in the townhall, they say")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "yes"), (2, "A"), (3, "a cold night in the town")], "item_id long, text string")
+    got = {r["doc_id"]: [(x["item_id"], x["distance"]) for x in r["items"]] for r in D.find_leaks(docs, bench).collect()}
+    assert got == {1: [], 2: [(1, 0)], 3: [], 4: [(2, 0)], 5: [(3, 0)], 6: []}
