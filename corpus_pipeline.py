@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import decontaminate, langid, packing, pii, simhash
 from cadenza.llm.common import new_folder, stored
-from cadenza.llm.queries import PII_KEY, tokenizer_file
+from cadenza.llm.queries import pii_key, tokenizer_file
 
 #: Near copies share 0.8 of the five-word shingles of both. Their 128-bit SimHash differs in about 19 bits then (acos(2 * 0.8 / 1.8)),
 #: that of unrelated texts in about 64; the index takes what differs in up to 34 as candidates.
@@ -50,7 +50,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal numbers, dates and addresses by pseudonyms."""
-    return pii.pseudonymise(docs, PII_KEY)
+    return pii.pseudonymise(docs, pii_key(spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
