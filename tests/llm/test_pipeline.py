@@ -40,7 +40,7 @@ def test_odd_rows(spark):
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     text = "the cat and the dog and the bird and one more word here"
     rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text, "en", None, None), (3, None, "en", "a", 1), (4, "", "en", "a", 1), (None, "another text altogether, of some words", None, "a", 1), (5, "long words " * 20000, "en", "a", 1), (6, "12 34", "en", "a", 1)]
-    docs = spark.createDataFrame(rows, schema).selectExpr("*", "1 as component_id", "2 as lang_pred", "3 as n", "4 as ids")
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "1 as component_id", "2 as lang_pred", "3 as n", "4 as ids", "5 as _again", "6 as _gone", "7 as _h", "8 as __found")
     kept = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
