@@ -31,16 +31,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard similarity of the five-word shingles of 0.8, exactly checked) keep one document, that with the smallest id.
 
-    Rows of equal id and text are one document and are kept once.
+    Rows of equal id and text are one document and are kept once. Other columns may have any names.
     """
-    key = F.struct("doc_id", F.xxhash64("text"))
+    names = docs.columns
+    doc_id, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    docs = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    key = F.struct(doc_id, F.xxhash64(text))
     again = stored(docs.groupBy(key.alias("_again")).count().where("count > 1").select("_again"), "documents-again")
     if not again.isEmpty():
         own = key == F.col("_again")
-        docs = stored(docs.join(again, own, "left_anti").unionByName(docs.join(again, own, "left_semi").dropDuplicates(["doc_id", "text"])), "documents-once")
-    found = simhash.near_copies(docs, 5, NEAR_LEAST, NEAR_BITS, NEAR_SEEDS)
+        docs = stored(docs.join(again, own, "left_anti").unionByName(docs.join(again, own, "left_semi").dropDuplicates([doc_id, text])), "documents-once")
+    found = simhash.near_copies(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), 5, NEAR_LEAST, NEAR_BITS, NEAR_SEEDS)
     gone = stored(found.select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")), "near-copies")
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_h"]), "left_anti")
+    return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[text]) == gone["_h"]), "left_anti").toDF(*names)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
