@@ -50,6 +50,27 @@ def compositor_occlusion(spark, d):
     return C.visible(C.active(events(spark, d).df, _overlays(spark, d)), F.col("opaque")).select("position", "slot")
 
 
+def _spread(spark, d):
+    """An overlay per order, over the whole clip."""
+    k = F.col("position")
+    return orders(spark, d).df.select(k.alias("slot"), (k % 7).alias("z"), k.alias("start"), (k % 11).alias("duration"), (k % 7 == 3).alias("opaque"))
+
+
+_SPREAD = "w AS (SELECT o_orderkey AS slot, o_orderkey % 7 AS z, o_orderkey AS f, o_orderkey % 11 AS dur FROM orders)"
+
+
+@query(f"WITH {_SPREAD} SELECT event_id AS position, count(*) AS n, CAST(sum(slot) AS BIGINT) AS slots, max(z) AS top FROM events JOIN w ON f BETWEEN event_id - 10 AND event_id AND event_id < f + dur GROUP BY 1")
+def compositor_spread(spark, d):
+    return C.active(events(spark, d).df, _spread(spark, d)).groupBy("position").agg(F.count("*").alias("n"), F.sum("slot").alias("slots"), F.max("z").alias("top"))
+
+
+@query(f"""WITH {_SPREAD}, j AS (SELECT event_id AS p, z, slot, CASE WHEN z = 3 THEN (z, slot) END AS o FROM events JOIN w ON f BETWEEN event_id - 10 AND event_id AND event_id < f + dur),
+t AS (SELECT *, max(o) OVER (PARTITION BY p) AS top FROM j)
+SELECT p AS position, slot FROM t WHERE top IS NULL OR (z, slot) >= top""")
+def occlusion_spread(spark, d):
+    return C.visible(C.active(events(spark, d).df, _spread(spark, d)), F.col("opaque")).select("position", "slot")
+
+
 def _index(spark, d):
     c = events(spark, d, "event_type", "value")
     return index_of(c.df, F.col("event_type") == "purchase", F.ceil("value"))

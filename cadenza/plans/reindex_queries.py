@@ -142,3 +142,24 @@ def playlist_concat(spark, d):
 SELECT p AS position, event_id AS source, value FROM p, n JOIN events ON event_id = ((p + 1) * 25 + 23) // 24 - 1""")
 def frame_rate_reverse(spark, d):
     return R.frame_rate(events(spark, d), 24, 1, reverse=True).df.select("position", "source", "value")
+
+
+@query("""WITH n AS (SELECT count(*) AS L FROM events), s AS (SELECT L, L // 10 AS w FROM n), a AS (SELECT CAST(k AS INT) AS k, k * w AS f, w FROM s, (SELECT unnest(range(3, 6)) AS k))
+SELECT (5 - k) * w + event_id - f AS position, CAST(5 - k AS INT) AS slot, value FROM a JOIN events ON event_id >= f AND event_id < f + w""")
+def slots_whole(spark, d):
+    """Tenths of the clip as slots, some of them in reverse order."""
+    c = events(spark, d)
+    w = c.length // 10
+    return R.playlist(R.slots([R.clip(c, k * w, (k + 1) * w) for k in range(10)], 5, 3)).df.select("position", "slot", "value")
+
+
+@query("WITH n AS (SELECT count(*) AS L FROM events), p AS (SELECT unnest(range((SELECT L FROM n))) AS p) SELECT p AS position, value FROM p, n JOIN events ON event_id = ((7 - 3 * p) % L + L) % L")
+def transport_whole(spark, d):
+    """As many rows as the clip has, from a cursor that goes back three a row."""
+    return R.transport(events(spark, d), 7, -3).df
+
+
+@query("WITH n AS (SELECT count(*) AS L FROM events), p AS (SELECT unnest(range((SELECT L FROM n))) AS p) SELECT p AS position, value FROM p, n JOIN events ON event_id = least(p * 2 + 3, L - 1)")
+def transport_clamped(spark, d):
+    """A cursor that stops at the last row."""
+    return R.transport(events(spark, d), 3, 2, looping=False).df

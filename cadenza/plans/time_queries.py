@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import span as S
 from cadenza.functions import text as X
 from cadenza.functions import timecode as T
+from cadenza.operators.windows import running_sum
 from cadenza.plans.base import events, orders, registers, table
 
 QUERIES: dict = {}
@@ -54,8 +55,6 @@ def _spans(spark, d):
     return orders(spark, d).df.select(k.alias("k"), *((x).alias(n) for n, x in (("a", k % 100), ("ad", k % 37 + 1), ("b", k % 61), ("bd", k % 23 + 1))))
 
 
-
-
 def _pair():
     return (F.col("a"), F.col("ad")), (F.col("b"), F.col("bd"))
 
@@ -100,3 +99,52 @@ def text_helpers(spark, d):
     o = table(spark, d, "orders")
     b64 = X.to_base64(F.col("o_orderpriority"))
     return o.select(F.col("o_orderkey").alias("k"), b64.alias("b64"), X.from_base64(b64).alias("back"), F.split("o_orderpriority", "-")[0].alias("head"))
+
+
+@query("SELECT o_orderkey AS k, (o_orderkey * 12 - 60000) // gcd(abs(o_orderkey * 12 - 60000), o_orderkey % 90 + 6) AS num, (o_orderkey % 90 + 6) // gcd(abs(o_orderkey * 12 - 60000), o_orderkey % 90 + 6) AS den, gcd(o_orderkey * 30, o_orderkey % 84) AS divisor FROM orders WHERE o_orderkey > 0")
+def time_reduced(spark, d):
+    """Exact times in lowest terms, negative ones too, and common divisors."""
+    k = F.col("position")
+    num, den = T.reduced(k * 12 - 60000, k % 90 + 6)
+    return orders(spark, d).df.where("position > 0").select(k.alias("k"), num.alias("num"), den.alias("den"), T.common_divisor(k * 30, k % 84).alias("divisor"))
+
+
+@query("SELECT o_orderkey AS k, o_orderkey * 1001 * 25 < (o_orderkey + 3) * 30000 AS earlier, o_orderkey * 1001 * 25 > (o_orderkey + 3) * 30000 AS later FROM orders")
+def time_order(spark, d):
+    """Frames of two rates by the time at which they begin."""
+    k = F.col("position")
+    a, b = ((s["num"], s["den"]) for s in (T.seconds(k, (30000, 1001)), T.seconds(k + 3, (25, 1))))
+    return orders(spark, d).df.select(k.alias("k"), T.time_less(a, b).alias("earlier"), T.time_less(b, a).alias("later"))
+
+
+@query("""WITH s AS (SELECT event_id AS k, event_id * 397 AS sample FROM events), f AS (SELECT unnest(range((SELECT max(sample) // 1471 + 2 FROM s))) AS frame)
+SELECT k, sample, max(frame) AS frame FROM s JOIN f ON frame BETWEEN sample // 1471 - sample // 1000000 - 2 AND sample // 1471 + 2 WHERE frame // 30000 * 44144100 + frame % 30000 * 44144100 // 30000 <= sample GROUP BY 1, 2""")
+def sample_frames(spark, d):
+    """The frame in which every 397th sample lies."""
+    sample = F.col("position") * 397
+    return events(spark, d).df.select(F.col("position").alias("k"), sample.alias("sample"), T.frame_of_sample(sample, 44100, (30000, 1001)).alias("frame"))
+
+
+@query("SELECT event_id AS position, CAST(sum(event_id % 13) OVER (ORDER BY event_id) AS BIGINT) AS total, CAST(coalesce(sum(event_id % 13) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM events")
+def running_totals(spark, d):
+    rows = events(spark, d).df.select("position", (F.col("position") % 13).alias("x"))
+    return running_sum(running_sum(rows, "x", "total", bucket=1024), "x", "before", True, bucket=1024).select("position", "total", "before")
+
+
+@query("""SELECT o_orderkey AS k, CAST(string_split(t, ':')[1] AS INT) AS first, CAST(string_split(t, ':')[3] AS INT) AS third, TRY_CAST(string_split(t, ':')[4] AS INT) AS fourth, string_split(t, ':')[2] AS second, CAST(len(string_split(t, ':')) AS INT) AS n, contains(t, 'true') AS flag
+FROM (SELECT o_orderkey, concat(o_orderkey, ':', CASE WHEN o_orderkey % 3 = 0 THEN 'true' ELSE '' END, ':', o_orderkey % 7, ':x') AS t FROM orders)""")
+def text_lists(spark, d):
+    """Typed lists in a text: what isn't of the type is null."""
+    k = F.col("position")
+    t = F.concat_ws(":", k.cast("string"), F.when(k % 3 == 0, "true").otherwise(""), (k % 7).cast("string"), F.lit("x"))
+    words, numbers = X.parse_list(t), X.parse_list(t, "int")
+    return orders(spark, d).df.select(k.alias("k"), numbers[0].alias("first"), numbers[2].alias("third"), numbers[3].alias("fourth"), words[1].alias("second"), F.size(words).alias("n"), X.parse_bool(t).alias("flag"))
+
+
+@query("""WITH c AS (SELECT event_id AS k, event_id % 256 AS r, event_id * 7 % 256 AS g, event_id * 31 % 256 AS b FROM events)
+SELECT k, CAST(floor(16 + (65.738::DOUBLE * r + 129.057::DOUBLE * g + 25.064::DOUBLE * b) / 256) AS INT) AS y,
+CAST(floor(128 + (-37.945::DOUBLE * r - 74.494::DOUBLE * g + 112.439::DOUBLE * b) / 256) AS INT) AS u, CAST(floor(128 + (112.439::DOUBLE * r - 94.154::DOUBLE * g - 18.285::DOUBLE * b) / 256) AS INT) AS v FROM c""")
+def colour_yuv(spark, d):
+    k = F.col("position")
+    out = X.to_yuv(k % 256, k * 7 % 256, k * 31 % 256)
+    return events(spark, d).df.select(k.alias("k"), *(out[n].alias(n) for n in "yuv"))
