@@ -109,8 +109,27 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_pack_best_fit, op3_simhash_near_dedup, op4_license_scan, op5_kneser_ney, op6_pii_feistel, op7_language_id, op8_secret_ledger, op9_embedding_near_dedup, op10_decontaminate, pipeline)}
-#: Only vector links can be told in SQL; the others hold a tokenizer, a trained model, XXH64 or a search for a capacity.
+#: Vector links and secrets can be told in SQL; the others hold a tokenizer, a trained model, XXH64 or a search for a capacity.
 ORACLE_SQL: dict[str, str] = {
+    # Where matches lie follows from the lengths of what is between them; a match of web begins after the one character before it.
+    "op8_secret_ledger": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (
+  SELECT r, 0 AS k, 'assign' AS kind, 12 AS least, regexp_split_to_array(t, p) AS gaps, regexp_extract_all(t, p) AS hits, regexp_extract_all(t, p, 2) AS judged, NULL AS lead
+  FROM d, (SELECT '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS p)
+  UNION ALL SELECT r, 1, 'access', 18, regexp_split_to_array(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') AS h, h, NULL FROM d
+  UNION ALL SELECT r, 2, 'hex', 16, regexp_split_to_array(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+') AS h, h, NULL FROM d
+  UNION ALL SELECT r, 3, 'pem', 0, regexp_split_to_array(t, p), regexp_extract_all(t, p) AS h, h, NULL FROM d, (SELECT '-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----' AS p)
+  UNION ALL SELECT r, 4, 'hub', 0, regexp_split_to_array(t, p), regexp_extract_all(t, p) AS h, h, NULL FROM d, (SELECT '\bgh[oprsu]_[A-Za-z0-9]{36,}' AS p)
+  UNION ALL SELECT r, 5, 'web', 0, regexp_split_to_array(t, p), regexp_extract_all(t, p) AS h, h, regexp_extract_all(t, p, 1)
+  FROM d, (SELECT '(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}' AS p)),
+m AS (SELECT r, k, kind, least, i, length(gaps[i]) AS g, length(hits[i]) AS n, length(judged[i]) AS j, coalesce(length(lead[i]), 0) AS l FROM (SELECT *, unnest(generate_series(1, len(hits))) AS i FROM s)),
+f AS (SELECT r, k, kind, least, j, sum(g + n) OVER w AS b, sum(g + n) OVER w - n + l AS a FROM m WINDOW w AS (PARTITION BY r, k ORDER BY i)),
+o AS (SELECT r, k, kind, a, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT) AS x FROM f WHERE j >= least),
+e AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(x, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY a, k) AS spans FROM o GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN e USING (r)""",
     "op9_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 u AS (SELECT * FROM v WHERE label IS NOT NULL AND list_sum(list_transform(e, lambda x: x * x)) > 0),

@@ -2,7 +2,8 @@ import hashlib
 import re
 
 from cadenza.llm import secrets
-from cadenza.llm.queries import op8_secret_ledger
+from cadenza.llm.queries import ORACLE_SQL, op8_secret_ledger
+from tests.compare import compare
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -29,6 +30,19 @@ def test_documents(spark):
     assert hits > 10
 
 
+def test_sql(spark):
+    compare(spark, "/root/testdata/sf0.01", op8_secret_ledger, ORACLE_SQL["op8_secret_ledger"])
+
+
+def test_sql_over_odd_texts(spark, tmp_path):
+    web = "eyJ" + "w" * 12 + "." + "x" * 12 + "." + "y" * 12
+    texts = [None, "", web, f"é{web}.{web} {web}", "xeyJ" + "w" * 12, "-----BEGIN RSA PRIVATE KEY-----" * 2, "ghp_" + "a1" * 20 + " xghp_" + "a" * 40, "\n".join(["TOKEN : 'abcdefghijklmnop'", "AKIA" + "Q" * 20, "ﬀ" * 5 + "0123456789abcdef" * 2]), "pa\u017fsword=abcdefghijklmnop api_\u212aey=abcdefghijklmnop", "secret=short secret=longenough123 token=x"]
+    rows = [(None if k == 2 else k // 2, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/parts")
+    next(tmp_path.glob("parts/*.parquet")).rename(tmp_path / "documents.parquet")
+    compare(spark, str(tmp_path), op8_secret_ledger, ORACLE_SQL["op8_secret_ledger"])
+
+
 def test_only_unseen_blobs_are_scanned(spark):
     schema = "doc_id long, text string"
     key = "AKIA" + "Z" * 16
