@@ -149,7 +149,8 @@ OTHERS = [
     "This program is broadcast in the hope that it will be useful.",
     "The code of this building is 4.0 and the file is in the drawer.",
 ]
-VERSION_WORDS = "[0-9]+(?:\\.[0-9]+)*"
+#: Possessive, as Java's regular expressions else recurse once a repetition.
+VERSION_WORDS = "[0-9]+(?:\\.[0-9]+)*+"
 
 
 def words_of(text: Column) -> Column:

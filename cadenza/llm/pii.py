@@ -23,9 +23,11 @@ _PHONE = "|".join((
 #: Country codes of telephone numbers.
 COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 _GROUP = "[0-9A-Fa-f]{1,4}"
+#: A label that can end a domain. Repeated groups of labels are possessive, as Java's regular expressions else recurse once a repetition.
+_TOP = "[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 #: The form of each kind; in a text the first that fits counts. Only email has @, only ipv6 a colon; a capital starts an iban only, a small letter an ibanlow.
 FORMS = {
-    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
+    "email": rf"(?<![\p{{L}}0-9._%+-])[\p{{L}}0-9._%+-]++@[A-Za-z0-9-]++(?:(?:\.(?!{_TOP})[A-Za-z0-9-]++)*+\.{_TOP})++",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": rf"(?<![0-9/.\-]){_DATE}(?![0-9])",
     "ssn": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",

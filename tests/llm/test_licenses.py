@@ -99,3 +99,11 @@ def test_words_not_asked_for_cannot_reach_a_family():
 
     rx = re.compile(licenses.word_pattern(["mit", "mits", "apache", "2.0"]) + "$")
     assert all(rx.match(x) for x in ("mit", "mits", "apache", "2.0")) and not rx.match("mi") and not rx.match("2x0")
+
+
+def test_long_repeats_do_not_end_the_application(spark, model):
+    n = 100_000
+    texts = ["MIT License " + r * (n // len(r)) for r in ("1.", "ab.", "@", "1", "-", "1 ", ". ")] + ["1." * n + "\nMIT License"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [x["family"] for x in r["licenses"]] for r in licenses.scan(docs, model).collect()}
+    assert len(got) == len(texts) and got[7] == ["mit"]

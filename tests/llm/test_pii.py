@@ -161,3 +161,15 @@ def test_columns_of_any_name(spark):
     assert out.columns == ["doc_id", "text", "__found", "__new", "c1", "text", "n"]
     row = tuple(out.collect()[0])
     assert row[2:6] == ("x", "y", "keep 078-05-1120", "keep 078-05-1120") and row[1] != "a 078-05-1120" and row[6] == 1
+
+
+def test_long_repeats_do_not_end_the_application(spark):
+    """100 KB of what patterns repeat; the email's domain ends with its last label of letters."""
+    n = 100_000
+    texts = ["x@" + "ab." * (n // 3) + "com", "x@" + "ab." * (n // 3), "x@" + "a1." * (n // 3), "ab." * (n // 3), "@" * n, "a@" * (n // 2), "1" * n, "-" * n, "1." * (n // 2), "a:" * (n // 2), "A" * n, "+" * n, "(1)" * (n // 3), "x" * n + "@b.de", "me@x.com.12 me@y.org.", "me@z.a1.net-x me@" + "b-." * 9 + "org"]
+    got = run(spark, texts)
+    changed = {k for k, (a, b) in enumerate(zip(texts, got, strict=True)) if a != b}
+    assert {0, 1, 13, 14} <= changed and not changed & {2, 3, 4, 6, 7, 9, 11}
+    assert all(len(a) == len(b) for a, b in zip(texts, got, strict=True))
+    assert got[0].endswith("@" + "ab." * (n // 3) + "com") and got[1].endswith("ab.")
+    assert got[14].split("@")[1].startswith("x.com.12 ") and got[14].endswith("@y.org.")

@@ -87,3 +87,12 @@ def test_keys_are_found_in_any_file(spark):
     assert keys.files == 10 and got.tolist() == [i % 3 == 0 for i in rows.column("id").to_pylist()]
     none = KeySet.of(df.limit(0).select("key"), "t", 0)
     assert not none.has(rows.column("key"), rows.column("file").to_numpy() * 0).any()
+
+
+def test_long_repeats(spark):
+    n = 100_000
+    texts = [r * (n // len(r)) for r in ("ab.", "1.", "@", "1", "-", "AKIA", "token=", "eyJ", "-----BEGIN ", "gho_")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    paths, entries = secrets.scan_unseen(docs)
+    got = {r["path"]: [s["kind"] for s in r["spans"]] for r in secrets.findings(paths, entries).collect()}
+    assert len(got) == len(texts) and got[3] == ["hex"] and got[5] == ["access"] and not got[2]
