@@ -7,7 +7,7 @@ from secrets import token_hex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontaminate, embeddings, langid, licenses, lm, packing, pii, secrets, sharding, simhash
+from cadenza.llm import decontaminate, embeddings, langid, licenses, lm, packing, pii, secrets, sharding, simhash, spelling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,13 +102,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), least_length=7, least_count=2, least_ratio=10, modulus=31)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_pack_best_fit, op3_simhash_near_dedup, op4_license_scan, op5_kneser_ney, op6_pii_feistel, op7_language_id, op8_secret_ledger, op9_embedding_near_dedup, op10_decontaminate, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_pack_best_fit, op3_simhash_near_dedup, op4_license_scan, op5_kneser_ney, op6_pii_feistel, op7_language_id, op8_secret_ledger, op9_embedding_near_dedup, op10_decontaminate, op11_spelling_variants, pipeline)}
 #: Vector links and secrets can be told in SQL; the others hold a tokenizer, a trained model, XXH64 or a search for a capacity.
 ORACLE_SQL: dict[str, str] = {
     # Where matches lie follows from the lengths of what is between them; a match of web begins after the one character before it.
