@@ -7,7 +7,7 @@ from secrets import token_hex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontaminate, embeddings, langid, licenses, lm, packing, pii, secrets, sharding, simhash, spelling
+from cadenza.llm import decontaminate, embeddings, langid, licenses, lm, packing, pii, secrets, sharding, simhash, spelling, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,13 +106,19 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"), least_length=7, least_count=2, least_ratio=10, modulus=31)
 
 
+def op12_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_records(warc.archive_pages(_table(spark, sf_dir, "pages"), least_bytes=0), payloads=False)
+    refers = warc.page_of(F.col("refers_to"))
+    return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers.alias("refers_to"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_pack_best_fit, op3_simhash_near_dedup, op4_license_scan, op5_kneser_ney, op6_pii_feistel, op7_language_id, op8_secret_ledger, op9_embedding_near_dedup, op10_decontaminate, op11_spelling_variants, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_pack_best_fit, op3_simhash_near_dedup, op4_license_scan, op5_kneser_ney, op6_pii_feistel, op7_language_id, op8_secret_ledger, op9_embedding_near_dedup, op10_decontaminate, op11_spelling_variants, op12_warc_normaliser, pipeline)}
 #: Vector links and secrets can be told in SQL; the others hold a tokenizer, a trained model, XXH64 or a search for a capacity.
 ORACLE_SQL: dict[str, str] = {
     # Where matches lie follows from the lengths of what is between them; a match of web begins after the one character before it.
@@ -134,6 +140,15 @@ e AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (
   string_agg(x, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY a, k) AS spans FROM o GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN e USING (r)""",
+    # Base32 by five hexadecimal digits at a time: four characters.
+    "op12_warc_normaliser": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS k, sha1(coalesce(html, '')) AS h FROM pages),
+t AS (SELECT k, max(page_id) AS top FROM p GROUP BY k),
+d AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS INTEGER) + 1, 1), '' ORDER BY i, s DESC) AS b
+  FROM (SELECT h, i, CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT) AS v FROM (SELECT DISTINCT h FROM p), range(8) r(i)), (VALUES (0), (5), (10), (15)) x(s) GROUP BY h)
+SELECT page_id, n AS payload_bytes, b AS payload_digest, CASE WHEN page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM p JOIN t USING (k) JOIN d USING (h)""",
     "op9_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 u AS (SELECT * FROM v WHERE label IS NOT NULL AND list_sum(list_transform(e, lambda x: x * x)) > 0),
