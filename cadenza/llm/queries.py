@@ -7,7 +7,7 @@ from secrets import token_hex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontaminate, embeddings, langid, licenses, lm, packing, pii, secrets, sharding, simhash, spelling, warc
+from cadenza.llm import decontaminate, embeddings, langid, licenses, lm, packing, pii, secrets, sharding, simhash, spelling, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,13 +112,17 @@ def op12_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers.alias("refers_to"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_table(spark, sf_dir, "embeddings"), 32)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_pack_best_fit, op3_simhash_near_dedup, op4_license_scan, op5_kneser_ney, op6_pii_feistel, op7_language_id, op8_secret_ledger, op9_embedding_near_dedup, op10_decontaminate, op11_spelling_variants, op12_warc_normaliser, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_pack_best_fit, op3_simhash_near_dedup, op4_license_scan, op5_kneser_ney, op6_pii_feistel, op7_language_id, op8_secret_ledger, op9_embedding_near_dedup, op10_decontaminate, op11_spelling_variants, op12_warc_normaliser, op13_embedding_whitening, pipeline)}
 #: Vector links and secrets can be told in SQL; the others hold a tokenizer, a trained model, XXH64 or a search for a capacity.
 ORACLE_SQL: dict[str, str] = {
     # Where matches lie follows from the lengths of what is between them; a match of web begins after the one character before it.
