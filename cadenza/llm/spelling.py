@@ -36,8 +36,8 @@ def word_counts(words: DataFrame, least_length: int, least_count: int) -> DataFr
 
 
 def _first(side: int, lengths: np.ndarray) -> np.ndarray:
-    """The depth from which on a word's own path can be asked for: where words of one code point less start (see _start)."""
-    return np.maximum(lengths - 1, 0) // 2 if side == 0 else lengths // 2
+    """The depth from which on a word's path is asked for: by words as long, or longer by one, where these start (see _start)."""
+    return lengths // 2 if side == 0 else (lengths + 1) // 2
 
 
 def _start(side: Column) -> Column:
@@ -95,38 +95,56 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Nodes are the prefixes after which words differ (one ending there differs too), so an edge holds all code points up to the next of them, and a
     path has few edges however long its word. An edge of the last node of a word leads to the word itself.
-    edges: node, first (code point of the label, or empty), label, child, found (the word, or null).
+    edges: node, first (code point of the label, or empty), label, child, after (marks of what follows the child), found (the word, or null).
     states: word, side, position, node, edits.
     """
-    paths = stored(prefixes(words), "spelling-prefixes")
-    nodes = paths.groupBy(F.col("node").alias("_node")).agg(F.min("next").alias("a"), F.max("next").alias("b")).where("a <> b").select("_node")
+    paths = prefixes(words)
+    nodes = paths.groupBy(F.col("node").alias("_node")).agg(F.min("next").alias("a"), F.max("next").alias("b"), F.bit_or(F.expr("shiftleft(1L, cast(if(next < 0, 63, next % 63) as int))")).alias("after")).where("a <> b").select("_node", "after")
     nodes = stored(nodes, "spelling-nodes")
-    steps = paths.join(nodes, F.col("node") == F.col("_node"), "left_semi").select("word", "side", F.struct("depth", "node").alias("s"))
+    steps = paths.join(nodes, F.col("node") == F.col("_node")).select("word", "side", F.struct("depth", "node", "after").alias("s"))
     chains = steps.groupBy("word", "side").agg(F.sort_array(F.collect_list("s")).alias("s"))
     chains = stored(chains, "spelling-chains")
     oriented = chains.withColumn("o", _oriented(F.col("word"), F.col("side")))
     exploded = oriented.select("word", "s", "o", F.posexplode(F.col("s")).alias("k", "at")).withColumn("to", F.get("s", F.col("k") + 1))
     depth, end = F.col("at.depth"), F.coalesce(F.col("to.depth"), F.length("o"))
     label = F.substring("o", depth + 1, end - depth)
-    edges = exploded.select(F.col("at.node").alias("node"), label.alias("label"), F.col("to.node").alias("child"), F.when(F.col("to").isNull(), F.col("word")).alias("found")).distinct()
-    edges = stored(edges.select("node", F.substring("label", 1, 1).alias("first"), "label", "child", "found"), "spelling-edges")
+    edges = exploded.select(F.col("at.node").alias("node"), label.alias("label"), F.col("to.node").alias("child"), F.col("to.after").alias("after"), F.when(F.col("to").isNull(), F.col("word")).alias("found")).distinct()
+    edges = stored(edges.select("node", F.substring("label", 1, 1).alias("first"), "label", "child", "after", "found"), "spelling-edges")
     ahead = F.filter("s", lambda x: x["depth"] >= _start(F.col("side")))
     states = chains.select("word", "side", F.get(ahead, F.lit(0)).alias("at")).where("at is not null")
     states = states.select("word", "side", F.col("at.depth").alias("position"), F.col("at.node").alias("node"), F.lit(0).alias("edits"))
     return edges, states
 
 
-def _steps(rest: Column) -> Column:
-    """What a state becomes along an edge: structs of near (a word reached), moved (code points used up) and edits."""
-    size, label = F.length("label"), F.col("label")
+def _meets() -> Column:
+    """Whether an edge can lead a state on: it begins with the next code point, or else, without an edit so far, with a greater one or with that after the next."""
+    begins = F.col("first")
+    return (begins == F.col("next")) | ((F.col("edits") == 0) & (F.col("next") != "") & ((begins > F.col("next")) | (begins == F.col("second"))))
+
+
+def _steps() -> Column:
+    """What a state becomes along an edge, as an array with nulls: structs of near (a word reached), moved (code points used up) and edits.
+
+    The edit is made at the first code point that differs, so a word is reached in one way only: a greater code point replaces it, or it is left out. With an
+    edit made, what is left must go on as some path behind the child does; the child's marks tell of most states that they can't.
+    """
+    rest, label = F.col("rest"), F.col("label")
+    size, left = F.length(label), F.length(rest)
     one = lambda near, moved, edits: F.struct(near.cast("string").alias("near"), moved.cast("int").alias("moved"), edits.cast("int").alias("edits"))
-    none = F.lit(None)
+    none, fresh = F.lit(None), F.col("edits") == 0
     ahead = lambda n: F.substring(rest, F.lit(1), n)
-    edited = lambda by: F.when((F.length(rest) >= size + by) & (F.levenshtein(ahead(size + by), label, 1) == 1), one(none, size + by, F.lit(1)))
-    exact = ahead(size) == label
-    inner = F.when(F.col("edits") == 1, F.array(F.when(exact, one(none, size, F.lit(1))))).otherwise(F.array(F.when(exact, one(none, size, F.lit(0))), edited(-1), edited(0), edited(1)))
-    arrived = F.when(F.col("edits") == 1, rest == label).otherwise(F.levenshtein(rest, label, 1) == 1)
-    return F.filter(F.when(F.col("found").isNotNull(), F.array(F.when(arrived, one(F.col("found"), F.lit(0), F.lit(1))))).otherwise(inner), lambda s: s.isNotNull())
+    differ = lambda part: F.levenshtein(part, label, 1) == 1
+
+    def goes_on(moved: Column) -> Column:
+        code = F.ascii(F.substring(rest, moved + 1, F.lit(1)))
+        return F.getbit(F.col("after"), F.when(left == moved, 63).otherwise(code % 63)) == 1
+
+    exact = F.startswith(rest, label)
+    replaced = F.when((left >= size) & (label > ahead(size)) & goes_on(size) & ((size == 1) | differ(ahead(size))), one(none, size, F.lit(1)))
+    left_out = F.when((left > size) & goes_on(size + 1) & differ(ahead(size + 1)), one(none, size + 1, F.lit(1)))
+    inner = F.when(exact, F.array(F.when(fresh | goes_on(size), one(none, size, F.col("edits"))))).when(fresh, F.array(replaced, left_out))
+    arrived = F.when(fresh, (((left == size) & (label > rest)) | (left == size + 1)) & differ(rest)).otherwise(rest == label)
+    return F.when(F.col("found").isNull(), inner).when(arrived, F.array(one(F.col("found"), F.lit(0), F.lit(1))))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -135,7 +153,8 @@ def neighbours(words: DataFrame) -> DataFrame:
     Two words one edit apart share all before the edit and all behind it. So a word's frontier starts in the trie of words at its first half without
     an edit, and in the trie of reversed words at its second half; one of both meets each neighbour. Level by level the states
     (word, position, node, edits) are joined with the edges of their nodes: each becomes the states that reach the edge's end with one edit at most, and those
-    that reach a word with one are neighbours. Each level is stored. There are as many levels as differing places on a path at most.
+    that reach a word with one are neighbours. Each level is stored. There are as many levels as differing places on a path at most. As being near
+    goes both ways, a frontier only leaves a code point out or puts a greater one in its place.
 
     Null words are left out; an empty table gives no rows.
     """
@@ -145,15 +164,18 @@ def neighbours(words: DataFrame) -> DataFrame:
     while True:
         rest = F.substring(_oriented(F.col("word"), F.col("side")), F.col("position") + 1, F.length("word"))
         state = states.select("word", "side", "position", F.col("node").alias("_node"), "edits", rest.alias("rest"))
-        meet = (F.col("node") == F.col("_node")) & ((F.col("edits") == 0) | (F.col("first") == F.substring("rest", 1, 1)))
-        moved = state.join(edges, meet).select("word", "side", "position", "child", F.explode(_steps(F.col("rest"))).alias("s"))
+        state = state.select("*", F.substring("rest", 1, 1).alias("next"), F.substring("rest", 2, 1).alias("second"))
+        moved = state.join(edges, (F.col("node") == F.col("_node")) & _meets()).select("word", "side", "position", "child", F.explode(_steps()).alias("s")).where("s is not null")
         level = moved.select("word", "side", (F.col("position") + F.col("s.moved")).alias("position"), F.col("child").alias("node"), F.col("s.edits").alias("edits"), F.col("s.near").alias("near"))
-        level = stored(level.distinct(), "spelling-level")
+        level = stored(level, "spelling-level")
         found = level.where("near is not null").select("word", "near")
         pairs = found if pairs is None else pairs.unionAll(found)
         states = level.where("near is null").drop("near")
         if states.isEmpty():
-            return pairs.where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1)).distinct()
+            break
+    # Both sides may meet a neighbour, and hashes of prefixes may have led astray.
+    pairs = stored(pairs.distinct().where(F.levenshtein("word", "near", 1) == 1), "spelling-pairs")
+    return pairs.unionAll(pairs.select(F.col("near").alias("word"), F.col("word").alias("near")))
 
 
 def variants(counts: DataFrame, least_ratio: int = 10) -> DataFrame:
@@ -163,8 +185,7 @@ def variants(counts: DataFrame, least_ratio: int = 10) -> DataFrame:
     (ties: the smallest by code points) if that n is at least least_ratio times the word's; root follows forms to the last, and is the word itself where there is none.
     """
     counts = stored(counts.select("word", "n"), "spelling-words")
-    pairs = stored(neighbours(counts), "spelling-pairs")
-    sized = pairs.join(counts.select(F.col("word").alias("near"), F.col("n").alias("m")), "near")
+    sized = neighbours(counts).join(counts.select(F.col("word").alias("near"), F.col("n").alias("m")), "near")
     best = sized.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), F.col("near").alias("w"))).alias("top"))
     own = counts.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "top")
     far = -F.col("top.m") >= F.col("n") * least_ratio
