@@ -287,7 +287,7 @@ def _read(names: dict[str, str], block: bytes) -> tuple:
     return kind, _bare(names.get("warc-record-id")), names.get("warc-target-uri"), _bare(names.get("warc-refers-to")), names.get("warc-date"), payload, size, digest, damage
 
 
-def read_records(index: DataFrame, span_bytes: int = 32 << 20, payloads: bool = True) -> DataFrame:
+def read_records(index: DataFrame, span_bytes: int = 4 << 20, payloads: bool = True) -> DataFrame:
     """The records of an offset index, each read by its offset from its file; payload is null for revisits, and for all without payloads.
 
     Index rows are dealt out by file and span of the file, so a large file is read by many tasks, each from its own offset on. Rows of a damaged archive
@@ -320,7 +320,9 @@ def read_records(index: DataFrame, span_bytes: int = 32 << 20, payloads: bool =
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     asked = index.select("path", "offset", "length", "damage")
-    dealt = asked.repartition("path", F.floor(F.col("offset") / span_bytes)).sortWithinPartitions("path", "offset")
+    # As many parts as the files' bytes ask for: the index itself is small, and its size says little.
+    parts = min(max(1, -(-(asked.agg(F.sum("length")).first()[0] or 0) // span_bytes)), 20_000)
+    dealt = asked.repartition(parts, "path", F.floor(F.col("offset") / span_bytes)).sortWithinPartitions("path", "offset")
     return dealt.mapInArrow(work, schema)
 
 
