@@ -14,7 +14,6 @@ from cadenza.operators import image as I
 from cadenza.operators import reindex as R
 from cadenza.operators import windows as W
 from cadenza.sources import files, sinks
-from cadenza.streaming import operators as S
 
 FAR = 2_500_000_000
 
@@ -39,19 +38,6 @@ def test_lowpass_without_a_delay(spark):
     assert [r["x"] for r in A.lowpass(clip, "x", 2, block=2).orderBy("position").collect()] == [[0.625, 0.3125], [0.625 * 1.05, 0.625 * -0.6]]
 
 
-def test_streamed_lowpass(spark, tmp_path):
-    df = spark.createDataFrame([(1, k, float(k % 7)) for k in range(50)], "u long, k long, v double")
-    for mag in (0, 1, 2, 60):
-        for k in range(3):
-            df.where(f"k % 3 = {k}").withColumn("k", F.expr("k div 3") + 100 * k).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / f"in{mag}" / f"p{k}"))
-        stream = S.growing(spark, str(tmp_path / f"in{mag}" / "*"), df.schema, files_per_trigger=1)
-        out = S.drained(S.carried_lowpass(stream, "u", "k", "v", mag), str(tmp_path / f"out{mag}"), str(tmp_path / f"state{mag}")).collect()
-        assert len(out) == 50
-        if mag <= 1:
-            values = {r["k"]: r["v"] for r in spark.read.parquet(*(str(tmp_path / f"in{mag}" / f"p{k}") for k in range(3))).collect()}
-            assert {r["k"]: r["filtered"] for r in out} == values
-
-
 def test_two_levels_of_buckets(spark):
     n = 3000
     df = spark.range(n).select(F.col("id").alias("position"), (F.col("id") % 5).alias("x"), F.when(F.col("id") % 700 == 650, F.col("id")).alias("m"))
