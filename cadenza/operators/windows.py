@@ -52,6 +52,16 @@ def last_seen(df: DataFrame, column: str, name: str, bucket: int = BUCKET, few:
     return rows.withColumn("_in", inside).join(start, "_b").withColumn(name, F.coalesce("_in", "_start")).drop("_b", "_in", "_start")
 
 
+def previous(df: DataFrame, name: str, bucket: int = BUCKET, few: int = 100_000, carry: str | None = None) -> DataFrame:
+    """Adds the position next before each row's (null at the first), wherever it lies; carry: that row's value of a column under name too, and then the position as start. Positions occur once."""
+    value = F.struct(F.col("position").alias("p"), *([F.col(carry).alias("v")] if carry else []))
+    rows, ends = _carried(df, F.max(value), bucket)
+    start = _before(ends, lambda w: F.max("_s").over(w), F.max("_s"), lambda a, b: F.coalesce(b, a), few=few).select("_b", "_start")
+    inside = F.lag(value).over(Window.partitionBy("_b").orderBy("position"))
+    found = rows.withColumn("_in", inside).join(start, "_b").withColumn("_s", F.coalesce("_in", "_start"))
+    return found.select(*df.columns, *([F.col("_s.p").alias("start"), F.col("_s.v").alias(name)] if carry else [F.col("_s.p").alias(name)]))
+
+
 def lagged(df: DataFrame, column: str, name: str, by: int = 1, key: str = "position") -> DataFrame:
     """Adds the value of column by positions earlier (negative: later), by an equi-join; null at the ends."""
     other = df.select((F.col(key) + by).alias("_k"), F.col(column).alias(name))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import combine as C
 from cadenza.operators import reindex as R
+from cadenza.operators import segments as S
 from cadenza.plans.base import events, orders, registers, scratch, table
 from cadenza.sources.files import index_items
 from cadenza.sources.sinks import index_files, index_of
@@ -71,6 +72,46 @@ def occlusion_spread(spark, d):
     return C.visible(C.active(events(spark, d).df, _spread(spark, d)), F.col("opaque")).select("position", "slot")
 
 
+_POINTS = "p AS (SELECT DISTINCT unnest([f, f + dur]) AS p FROM w WHERE dur > 0), s AS (SELECT p AS \"start\", lead(p) OVER (ORDER BY p) AS \"end\" FROM p)"
+
+
+@query(f"WITH {_SPREAD}, {_POINTS} SELECT \"start\", \"end\", count(slot) AS n, coalesce(string_agg(slot, ',' ORDER BY z, slot), '') AS slots FROM s LEFT JOIN w ON f BETWEEN \"start\" - 10 AND \"start\" AND \"start\" < f + dur WHERE \"end\" IS NOT NULL GROUP BY 1, 2")
+def compositor_segments(spark, d):
+    """A row for each stretch of the clip in which the same overlays are active, in their order."""
+    slots = F.array_join(F.transform("layers", lambda x: x["slot"].cast("string")), ",")
+    return S.composed(_spread(spark, d)).select("start", "end", "n", slots.alias("slots"))
+
+
+_MIXED = "w AS (SELECT o_orderkey AS slot, o_orderkey % 7 AS z, o_orderkey AS f, 1 << (o_orderkey % 8) AS dur FROM orders)"
+
+
+def _mixed(spark, d):
+    """An overlay per order, of 1 to 128 positions."""
+    k = F.col("position")
+    return orders(spark, d).df.select(k.alias("slot"), (k % 7).alias("z"), k.alias("start"), F.expr("shiftleft(1L, cast(position % 8 as int))").alias("duration"))
+
+
+@query(f"WITH {_MIXED}, {_POINTS} SELECT \"start\", \"end\", count(*) AS n, max(z) AS top, CAST(sum(slot) AS BIGINT) AS slots FROM s JOIN w ON f BETWEEN \"start\" - 128 AND \"start\" AND \"start\" < f + dur WHERE \"end\" IS NOT NULL GROUP BY 1, 2")
+def segment_pairs(spark, d):
+    """What is active in each stretch, aggregated from pairs."""
+    overlays = _mixed(spark, d)
+    pairs = S.active_in(S.stretches(S.change_points(overlays)), overlays)
+    return pairs.groupBy("start", "end").agg(F.count("*").alias("n"), F.max("z").alias("top"), F.sum("slot").alias("slots"))
+
+
+@query(f"WITH {_MIXED}, {_POINTS} SELECT \"start\", \"end\", count(slot) AS n FROM s LEFT JOIN w ON f BETWEEN \"start\" - 128 AND \"start\" AND \"start\" < f + dur WHERE \"end\" IS NOT NULL GROUP BY 1, 2")
+def segment_depth(spark, d):
+    """How many overlays are active in each stretch."""
+    return S.depth(_mixed(spark, d))
+
+
+@query("WITH p AS (SELECT DISTINCT o_orderkey AS p FROM orders WHERE o_orderpriority = '1-URGENT') SELECT event_id AS position, CAST(count(p) AS INTEGER) AS event, max(p) AS event_start FROM events LEFT JOIN p ON p <= event_id GROUP BY 1")
+def event_table(spark, d):
+    """Which in-point, of a table of them, began last at each position, and how many have."""
+    urgent = orders(spark, d, "o_orderpriority").df.where("o_orderpriority = '1-URGENT'")
+    return S.events_in(events(spark, d).df.select("position"), urgent).select("position", "event", "event_start")
+
+
 def _index(spark, d):
     c = events(spark, d, "event_type", "value")
     return index_of(c.df, F.col("event_type") == "purchase", F.ceil("value"))
