@@ -8,8 +8,8 @@ from cadenza.operators import combine as C
 from cadenza.operators import reindex as R
 from cadenza.operators import segments as S
 from cadenza.plans.base import events, orders, registers, scratch, table
-from cadenza.sources.files import index_items
-from cadenza.sources.sinks import index_files, index_of
+from cadenza.sources.datasource import read_frames, write_frames
+from cadenza.sources.sinks import index_of, index_rows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -158,12 +158,14 @@ def voodoo_split(spark, d):
 
 @query(f"WITH {_KEYS} SELECT CAST(v AS INT) AS version, true AS closed, frame, frames, \"offset\", length FROM i, (VALUES (2), (3), (4)) AS t(v)")
 def awi_files(spark, d):
-    """The index as binary files of each version, some thousand positions a file, and parsed again."""
-    index = _index(spark, d).withColumn("file", F.expr("frame div 4096"))
+    """The index as binary files of each version, some thousand positions a file, and read again."""
+    index = _index(spark, d).withColumn("file", F.concat(F.expr("frame div 4096"), F.lit(".awi")))
     out = None
     for version in (2, 3, 4):
-        files = index_files(index, "file", version).select(F.col("name").alias("path"), "content")
-        items = index_items(files).select("version", "closed", "frame", "frames", "offset", "length")
+        folder = scratch(spark, f"index-{version}")
+        rows, foot = index_rows(index, "file", version)
+        write_frames(rows, folder, foot)
+        items = read_frames(spark, folder, "awi").select("version", "closed", "frame", "frames", "offset", "length")
         out = items if out is None else out.unionAll(items)
     return out
 

@@ -14,6 +14,7 @@ from cadenza.operators import reindex as R
 from cadenza.plans.base import events, plane_sums, registers, scratch, stereo, table
 from cadenza.plans.payload_queries import _E, _sums, _sums_sql
 from cadenza.sources import files, sinks, synthetic
+from cadenza.sources.datasource import write_frames
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -291,10 +292,11 @@ def wav_files(spark, d):
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings)
 SELECT vec_id AS position, 64 AS samples, CAST(list_sum(list_transform(a, lambda v: greatest(-32768, least(32767, trunc(v * 32768))))) AS BIGINT) AS total FROM e""")
 def aud_files(spark, d):
-    """Written as files of 16-bit samples, 100 frames each, and parsed again."""
+    """Written as files of 16-bit samples, 100 frames each, and read again."""
     df = stereo(spark, d).df.withColumn("file", F.expr("position div 100"))
-    made = sinks.aud_files(df, "audio", "file", 1600, 1, (25, 1)).select(F.col("name").alias("path"), "content")
-    frames = files.aud_frames(made)
+    path = scratch(spark, "aud")
+    write_frames(sinks.aud_rows(df, "audio", "file", 1600, 1, (25, 1)), path)
+    frames = files.read_aud(spark, path).withColumn("path", F.element_at(F.split("path", "/"), -1))
     hexed = F.hex("payload")
     value = lambda i: F.conv(F.concat(F.substring(hexed, i * 4 + 3, F.lit(2)), F.substring(hexed, i * 4 + 1, F.lit(2))), 16, 10).cast("long")
     signed = F.transform(F.sequence(F.lit(0), F.col("samples") - 1), lambda i: F.when(value(i) > 32767, value(i) - 65536).otherwise(value(i)))
@@ -304,10 +306,21 @@ def aud_files(spark, d):
 
 @query(f"WITH {_Q} SELECT vec_id AS position, CAST(list_sum(v[1:48]) AS BIGINT) AS total1, CAST(list_sum([x * i FOR x, i IN v[1:48]]) AS BIGINT) AS weighted1 FROM q")
 def raw_files(spark, d):
-    """Pictures written as raw files of 100 each, and cut again."""
+    """Pictures written as raw files of 100 each, and read again."""
     df = _yuv(spark, d).withColumn("file", F.expr("position div 100"))
-    made = sinks.raw_files(df, "image", "file").select(F.col("name").alias("path"), "content")
-    frames = files.raw_frames(made)
+    path = scratch(spark, "raw")
+    write_frames(sinks.raw_rows(df, "image", "file"), path)
+    frames = files.read_raw(spark, path).withColumn("path", F.element_at(F.split("path", "/"), -1))
+    return plane_sums(frames.select((F.col("path").cast("long") * 100 + F.col("position")).alias("position"), F.struct(F.array("payload").alias("planes")).alias("image")), 1)
+
+
+@query(f"WITH {_Q} SELECT vec_id AS position, CAST(list_sum(v[1:48]) AS BIGINT) AS total1, CAST(list_sum([x * i FOR x, i IN v[1:48]]) AS BIGINT) AS weighted1 FROM q WHERE vec_id % 100 BETWEEN 40 AND 59")
+def raw_files_range(spark, d):
+    """Of each of those files the frames 40 to 59, whose bytes alone are read."""
+    df = _yuv(spark, d).withColumn("file", F.expr("position div 100"))
+    path = scratch(spark, "raw")
+    write_frames(sinks.raw_rows(df, "image", "file"), path)
+    frames = files.read_raw(spark, path, first=40, end=60).withColumn("path", F.element_at(F.split("path", "/"), -1))
     return plane_sums(frames.select((F.col("path").cast("long") * 100 + F.col("position")).alias("position"), F.struct(F.array("payload").alias("planes")).alias("image")), 1)
 
 

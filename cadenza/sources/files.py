@@ -7,12 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.functions.timecode import CYCLES
-
-_KIND = {(1, 16): "<i2", (1, 24): "i24", (1, 32): "<i4", (3, 32): "<f4", (65534, 16): "<i2", (65534, 24): "i24", (65534, 32): "<i4"}
+SAMPLE_KINDS = {(1, 16): "<i2", (1, 24): "i24", (1, 32): "<i4", (3, 32): "<f4", (65534, 16): "<i2", (65534, 24): "i24", (65534, 32): "<i4"}
 
 
 def wav_header(raw: bytes) -> dict:
@@ -78,7 +76,7 @@ def read_wav(spark: SparkSession, path: str, fps: tuple[int, int] = (25, 1), fra
                 fs, inner = file_system(r.path)
                 with fs.open_input_file(inner) as file:
                     file.seek(r.start + begin * ch * width)
-                    x = decode(file.read((end - begin) * ch * width), _KIND[r.format, r.bits])
+                    x = decode(file.read((end - begin) * ch * width), SAMPLE_KINDS[r.format, r.bits])
                 for a in range(r.first, r.last + 1, 256):
                     rows = []
                     for p in range(a, min(a + 256, r.last + 1)):
@@ -96,96 +94,50 @@ def read_wav(spark: SparkSession, path: str, fps: tuple[int, int] = (25, 1), fra
 
 
 #: Bytes of an image by its format: samples of the planes for each pixel, as a fraction.
-_BYTES = {"yuv420p": (3, 2), "yuv422p": (2, 1), "yuv444p": (3, 1), "grey8": (1, 1), "rgb24p": (3, 1)}
-
-
-def with_header(files: DataFrame, names: list[str]) -> DataFrame:
-    """files (path, content) with header, a map of the name=value entries of the first line, and body, what follows it."""
-    line = F.substring_index(F.decode(F.substring("content", 1, 4096), "ISO-8859-1"), "\n", 1)
-    entry = lambda k: F.regexp_extract(line, rf"(?:^|\s){k}=(\S*)", 1)
-    values = F.create_map(*(x for k in names for x in (F.lit(k), entry(k))))
-    return files.select("path", values.alias("header"), F.expr("content").alias("content"), (F.length(line) + 1).alias("skip"))
+FRAME_BYTES = {"yuv420p": (3, 2), "yuv422p": (2, 1), "yuv444p": (3, 1), "grey8": (1, 1), "rgb24p": (3, 1)}
+#: Bytes of a sample by its format.
+SAMPLE_BYTES = {"pcm8": 1, "pcm16": 2, "pcm24": 4, "pcm32": 4, "float": 4}
 
 
-def cut_frames(files: DataFrame, frame_bytes: Column, skip: Column) -> DataFrame:
-    """path, position and payload of whole frames of one size after a header of so many bytes."""
-    n = F.floor((F.length("content") - skip) / frame_bytes).cast("int")
-    payload = lambda i: F.struct(i.cast("long").alias("position"), F.substring(F.col("content"), i * frame_bytes + skip + 1, frame_bytes).alias("payload"))
-    rows = files.withColumn("_n", n).where("_n > 0")
-    # The frames are cut before they are exploded, so that no row carries the whole file.
-    return rows.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), payload)).alias("f")).select("path", "f.*")
-
-
-def read_raw(spark: SparkSession, path: str, frame_bytes: int | None = None, header_bytes: int = 0) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, frame_bytes: int | None = None, header_bytes: int = 0, **bounds) -> DataFrame:
     """path, position and payload of files of frames of one size.
 
-    Without frame_bytes a file begins with a line of name=value entries, whose pf, width and height give the size.
+    Without frame_bytes a file begins with a line of name=value entries, whose pf, width and height give the size. Files are read by
+    spans, with first and end only those frames of each; see datasource.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    if frame_bytes:
-        return cut_frames(files, F.lit(frame_bytes), F.lit(header_bytes))
-    return raw_frames(files)
-
+    from cadenza.sources.datasource import read_frames
 
-def raw_frames(files: DataFrame) -> DataFrame:
-    """path, position and payload of the pictures in files (path, content) that begin with a line of entries."""
-    known = with_header(files, ["pf", "width", "height"])
-    pixels = F.col("header.width").cast("int") * F.col("header.height").cast("int")
-    size: Column = F.lit(None).cast("int")
-    for pf, (num, den) in _BYTES.items():
-        size = F.when(F.col("header.pf") == pf, F.floor(pixels * num / den).cast("int")).otherwise(size)
-    return cut_frames(known, size, F.col("skip"))
-
-
-_SAMPLE = {"pcm8": 1, "pcm16": 2, "pcm24": 4, "pcm32": 4, "float": 4}
+    return read_frames(spark, path, "raw", **({"frame_bytes": frame_bytes, "header_bytes": header_bytes} if frame_bytes else {}), **bounds)
 
 
 def read_aud(spark: SparkSession, path: str) -> DataFrame:
-    """path, position, channels, frequency, samples and payload (bytes) per frame of files of plain samples after a line of entries."""
-    return aud_frames(spark.read.format("binaryFile").load(path).select("path", "content"))
-
+    """path, position, channels, frequency, samples and payload (bytes) per frame of files of plain samples after a line of entries; read as read_raw does."""
+    from cadenza.sources.datasource import read_frames
 
-def aud_frames(files: DataFrame) -> DataFrame:
-    """read_aud of files (path, content)."""
-    known = with_header(files, ["af", "frequency", "channels", "fps_num", "fps_den", "profile"])
+    return read_frames(spark, path, "aud")
 
-    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, h, raw, skip in zip(batch["path"], batch["header"], batch["content"], batch["skip"], strict=True):
-                f, ch, num, den = (int(h[k]) for k in ("frequency", "channels", "fps_num", "fps_den"))
-                one = _SAMPLE[h["af"]] * ch
-                cycle = CYCLES.get((h["profile"], num, den), [0]) if f == 48000 else [0]
-                total = (len(raw) - skip) // one
-                start, p, rows = 0, 0, []
-                while start < total:
-                    n = cycle[p % len(cycle)] or (p + 1) * f * den // num - p * f * den // num
-                    n = min(n, total - start)
-                    rows.append((path, p, ch, f, n, raw[skip + start * one : skip + (start + n) * one]))
-                    start, p = start + n, p + 1
-                    if len(rows) == 256:
-                        yield pd.DataFrame(rows, columns=_AUD)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=_AUD)
-
-    return known.mapInPandas(frames, "path string, position long, channels int, frequency int, samples int, payload binary")
-
-
-_AUD = ["path", "position", "channels", "frequency", "samples", "payload"]
 
 #: Fixed layout of the records of a binary index, all big-endian: record, header and footer bytes by version.
 RECORD = np.dtype([("type", ">u2"), ("frames", ">i2"), ("frame", ">i4"), ("offset", ">i8"), ("length", ">i4")])
 INDEX_SIZES = {2: (8, 16), 3: (64, 20), 4: (20, 20)}
 
 
+def index_version(head: bytes) -> int:
+    """The version by the first 8 bytes; 0 if they aren't there yet."""
+    if len(head) < 8:
+        return 0
+    version = 4 if head[:5] == b"\0\0AWI" else int(head[3:4]) if head[:3] == b"AWI" and head[3:4] in b"23" else 0
+    if not version:
+        raise ValueError("not an index")
+    return version
+
+
 def parse_index(raw: bytes) -> tuple[int, np.ndarray, bool]:
     """Version, records and whether the index is closed by a footer. A part of a record at the end of a growing file is left out."""
     raw = bytes(raw)
-    if len(raw) < 8:
-        return 0, np.zeros(0, RECORD), False
-    version = 4 if raw[:2] == b"\0\0" and raw[2:5] == b"AWI" else int(raw[3:4]) if raw[:3] == b"AWI" and raw[3:4] in b"23" else 0
+    version = index_version(raw[:8])
     if not version:
-        raise ValueError("not an index")
+        return 0, np.zeros(0, RECORD), False
     head, foot = INDEX_SIZES[version]
     body = raw[head:]
     closed = len(body) >= foot and len(body) % RECORD.itemsize == foot % RECORD.itemsize and b"AWI" in body[-foot:] and body[-foot : 2 - foot or None] == b"\xff\xff"
@@ -193,22 +145,10 @@ def parse_index(raw: bytes) -> tuple[int, np.ndarray, bool]:
     return version, np.frombuffer(body[: len(body) // RECORD.itemsize * RECORD.itemsize], RECORD), closed
 
 
-def index_items(files: DataFrame) -> DataFrame:
-    """path, version, closed, type, frame, frames, offset and length of the records in files (path, content), of any version."""
-
-    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, raw in zip(batch["path"], batch["content"], strict=True):
-                version, records, closed = parse_index(raw)
-                for a in range(0, len(records), 65536):
-                    part = records[a : a + 65536]
-                    yield pd.DataFrame({"path": path, "version": version, "closed": closed} | {k: part[k].astype("<i8") for k in ("type", "frame", "frames", "offset", "length")})
-
-    return files.select("path", "content").mapInPandas(items, "path string, version int, closed boolean, type long, frame long, frames long, offset long, length long")
-
-
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """frame, frames, offset and length of a key-frame index: binary files of any version, or Parquet by sinks.write_index."""
     if path.rstrip("/").endswith(".awi"):
-        return index_items(spark.read.format("binaryFile").load(path)).select("path", "version", "closed", "type", "frame", "frames", "offset", "length")
+        from cadenza.sources.datasource import read_frames
+
+        return read_frames(spark, path, "awi").select("path", "version", "closed", "type", "frame", "frames", "offset", "length")
     return spark.read.parquet(path).select("frame", "frames", "offset", "length")

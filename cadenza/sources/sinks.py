@@ -60,25 +60,6 @@ def wav_bytes(samples: Column) -> Column:
     return F.unhex(F.array_join(F.transform(samples, lambda x: F.concat(byte(value(x)), byte(F.shiftright(value(x), 8)))), ""))
 
 
-def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """content of each row as a file of the name in its column name, whole or not at all; name and bytes of what was written."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from cadenza.sources.files import file_system
-
-        fs, root = file_system(folder)
-        fs.create_dir(root, recursive=True)
-        for batch in batches:
-            for name, content in zip(batch["name"], batch["content"], strict=True):
-                part = f"{root}/.{name}.{uuid.uuid4().hex}"
-                with fs.open_output_stream(part) as f:
-                    f.write(content)
-                fs.move(part, f"{root}/{name}")
-            yield pd.DataFrame({"name": batch["name"], "bytes": batch["content"].map(len)})
-
-    return files.select("name", "content").mapInPandas(work, "name string, bytes long")
-
-
 def write_wav(df: DataFrame, folder: str, audio: str, channels: int, frequency: int, frames_per_part: int = 4096) -> DataFrame:
     """A 16-bit WAV file part-N.wav for each frames_per_part frames; name and bytes of the files.
 
@@ -121,43 +102,32 @@ def write_wav(df: DataFrame, folder: str, audio: str, channels: int, frequency:
     return ordered.mapInPandas(work, "name string, bytes long")
 
 
-def raw_files(df: DataFrame, image: str, file: str, pad: int = 0, header: bool = True, fps: tuple[int, int] = (25, 1), sar: tuple[int, int] = (1, 1)) -> DataFrame:
-    """name and content of raw picture files: the planes of the images of each value of the column file, by position, after a line of entries. pad: zeros up to a multiple (without a header only)."""
+def raw_rows(df: DataFrame, image: str, file: str, pad: int = 0, header: bool = True, fps: tuple[int, int] = (25, 1), sar: tuple[int, int] = (1, 1)) -> DataFrame:
+    """Rows for datasource.write_frames: raw pictures of the files named by the column file, after a line of entries. pad: zeros up to a multiple (without a header only)."""
     if pad and header:
         raise ValueError("a header and padding exclude each other")
     frame = F.aggregate(F.col(f"{image}.planes"), F.lit(b""), lambda a, b: F.concat(a, b))
     if pad:
         frame = F.concat(frame, F.unhex(F.repeat(F.lit("00"), F.pmod(-F.length(frame), F.lit(pad)))))
-    line = F.format_string(f"pf=%s width=%d height=%d fps_num={fps[0]} fps_den={fps[1]} sar_num={sar[0]} sar_den={sar[1]} field_order=0 pad={pad}\n", F.col("_first.pf"), F.col("_first.width"), F.col("_first.height"))
-    return _joined_files(df.select(F.col(file).cast("string").alias("name"), "position", F.col(image).alias("_i"), frame.alias("_f")), F.encode(line, "US-ASCII") if header else F.lit(b""))
+    line = F.format_string(f"pf=%s width=%d height=%d fps_num={fps[0]} fps_den={fps[1]} sar_num={sar[0]} sar_den={sar[1]} field_order=0 pad={pad}\n", F.col(f"{image}.pf"), F.col(f"{image}.width"), F.col(f"{image}.height"))
+    return df.select(F.col(file).cast("string").alias("file"), "position", (F.encode(line, "US-ASCII") if header else F.lit(b"")).alias("head"), frame.alias("payload"))
 
 
-def aud_files(df: DataFrame, audio: str, file: str, frequency: int, channels: int, fps: tuple[int, int], profile: str = "") -> DataFrame:
-    """name and content of 16-bit sample files: the blocks of each value of the column file, by position, after a line of entries."""
+def aud_rows(df: DataFrame, audio: str, file: str, frequency: int, channels: int, fps: tuple[int, int], profile: str = "") -> DataFrame:
+    """Rows for datasource.write_frames: 16-bit samples of the files named by the column file, after a line of entries."""
     line = f"af=pcm16 frequency={frequency} channels={channels} fps_num={fps[0]} fps_den={fps[1]}{f' profile={profile}' if profile else ''}\n"
-    return _joined_files(df.select(F.col(file).cast("string").alias("name"), "position", F.lit(None).alias("_i"), wav_bytes(F.col(audio)).alias("_f")), F.lit(line.encode()))
-
-
-def _joined_files(frames: DataFrame, head: Column) -> DataFrame:
-    """One file a name, as long as its frames; how many frames go to a name bounds a task's memory."""
-    body = F.aggregate(F.sort_array(F.collect_list(F.struct("position", "_f"))), F.lit(b""), lambda a, s: F.concat(a, s["_f"]))
-    return frames.groupBy("name").agg(body.alias("_body"), F.min_by("_i", "position").alias("_first")).select("name", F.concat(head, "_body").alias("content"))
-
+    return df.select(F.col(file).cast("string").alias("file"), "position", F.lit(line.encode()).alias("head"), wav_bytes(F.col(audio)).alias("payload"))
 
-def index_files(index: DataFrame, file: str, version: int = 2) -> DataFrame:
-    """name and content of a closed binary index (version 2, 3 or 4) for each value of the column file, from its rows frame, frames, offset and length."""
-    from cadenza.sources.files import RECORD
 
+def index_rows(index: DataFrame, file: str, version: int = 2) -> tuple[DataFrame, bytes]:
+    """Rows and foot for datasource.write_frames: closed binary indexes (version 2, 3 or 4) of the files named by the column file, from rows of frame, frames, offset and length."""
     big = lambda c, digits: F.lpad(F.substring(F.hex(F.col(c).cast("long")), -digits, digits), digits, "0")
     kind = "0001" if version == 4 else "0000"
     record = F.unhex(F.concat(F.lit(kind), big("frames", 4), big("frame", 8), big("offset", 16), big("length", 8)))
     own = b"AWI" + str(version).encode()
     head = {2: own + bytes(4), 3: own + bytes(60), 4: b"\0\0" + own + bytes(14)}[version]
     foot = {2: b"\xff" * 8 + bytes(4) + own, 3: b"\xff\xff" + bytes(14) + own, 4: b"\xff\xff" + bytes(4) + own + bytes(10)}[version]
-    assert RECORD.itemsize == 20
-    rows = index.select(F.col(file).cast("string").alias("name"), F.col("frame").alias("position"), F.lit(None).alias("_i"), record.alias("_f"))
-    made = _joined_files(rows, F.lit(head))
-    return made.select("name", F.concat("content", F.lit(foot)).alias("content"))
+    return index.select(F.col(file).cast("string").alias("file"), F.col("frame").alias("position"), F.lit(head).alias("head"), record.alias("payload")), foot
 
 
 def latest(df: DataFrame, key: str = "position", order: str = "version") -> DataFrame:

@@ -14,6 +14,7 @@ from cadenza.operators import image as I
 from cadenza.operators import reindex as R
 from cadenza.operators import windows as W
 from cadenza.sources import files, sinks
+from cadenza.sources.datasource import write_frames
 
 FAR = 2_500_000_000
 
@@ -55,8 +56,8 @@ def test_two_levels_of_buckets(spark):
 def test_binary_index(spark, tmp_path, version):
     rows = [(0, 12, 0, 5000), (12, 12, 5000, 7000), (24, 1, 1 << 40, 2**31 - 1)]
     index = spark.createDataFrame(rows, "frame long, frames long, offset long, length long").withColumn("file", F.lit("a.awi"))
-    made = sinks.index_files(index, "file", version)
-    sinks.write_null(sinks.write_files(made, str(tmp_path)))
+    rows_, foot_ = sinks.index_rows(index, "file", version)
+    write_frames(rows_, str(tmp_path), foot_)
     raw = (tmp_path / "a.awi").read_bytes()
     head, foot = files.INDEX_SIZES[version]
     assert len(raw) == head + 60 + foot and struct.unpack(">hhiqi", raw[head + 20 : head + 40]) == (int(version == 4), 12, 12, 5000, 7000)
@@ -82,17 +83,19 @@ def test_wav_frames_are_split(spark, tmp_path):
     assert np.allclose(np.concatenate([r["audio"] for r in part]).reshape(-1, 2), want)
 
 
-def test_raw_and_aud_files(spark):
+def test_raw_and_aud_files(spark, tmp_path):
     images = spark.createDataFrame([(k, "a", ("yuv420p", 4, 2, [bytes([k] * 8), bytes([k + 1] * 2), bytes([k + 2] * 2)])) for k in range(3)], f"position long, file string, image {I.IMAGE}")
-    made = sinks.raw_files(images, "image", "file")
-    assert bytes(made.first()["content"]).split(b"\n", 1)[0] == b"pf=yuv420p width=4 height=2 fps_num=25 fps_den=1 sar_num=1 sar_den=1 field_order=0 pad=0"
-    frames = files.raw_frames(made.withColumnRenamed("name", "path")).orderBy("position").collect()
+    write_frames(sinks.raw_rows(images, "image", "file"), str(tmp_path / "raw"))
+    assert (tmp_path / "raw" / "a").read_bytes().split(b"\n", 1)[0] == b"pf=yuv420p width=4 height=2 fps_num=25 fps_den=1 sar_num=1 sar_den=1 field_order=0 pad=0"
+    frames = files.read_raw(spark, str(tmp_path / "raw")).orderBy("position").collect()
     assert [bytes(r["payload"]) for r in frames] == [bytes([k] * 8 + [k + 1] * 2 + [k + 2] * 2) for k in range(3)]
-    assert len(sinks.raw_files(images, "image", "file", pad=16, header=False).first()["content"]) == 48
+    write_frames(sinks.raw_rows(images, "image", "file", pad=16, header=False), str(tmp_path / "padded"))
+    assert (tmp_path / "padded" / "a").stat().st_size == 48
     with pytest.raises(ValueError):
-        sinks.raw_files(images, "image", "file", pad=16)
+        sinks.raw_rows(images, "image", "file", pad=16)
     sound = spark.createDataFrame([(0, "a", [0.5] * 1602), (1, "a", [-0.5] * 1601)], "position long, file string, audio array<double>")
-    aud = files.aud_frames(sinks.aud_files(sound, "audio", "file", 48000, 1, (30000, 1001), "mpeg").withColumnRenamed("name", "path")).orderBy("position").collect()
+    write_frames(sinks.aud_rows(sound, "audio", "file", 48000, 1, (30000, 1001), "mpeg"), str(tmp_path / "aud"))
+    aud = files.read_aud(spark, str(tmp_path / "aud")).orderBy("position").collect()
     assert [(r["samples"], r["payload"][:2]) for r in aud] == [(1602, b"\x00\x40"), (1601, b"\x00\xc0")]
 
 
