@@ -75,53 +75,119 @@ def chroma(u: int = 128, v: int = 128):
     return lambda p, pf: ([p[0], *(np.full_like(x, c) for x, c in zip(p[1:], (u, v), strict=False))], pf)
 
 
-def invert(planes: int = 7):
-    """The planes of the bit mask inverted."""
-    return lambda p, pf: ([255 - x if planes >> k & 1 else x for k, x in enumerate(p)], pf)
+def _region(shape: tuple[int, int], whole: tuple[int, int], rect: tuple[float, float, float, float]) -> tuple[slice, slice]:
+    """The lines and samples of a plane that lie in a rectangle given by shares of the image's size, cut down to whole samples."""
+    (h, w), (own_h, own_w) = whole, shape
+    dy, dx = -(-h // own_h), -(-w // own_w)
+    x0, y0, x1, y1 = int(rect[0] * w), int(rect[1] * h), int(rect[0] * w) + int(rect[2] * w), int(rect[1] * h) + int(rect[3] * h)
+    return slice(max(y0, 0) // dy, -(-max(y1, 0) // dy)), slice(max(x0, 0) // dx, -(-max(x1, 0) // dx))
 
 
-def mono(cut_off: int = 128):
-    """Black under the limit, white from it on; chroma neutral."""
-    return lambda p, pf: ([np.where(p[0] < cut_off, 16, 235), *(np.full_like(x, 128) for x in p[1:])], pf)
+def invert(planes: int = 7, rx: float = 0.0, ry: float = 0.0, rw: float = 1.0, rh: float = 1.0):
+    """The planes of the bit mask inverted, inside a rectangle given by shares of width and height. An alpha plane isn't."""
+
+    def kernel(p: Planes, pf: str):
+        out = []
+        for k, x in enumerate(p):
+            x = x.copy()
+            if planes >> k & 1 and k < 3:
+                lines, samples = _region(x.shape[-2:], p[0].shape[-2:], (rx, ry, rw, rh))
+                x[..., lines, samples] = 255 - x[..., lines, samples]
+            out.append(x)
+        return out, pf
+
+    return kernel
+
+
+def mono(cut_off: int = 128, chroma: int = 0):
+    """Black under the limit, white from it on; chroma neutral, or as it is with chroma other than 0."""
+    return lambda p, pf: ([np.where(p[0] < cut_off, 16, 235), *(x if chroma else np.full_like(x, 128) for x in p[1:3]), *p[3:]], pf)
 
 
 def correction(contrast: float = 1.0, brightness: float = 0.0, hue: float = 0.0, saturation: float = 1.0):
-    """Luma around mid grey, chroma turned and stretched."""
-    co, si = np.cos(hue) * saturation, np.sin(hue) * saturation
+    """Luma scaled from 0 by contrast, with brightness added; chroma turned by hue (degrees) and scaled by contrast and saturation.
+
+    In whole numbers: factors are 255ths, products are shifted by 8 bits, so a factor of 1 takes 255/256; brightness, times 255, is added before
+    that shift. Chroma lies around 127, and the second plane is computed from the first one's result.
+    """
+    scaled = lambda x: int(255 * x)
+    by, plus, chroma_by = scaled(contrast), scaled(brightness), scaled(contrast * saturation)
+    si, co = scaled(np.sin(np.pi * hue / 180)), scaled(np.cos(np.pi * hue / 180))
+    turned = lambda x: _clip((x >> 8) * chroma_by // 256 + 127)
 
     def kernel(p: Planes, pf: str):
-        y = _clip((p[0].astype(float) - 128) * contrast + 128 + brightness * 255)
+        y = _clip((p[0].astype(np.int64) * by + plus) >> 8)
         if len(p) < 3:
             return [y], pf
-        u, v = p[1].astype(float) - 128, p[2].astype(float) - 128
-        return [y, _clip(u * co + v * si + 128), _clip(v * co - u * si + 128)], pf
+        u, v = (x.astype(np.int64) - 127 for x in p[1:3])
+        new_u = turned(u * co + v * si)
+        return [y, new_u, turned(v * co - (new_u.astype(np.int64) - 127) * si), *p[3:]], pf
 
     return kernel
 
 
-def charcoal(scale: float = 1.5):
-    """The edge strength of the luma, inverted."""
+def charcoal(scale: float = 1.5, mix: float = 0.0):
+    """Edges of the luma drawn dark on light, in a border of black; mix: the share of the picture itself. Chroma stays.
+
+    The strength is 1.5 * scale times the root (a whole number) of the squared gradients, within 16 to 235, taken from 251. The gradient from line to
+    line takes its last term along the line below, as the one along lines does.
+    """
+    by, share = int(256 * scale), int(256 * mix)
 
     def kernel(p: Planes, pf: str):
-        y = np.pad(p[0].astype(float), [(0, 0)] * (p[0].ndim - 2) + [(1, 1)] * 2, mode="edge")
-        up, mid, low = y[..., :-2, :], y[..., 1:-1, :], y[..., 2:, :]
-        dx = (up + 2 * mid + low)[..., 2:] - (up + 2 * mid + low)[..., :-2]
-        dy = (low - up)[..., :-2] + 2 * (low - up)[..., 1:-1] + (low - up)[..., 2:]
-        return [_clip(255 - scale * np.hypot(dx, dy) / 4), *(np.full_like(x, 128) for x in p[1:])], pf
+        x = p[0].astype(np.int64)
+        out = np.full(x.shape, 16, np.uint8)
+        at = lambda dy, dx: x[..., 1 + dy : x.shape[-2] - 1 + dy, 1 + dx : x.shape[-1] - 1 + dx]
+        if min(x.shape[-2:]) > 2:
+            below = at(1, 1) - at(1, -1)
+            down = at(1, -1) - at(-1, -1) + 2 * (at(1, 0) - at(-1, 0)) + below
+            across = at(-1, 1) - at(-1, -1) + 2 * (at(0, 1) - at(0, -1)) + below
+            root = np.floor(np.sqrt(down * down + across * across)).astype(np.int64)
+            strength = np.clip((3 * root // 2 * by) >> 8, 16, 235)
+            out[..., 1:-1, 1:-1] = ((256 - share) * (251 - strength) + share * at(0, 0)) >> 8
+        return [out, *p[1:]], pf
 
     return kernel
 
 
 def chroma_key(u: int = 145, v: int = 112, var: int = 4):
-    """An alpha plane (grey8): 0 where both chroma samples are near the key, else 255."""
+    """An alpha plane (grey8): 0 where both chroma samples are near the key, else the alpha that the picture has (yuva444p), or 255."""
 
     def kernel(p: Planes, pf: str):
         hit = (np.abs(p[1].astype(int) - u) <= var) & (np.abs(p[2].astype(int) - v) <= var)
-        return [np.where(_wide(hit, *p[0].shape[-2:]), 0, 255)], "grey8"
+        return [np.where(_wide(hit, *p[0].shape[-2:]), 0, p[3] if len(p) > 3 else 255)], "grey8"
 
     return kernel
 
 
+def key_alpha(df: DataFrame, column: str, alpha: str, u: int = 145, v: int = 112, var: int = 4) -> DataFrame:
+    """df with alpha, a column of grey8 images or nulls, set to 0 where the picture's chroma is near the key (see chroma_key).
+
+    Where there is no alpha yet, or one of another size, the rest is opaque or the alpha rescaled. Null pictures leave it as it is.
+    """
+
+    def work(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for images, masks in batches:
+            frame = images.reset_index(drop=True)
+            masks = masks.reset_index(drop=True)
+
+            def made(f: pd.DataFrame, masks: pd.DataFrame = masks) -> tuple[Planes, str]:
+                keyed = chroma_key(u, v, var)(planes_of(f)[:3], "")[0][0]
+                h, w = keyed.shape[-2:]
+                for k, i in enumerate(f.index):
+                    if masks["planes"][i] is not None:
+                        own = np.frombuffer(masks["planes"][i][0], np.uint8).reshape(1, int(masks["height"][i]), int(masks["width"][i]))
+                        own = own if own.shape[-2:] == (h, w) else rescale(w, h)([own], "grey8")[0][0]
+                        keyed[k] = np.minimum(keyed[k], own[0])
+                return [keyed], "grey8"
+
+            yield _stacked(frame, made)
+
+    work.__annotations__ = {"batches": Iterator[tuple[pd.DataFrame, pd.DataFrame]], "return": Iterator[pd.DataFrame]}
+    known = F.when(F.col(alpha).isNotNull(), F.col(alpha)).otherwise(F.lit(None).cast(IMAGE))
+    return df.withColumn(alpha, F.when(F.col(column).isNotNull(), F.pandas_udf(work, IMAGE)(column, known)).otherwise(F.col(alpha)))
+
+
 def rescale(width: int = 640, height: int = 360, bilinear: bool = True):
     """Another size, with the nearest or the two nearest samples each way."""
 
@@ -295,21 +361,16 @@ def field_order(df: DataFrame, column: str, order: int = 2, own: str = "field_or
     return rows.withColumns({column: new, own: F.when(wrong, F.lit(order)).otherwise(F.col(own))}).drop("_before")
 
 
-def write_code(frame_bits: int, lines: int = 2):
-    """A number of 32 bits as black and white blocks in the first lines, low bit first."""
-
-    def kernel(p: Planes, pf: str):
-        y = p[0].copy()
-        cell = max(1, y.shape[-1] // 32)
-        for k in range(32):
-            y[..., :lines, k * cell : (k + 1) * cell] = 235 if frame_bits >> k & 1 else 16
-        return [y, *p[1:]], pf
+#: Samples a bit, bits, and the two codes' samples: the number, then its complement, from the first luma sample on.
+CELL, BITS = 5, 32
+CODE = 2 * CELL * BITS
 
-    return kernel
 
+def write_codes(df: DataFrame, column: str, number: str) -> DataFrame:
+    """The low 32 bits of the number of each row, then their complement, written into the first 320 luma samples, line after line: five a bit, 235 or 16.
 
-def write_codes(df: DataFrame, column: str, number: str, lines: int = 2) -> DataFrame:
-    """The number of each row written into its image (see write_code)."""
+    Images of fewer luma samples stay as they are.
+    """
 
     def work(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
         for images, numbers in batches:
@@ -318,9 +379,10 @@ def write_codes(df: DataFrame, column: str, number: str, lines: int = 2) -> Data
             def made(f: pd.DataFrame) -> tuple[Planes, str]:
                 p = planes_of(f)
                 y = p[0].copy()
-                cell = max(1, y.shape[-1] // 32)
-                bits = (f["code"].to_numpy(np.int64)[:, None] >> np.arange(32)) & 1
-                y[:, :lines, : 32 * cell] = np.where(bits, 235, 16).repeat(cell, 1)[:, None, :]
+                flat = y.reshape(len(y), -1)
+                if flat.shape[1] >= CODE:
+                    bits = (f["code"].to_numpy(np.int64)[:, None] >> np.arange(BITS)) & 1
+                    flat[:, :CODE] = np.where(np.hstack([bits, 1 - bits]), 235, 16).repeat(CELL, 1)
                 return [y, *p[1:]], f["pf"].iloc[0]
 
             yield _stacked(frame, made)
@@ -329,20 +391,51 @@ def write_codes(df: DataFrame, column: str, number: str, lines: int = 2) -> Data
     return df.withColumn(column, F.when(F.col(column).isNotNull(), F.pandas_udf(work, IMAGE)(column, number)))
 
 
+def read_code(y: np.ndarray) -> int | None:
+    """The number in a luma plane, by the majority of each bit's samples; None if the complement doesn't agree, so that it is damaged or there is none."""
+    if y.size < CODE:
+        return None
+    bits = (y.reshape(-1)[:CODE].reshape(2, BITS, CELL) >= 128).sum(-1) * 2 >= CELL
+    return None if (bits[0] == bits[1]).any() else sum(1 << k for k in np.flatnonzero(bits[0]).tolist())
+
+
 def read_codes(df: DataFrame, column: str, name: str) -> DataFrame:
-    """The number in each image's first line, null where the image is."""
+    """The number in each image, null where it is damaged or the image is null."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for frame in batches:
-            yield pd.Series([None if p is None else read_code(np.frombuffer(p[0], np.uint8).reshape(int(h), int(w))) for p, h, w in zip(frame["planes"], frame["height"], frame["width"], strict=True)], dtype="Int64")
+            yield pd.Series([None if p is None else read_code(np.frombuffer(p[0], np.uint8)) for p in frame["planes"]], dtype="Int64")
 
     work.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
     return df.withColumn(name, F.pandas_udf(work, "long")(column))
 
 
-def read_code(y: np.ndarray) -> int:
-    cell = max(1, y.shape[1] // 32)
-    return sum(1 << k for k in range(32) if y[0, k * cell : (k + 1) * cell].mean() >= 128)
+def mask_first_line(p: Planes, pf: str):
+    """The first luma line covered by the second."""
+    y = p[0].copy()
+    if y.shape[-2] > 1:
+        y[..., 0, :] = y[..., 1, :]
+    return [y, *p[1:]], pf
+
+
+def decode_codes(df: DataFrame, column: str, name: str, tries: int = 3, mask: bool = True) -> DataFrame:
+    """read_codes over a clip as a decoder goes through it: after tries frames without a number it gives up, and later ones have null.
+
+    With mask, frames from the first number on (until it gives up, but for the frame at which it does if no number was found) get their first line covered.
+    """
+    from cadenza.operators.windows import running_sum
+
+    read = read_codes(df, column, name)
+    judged = F.when(F.col(column).isNull(), 0)
+    read = read.withColumns({"_miss": judged.when(F.col(name).isNull(), 1).otherwise(0), "_hit": F.when(F.col(name).isNotNull(), 1).otherwise(0)})
+    tried = running_sum(running_sum(read, "_miss", "_missed", before=True), "_hit", "_found")
+    at_work = F.col("_missed") < tries
+    # Numbers after the last try aren't found; those before are, also for frames without one.
+    out = tried.withColumn(name, F.when(at_work, F.col(name)))
+    if mask:
+        covered = apply(out.withColumn("_own", F.when(at_work & (F.col("_found") > 0), F.col(column))), "_own", mask_first_line)
+        out = covered.withColumn(column, F.coalesce("_own", column)).drop("_own")
+    return out.drop("_miss", "_hit", "_missed", "_found")
 
 
 def waveform(samples: np.ndarray, width: int = 64, height: int = 32) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from cadenza.functions import timecode as T
@@ -45,27 +47,62 @@ def image_chroma(spark, d):
     return plane_sums(I.apply(_yuv(spark, d), "image", I.chroma()), 3)
 
 
-@query(_image_sql(
-    [_8.format(f"(CAST({y} AS DOUBLE) - 128) * 1.2::DOUBLE + 128 + 0.05::DOUBLE * 255") for y in _Y],
-    [_8.format(f"({u} - 128.0::DOUBLE) * (cos(0.3::DOUBLE) * 1.1::DOUBLE) + ({v} - 128.0::DOUBLE) * (sin(0.3::DOUBLE) * 1.1::DOUBLE) + 128") for u, v in zip(_U, _V, strict=True)],
-    [_8.format(f"({v} - 128.0::DOUBLE) * (cos(0.3::DOUBLE) * 1.1::DOUBLE) - ({u} - 128.0::DOUBLE) * (sin(0.3::DOUBLE) * 1.1::DOUBLE) + 128") for u, v in zip(_U, _V, strict=True)],
-))
+def _corrected_sql() -> str:
+    """The planes corrected by contrast 1.2, brightness 20, a hue of 30 degrees and saturation 0.9, in whole numbers."""
+    lim = lambda x: f"greatest(0, least(255, {x}))"
+    by, plus, chroma_by, si, co = int(255 * 1.2), int(255 * 20.0), int(255 * (1.2 * 0.9)), int(255 * math.sin(math.pi * 30.0 / 180)), int(255 * math.cos(math.pi * 30.0 / 180))
+    down = lambda x: f"CAST(floor(({x}) / 256.0) AS BIGINT)"
+    turned = lambda x: lim(f"{down(f'{down(x)} * {chroma_by}')} + 127")
+    us = [turned(f"({u} - 127) * {co} + ({v} - 127) * {si}") for u, v in zip(_U, _V, strict=True)]
+    vs = [turned(f"({v} - 127) * {co} - (nu[{k}] - 127) * {si}") for k, v in enumerate(_V, 1)]
+    first = f"{_Q}, c AS (SELECT vec_id, v, [{', '.join(us)}] AS nu FROM q)"
+    return _image_sql([lim(down(f"{y} * {by} + {plus}")) for y in _Y], [f"nu[{k}]" for k in range(1, 17)], vs, source="c", ctes=first)
+
+
+@query(_corrected_sql())
 def image_correction(spark, d):
-    return plane_sums(I.apply(_yuv(spark, d), "image", I.correction(1.2, 0.05, 0.3, 1.1)), 3)
+    return plane_sums(I.apply(_yuv(spark, d), "image", I.correction(1.2, 20.0, 30.0, 0.9)), 3)
 
 
-def _edge(r: int, c: int) -> str:
-    near = lambda dr, dc: f"v[{min(max(r + dr, 0), 3) * 4 + min(max(c + dc, 0), 3) + 1}]"
-    dx = f"({near(-1, 1)} + 2 * {near(0, 1)} + {near(1, 1)} - {near(-1, -1)} - 2 * {near(0, -1)} - {near(1, -1)})"
-    dy = f"({near(1, -1)} + 2 * {near(1, 0)} + {near(1, 1)} - {near(-1, -1)} - 2 * {near(-1, 0)} - {near(-1, 1)})"
-    return _8.format(f"255 - 1.5::DOUBLE * sqrt(CAST({dx} * {dx} + {dy} * {dy} AS DOUBLE)) / 4")
+def _drawn(r: int, c: int, mix: int = 0) -> str:
+    if r in (0, 3) or c in (0, 3):
+        return "16"
+    at = lambda dr, dc: f"v[{(r + dr) * 4 + c + dc + 1}]"
+    down = f"({at(1, -1)} - {at(-1, -1)} + 2 * ({at(1, 0)} - {at(-1, 0)}) + {at(1, 1)} - {at(1, -1)})"
+    across = f"({at(-1, 1)} - {at(-1, -1)} + 2 * ({at(0, 1)} - {at(0, -1)}) + {at(1, 1)} - {at(1, -1)})"
+    strength = f"greatest(16, least(235, (3 * CAST(floor(sqrt({down} * {down} + {across} * {across})) AS BIGINT) // 2 * 384) >> 8))"
+    return f"(({256 - mix} * (251 - {strength}) + {mix} * {at(0, 0)}) >> 8)"
 
 
-@query(_image_sql([_edge(k // 4, k % 4) for k in range(16)], ["128"] * 16))
+@query(_image_sql([_drawn(k // 4, k % 4) for k in range(16)], _U))
 def image_charcoal(spark, d):
     return plane_sums(I.apply(_yuv(spark, d), "image", I.charcoal()), 2)
 
 
+@query(_image_sql([_drawn(k // 4, k % 4, 64) for k in range(16)], _U, _V))
+def image_charcoal_mixed(spark, d):
+    return plane_sums(I.apply(_yuv(spark, d), "image", I.charcoal(1.5, 0.25)), 3)
+
+
+@query(_image_sql([f"CASE WHEN {k // 4} BETWEEN 1 AND 2 AND {k % 4} < 2 THEN 255 - {y} ELSE {y} END" for k, y in enumerate(_Y)], _U, [f"CASE WHEN {k // 4} BETWEEN 1 AND 2 AND {k % 4} < 2 THEN 255 - {x} ELSE {x} END" for k, x in enumerate(_V)]))
+def image_invert_region(spark, d):
+    """Luma and the second chroma plane, in the left half of the middle lines."""
+    return plane_sums(I.apply(_yuv(spark, d), "image", I.invert(5, 0.0, 0.25, 0.5, 0.5)), 3)
+
+
+@query(_image_sql([f"CASE WHEN {y} < 100 THEN 16 ELSE 235 END" for y in _Y], _U, _V))
+def image_mono_chroma(spark, d):
+    """Black and white luma, chroma as it is."""
+    return plane_sums(I.apply(_yuv(spark, d), "image", I.mono(100, chroma=1)), 3)
+
+
+@query(_image_sql([f"CASE WHEN abs({u} - 128) <= 12 AND abs({v} - 128) <= 12 THEN 0 ELSE v[{k}] END" for k, (u, v) in enumerate(zip(_U, _V, strict=True), 49)]))
+def image_chroma_key_alpha(spark, d):
+    """Where the chroma isn't near the key, the alpha that the picture has stays."""
+    df = I.planar(stereo(spark, d).df, "audio", "image", "yuva444p", 4, 4)
+    return plane_sums(I.apply(df, "image", I.chroma_key(128, 128, 12)), 1)
+
+
 @query(_image_sql([f"CASE WHEN abs({u} - 128) <= 12 AND abs({v} - 128) <= 12 THEN 0 ELSE 255 END" for u, v in zip(_U, _V, strict=True)]))
 def image_chroma_key(spark, d):
     return plane_sums(I.apply(_yuv(spark, d), "image", I.chroma_key(128, 128, 12)), 1)
@@ -136,11 +173,32 @@ def image_composite(spark, d):
     return plane_sums(I.composite(back.join(over, "position"), "back", "over", "image", "native", 0.5, target=(8, 8)), 1)
 
 
+def _coded(spark, d):
+    """Pictures of 160 x 2 with a number in their luma."""
+    df = I.apply(I.grey(stereo(spark, d).df, "audio", "image", 8, 8), "image", I.rescale(160, 2, bilinear=False)).withColumn("number", F.col("position") * 1000003 % (1 << 32))
+    return I.write_codes(df, "image", "number")
+
+
 @query("SELECT vec_id AS position, vec_id * 1000003 % 4294967296 AS code FROM embeddings")
 def image_code(spark, d):
-    """A number written into the first lines of a picture of 32 x 2 and read again."""
-    df = I.grey(stereo(spark, d).df, "audio", "image", 32, 2).withColumn("number", F.col("position") * 1000003 % (1 << 32))
-    return I.read_codes(I.write_codes(df, "image", "number"), "image", "code").select("position", "code")
+    """A number and its complement written into the luma, and read again."""
+    return I.read_codes(_coded(spark, d), "image", "code").select("position", "code")
+
+
+@query("SELECT vec_id AS position, CASE WHEN vec_id % 3 <> 0 THEN vec_id * 1000003 % 4294967296 END AS code FROM embeddings")
+def image_code_damaged(spark, d):
+    """Of every third picture a quarter of the first line is inverted, and its number is not read."""
+    df = _coded(spark, d).withColumn("damaged", F.when(F.col("position") % 3 == 0, F.col("image")))
+    df = I.apply(df, "damaged", I.invert(1, 0.25, 0.0, 0.25, 0.5)).withColumn("image", F.coalesce("damaged", "image"))
+    return I.read_codes(df, "image", "code").select("position", "code")
+
+
+@query("SELECT vec_id AS position, CASE WHEN vec_id <= 20 AND vec_id % 10 <> 0 THEN vec_id * 1000003 % 4294967296 END AS code FROM embeddings")
+def image_code_tries(spark, d):
+    """Every tenth picture has no number; the third such ends the decoding."""
+    df = _coded(spark, d).withColumn("damaged", F.when(F.col("position") % 10 == 0, F.col("image")))
+    df = I.apply(df, "damaged", I.mono(0)).withColumn("image", F.coalesce("damaged", "image"))
+    return I.decode_codes(df, "image", "code", tries=3).select("position", "code")
 
 
 @query(_sums_sql(f"{_E}, m AS (SELECT vec_id, list_transform(range(1, 65), lambda k: CASE WHEN k % 2 = 1 THEN a[k + 1] ELSE a[k - 1] END) AS x FROM e)", "m"))

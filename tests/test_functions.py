@@ -118,11 +118,27 @@ def test_images(spark):
     flat = [np.full((4, 4), 100, np.uint8), np.full((2, 2), 120, np.uint8), np.full((2, 2), 140, np.uint8)]
     back = I.colour_space("yuv420p")(*I.colour_space("rgb24p")(flat, "yuv420p"))[0]
     assert all(abs(int(a[0, 0]) - int(b[0, 0])) <= 2 for a, b in zip(flat, back))
-    wide = [np.zeros((4, 64), np.uint8)]
-    assert I.read_code(I.write_code(123456789)(wide, "grey8")[0][0]) == 123456789
-    assert I.waveform(np.sin(np.arange(500) / 9)).shape == (32, 64) and I.correction()(planes, "yuv420p")[0][0].tolist() == planes[0].tolist()
+    coded = I.write_codes(spark.createDataFrame([(k, ("grey8", w, h, [bytes(w * h)]), n) for k, (w, h, n) in enumerate([(400, 2, 123456789), (20, 16, (1 << 32) - 2), (64, 4, 7)])], f"position int, image {I.IMAGE}, n long"), "image", "n")
+    rows = I.read_codes(coded, "image", "code").orderBy("position").collect()
+    assert [r["code"] for r in rows] == [123456789, (1 << 32) - 2, None]
+    y = np.frombuffer(rows[0]["image"]["planes"][0], np.uint8)
+    assert set(y[:320].tolist()) == {16, 235} and not y[320:].any() and (y[:160] + y[160:320] == 251).all()
+    for damaged, code in (((0, 2), 123456789), ((0, 3), None), ((200, 203), None)):  # the majority of five counts
+        z = y.copy()
+        z[slice(*damaged)] = 251 - z[slice(*damaged)]
+        assert I.read_code(z) == code
+    assert I.waveform(np.sin(np.arange(500) / 9)).shape == (32, 64) and I.correction()(planes, "yuv420p")[0][0].tolist() == (planes[0].astype(int) * 255 >> 8).tolist()
     assert I.deinterlace(planes, "yuv420p")[0][0][0].tolist() == planes[0][0].tolist()
-    assert I.charcoal()([np.full((4, 4), 9, np.uint8)], "grey8")[0][0].min() == 255
+    drawn = I.charcoal()([np.full((4, 4), 9, np.uint8), planes[1]], "yuv420p")[0]
+    assert drawn[0][1:3, 1:3].tolist() == [[235, 235]] * 2 and drawn[0].sum() == 4 * 235 + 12 * 16 and drawn[1] is planes[1]
+    assert I.charcoal()([np.full((2, 4), 9, np.uint8)], "grey8")[0][0].tolist() == [[16] * 4] * 2
+    part = I.invert(3, 0.5, 0.5, 0.5, 0.5)(planes, "yuv420p")[0]
+    assert (part[0][3:, 4:] == 255 - planes[0][3:, 4:]).all() and (part[0][:3] == planes[0][:3]).all() and (part[1][1:, 2:] == 255 - planes[1][1:, 2:]).all() and (part[2] == planes[2]).all()
+    assert (I.mono(128, chroma=1)(planes, "yuv420p")[0][1] == planes[1]).all()
+    masked = spark.createDataFrame([(0, ("grey8", 8, 6, [bytes(range(48))])), (1, None), (2, ("grey8", 4, 3, [bytes([9] * 12)]))], f"id int, alpha {I.IMAGE}").join(df.where("id = 1").select("image"))
+    out = {r["id"]: np.frombuffer(r["alpha"]["planes"][0], np.uint8).reshape(6, 8) for r in I.key_alpha(masked, "image", "alpha", 128, 128, 60).collect()}
+    hit = I.chroma_key(128, 128, 60)(planes, "yuv420p")[0][0] == 0
+    assert hit.any() and not hit.all() and all((out[k] == np.where(hit, 0, base)).all() for k, base in ((0, np.arange(48).reshape(6, 8)), (1, 255), (2, 9)))
     assert I.blend(planes[0], np.full((2, 2), 9, np.uint8), np.full((2, 2), 255, np.uint8), 1, 1)[1:3, 1:3].tolist() == [[9, 9], [9, 9]]
 
 
