@@ -150,8 +150,12 @@ def _fit(features: Features, languages: list[str], idf: np.ndarray, epochs: int)
                 at, x = model.vector(text)
                 rows.append((draw, languages.index(lang), at.astype(np.int32), x.astype(np.float32)))
         rows.sort(key=lambda r: r[:2])
-        held = rows[::5] if len(rows) >= 50 else []
-        learnt = [r for k, r in enumerate(rows) if k % 5] if held else rows
+        # Every fifth text of a language is held out, the fifth first, so that one of few texts is learnt from.
+        seen = [0] * len(languages)
+        held, learnt = [], []
+        for r in rows:
+            seen[r[1]] += 1
+            (held if seen[r[1]] % 5 == 0 and len(rows) >= 50 else learnt).append(r)
         ftrl = Ftrl(len(languages), features.size)
         for _ in range(epochs):
             for _, label, at, x in learnt:
@@ -167,12 +171,14 @@ def learn(labelled: DataFrame, features: Features | None = None, per_language: i
     """Learn languages from rows of text and language; rows with a null in either are left out.
 
     Inverse document frequencies are counted over all rows. The classifier is fitted by one task on a
-    sample of at most per_language different texts of each language, those with the smallest hashes; a fifth of them
-    calibrates the temperature (1 with fewer than 50 rows, which are all learnt from). No labelled row: a model that answers und.
+    sample of at most per_language different texts of each language, those with the smallest hashes; every fifth of a language
+    calibrates the temperature (1 with fewer than 50 rows, which are all learnt from). Copies count once, so that a language of
+    few texts has them all in the sample, however many rows there are. No labelled row: a model that answers und.
     """
     features = features or Features()
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null and text <> ''")
-    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # About how many different texts; a twentieth off at most times, for which the share has room.
+    count = {r["lang"]: max(r["n"], 1) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()}
     languages = sorted(count)
     if not languages:
         return LanguageModel(features, [], np.zeros(features.size), np.zeros((features.size, 0)), 1.0)
@@ -182,7 +188,7 @@ def learn(labelled: DataFrame, features: Features | None = None, per_language: i
     idf = np.log((1 + n[-1]) / (1 + n[:-1])) + 1
     share: Column = F.lit(None)
     for lang, k in count.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * per_language / k + 20 / k))).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.3 * per_language / k + 20 / k))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit("draw"), "text"), F.lit(1 << 50))
     drawn = rows.withColumn("draw", draw).where(F.col("draw") / (1 << 50) < share).dropDuplicates(["lang", "draw"])
     # The share lets little more than the sample through, so a language's rows fit one task.

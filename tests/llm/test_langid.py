@@ -54,3 +54,53 @@ def test_the_sample_is_that_of_the_smallest_hashes(spark):
     df = spark.createDataFrame(rows, "text string, lang string")
     one, two = langid.learn(df.repartition(3), per_language=50), langid.learn(df.repartition(7), per_language=50)
     assert (one.weights == two.weights).all() and one.temperature == two.temperature
+
+
+def test_a_language_of_few_texts_with_many_copies_is_learnt(spark):
+    rows = [(f"the number {k} of the house and the garden in the town", "en") for k in range(3000)]
+    few = ["el gato negro duerme sobre la mesa de la cocina", "los niños juegan en la calle con una pelota", "mañana vamos a comer pescado en el puerto"]
+    texts = spark.createDataFrame(rows, "text string, lang string")
+    for copies in (1, 2000, 20000):
+        many = spark.range(copies).crossJoin(spark.createDataFrame([(t, "es") for t in few], "text string, lang string")).select("text", "lang")
+        model = langid.learn(texts.unionAll(many))
+        assert [model.predict(t)[0] for t in few] == ["es"] * 3, copies
+        assert model.predict("the number 7 of the street")[0] == "en"
+
+
+def test_predictions_by_plain_arithmetic(spark):
+    """TF-IDF, weights, temperature and softmax of each document without vectors, from n-grams cut by hand."""
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.learn(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    mask, bits = (1 << 32) - 1, model.features.size.bit_length() - 1
+
+    def hashes(text):
+        chars = [ord(c) for c in f" {text} ".lower()]
+        for n in (1, 2, 3):
+            for a in range(len(chars) - n + 1):
+                h = chars[a] * 0x9E3779B1 & mask
+                for c in chars[a + 1 : a + n]:
+                    h = ((h ^ h >> 15) * 0x85EBCA6B + c) & mask
+                yield (h * 0xC2B2AE35 & mask) >> (32 - bits)
+
+    def predicted(text):
+        if not text or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        tf = {}
+        for k in hashes(text):
+            tf[k] = tf.get(k, 0) + 1
+        x = {k: math.log1p(n) * model.idf[k] for k, n in tf.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        z = [sum(v / norm * float(model.weights[k, j]) for k, v in x.items()) / model.temperature for j in range(len(model.languages))]
+        p = [math.exp(a - max(z)) for a in z]
+        return model.languages[p.index(max(p))], max(p) / sum(p)
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if len(r["text"] or "") < 3000}
+    seen = 0
+    for r in langid.identify(docs, model).collect():
+        if r["doc_id"] in texts:
+            lang, score = predicted(texts[r["doc_id"]])
+            assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-5
+            seen += 1
+    assert seen > 100
