@@ -85,6 +85,8 @@ def collisions(p: np.ndarray, q: np.ndarray, window: float, threshold: int) -> t
 
 
 def _unit(values: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by a power of two near their largest entry first, so that squares stay in range and no digit is lost."""
+    values = np.ldexp(values, -np.frexp(np.abs(values).max(axis=1))[1][:, None])
     return values / np.sqrt(np.einsum("ij,ij->i", values, values))[:, None]
 
 
@@ -143,8 +145,9 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.98, id_col: str
     """
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & (F.coalesce(norm, F.lit(0.0)) > 0) & (F.coalesce(norm, F.lit(0.0)) < float("inf")) & ~F.isnan(F.coalesce(norm, F.lit(0.0)))
+    # By the entries and not by a sum of squares, which leaves the range of doubles long before they do.
+    fine = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0)
+    usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & fine
     source = source.select("vec_id", "label", "v", F.coalesce(usable, F.lit(False)).alias("usable"), F.xxhash64("v").alias("h"), F.size("v").alias("d"))
     base = stored(source, "vectors")
     alone = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -112,3 +112,11 @@ def test_many_vectors_of_two_lengths(spark):
     assert len(got) == len(want) and all(got[i][0] <= want[i][0] for i in want)
     assert found >= 0.998 * total > 100_000, (found, total)
     assert sum(got[i][1] == want[i][1] for i in want) >= 0.995 * len(want)
+
+
+def test_magnitudes_at_the_ends_of_doubles(spark):
+    tiny = 5e-324
+    v = [[1e200, 1e200], [1e200, 1e200], [1e-200, 0.0], [1e-200, 0.0], [1e300, 1e300], [tiny, 0.0], [tiny, tiny], [0.0, -0.0], [1e308, -1e308]]
+    df = spark.createDataFrame([(k, x, 1) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(df).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (2, 2), 3: (2, 2), 4: (3, 0), 5: (2, 2), 6: (3, 0), 7: (0, 7), 8: (0, 8)}
