@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.functions import properties as P
 from cadenza.functions.sql import register_sql
 from cadenza.operators import recurrence as N
 from cadenza.plans.base import events, registers, table
@@ -29,6 +30,26 @@ def fold_gate(spark, d):
     return N.folded(df, c.length, N.machine(2, "move", [[0, 0], [1, 1]]), ["move"], "open", bucket=1024, wide=16).select("position", F.col("open").cast("int").alias("open"))
 
 
+def _properties(spark, d):
+    """Each event with properties of its own: k, one named by its type and, of every second, even."""
+    c = events(spark, d, "event_type", "value", "props")
+    text = F.concat(F.expr("rtrim('}', props)"), F.lit(', "'), "event_type", F.lit('": '), F.col("value").cast("string"), F.when(F.col("position") % 2 == 0, ', "even": true').otherwise(""), F.lit("}"))
+    return c.df.select("position", P.parsed(text).alias("p"))
+
+
+@query("SELECT event_id AS position, CAST(props->>'k' AS BIGINT) AS k, CASE WHEN event_type = 'purchase' THEN value END AS purchase, event_id % 2 = 0 AS even, CAST(NULL AS BIGINT) AS none FROM events")
+def variant_values(spark, d):
+    """Properties by name and type, though no row has them all."""
+    p = F.col("p")
+    return _properties(spark, d).select("position", P.value(p, "k", "long").alias("k"), P.value(p, "purchase", "double").alias("purchase"), P.has(p, "even").alias("even"), P.value(p, "none", "long").alias("none"))
+
+
+@query("""SELECT name, count(*) AS n FROM (SELECT unnest(CASE WHEN event_id % 2 = 0 THEN [event_type, 'even'] ELSE [event_type] END) AS name FROM events) WHERE regexp_matches(name, '^(p|e)|n$') GROUP BY 1""")
+def variant_names(spark, d):
+    """How often the names that a pattern finds occur."""
+    return P.unfolded(_properties(spark, d), "p", "^(p|e)|n$").groupBy("name").agg(F.count("*").alias("n"))
+
+
 def _sql(spark, d, text: str, *tables: str):
     register_sql(spark)
     for name in tables:
