@@ -94,8 +94,13 @@ def gray_rank(f: np.ndarray) -> np.ndarray:
     return f
 
 
-def near_pairs(group: np.ndarray, f: np.ndarray, most_differing: int, step: int = 16, chunk: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (a < b) of equal group whose fingerprints f (n, words) differ in few enough bits.
+def budgets(most_differing: int | tuple[int, ...], words: int) -> tuple[int, ...]:
+    """How many bits may differ up to the end of each word: one number is for all of the fingerprint."""
+    return tuple(most_differing) if isinstance(most_differing, tuple) else (most_differing,) * words
+
+
+def near_pairs(group: np.ndarray, f: np.ndarray, most_differing: int | tuple[int, ...], step: int = 16, chunk: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (a < b) of equal group whose fingerprints f (n, words) differ in few enough bits (see budgets).
 
     Rows are ordered by group and Gray rank, so that rows which share a pattern of leading bits lie
     together: groups are the top nodes, patterns of the first 16, 32, ... bits those below. Pairs of
@@ -103,6 +108,7 @@ def near_pairs(group: np.ndarray, f: np.ndarray, most_differing: int, step: int
     everything below it. Pairs of nodes are expanded chunk by chunk, so memory stays bounded.
     """
     n, words = f.shape
+    most = budgets(most_differing, words)
     order = np.lexsort([gray_rank(f[:, w]) for w in reversed(range(words))] + [group])
     f, group = f[order], group[order]
     change = np.ones(n + 1, bool)
@@ -164,7 +170,7 @@ def near_pairs(group: np.ndarray, f: np.ndarray, most_differing: int, step: int
             ca, cb, parent = ca[keep], cb[keep], parent[keep]
             low = levels[level + 1]
             diff = acc[parent] + np.bitwise_count((f[low[ca], w] ^ f[low[cb], w]) & mask)
-            keep = diff <= most_differing
+            keep = diff <= most[w]
             if keep.any():
                 work.append((level + 1, ca[keep], cb[keep], diff[keep]))
 
@@ -184,7 +190,7 @@ def mask_plan(rows: int, words: int, differing: float, miss: float = 2e-4, node_
     return random_masks(words, bits, ceil(log(miss) / log(1 - (1 - differing / (64 * words)) ** bits)))
 
 
-def near_links(distinct: DataFrame, masks: list[tuple], most_differing: int, words: int, least: float | None = None, node_rows: int = 4096) -> DataFrame:
+def near_links(distinct: DataFrame, masks: list[tuple], most_differing: int | tuple[int, ...], words: int, least: float | None = None, node_rows: int = 4096) -> DataFrame:
     """Links (a, b) between the labels of distinct fingerprints (id, f0, ...) with few differing bits.
 
     A column label, if there, says which rows are linked already; else id is the label. With least, distinct has the
@@ -209,8 +215,10 @@ def near_links(distinct: DataFrame, masks: list[tuple], most_differing: int, wor
         return found
     further = [*names, *(["n"] if least else [])]
     rows = stored(entries.join(hot, F.col("node") == F.col("_node")).select(F.col("node").alias("g"), "id", F.col("label").alias("k"), F.lit(1).alias("w"), *further), "node-rows")
-    apart = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"_{n}"))) for n in names), F.lit(0))
-    near = apart <= most_differing
+    apart, near = F.lit(0), F.lit(True)
+    for n, most in zip(names, budgets(most_differing, words), strict=True):
+        apart = apart + F.bit_count(F.col(n).bitwiseXOR(F.col(f"_{n}")))
+        near = near & (apart <= most)
     if least:
         near = near & (F.least("n", "_n") >= F.greatest("n", "_n") * F.lit(least) - 1e-6)
     return found.unionAll(grouped_links(rows, near, CellCompare(words, most_differing, least), node_rows // 2))
@@ -281,10 +289,12 @@ def joined(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *rows]), np.concatenate([none, *columns])
 
 
-def near_matrix(f: np.ndarray, g: np.ndarray, most_differing: int, n: np.ndarray | None = None, m: np.ndarray | None = None, least: float | None = None) -> np.ndarray:
+def near_matrix(f: np.ndarray, g: np.ndarray, most_differing: int | tuple[int, ...], n: np.ndarray | None = None, m: np.ndarray | None = None, least: float | None = None) -> np.ndarray:
     """Which rows of f are near which of g: by differing bits, and by what the sizes n and m of their sets allow."""
-    apart = sum(np.bitwise_count(f[:, w][:, None] ^ g[:, w][None, :]) for w in range(f.shape[1]))
-    near = apart <= most_differing
+    apart, near = np.zeros((len(f), len(g)), np.int16), np.ones((len(f), len(g)), bool)
+    for w, most in enumerate(budgets(most_differing, f.shape[1])):
+        apart += np.bitwise_count(f[:, w][:, None] ^ g[:, w][None, :])
+        near &= apart <= most
     if least:
         near &= np.minimum(n[:, None], m[None, :]) >= least * np.maximum(n[:, None], m[None, :]) - 1e-6
     return near
@@ -293,7 +303,7 @@ def near_matrix(f: np.ndarray, g: np.ndarray, most_differing: int, n: np.ndarray
 class CellCompare(ByCell):
     """Links of the near fingerprints of two blocks of a node."""
 
-    def __init__(self, words: int, most_differing: int, least: float | None, strip: int = 512):
+    def __init__(self, words: int, most_differing: int | tuple[int, ...], least: float | None, strip: int = 512):
         self.words, self.most, self.least, self.strip = words, most_differing, least, strip
 
     def linked(self, table: pa.Table, lo: int, half: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -315,7 +325,7 @@ class NodeWalk:
     Gives links (a, b), and (node, null) for a node of too many rows.
     """
 
-    def __init__(self, words: int, most_differing: int, rows: int = 100_000, least: float | None = None, node_rows: int = 4096, dense: int = 128):
+    def __init__(self, words: int, most_differing: int | tuple[int, ...], rows: int = 100_000, least: float | None = None, node_rows: int = 4096, dense: int = 128):
         self.words, self.most, self.rows, self.least, self.node_rows, self.dense = words, most_differing, rows, least, node_rows, dense
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +397,7 @@ class NodeWalk:
             yield _forest(label, np.concatenate(x), np.concatenate(y))
 
 
-def near_groups(distinct: DataFrame, masks: list[tuple], most_differing: int, words: int, least: float | None = None, first: int = 12) -> DataFrame:
+def near_groups(distinct: DataFrame, masks: list[tuple], most_differing: int | tuple[int, ...], words: int, least: float | None = None, first: int = 12) -> DataFrame:
     """(node, component_id) of the fingerprints linked by near_links, also through others; those without a link are left out.
 
     Many masks are taken in two steps: what the first ones have linked is labelled, and the others only link labels. So a large group of near copies
@@ -431,21 +441,31 @@ def near_duplicates(docs: DataFrame, width: int = 4, most_differing: int = 4, se
     return base.join(labelled, names).select("doc_id", *names, "component_id")
 
 
-def shingle_sets(docs: DataFrame, width: int, seeds: tuple[int, ...]) -> DataFrame:
+def widened(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Words columns of hashes from one: itself, then each mixed with a multiple of a fixed odd number."""
+    out = [hashes.astype(np.uint64)]
+    for k in range(1, words):
+        x = out[0] + np.uint64((k * 0x9E3779B97F4A7C15) & ONES)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        out.append(x ^ (x >> np.uint64(31)))
+    return np.stack(out, 1)
+
+
+def shingle_sets(docs: DataFrame, width: int, seed: int, words: int) -> DataFrame:
     """doc_id, h (hash of the text), s (hash of the set of its shingles), n (the set's size) and the set's fingerprint f0, ..."""
-    names = [f"f{k}" for k in range(len(seeds))]
+    names = [f"f{k}" for k in range(words)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s, n, f = [], [], []
             for x in batch.column(2):
-                hashes = shingle_hashes(x.as_py(), width, seeds)
-                one, at = np.unique(hashes[:, 0], return_index=True)
+                one = np.unique(shingle_hashes(x.as_py(), width, (seed,))[:, 0])
                 s.append(xxhash.xxh64_intdigest(one.tobytes(), 1))
                 n.append(len(one))
-                f.append(fingerprint(hashes[at]))
-            f = np.array(f, np.uint64).reshape(-1, len(seeds)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(s, np.uint64).astype(np.int64)), pa.array(n, pa.int32()), *(pa.array(f[:, k]) for k in range(len(seeds)))], ["doc_id", "h", "s", "n", *names])
+                f.append(fingerprint(widened(one, words)))
+            f = np.array(f, np.uint64).reshape(-1, words).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(s, np.uint64).astype(np.int64)), pa.array(n, pa.int32()), *(pa.array(f[:, k]) for k in range(words))], ["doc_id", "h", "s", "n", *names])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(work, "doc_id long, h long, s long, n int, " + ", ".join(f"{x} long" for x in names))
 
@@ -515,22 +535,24 @@ def alike_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, wid
     return grouped_links(stored(sets, "near-sets"), near, BlockCompare(least), shingles)
 
 
-def near_copies(docs: DataFrame, width: int, least: float, most_differing: int, seeds: tuple[int, ...]) -> DataFrame:
+def near_copies(docs: DataFrame, width: int, least: float, most_differing: tuple[int, ...], seed: int = 42) -> DataFrame:
     """doc_id and h (xxhash64 of the text) of the rows that are a near copy of another row which stays.
 
     Two texts are near copies if the sets of their word shingles have a Jaccard similarity of at least least. The index of
-    SimHash fingerprints only finds groups of candidates (see mask_plan); all links are checked exactly. Of each group of rows
+    SimHash fingerprints (a word of 64 bits for each number of most_differing) only finds groups of candidates (see mask_plan); a pair is a candidate if
+    its bits differ in few enough places up to the end of each word. All links are checked exactly. Of each group of rows
     linked, also through others, the one with the smallest doc_id (then h; null ids last) stays. Texts without
     a word are equal. No two rows may have both doc_id and text equal.
     """
-    names = [f"f{w}" for w in range(len(seeds))]
-    base = stored(shingle_sets(docs, width, seeds), "shingle-sets")
+    words = len(most_differing)
+    names = [f"f{w}" for w in range(words)]
+    base = stored(shingle_sets(docs, width, seed, words), "shingle-sets")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     distinct = stored(base.groupBy("s").agg(F.min(row).alias("first"), *(F.min(x).alias(x) for x in ("n", *names))), "shingle-sets-distinct")
-    differing = 64 * len(seeds) * acos(2 * least / (1 + least)) / pi  # of sets of equal size with just this similarity
-    masks = mask_plan(distinct.count(), len(seeds), differing)
-    groups = near_groups(distinct.select(F.col("s").alias("id"), *names, "n"), masks, most_differing, len(seeds), least)
-    member = components(alike_links(docs, distinct, groups, width, seeds[0], least))
+    differing = 64 * words * acos(2 * least / (1 + least)) / pi  # of sets of equal size with just this similarity
+    masks = mask_plan(distinct.count(), words, differing)
+    groups = near_groups(distinct.select(F.col("s").alias("id"), *names, "n"), masks, most_differing, words, least)
+    member = components(alike_links(docs, distinct, groups, width, seed, least))
     labelled = distinct.join(member, F.col("s") == F.col("node"), "left").select("s", "first", F.coalesce("component_id", "s").alias("c"))
     stays = labelled.groupBy(F.col("c").alias("_c")).agg(F.min("first").alias("stays"))
     labelled = stored(labelled.join(stays, F.col("c") == F.col("_c")).select(F.col("s").alias("_s"), "stays"), "shingle-sets-stay")

@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cadenza.llm import simhash
+from corpus_pipeline import NEAR_BITS
 
 
 def brute_fingerprint(text, width=4, seed=42):
@@ -164,12 +165,56 @@ def test_planted_pairs(spark):
                 kind[len(rows)] = j
                 rows.append((len(rows), text))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    gone = [r["doc_id"] for r in simhash.near_copies(docs, 5, 0.8, 34, (42, 43)).collect()]
+    gone = [r["doc_id"] for r in simhash.near_copies(docs, 5, 0.8, NEAR_BITS).collect()]
     assert all(i % 2 == 1 for i in gone)
     lost = {j: sum(kind[i] == j for i in gone) for j in plan}
     assert lost[0.8] >= 194 and lost[0.78] == lost[0.7] == lost[0.6] == 0, lost
 
 
+@pytest.mark.parametrize("rows", [10_000, 40_000, 160_000])
+def test_strangers_are_no_candidates_however_many(spark, rows):
+    """Random fingerprints, sizes not telling them apart, beside planted near ones: only these are linked."""
+    from pyspark.sql import functions as F
+
+    names = [f"f{w}" for w in range(4)]
+    df = spark.range(rows).select("id", *(F.xxhash64("id", F.lit(w)).alias(n) for w, n in enumerate(names)), F.lit(100).alias("n"))
+    near = df.where("id < 50").select((F.col("id") + rows).alias("id"), *(F.col(n).bitwiseXOR(F.lit(0x0101010101010101)).alias(n) for n in names), "n")  # 32 bits
+    masks = simhash.mask_plan(rows, 4, 256 * 0.1515)
+    links = simhash.near_links(df.unionAll(near), masks, NEAR_BITS, 4, 0.8).distinct().collect()
+    assert all(abs(r["a"] - r["b"]) == rows for r in links) and len(links) >= 48
+
+
+def test_strangers_by_calculation():
+    """Expected links of a row to unrelated ones of 10^11, and the share of pairs at a similarity of just 0.8 that the limits leave out."""
+    from math import acos, comb, pi
+
+    def within(limits, p):  # the chance that bits differing each with p stay within the limits up to the end of each word
+        at = [1.0]
+        for most in limits:
+            word = [comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(65)]
+            at = list(np.convolve(at, word)[: most + 1])
+        return sum(at)
+
+    assert within(NEAR_BITS, 0.5) * 1e11 < 1e-5
+    assert within(NEAR_BITS, acos(1.6 / 1.8) / pi) > 1 - 3e-4
+
+
+def test_limits_by_word_are_those_of_all_pairs():
+    """Pairs within a number of bits up to the end of each word, by the index and by a matrix."""
+    rng = np.random.default_rng(5)
+    f = rng.integers(0, 1 << 63, (40, 3), dtype=np.uint64)
+    f = np.concatenate([f, f, f])
+    for k in range(40, 120):
+        for b in rng.integers(0, 192, 20):
+            f[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    limits = (8, 14, 20)
+    far = lambda a, b: np.cumsum([int(x ^ y).bit_count() for x, y in zip(f[a], f[b])])
+    want = {(a, b) for b in range(120) for a in range(b) if (far(a, b) <= limits).all()}
+    got = {(int(a), int(b)) for x, y in simhash.near_pairs(np.zeros(120, int), f, limits) for a, b in zip(x, y)}
+    matrix = np.argwhere(np.triu(simhash.near_matrix(f, f, limits), 1))
+    assert got == want == {(int(a), int(b)) for a, b in matrix} and len(want) > 20
+
+
 def test_a_large_group_of_near_copies(spark):
     """Texts like a common one, not all like each other, beside a chain of edits and strangers, against all pairs."""
     import random
