@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,16 @@ def to_yuv(r: Column, g: Column, b: Column) -> dict[str, Column]:
     }
 
 
+def arrange_rgb(pf: str, r: Column, g: Column, b: Column, a: Column, bits: int = 8) -> Column:
+    """The samples of a pixel in the order and depth that the format's name says (a8r8g8b8, r16g16b16, ...), from values of so many bits."""
+    own = {"r": r, "g": g, "b": b, "a": a}
+    parts = re.findall(r"([rgba])([0-9]+)", pf)
+    if len(parts) < 3 or not {"r", "g", "b"} <= {name for name, _ in parts}:
+        raise ValueError(pf)
+    top = 2 ** int(parts[0][1]) - 1
+    return F.array(*(F.floor(own[name].cast("long") * top / (2**bits - 1)).cast("int") for name, _ in parts))
+
+
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
     """key and value of each key=value line; blank lines and those from # on are left out."""
     lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("line")).where("line <> ''")

@@ -207,6 +207,12 @@ def rescale(width: int = 640, height: int = 360, bilinear: bool = True):
     return lambda p, pf: ([one(x, w, h) for x, (h, w) in zip(p, plane_shapes(pf, width, height), strict=False)], pf)
 
 
+def distort(width: int, height: int, bilinear: bool = True):
+    """Just this size, whatever the image's shape; an image of the size stays as it is."""
+    other = rescale(width, height, bilinear)
+    return lambda p, pf: (p, pf) if p[0].shape[-2:] == (height, width) else other(p, pf)
+
+
 def crop(x: int, y: int, width: int, height: int):
     """A rectangle, its corner rounded down to whole chroma samples."""
 
@@ -323,6 +329,13 @@ def extract_alpha(df: DataFrame, column: str, alpha: str) -> DataFrame:
     return df.withColumn(column, F.when(image.isNotNull(), F.coalesce(F.col(alpha), own, image))).withColumn(alpha, F.lit(None).cast(IMAGE))
 
 
+def merge_alpha(df: DataFrame, column: str, alpha: str) -> DataFrame:
+    """The first plane of the alpha image as the alpha of an image that has one and its size; others stay. Without alpha image, all stay."""
+    image, mask = F.col(column), F.col(alpha)
+    fits = (image["pf"] == "yuva444p") & (image["width"] == mask["width"]) & (image["height"] == mask["height"])
+    return df.withColumn(column, F.when(fits, image.withField("planes", F.concat(F.slice(image["planes"], 1, 3), F.slice(mask["planes"], 1, 1)))).otherwise(image))
+
+
 def field_order(df: DataFrame, column: str, order: int = 2, own: str = "field_order") -> DataFrame:
     """Images whose fields are in the other order (own: 0 progressive, 1 top first, 2 bottom first) paired anew with the image before.
 

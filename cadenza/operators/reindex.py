@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.timecode import samples_for_frame, samples_to_frame
 from cadenza.model import Clip
 from cadenza.operators.combine import held_on
+from cadenza.operators.image import apply, deinterlace
 
 
 def _pos() -> Column:
@@ -82,17 +83,23 @@ def _gathered(c: Clip, places: dict[int, list[int]], length: int) -> Clip:
     return c.with_df(rows.join(wanted, "position").drop("position").select("*", F.explode("at").alias("position")).drop("at"), length)
 
 
-def hold(c: Clip, frame: int = 0, count: int = 25, audio: str | None = None) -> Clip:
+def hold(c: Clip, frame: int = 0, count: int = 25, audio: str | None = None, image: str | None = None, order: str = "field_order") -> Clip:
     """Repeat one row count times more, marked silent, then go on with that row.
 
-    The repeats are the range of their positions joined to the one row. An audio column, if named, is silenced in them.
+    The repeats are the range of their positions joined to the one row. An audio column, if named, is silenced in them; an image
+    column is deinterlaced (once, in the one row) unless order says that it is progressive (0 or null).
     """
     h = c.length + frame if frame < 0 else frame
     count = max(count, 0)
     if not 0 <= h < c.length or not count:
         return c.with_df(c.df.withColumn("silent", F.lit(False)), c.length + count)
     moved = c.df.withColumn("position", F.when(_pos() < h, _pos()).otherwise(_pos() + count)).withColumn("silent", F.lit(False))
-    repeats = held_on(c.df, h, h, h + count).withColumn("silent", F.lit(True))
+    held = c.df.where(_pos() == h)
+    if image:
+        moving = F.coalesce(order, F.lit(0)) != 0
+        held = apply(held.withColumn("_still", F.col(image)), "_still", deinterlace)
+        held = held.withColumns({image: F.when(moving, F.col("_still")).otherwise(F.col(image)), order: F.when(moving, F.lit(0)).otherwise(F.col(order)).cast(held.schema[order].dataType)}).drop("_still")
+    repeats = held_on(held, h, h, h + count).withColumn("silent", F.lit(True))
     if audio:
         repeats = repeats.withColumn(audio, F.transform(audio, lambda x: x - x))
     return c.with_df(moved.unionByName(repeats), c.length + count)
@@ -152,13 +159,22 @@ def interlace(c: Clip, payload: list[str], bff: bool = True, enable: bool = True
     return c.with_df(rows, n, (c.fps[0], c.fps[1] * 2))
 
 
-def transport(c: Clip, start: int = 0, speed: int = 1, rows: int | None = None, looping: bool = True) -> Clip:
-    """What a cursor meets that moves by speed from start: around the clip, or clamped to its ends."""
+def transport(c: Clip, start: int = 0, speed: int = 1, rows: int | None = None, looping: bool = True, audio: str | None = None, silence: bool = False) -> Clip:
+    """What a cursor meets that moves by speed from start: around the clip, or clamped to its ends.
+
+    An audio column, if named, is null where the cursor stands still or stays on a row, and with silence everywhere.
+    """
     rows = c.length if rows is None else rows
-    cursor = F.col("p") * speed + start
-    at = F.pmod(cursor, F.lit(c.length)) if looping else F.greatest(F.lit(0), F.least(cursor, F.lit(c.length - 1)))
+    place = lambda cursor: F.pmod(cursor, F.lit(c.length)) if looping else F.greatest(F.lit(0), F.least(cursor, F.lit(c.length - 1)))
+    at, before = place(F.col("p") * speed + start), place((F.col("p") - 1) * speed + start)
     picked = c.df.sparkSession.range(rows).withColumnRenamed("id", "p").withColumn("position", at.cast("long"))
-    return c.with_df(c.df.join(picked, "position").drop("position").withColumnRenamed("p", "position"), rows)
+    if audio:
+        mute = F.lit(silence or speed == 0) | ((F.col("p") > 0) & (at == before))
+        picked = picked.withColumn("_mute", mute)
+    out = c.df.join(picked, "position").drop("position").withColumnRenamed("p", "position")
+    if audio:
+        out = out.withColumn(audio, F.when(~F.col("_mute"), F.col(audio))).drop("_mute")
+    return c.with_df(out, rows)
 
 
 def playlist(clips: list[Clip]) -> Clip:

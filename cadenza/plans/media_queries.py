@@ -13,6 +13,7 @@ from cadenza.operators import combine as C
 from cadenza.operators import image as I
 from cadenza.operators import payload as P
 from cadenza.operators import reindex as R
+from cadenza.operators import waves as V
 from cadenza.plans.base import events, plane_sums, registers, scratch, stereo, table
 from cadenza.plans.payload_queries import _E, _sums, _sums_sql
 from cadenza.sources import files, sinks, synthetic
@@ -415,3 +416,85 @@ def media_time(spark, d):
         one = events(spark, d).df.select(F.col("position").alias("k"), F.lit(name).alias("op"), num.alias("num"), den.alias("den"))
         out = one if out is None else out.unionAll(one)
     return out
+
+
+_HELD = f"""{_Q}, h AS (SELECT vec_id, v, false AS held FROM q WHERE vec_id < 40 UNION ALL SELECT vec_id + 25, v, false FROM q WHERE vec_id >= 40
+    UNION ALL SELECT 40 + x, v, true FROM q, (SELECT unnest(range(25)) AS x) WHERE vec_id = 40)"""
+
+
+@query(_image_sql(*([p[k] if k // 4 != 1 else f"CASE WHEN held THEN ({p[k - 4]} + {p[k + 4]} + 1) // 2 ELSE {p[k]} END" for k in range(16)] for p in (_Y, _U, _V)), source="h", ctes=_HELD))
+def hold_deinterlaced(spark, d):
+    """A held picture of two fields is deinterlaced; the others stay."""
+    c = stereo(spark, d)
+    df = I.planar(c.df, "audio", "image", "yuv444p", 4, 4).withColumn("field_order", (F.col("position") % 3).cast("int"))
+    return plane_sums(R.hold(c.with_df(df), 40, 25, image="image").df, 3)
+
+
+@query(f"""WITH {_E}, n AS (SELECT count(*) AS L FROM embeddings), p AS (SELECT unnest(range((SELECT L FROM n))) AS p),
+    m AS (SELECT p AS vec_id, CASE WHEN p > 0 AND least(p * 2 + 3, L - 1) = least(p * 2 + 1, L - 1) THEN NULL ELSE a END AS x FROM p, n JOIN e ON vec_id = least(p * 2 + 3, L - 1))
+SELECT vec_id AS position, round(list_sum(x), 6) AS total FROM m""")
+def transport_silence(spark, d):
+    """A cursor that has come to the end stays there without sound."""
+    out = R.transport(stereo(spark, d), 3, 2, looping=False, audio="audio").df
+    return out.select("position", F.round(F.aggregate("audio", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+
+
+@query(_image_sql(_Y, _U, _V, [f"v[{64 - k}]" for k in range(16)]))
+def image_merge_alpha(spark, d):
+    df = I.planar(stereo(spark, d).df, "audio", "image", "yuva444p", 4, 4).withColumn("back", F.reverse("audio"))
+    return plane_sums(I.merge_alpha(I.grey(df, "back", "alpha", 4, 4), "image", "alpha"), 4)
+
+
+#: The embeddings as 16-bit samples of two channels by turns.
+_S = "q AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(greatest(-32768, least(32767, floor(x * 32767))) AS BIGINT)) AS s FROM embeddings)"
+
+
+def _samples(df):
+    return df.withColumn("audio", F.transform("audio", lambda x: F.greatest(F.lit(-32768), F.least(F.lit(32767), F.floor(x * 32767))).cast("int")))
+
+
+def _dots_sql(width: int, height: int, middles: tuple[int, int], half: int) -> str:
+    """plane_sums of two channels' dots, the second over the first, in lines counted from each channel's middle."""
+    at = f"2 * CAST(floor(32 / {width}.0::DOUBLE * i) AS BIGINT)"
+    line = lambda j: f"greatest(0, least({height - 1}, {middles[j]} - CAST(trunc(s[{at} + {j + 1}] / 32767.0::DOUBLE * {half}) AS BIGINT)))"
+    return f"""WITH {_S}, c AS (SELECT vec_id, i, {line(0)} AS r0, {line(1)} AS r1 FROM q, (SELECT unnest(range({width})) AS i))
+SELECT vec_id AS position, CAST(sum(CASE WHEN r0 <> r1 THEN 255 ELSE 0 END) AS BIGINT) AS total1, CAST(sum(CASE WHEN r0 <> r1 THEN 255 * (r0 * {width} + i + 1) ELSE 0 END) AS BIGINT) AS weighted1,
+    CAST(sum(255) AS BIGINT) AS total2, CAST(sum(255 * (r1 * {width} + i + 1)) AS BIGINT) AS weighted2, CAST(0 AS BIGINT) AS total3, CAST(0 AS BIGINT) AS weighted3 FROM c GROUP BY vec_id"""
+
+
+@query(_dots_sql(24, 32, (16, 16), 16))
+def waves_dots(spark, d):
+    return plane_sums(V.waves(_samples(stereo(spark, d).df), "audio", "image", 2, 24, 32, "rgb24p"), 3)
+
+
+@query(_dots_sql(24, 32, (8, 24), 8))
+def waves_scattered(spark, d):
+    return plane_sums(V.waves(_samples(stereo(spark, d).df), "audio", "image", 2, 24, 32, "rgb24p", scattered=True), 3)
+
+
+def _lines_sql(size: int) -> str:
+    """plane_sums of the luma of two channels' lines about the middle of a square picture: from the middle (in the first column from one below) to the sample."""
+    far = lambda j: f"-CAST(trunc(s[2 * CAST(floor(32 / {size}.0::DOUBLE * i) AS BIGINT) + {j + 1}] / 32769.0::DOUBLE * {size // 2}) AS BIGINT)"
+    on = lambda j: f"r - {size // 2} BETWEEN least(d{j}, b) AND greatest(d{j}, b)"
+    mixed = lambda p, colour: f"128 + CAST(trunc(({p} + {colour} - 256) / 2.0) AS BIGINT)"
+    return f"""WITH {_S}, c AS (SELECT vec_id, i, {far(0)} AS d0, {far(1)} AS d1, CASE WHEN i = 0 THEN 1 ELSE 0 END AS b FROM q, (SELECT unnest(range({size})) AS i)),
+    f AS (SELECT *, CASE WHEN {on(0)} THEN {mixed("16", 81)} ELSE 16 END AS p FROM c, (SELECT unnest(range({size})) AS r)),
+    g AS (SELECT vec_id, r, i, CASE WHEN {on(1)} THEN {mixed("p", 234)} ELSE p END AS p FROM f)
+SELECT vec_id AS position, CAST(sum(p) AS BIGINT) AS total1, CAST(sum(p * (r * {size} + i + 1)) AS BIGINT) AS weighted1 FROM g GROUP BY vec_id"""
+
+
+@query(_lines_sql(16))
+def waves_lines(spark, d):
+    return plane_sums(V.waves(_samples(stereo(spark, d).df), "audio", "image", 2, 16, 16), 1)
+
+
+_SUMS = ", ".join(f"CAST(list_sum(v[{a + 1}:{a + 16}]) AS BIGINT) AS total{k}, CAST(list_sum([x * i FOR x, i IN v[{a + 1}:{a + 16}]]) AS BIGINT) AS weighted{k}" for k, a in ((1, 0), (2, 16), (3, 32)))
+
+
+@query(f"""SELECT * FROM ({_dots_sql(24, 32, (16, 16), 16)}) WHERE position < 120
+UNION ALL SELECT * FROM (WITH {_Q} SELECT e.vec_id AS position, {_SUMS} FROM embeddings e JOIN q ON q.vec_id = e.vec_id // 40 * 40 WHERE e.vec_id >= 120)""")
+def waves_held(spark, d):
+    """Rows after one with a picture get the last one; those before the first get a picture of their samples."""
+    df = I.planar(stereo(spark, d).df, "audio", "image", "rgb24p", 4, 4)
+    df = df.withColumn("image", F.when((F.col("position") >= 100) & (F.col("position") % 40 == 0), F.col("image")))
+    return plane_sums(V.waves(_samples(df), "audio", "image", 2, 24, 32, "rgb24p"), 3)

@@ -148,3 +148,13 @@ def colour_yuv(spark, d):
     k = F.col("position")
     out = X.to_yuv(k % 256, k * 7 % 256, k * 31 % 256)
     return events(spark, d).df.select(k.alias("k"), *(out[n].alias(n) for n in "yuv"))
+
+
+@query("""WITH c AS (SELECT event_id AS k, event_id % 256 AS r, event_id * 7 % 256 AS g, event_id * 31 % 256 AS b, event_id % 101 AS a FROM events)
+SELECT k, CAST(b AS INT) AS b0, CAST(r AS INT) AS r2, CAST(a * 65535 // 255 AS INT) AS a0, CAST(g * 65535 // 255 AS INT) AS g2, CAST(3 AS INT) AS n FROM c""")
+def colour_arranged(spark, d):
+    """Pixels in the order and depth of two formats."""
+    k = F.col("position")
+    rgba = (k % 256, k * 7 % 256, k * 31 % 256, k % 101)
+    small, deep = X.arrange_rgb("b8g8r8", *rgba), X.arrange_rgb("a16r16g16b16", *rgba)
+    return events(spark, d).df.select(k.alias("k"), small[0].alias("b0"), small[2].alias("r2"), deep[0].alias("a0"), deep[2].alias("g2"), F.size(small).alias("n"))
