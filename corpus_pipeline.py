@@ -16,7 +16,7 @@ from cadenza.llm.queries import pii_key, tokenizer_file
 
 #: Near copies share 0.8 of the five-word shingles of both. Their 256-bit SimHash differs in about 39 bits then (acos(2 * 0.8 / 1.8)),
 #: that of unrelated texts in about 128; the index takes as candidates what differs in at most so many bits of the first 64, 128, 192 and 256.
-#: That leaves out some 2 of 10,000 pairs at just 0.8, and links a text with 3 * 10^-6 of 10^11 unrelated ones.
+#: That leaves out some 2 of 10,000 pairs at just 0.8, and links a text with 2 * 10^-6 of 10^11 unrelated ones.
 NEAR_LEAST, NEAR_BITS = 0.8, (22, 36, 49, 62)
 
 
