@@ -152,42 +152,75 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05,
     after case, punctuation and white space are levelled. Pieces of all items are sought in one pass of a
     multi-pattern automaton; a pigeonhole piece must occur unchanged wherever an item does, so no match
     within the budget is missed. Items without a budget must stand from word to word; items of under 20 characters match only a
-    document that is nothing else, as they occur in ordinary text. Benchmarks larger than a block of benchmark_items take a pass per block.
+    document that is nothing else, as they occur in ordinary text. A benchmark of many blocks (see benchmark_items) is one pass over the documents, too (see BlockSearch).
 
     Null and empty texts hold nothing. Null ids and repeated rows each keep their row. Other columns are
     ignored.
     """
     kind = "array<struct<item_id:bigint,distance:int>>"
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.array().cast(kind).alias("items"))
-    for path in benchmark_items(benchmark, error_rate):
-        found = found.mapInArrow(_leaks(path), f"doc_id long, text string, items {kind}")
-    items = F.array_sort("items")
-    return found.select("doc_id", F.size("items").alias("n_items"), items.alias("items"), (F.size("items") > 0).alias("contaminated"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = rows.mapInArrow(_leaks(benchmark_items(benchmark, error_rate)), f"doc_id long, items {kind}")
+    return found.select("doc_id", F.size("items").alias("n_items"), "items", (F.size("items") > 0).alias("contaminated"))
 
 
-def _leaks(path: str):
+class BlockSearch:
+    """The task side of find_leaks: searches texts for the items of all blocks, one block's automaton at a time.
+
+    Batches are held up to about held_bytes of text and then searched block by block, so memory is that of one automaton and those
+    texts, however large the benchmark. Every second round takes the blocks backwards and so starts with the automaton at hand.
+    A benchmark of one block holds nothing back.
+    """
+
+    def __init__(self, paths: list[str], held_bytes: int = 64_000_000):
+        self.paths, self.held_bytes = list(paths), held_bytes
+        self._at, self._matcher = None, None
+
+    def matcher(self, path: str) -> Matcher:
+        if self._at != path:
+            self._at, self._matcher = None, None  # before the next one is built
+            self._at, self._matcher = path, Matcher(read_items(path))
+        return self._matcher
+
+    def search(self, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, int]]]]]:
+        """Each batch with the (item_id, distance) found in each of its texts, by item."""
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(column).nbytes
+            if len(self.paths) < 2 or size >= self.held_bytes:
+                yield from self._searched(held, column)
+                held, size = [], 0
+        yield from self._searched(held, column)
+
+    def _searched(self, held: list[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, int]]]]]:
+        found = [[[] for _ in range(len(batch))] for batch in held]
+        if held and self.paths and self._at == self.paths[-1]:
+            self.paths.reverse()
+        for path in self.paths if held else ():
+            matcher = self.matcher(path)
+            for batch, own in zip(held, found, strict=True):
+                for hits, x in zip(own, batch.column(column), strict=True):
+                    hits += matcher.matches(normalised(x.as_py()))
+        for batch, own in zip(held, found, strict=True):
+            yield batch, [sorted(hits) for hits in own]
+
+
+def _leaks(paths: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(read_items(path))
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
-        for batch in batches:
-            got = [had + [{"item_id": i, "distance": d} for i, d in matcher.matches(normalised(x.as_py()))] for x, had in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, kind)], ["doc_id", "text", "items"])
+        for batch, found in BlockSearch(paths).search(batches, 1):
+            got = [[{"item_id": i, "distance": d} for i, d in hits] for hits in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, kind)], ["doc_id", "items"])
 
     return work
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
-    at = docs.columns.index(text_col)
+    at, paths = docs.columns.index(text_col), benchmark_items(benchmark, error_rate)
 
-    def dropping(path: str):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(read_items(path))
-            for batch in batches:
-                yield batch.filter(pa.array([not matcher.matches(normalised(x.as_py())) for x in batch.column(at)], pa.bool_()))
-
-        return work
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in BlockSearch(paths).search(batches, at):
+            yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
-    for path in benchmark_items(benchmark, error_rate):
-        docs = docs.mapInArrow(dropping(path), docs.schema)
-    return docs
+    return docs.mapInArrow(work, docs.schema)

@@ -72,3 +72,30 @@ def test_short_items(spark):
     bench = spark.createDataFrame([(1, "yes"), (2, "A"), (3, "a cold night in the town")], "item_id long, text string")
     got = {r["doc_id"]: [(x["item_id"], x["distance"]) for x in r["items"]] for r in D.find_leaks(docs, bench).collect()}
     assert got == {1: [], 2: [(1, 0)], 3: [], 4: [(2, 0)], 5: [(3, 0)], 6: []}
+
+
+def test_many_blocks_give_what_one_gives(spark, monkeypatch):
+    """Blocks in turn, with texts held back and without, find what one automaton of all items finds; texts of many batches, too."""
+    sf = "/root/testdata/sf0.001"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.repartition(3)
+    rows = lambda df: sorted(map(str, df.collect()))
+    one, kept = rows(D.find_leaks(docs, bench)), rows(D.drop_leaks(docs, bench))
+    whole = D.benchmark_items
+    parts = whole(bench, block_chars=500)
+    assert len(parts) > 4
+    monkeypatch.setattr(D, "benchmark_items", lambda *a, **k: parts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows(D.find_leaks(docs, bench)) == one and rows(D.drop_leaks(docs, bench)) == kept
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    import pyarrow as pa
+
+    table = docs.select("doc_id", "text").toPandas()
+    batches = pa.Table.from_pandas(table, preserve_index=False).to_batches(max_chunksize=9)
+    for held in (0, 5_000, 10**9):
+        got = [(i, hits) for batch, found in D.BlockSearch(parts, held).search(iter(batches), 1) for i, hits in zip(batch.column(0).to_pylist(), found, strict=True)]
+        matcher = D.Matcher([i for p in parts for i in D.read_items(p)])
+        assert got == [(i, matcher.matches(D.normalised(t))) for i, t in zip(table.doc_id.tolist(), table.text, strict=True)]
+    assert any(hits for _, hits in got)
