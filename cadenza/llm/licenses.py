@@ -43,6 +43,8 @@ NAMES = {
 #: Wording by which public licences grant or reserve rights.
 WORDING = {
     "apache-2.0": [
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.",
+        "See the NOTICE file distributed with this work for additional information regarding copyright ownership.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
@@ -108,7 +110,7 @@ WORDING = {
     ],
 }
 #: Ways in which a licence is named.
-PHRASES = ["{}", "License: {}", "license = {}", "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Released under {}.", "Distributed under the {}.", "This software is licensed under the {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "This project is released under the {}.", "Available under the terms of the {}.", "Dual licensed under the {} or another license.", "It is made available under the {}, see the file LICENSE."]
+PHRASES = ["{}", "License: {}", "license = {}", "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Released under {}.", "Distributed under the {}.", "This software is licensed under the {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "This project is released under the {}.", "Available under the terms of the {}.", "Dual licensed under the {} or another license.", "It is made available under the {}, see the file LICENSE.", "Dual licensed under {}", "Dual-licensed under the {}", "{} licenses"]
 #: Sentences that share words with licences, or name one, but grant none.
 OTHERS = [
     "A driving licence must be renewed every ten years.",
@@ -151,11 +153,18 @@ OTHERS = [
 ]
 #: Possessive, as Java's regular expressions else recurse once a repetition.
 VERSION_WORDS = "[0-9]+(?:\\.[0-9]+)*+"
+#: What parts the clauses of a line that may name several licences; a comma before a version parts none.
+BETWEEN_CLAUSES = r"\s(?:or|and)\s|[;|&/+]|,(?!\s?v)"
+
+
+def levelled(text: Column) -> Column:
+    """Lower case, with one spelling of licence."""
+    return F.replace(F.lower(text), F.lit("licence"), F.lit("license"))
 
 
 def words_of(text: Column) -> Column:
     """Lower-cased words and version numbers of a paragraph."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"{VERSION_WORDS}|[\\p{{L}}]+"), F.lit(0))
+    return F.regexp_extract_all(levelled(text), F.lit(f"{VERSION_WORDS}|[\\p{{L}}]+"), F.lit(0))
 
 
 def grams(words: Column, most: int = 3) -> Column:
@@ -312,9 +321,13 @@ def cue_words(vocabulary: list[str], w: np.ndarray, intercept: np.ndarray, none:
 
 
 def _best(scored: DataFrame, families: list[str]) -> DataFrame:
+    """family and probability of the likeliest class, named: the likeliest family against unknown alone, as odds in [0, 1]."""
     p = scored.withColumn("p", vector_to_array("probability"))
     at = F.array_position("p", F.array_max("p"))
-    return p.withColumn("family", F.element_at(F.array(*(F.lit(f) for f in families)), at.cast("int"))).withColumn("probability", F.array_max("p")).drop("p", "features", "rawPrediction", "prediction")
+    none = F.col("p")[families.index(UNKNOWN)]
+    named = F.array_max(F.array(*(F.col("p")[k] for k, f in enumerate(families) if f != UNKNOWN)))
+    p = p.withColumn("family", F.element_at(F.array(*(F.lit(f) for f in families)), at.cast("int"))).withColumn("named", named / (named + none))
+    return p.withColumn("probability", F.array_max("p")).drop("p", "features", "rawPrediction", "prediction")
 
 
 def overlap(own: Column, of: Column) -> Column:
@@ -322,25 +335,53 @@ def overlap(own: Column, of: Column) -> Column:
     return F.array_max(F.transform(of, lambda t: F.size(F.array_intersect(t, own)) / F.greatest(F.least(F.size(t), F.greatest(F.size(own), F.lit(6))), F.lit(1))))
 
 
+def names() -> list[tuple[str, str]]:
+    """(family, name), by which a clause may name a licence."""
+    return [(f, n) for f, (own, spdx) in NAMES.items() for n in [*own, *([spdx] if spdx else [])]]
+
+
+def in_clauses(lines: DataFrame, model: LicenseModel) -> DataFrame:
+    """The families that clauses of lines (digest, paragraph, text, family) name: digest, paragraph, family, probability, words.
+
+    Clauses are what or, and, commas and slashes part. Each is classified like a paragraph; a family counts if the clause holds a name of it, so that parts of
+    a licence's wording don't count as another's. A family of several clauses counts once, with the likeliest; the line's own family isn't given again.
+    """
+    parts = lines.withColumn("part", F.split(levelled(F.col("text")), BETWEEN_CLAUSES, -1)).where("size(part) > 1")
+    parts = parts.select("digest", "paragraph", F.col("family").alias("of_line"), F.explode("part").alias("text")).where("trim(text) <> ''")
+    parts = parts.select("digest", "paragraph", "of_line", words_of(F.col("text")).alias("words"))
+    scored = _best(model.pipeline.transform(parts.withColumn("grams", grams(F.col("words")))), model.families)
+    hits = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.least) & ~F.col("family").eqNullSafe(F.col("of_line")))
+    known = lines.sparkSession.createDataFrame(names(), "family string, name string").groupBy("family").agg(F.collect_set(F.concat(F.lit(" "), F.array_join(words_of(F.col("name")), " "), F.lit(" "))).alias("names"))
+    text = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    hits = hits.join(F.broadcast(known), "family").where(let(text, lambda t: F.exists("names", lambda n: F.contains(t, n))))  # a row a family
+    best = hits.groupBy("digest", "paragraph", "family").agg(F.max(F.struct("probability", "words")).alias("best"))
+    return best.select("digest", "paragraph", "family", "best.probability", "best.words")
+
+
 def scan(docs: DataFrame, model: LicenseModel, least_overlap: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and licenses of every row: an array of paragraph, family, probability, overlap and confirmed.
 
     Paragraphs are lines. Those without any of the model's cue words are not scored, as they can't reach a family (see
     cue_words). A family is reported from the model's least probability on, and is confirmed if a template of it and the
-    paragraph share least_overlap of the word pairs of either (see overlap).
+    paragraph share least_overlap of the word pairs of either (see overlap). A line that names several licences has an entry for each: where a
+    family's odds against unknown alone reach the least probability, the line's clauses are classified, too (see in_clauses), and
+    compared with the templates by their own word pairs.
 
     Null and empty texts have no licences. Rows with a null id and repeated rows each keep their row.
     An empty table gives no rows; other columns are ignored.
     """
     gate = model.gate()
     text = F.col(text_col)
-    passes = (lambda t: F.lower(t).rlike(gate)) if gate else (lambda t: t != "")
+    passes = (lambda t: levelled(t).rlike(gate)) if gate else (lambda t: t != "")
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda t, i: F.struct(i.alias("paragraph"), t.alias("text"))), lambda s: passes(s["text"]))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), F.when(passes(text), lines).alias("lines"))
     rows = stored(rows, "license-lines")
-    asked = rows.where("size(lines) > 0").select("digest", "lines").dropDuplicates(["digest"]).select("digest", F.explode("lines").alias("s")).select("digest", "s.paragraph", words_of(F.col("s.text")).alias("words"))
+    asked = rows.where("size(lines) > 0").select("digest", "lines").dropDuplicates(["digest"]).select("digest", F.explode("lines").alias("s")).select("digest", "s.paragraph", "s.text", words_of(F.col("s.text")).alias("words"))
     scored = _best(model.pipeline.transform(asked.withColumn("grams", grams(F.col("words")))), model.families)
-    hits = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.least))
+    reached = (F.col("family") != UNKNOWN) & (F.col("probability") >= model.least)
+    scored = stored(scored.where(F.col("named") >= model.least).select("digest", "paragraph", "text", "words", F.when(reached, F.col("family")).alias("family"), "probability"), "license-scored")
+    hits = scored.where("family is not null").select("digest", "paragraph", "family", "probability", "words")
+    hits = hits.unionByName(in_clauses(scored, model))
     spark = docs.sparkSession
     forms = spark.createDataFrame(templates(), "family string, text string").select("family", _pairs(words_of(F.col("text"))).alias("p")).groupBy("family").agg(F.collect_list("p").alias("forms"))
     hits = hits.join(F.broadcast(forms), "family").withColumn("overlap", let(_pairs(F.col("words")), lambda own: overlap(own, F.col("forms"))))  # a row a family
