@@ -130,6 +130,15 @@ class KeySet:
     def file_of(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.files)).cast("int")
 
+    def having(self, key: Column) -> Column:
+        """Whether the set has a key, asked where the rows are: they move nowhere."""
+
+        @F.arrow_udf("boolean")
+        def has(keys: pa.Array, files: pa.Array) -> pa.Array:
+            return pa.array(self.has(keys, files.to_numpy()))
+
+        return has(key, self.file_of(key))
+
     def __getstate__(self):
         return self.__dict__ | {"_maps": {}}
 
@@ -232,27 +241,31 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component_id")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component_id")).distinct())
 
 
+def with_anchors(rows: DataFrame, anchors: int = 8) -> DataFrame:
+    """rows (g: group, id: unique in the group, further columns) with m (the group's size) and anchor (whether the row is an anchor of its group).
+
+    All rows of a small group are anchors, of a larger one up to so many drawn by a hash.
+    """
+    drawn = rows.groupBy(F.col("g").alias("_g"), F.pmod(F.xxhash64("id"), F.lit(anchors))).agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id", F.lit(1)), F.col("id").alias("i")))["i"].alias("i"))
+    sizes = stored(drawn.groupBy("_g").agg(F.sum("c").alias("m"), F.collect_list("i").alias("drawn")), "group-sizes")
+    return rows.join(sizes, F.col("g") == F.col("_g")).select(*rows.columns, "m", ((F.col("m") <= anchors) | F.array_contains("drawn", F.col("id"))).alias("anchor"))
+
+
 def grouped_links(rows: DataFrame, near: Column, compare: Callable, block_weight: int, anchors: int = 8) -> DataFrame:
     """Links (a, b) between keys that join, in each group, what all its pairs of near rows would join.
 
-    rows, a stored table, has g (group), id (unique in the group), k (key: what is linked), w (weight) and further
-    columns, by which near compares them with those of another row, named alike with a leading underscore.
+    rows, a stored table, has g (group), id (unique in the group), k (key: what is linked), w (weight), m and anchor (see with_anchors) and
+    further columns, by which near compares them with those of another row, named alike with a leading underscore.
 
-    Every row is compared with some anchors of its group: all rows of a small one, else up to so many drawn by a hash.
-    In a group of many rows that are alike nearly all are then linked; those not in the group's largest class are compared
-    with all its rows, block by block (about block_weight each), each two blocks in a cell of its own. compare takes batches of
-    (cell, side, k, further columns) sorted by cell and gives links (a, b) between the two sides.
+    Every row is compared with the anchors of its group. In a group of many rows that are alike nearly all are then linked; those not in
+    the group's largest class are compared with all its rows, block by block (about block_weight each), each two blocks in a cell of its own.
+    compare takes batches of (cell, side, k, further columns) sorted by cell and gives links (a, b) between the two sides.
     """
-    further = [c for c in rows.columns if c not in ("g", "id", "k", "w")]
+    further = [c for c in rows.columns if c not in ("g", "id", "k", "w", "m", "anchor")]
     own = ["g", "id", "k", "w", *further]
-    sizes = stored(rows.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("m")), "group-sizes")
-    if sizes.isEmpty():
+    if rows.isEmpty():
         return rows.select(F.col("k").alias("a"), F.col("k").alias("b")).limit(0)
-    rows = stored(rows.join(sizes, F.col("g") == F.col("_g")).select(*own, "m"), "group-rows")
-    drawn = rows.where(F.col("m") > anchors).groupBy("g", F.pmod(F.xxhash64("id"), F.lit(anchors))).agg(F.min(F.struct(F.xxhash64("id", F.lit(1)), F.col("id").alias("i")))["i"].alias("i"))
-    drawn = stored(drawn.select(F.col("g").alias("_g"), F.col("i").alias("_i")), "group-drawn")
-    named = lambda df: df.select(*(F.col(c).alias(f"_{c}") for c in own))
-    chosen = stored(named(rows.where(F.col("m") <= anchors)).unionAll(named(rows.join(drawn, (F.col("g") == F.col("_g")) & (F.col("id") == F.col("_i"))).select(*own))), "group-anchors")
+    chosen = rows.where("anchor").select(*(F.col(c).alias(f"_{c}") for c in own))
     meet = (F.col("g") == F.col("_g")) & ((F.col("m") > anchors) | (F.col("id") > F.col("_id"))) & (F.col("k") != F.col("_k")) & near
     first = stored(rows.join(chosen, meet).select(F.col("k").alias("a"), F.col("_k").alias("b")), "group-links")
     large = rows.where(F.col("m") > anchors)

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import acos, ceil, log, log2, pi
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import components, grouped_links, roots, stored
+from cadenza.llm.common import KeySet, components, grouped_links, roots, stored, with_anchors
 
 ONES = (1 << 64) - 1
 
 
+def row_key(doc_id: Column, h: Column) -> Column:
+    """16 bytes for a row's id (long) and the hash of its text; without an id, the hash and its complement."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in (F.coalesce(doc_id, F.bitwise_not(h)), h))))
+
+
 def shingle_hashes(text: str | None, width: int, seeds: tuple[int, ...]) -> np.ndarray:
     """XXH64 of each word shingle, a column for each seed.
 
@@ -76,16 +82,6 @@ def pigeonhole_masks(most_differing: int, rows: int) -> list[tuple[int]]:
     return [(sum(c),) for c in combinations(parts, r)]
 
 
-def random_masks(words: int, bits: int, count: int, seed: int = 11) -> list[tuple]:
-    """count masks, each of so many bits drawn at random from 64 * words."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(count):
-        drawn = [int(b) for b in rng.permutation(64 * words)[:bits]]
-        out.append(tuple(sum(1 << (b % 64) for b in drawn if b // 64 == w) for w in range(words)))
-    return out
-
-
 def gray_rank(f: np.ndarray) -> np.ndarray:
     """The rank of 64-bit words in reflected Gray order: neighbours in it differ in one bit."""
     f = f.astype(np.uint64)
@@ -184,13 +180,60 @@ def _slices(na: np.ndarray, nb: np.ndarray, chunk: int) -> Iterator[tuple]:
         yield 0, len(na)
 
 
-def mask_plan(rows: int, words: int, differing: float, miss: float = 2e-4, node_rows: int = 16, least_bits: int = 14) -> list[tuple]:
-    """Random masks for so many rows: bits for about node_rows unrelated rows a node, masks so that a pair whose fingerprints differ in so many bits is missed by all with a probability of miss."""
+class NestedMask(NamedTuple):
+    """A mask of few bits, by which rows are dealt out, and masks of more bits that hold it, by which a task tells nodes in what it gets."""
+
+    base: tuple
+    finer: tuple
+
+
+def mask_plan(
+    rows: int, words: int, differing: float, miss: float = 2e-4, node_rows: int = 16, least_bits: int = 14, group_rows: int = 32_768, least_base: int = 5, finer_miss: float = 0.2, seed: int = 11
+) -> list[NestedMask]:
+    """Random masks for so many rows: bits for about node_rows unrelated rows a node, masks so that a pair whose fingerprints differ in so many bits is missed by all with a probability of miss.
+
+    A row moves once for each base mask, whose bits make groups of at most about group_rows unrelated rows; of a pair in one group
+    the finer masks miss at most the share finer_miss, and there are the more base masks for it.
+    """
     bits = max(least_bits, ceil(log2(max(rows, 1) / node_rows)))
-    return random_masks(words, bits, ceil(log(miss) / log(1 - (1 - differing / (64 * words)) ** bits)))
+    base = max(least_base, ceil(log2(max(rows, 1) / group_rows)))
+    same = 1 - differing / (64 * words)
+    finer = ceil(log(finer_miss) / log(1 - same ** (bits - base)))
+    found = same**base * (1 - (1 - same ** (bits - base)) ** finer)
+    rng = np.random.default_rng(seed)
+    mask = lambda drawn: tuple(sum(1 << (b % 64) for b in drawn if b // 64 == w) for w in range(words))
+    out = []
+    for _ in range(ceil(log(miss) / log(1 - found))):
+        drawn = [int(b) for b in rng.permutation(64 * words)]
+        own, rest = drawn[:base], drawn[base:]
+        out.append(NestedMask(mask(own), tuple(mask([*own, *(rest[int(k)] for k in rng.permutation(len(rest))[: bits - base])]) for _ in range(finer))))
+    return out
+
+
+def finer_nodes(node: np.ndarray, f: np.ndarray, masks: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each row of its group (node), of k and of its fingerprint's bits under its mask."""
+    h = node.view(np.uint64) ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & ONES)
+    for w in range(f.shape[1]):
+        h = (h ^ (f[:, w] & masks[:, w])) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return (h * np.uint64(0x94D049BB133111EB)).view(np.int64)
 
 
-def near_links(distinct: DataFrame, masks: list[tuple], most_differing: int | tuple[int, ...], words: int, least: float | None = None, node_rows: int = 4096) -> DataFrame:
+class FinerNodes:
+    """Deals rows of groups out to the nodes of the finer masks: takes and gives rows with node, a row for each mask."""
+
+    def __init__(self, words: int, finer: list[tuple]):
+        self.words, self.finer = words, np.array(finer, np.uint64)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            f = np.stack([batch.column(f"f{w}").to_numpy() for w in range(self.words)], 1).view(np.uint64)
+            for k in range(self.finer.shape[1]):
+                yield batch.set_column(batch.schema.get_field_index("node"), "node", pa.array(finer_nodes(node, f, self.finer[node & 0xFFFF, k], k)))
+
+
+def near_links(distinct: DataFrame, masks: list[tuple], most_differing: int | tuple[int, ...], words: int, least: float | None = None, node_rows: int = 4096, group_rows: int = 262_144) -> DataFrame:
     """Links (a, b) between the labels of distinct fingerprints (id, f0, ...) with few differing bits.
 
     A column label, if there, says which rows are linked already; else id is the label. With least, distinct has the
@@ -200,20 +243,31 @@ def near_links(distinct: DataFrame, masks: list[tuple], most_differing: int | tu
     them and by Gray rank; a task walks its nodes in turn. Of the pairs found in a node only a spanning
     forest goes out, so a large group of copies gives a link per row. A node of more than node_rows rows is left to a
     second step, which deals its rows out over many tasks (grouped_links).
+
+    With nested masks rows are dealt out by the base masks, and tasks tell the nodes in each group. A group of more
+    than group_rows rows, or with a node of too many unlike rows, is dealt out by the finer masks after.
     """
     names = [f"f{w}" for w in range(words)]
-    label = F.col("label") if "label" in distinct.columns else F.col("id").alias("label")
     kept = ["id", "label", *names, *(["n"] if least else [])]
-    entries = distinct.select("id", label, *kept[2:]).select(
-        *kept,
-        F.explode(F.array(*(F.struct(F.lit(k).alias("m"), *(F.col(n).bitwiseAND(F.lit(_signed(m[w]))).alias(f"p{w}") for w, n in enumerate(names))) for k, m in enumerate(masks)))).alias("node"),
-    ).select(*kept, F.xxhash64("node").alias("node"))
-    found = stored(entries.repartition("node").sortWithinPartitions("node").mapInArrow(NodeWalk(words, most_differing, least=least, node_rows=node_rows), "a long, b long"), "node-links")
-    hot = stored(found.where("b is null").select(F.col("a").alias("_node")), "nodes-hot")
-    found = found.where("b is not null")
+    label = F.col("label") if "label" in distinct.columns else F.col("id").alias("label")
+    rows = distinct.select("id", label, *kept[2:])
+    under = lambda m: [F.col(n).bitwiseAND(F.lit(_signed(m[w]))) for w, n in enumerate(names)]
+    further = [*names, *(["n"] if least else [])]
+    before = None
+    if isinstance(masks[0], NestedMask):
+        finer = [m.finer for m in masks]
+        groups = rows.select(*kept, F.explode(F.array(*(F.shiftleft(F.xxhash64(*under(m.base)), 16).bitwiseOR(F.lit(k).cast("long")) for k, m in enumerate(masks)))).alias("node"))
+        before, hot = _walked(groups, NodeWalk(words, most_differing, rows=group_rows, least=least, node_rows=node_rows, finer=finer))
+        if hot.isEmpty():
+            return before
+        entries = groups.join(hot, F.col("node") == F.col("_node")).select(groups.columns).mapInArrow(FinerNodes(words, finer), groups.schema)
+    else:
+        entries = rows.select(*kept, F.explode(F.array(*(F.struct(F.lit(k).alias("m"), *(p.alias(f"p{w}") for w, p in enumerate(under(m)))) for k, m in enumerate(masks)))).alias("node")).select(*kept, F.xxhash64("node").alias("node"))
+    found, hot = _walked(entries, NodeWalk(words, most_differing, least=least, node_rows=node_rows))
+    if before is not None:
+        found = before.unionAll(found)
     if hot.isEmpty():
         return found
-    further = [*names, *(["n"] if least else [])]
     rows = stored(entries.join(hot, F.col("node") == F.col("_node")).select(F.col("node").alias("g"), "id", F.col("label").alias("k"), F.lit(1).alias("w"), *further), "node-rows")
     apart, near = F.lit(0), F.lit(True)
     for n, most in zip(names, budgets(most_differing, words), strict=True):
@@ -221,7 +275,13 @@ def near_links(distinct: DataFrame, masks: list[tuple], most_differing: int | tu
         near = near & (apart <= most)
     if least:
         near = near & (F.least("n", "_n") >= F.greatest("n", "_n") * F.lit(least) - 1e-6)
-    return found.unionAll(grouped_links(rows, near, CellCompare(words, most_differing, least), node_rows // 2))
+    return found.unionAll(grouped_links(stored(with_anchors(rows), "group-rows"), near, CellCompare(words, most_differing, least), node_rows // 2))
+
+
+def _walked(entries: DataFrame, walk: NodeWalk) -> tuple[DataFrame, DataFrame]:
+    """The links that a walk of all nodes finds, and the nodes (_node) that it leaves to others."""
+    found = stored(entries.repartition("node").sortWithinPartitions("node").mapInArrow(walk, "a long, b long"), "node-links")
+    return found.where("b is not null"), stored(found.where("b is null").select(F.col("a").alias("_node")).distinct(), "nodes-hot")
 
 
 class ByCell:
@@ -322,11 +382,13 @@ class CellCompare(ByCell):
 class NodeWalk:
     """The task side of near_links: takes rows sorted by node, many nodes at a time.
 
-    Gives links (a, b), and (node, null) for a node of too many rows.
+    Gives links (a, b), and (node, null) for a node of too many rows. With finer masks (those of mask k for a node
+    whose last 16 bits are k) the nodes are groups, in which the masks tell nodes.
     """
 
-    def __init__(self, words: int, most_differing: int | tuple[int, ...], rows: int = 100_000, least: float | None = None, node_rows: int = 4096, dense: int = 128):
+    def __init__(self, words: int, most_differing: int | tuple[int, ...], rows: int = 100_000, least: float | None = None, node_rows: int = 4096, dense: int = 128, finer: list[tuple] | None = None):
         self.words, self.most, self.rows, self.least, self.node_rows, self.dense = words, most_differing, rows, least, node_rows, dense
+        self.finer = None if finer is None else np.array(finer, np.uint64)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -354,6 +416,86 @@ class NodeWalk:
     def _hot(nodes: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64())], ["a", "b"])
 
+    def near(self, f: np.ndarray, n: np.ndarray | None, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs of rows x, y that are near."""
+        apart = np.zeros(len(x), np.int16)
+        for w, most in enumerate(budgets(self.most, self.words)):
+            apart = apart + np.bitwise_count(f[x, w] ^ f[y, w])
+            keep = apart <= most
+            x, y, apart = x[keep], y[keep], apart[keep]
+        if self.least:
+            keep = np.minimum(n[x], n[y]) >= self.least * np.maximum(n[x], n[y]) - 1e-6
+            x, y = x[keep], y[keep]
+        return x, y
+
+    def grouped(self, node: np.ndarray, label: np.ndarray, f: np.ndarray, n: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """The links in groups, mask by mask; what one mask has linked, the next ones needn't."""
+        ends, own = np.unique(label, return_inverse=True)
+        root = np.arange(len(ends))
+        rows, hot = np.arange(len(node)), []
+
+        def link(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal root
+            a, b = root[own[x]], root[own[y]]
+            root = roots(a[a != b], b[a != b], len(ends))[root]
+
+        for k in range(self.finer.shape[1]):
+            key = finer_nodes(node[rows], f[rows], self.finer[node[rows] & 0xFFFF, k], k)
+            order = np.argsort(key, kind="stable")
+            at, key = rows[order], key[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[starts, len(key)])
+            now = root[own[at]]
+            mixed = np.minimum.reduceat(now, starts) != np.maximum.reduceat(now, starts)
+            left = []
+            for lo, m in zip(starts[mixed & (size > self.dense)].tolist(), size[mixed & (size > self.dense)].tolist(), strict=True):
+                if not self.crowd(at[lo : lo + m], f, n, lambda: root[own], link):
+                    left.append(node[at[lo]])
+            few = np.repeat(mixed & (size <= self.dense), size)
+            at, key = at[few], key[few]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.r_[first, len(key)])
+            after = np.repeat(first + size, size)  # where each row's node ends
+            g = np.ascontiguousarray(f[at, 0])
+            most, here, found, pending = budgets(self.most, self.words)[0], np.arange(len(at)), [], 0
+            for step in range(1, int(size.max(initial=1))):
+                here = here[here + step < after[here]]
+                hit = here[np.bitwise_count(g[here] ^ g[here + step]) <= most]
+                x, y = at[hit], at[hit + step]
+                apart = root[own[x]] != root[own[y]]
+                found.append(self.near(f, n, x[apart], y[apart]))
+                pending += len(found[-1][0])
+                if pending > 500_000:
+                    link(*(np.concatenate(z) for z in zip(*found, strict=True)))
+                    found, pending = [], 0
+            if pending:
+                link(*(np.concatenate(z) for z in zip(*found, strict=True)))
+            if left:
+                hot += left
+                rows = rows[~np.isin(node[rows], left)]
+                if not len(rows):
+                    break
+        if hot:
+            yield self._hot(np.unique(hot))
+        leaf = np.flatnonzero(root != np.arange(len(ends)))
+        yield pa.RecordBatch.from_arrays([pa.array(ends[leaf]), pa.array(ends[root[leaf]])], ["a", "b"])
+
+    def crowd(self, at: np.ndarray, f: np.ndarray, n: np.ndarray | None, labels: Callable, link: Callable, anchors: int = 8, cells: int = 1 << 21) -> bool:
+        """Link the rows of a large node: all with some anchors, then those outside the largest class with all. False if these are too many."""
+        some = at[np.linspace(0, len(at) - 1, anchors).astype(np.int64)]
+        link(*self.near(f, n, np.repeat(at, anchors), np.tile(some, len(at))))
+        now = labels()[at]
+        kinds, times = np.unique(now, return_counts=True)
+        apart = at[now != kinds[times.argmax()]]
+        if len(apart) * len(at) > 16 * self.node_rows**2:
+            return False
+        strip = max(1, cells // len(at))
+        for a in range(0, len(apart), strip):
+            part = apart[a : a + strip]
+            x, y = np.nonzero(np.bitwise_count(f[part, 0][:, None] ^ f[at, 0][None, :]) <= budgets(self.most, self.words)[0])
+            link(*self.near(f, n, part[x], at[y]))
+        return True
+
     def links(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
         names = [f"f{w}" for w in range(self.words)]
         node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
@@ -361,7 +503,7 @@ class NodeWalk:
         starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         size = np.diff(np.r_[starts, len(node)])
         mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-        hot = mixed & (size > self.node_rows)
+        hot = mixed & (size > (self.rows if self.finer is not None else self.node_rows))
         if hot.any():
             yield self._hot(node[starts[hot]])
         keep = np.repeat(mixed & ~hot, size)
@@ -370,6 +512,9 @@ class NodeWalk:
         node, label = node[keep], label[keep]
         f = np.stack([table.column(n).to_numpy() for n in names], 1)[keep].view(np.uint64)
         n = table.column("n").to_numpy()[keep] if self.least else None
+        if self.finer is not None:
+            yield from self.grouped(node, label, f, n)
+            return
         starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         size = np.diff(np.r_[starts, len(node)])
         x, y, pending = [], [], 0
@@ -524,12 +669,16 @@ def alike_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, wid
             sets = [np.unique(shingle_hashes(x.as_py(), width, (seed,))[:, 0]).astype(np.int64) for x in batch.column(0)]
             ends = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), lists], ["g", "id", "hashes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], ["g", "id", "m", "anchor", "hashes"])
 
-    member = stored(candidates.join(distinct, F.col("node") == F.col("s")).select("s", "component_id", F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")), "near-candidates")
+    member = stored(candidates.join(distinct, F.col("node") == F.col("s")).select(F.col("component_id").alias("g"), F.col("s").alias("id"), F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")), "near-candidates")
+    member = stored(with_anchors(member), "near-candidates")
+    # Texts that are no candidates stay where they are; only the others are moved to be joined.
+    keys = KeySet.of(member.select(row_key(F.col("_id"), F.col("_h")).alias("key")), "near-keys", member.count(), file_rows=250_000)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    rows = own.join(member, own["doc_id"].eqNullSafe(member["_id"]) & (own["h"] == member["_h"])).select("text", "component_id", "s")
-    sets = rows.mapInArrow(work, "g long, id long, hashes array<long>").select("g", "id", F.col("id").alias("k"), F.greatest(F.size("hashes"), F.lit(shingles // 1024)).alias("w"), "hashes")
+    own = own.where(keys.having(row_key(F.col("doc_id"), F.col("h"))))
+    rows = own.join(member, own["doc_id"].eqNullSafe(member["_id"]) & (own["h"] == member["_h"])).select("text", "g", "id", "m", "anchor")
+    sets = rows.mapInArrow(work, "g long, id long, m long, anchor boolean, hashes array<long>").select("g", "id", F.col("id").alias("k"), F.greatest(F.size("hashes"), F.lit(shingles // 1024)).alias("w"), "m", "anchor", "hashes")
     n, m, shared = F.size("hashes"), F.size("_hashes"), F.size(F.array_intersect("hashes", "_hashes"))
     near = (F.least(n, m) >= F.greatest(n, m) * F.lit(least) - 1e-6) & (shared >= (n + m - shared) * F.lit(least) - 1e-6)
     return grouped_links(stored(sets, "near-sets"), near, BlockCompare(least), shingles)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import decontaminate, langid, packing, pii, simhash
-from cadenza.llm.common import new_folder, stored
+from cadenza.llm.common import KeySet, new_folder, stored
 from cadenza.llm.queries import pii_key, tokenizer_file
 
 #: Near copies share 0.8 of the five-word shingles of both. Their 256-bit SimHash differs in about 39 bits then (acos(2 * 0.8 / 1.8)),
@@ -44,8 +44,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         own = key == F.col("_again")
         docs = stored(docs.join(again, own, "left_anti").unionByName(docs.join(again, own, "left_semi").dropDuplicates([doc_id, text])), "documents-once")
     found = simhash.near_copies(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), 5, NEAR_LEAST, NEAR_BITS)
-    gone = stored(found.select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")), "near-copies")
-    return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[text]) == gone["_h"]), "left_anti").toDF(*names)
+    gone = stored(found.select(simhash.row_key(F.col("doc_id"), F.col("h")).alias("key")), "near-copies")
+    keys = KeySet.of(gone, "near-copies-keys", gone.count(), file_rows=250_000)
+    return docs.where(~keys.having(simhash.row_key(F.col(doc_id).cast("long"), F.xxhash64(text)))).toDF(*names)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

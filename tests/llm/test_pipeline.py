@@ -91,3 +91,35 @@ def test_near_copies_are_those_of_all_pairs(spark, sf):
     want = {min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()}
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_dedup_moves_no_text_but_candidates(spark, monkeypatch):
+    """However large the tables, the stage's result is a filter of its input, and only texts of candidates are joined."""
+    from cadenza.llm import simhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    asked = []
+    real = simhash.KeySet.having
+    monkeypatch.setattr(simhash.KeySet, "having", lambda self, key: asked.append(self) or real(self, key))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_dedup_stage(spark, docs, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        assert 0 < out.count() < docs.count() and len(asked) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_key_set_tells_ids_and_texts(spark):
+    from cadenza.llm import simhash
+    from cadenza.llm.common import KeySet
+
+    rows = [(1, "a"), (1, "b"), (-1, "a"), (None, "a"), (None, None), (0, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "xxhash64(text) as h")
+    key = simhash.row_key(df["doc_id"], df["h"])
+    for some in (rows[:1], rows[3:4], rows[4:6], rows, []):
+        chosen = spark.createDataFrame(some, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) as h")
+        keys = KeySet.of(chosen.select(simhash.row_key(chosen["doc_id"], chosen["h"]).alias("key")), "test-keys", len(some), file_rows=2)
+        assert {(r["doc_id"], r["text"]) for r in df.where(keys.having(key)).collect()} == set(some)

@@ -257,3 +257,58 @@ def test_a_large_group_of_near_copies(spark):
         links = simhash.alike_links(docs, distinct, group, 5, 42, 0.8, shingles=shingles)
         got = {r["node"]: r["component_id"] for r in components(links).collect()}
         assert {k: got.get(k, k) for k in range(len(rows))} == {k: find(k) for k in range(len(rows))}
+
+
+def test_a_row_moves_few_times():
+    """Base masks, by which rows move, are few; base and finer masks together miss a pair at the limit no oftener than told."""
+    same = 1 - 0.1515
+    for rows, most in ((50_000, 24), (260_000, 24), (14_000_000, 45)):
+        masks = simhash.mask_plan(rows, 4, 256 * 0.1515)
+        assert len(masks) <= most
+        bits = lambda m: sum(x.bit_count() for x in m)
+        base, fine = bits(masks[0].base), bits(masks[0].finer[0])
+        assert rows / 2**base <= 32_768 and rows / 2**fine <= max(16, rows / 2**14)
+        assert all(all(b & ~x == 0 for b, x in zip(m.base, k)) and bits(k) == fine for m in masks for k in m.finer)
+        missed = (1 - same**base * (1 - (1 - same ** (fine - base)) ** len(masks[0].finer))) ** len(masks)
+        assert missed <= 2e-4
+
+
+def test_nodes_in_groups_are_those_of_all_pairs(spark):
+    """A crowd, a chain, pairs and strangers: by tasks in their groups, by crowds compared with anchors, and dealt out by the finer masks."""
+    from cadenza.llm.common import components
+
+    rng = np.random.default_rng(2)
+    flip = lambda x, k: [w ^ sum(1 << int(b) % 64 for b in bits if b // 64 == i) for bits in [rng.permutation(128)[:k]] for i, w in enumerate(x)]
+    new = lambda: [int(x) for x in rng.integers(0, 1 << 63, 2)]
+    rows = [new() for _ in range(150)]
+    base = new()
+    rows += [flip(base, int(rng.integers(1, 11))) for _ in range(200)]
+    for _ in range(60):
+        base = flip(base, 12)
+        rows.append(base)
+    rows += [flip(rows[k], 14) for k in range(50)]
+    rows = [(k, *(x - (1 << 64) if x >> 63 else x for x in r)) for k, r in enumerate(rows)]
+    limits = (14, 18)
+    masks = [simhash.NestedMask((7, 1 << 40), ((7 | 1 << k, 1 << 40 | 1 << k), (7, 1 << 40 | 3 << k))) for k in (20, 30, 50)]
+    f = np.array([r[1:] for r in rows]).astype(np.uint64)
+    near = simhash.near_matrix(f, f, limits)
+    shown = np.zeros_like(near)
+    for m in masks:
+        for x in m.finer:
+            p = f & np.array(x, np.uint64)
+            shown |= (p[:, None] == p[None, :]).all(2)
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in np.argwhere(np.tril(near & shown, -1)):
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    df = spark.createDataFrame(rows, "id long, f0 long, f1 long")
+    for node_rows, group_rows in ((4096, 262_144), (4096, 40), (10, 262_144), (10, 40)):
+        links = simhash.near_links(df, masks, limits, 2, node_rows=node_rows, group_rows=group_rows)
+        got = {r["node"]: r["component_id"] for r in components(links).collect()}
+        assert {k: got.get(k, k) for k in range(len(rows))} == {k: find(k) for k in range(len(rows))}
