@@ -28,6 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Rows go to Python tasks in batches of at most about so many bytes from now on, if the session hasn't set its own limit.
+
+    Spark's default is 64 MB; a task has its batch in Spark's memory and in Python's, and so what it makes of it. Results are
+    lazy, so the setting stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """The path of a folder in the shared one that no other run uses."""
     return f"{shared_dir(spark)}/cadenza-{name}-{uuid.uuid4().hex}"

@@ -677,7 +677,8 @@ def alike_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, wid
     keys = KeySet.of(member.select(row_key(F.col("_id"), F.col("_h")).alias("key")), "near-keys", member.count(), file_rows=250_000)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     own = own.where(keys.having(row_key(F.col("doc_id"), F.col("h"))))
-    rows = own.join(member, own["doc_id"].eqNullSafe(member["_id"]) & (own["h"] == member["_h"])).select("text", "g", "id", "m", "anchor")
+    # Stored, as a task that asks for keys and hashes texts, too, has two Python processes, and both stay for the tasks after it.
+    rows = stored(own.join(member, own["doc_id"].eqNullSafe(member["_id"]) & (own["h"] == member["_h"])).select("text", "g", "id", "m", "anchor"), "near-texts")
     sets = rows.mapInArrow(work, "g long, id long, m long, anchor boolean, hashes array<long>").select("g", "id", F.col("id").alias("k"), F.greatest(F.size("hashes"), F.lit(shingles // 1024)).alias("w"), "m", "anchor", "hashes")
     n, m, shared = F.size("hashes"), F.size("_hashes"), F.size(F.array_intersect("hashes", "_hashes"))
     near = (F.least(n, m) >= F.greatest(n, m) * F.lit(least) - 1e-6) & (shared >= (n + m - shared) * F.lit(least) - 1e-6)

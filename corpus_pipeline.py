@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import decontaminate, langid, packing, pii, simhash
-from cadenza.llm.common import KeySet, new_folder, stored
+from cadenza.llm.common import KeySet, new_folder, small_batches, stored
 from cadenza.llm.queries import pii_key, tokenizer_file
 
 #: Near copies share 0.8 of the five-word shingles of both. Their 256-bit SimHash differs in about 39 bits then (acos(2 * 0.8 / 1.8)),
@@ -26,6 +26,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The scores are calibrated, so a short clean text among numbers may well have a low one; only what the model can't tell at all goes.
     A text that is null or has no letter is rejected. Without any labelled text to learn from, nothing is.
     """
+    small_batches(spark)
     model = langid.learn(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     return langid.keep_known(docs, model, min(1.0, 1.1 / len(model.languages))) if model.languages else docs
 
@@ -35,6 +36,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows of equal id and text are one document and are kept once. Other columns may have any names.
     """
+    small_batches(spark)
     names = docs.columns
     doc_id, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
     docs = docs.toDF(*(f"c{k}" for k in range(len(names))))
@@ -51,6 +53,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
+    small_batches(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -61,6 +64,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents' tokens into sequences of 4096."""
+    small_batches(spark)
     return packing.pack_documents(docs, tokenizer_file(), 4096, 2)
 
 

@@ -123,3 +123,39 @@ def test_key_set_tells_ids_and_texts(spark):
         chosen = spark.createDataFrame(some, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) as h")
         keys = KeySet.of(chosen.select(simhash.row_key(chosen["doc_id"], chosen["h"]).alias("key")), "test-keys", len(some), file_rows=2)
         assert {(r["doc_id"], r["text"]) for r in df.where(keys.having(key)).collect()} == set(some)
+
+
+def test_near_dedup_has_one_python_process_a_task(spark, monkeypatch):
+    """What goes to a Python task comes through no other one in the same task, also where joins are broadcast."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plans = []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **b: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or real(self, *a, **b))
+    assert corpus_pipeline.near_dedup_stage(spark, docs, "").count() > 0
+    assert len(plans) >= 3
+    for plan in plans:
+        above = plan.split("Repartition")[0]
+        assert "EvalPython" not in above and "MapInArrow" not in above
+
+
+@pytest.mark.parametrize("stage", ["language_id", "simhash_near_dedup", "decontamination", "packing"])
+def test_batches_for_python_are_small(spark, stage):
+    import pyarrow as pa
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([x.nbytes for x in batches], pa.int64())], ["n"])
+
+    sf, key = "/root/testdata/sf0.001", "spark.sql.execution.arrow.maxBytesPerBatch"
+    run = dict(corpus_pipeline.STAGES)[stage]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    old = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        run(spark, docs, sf)
+        got = [r["n"] for r in spark.range(0, 20_000, 1, 1).selectExpr("id", "repeat('some words ', 100) as text").mapInArrow(sizes, "n long").collect()]
+        assert sum(got) > 20_000_000 and max(got) < 6_000_000
+        spark.conf.set(key, "1m")  # the session's own limit stays
+        run(spark, docs, sf)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
