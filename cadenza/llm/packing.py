@@ -155,7 +155,7 @@ class Windows:
             self.emit(window)
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, size: int = 4096, end_id: int = 2, most_open: int = 64, most_waste: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_file: str, size: int = 4096, end_id: int = 2, most_open: int = 64, most_waste: int = 32, id_col: str = "doc_id", text_col: str = "text", most_words: int = 500_000) -> DataFrame:
     """Pack the ids of all documents, each followed by end_id, into windows of at most size ids.
 
     Returns a row per piece: doc_id, start (ids of its document before it), length, ids (little-endian
@@ -168,11 +168,12 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, size: int = 4096, end_i
     to the same result.
 
     A null text counts as empty and has the one id end_id. Null ids are kept as null. Repeated rows are
-    packed each. An empty table gives no rows. Other columns are ignored.
+    packed each. An empty table gives no rows. Other columns are ignored. A task keeps the ids of at most most_words
+    words and of as many parts of words (some 250 bytes for a word with its part); others are encoded each time.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer_file)
+        tokens = Tokens(tokenizer_file, most_words)
         end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         rows: list[tuple] = []

@@ -63,9 +63,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' tokens into sequences of 4096."""
+    """Pack the documents' tokens into sequences of 4096. Tasks keep fewer words than by default: after the other stages executors have less memory to spare."""
     small_batches(spark)
-    return packing.pack_documents(docs, tokenizer_file(), 4096, 2)
+    return packing.pack_documents(docs, tokenizer_file(), 4096, 2, most_words=200_000)
 
 
 STAGES = [

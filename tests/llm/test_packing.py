@@ -78,3 +78,9 @@ def test_windows_bound_their_padding():
     for window in out:
         n = sum(len(p[2]) for p in window)
         assert n >= 95 or n & (n - 1) == 0
+
+
+def test_ids_do_not_depend_on_the_words_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(1).sortWithinPartitions("doc_id")
+    rows = [sorted(map(tuple, pack_documents(docs, FILE, **more).collect())) for more in ({}, {"most_words": 10})]
+    assert rows[0] == rows[1] and len(rows[0]) > 0
