@@ -64,12 +64,13 @@ def write_wav(df: DataFrame, folder: str, audio: str, channels: int, frequency:
     """A 16-bit WAV file part-N.wav for each frames_per_part frames; name and bytes of the files.
 
     A part's size is summed first, so its header (RF64 from 4 GB on) is written before the samples, which then go to the file
-    as they come: no task holds a file.
+    as they come: the window spills, and no task holds a file. The window is also what keeps a part in one task: a repartition by the
+    part behind a join by it is taken out of the plan, and the join's rows are then read as they were written.
     """
     part = F.expr(f"position div {frames_per_part}")
     rows = df.select(part.alias("part"), "position", wav_bytes(F.col(audio)).alias("raw"))
-    sizes = rows.groupBy(F.col("part").alias("_p")).agg(F.sum(F.length("raw")).alias("total"))
-    ordered = rows.join(sizes, F.col("part") == F.col("_p")).select("part", "position", "raw", "total").repartition("part").sortWithinPartitions("part", "position")
+    whole = Window.partitionBy("part").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ordered = rows.withColumn("total", F.sum(F.length("raw")).over(whole)).sortWithinPartitions("part", "position")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from cadenza.sources.files import file_system
