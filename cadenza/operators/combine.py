@@ -15,19 +15,29 @@ def muxer(video: Clip, audio: Clip, use_longest: bool = True) -> Clip:
     """Columns of both clips at equal positions.
 
     With use_longest the shorter one's last row goes on: that one row is joined to the range of the positions left, so
-    no row or task makes them all. If one clip is empty, the other's rows with nulls.
+    no row or task makes them all. If one clip is empty, the other's rows with nulls. Columns that follow from the
+    position (Clip.made) are made after the join: their size can't be told from the plan, so the join would broadcast whole blocks of samples.
     """
     if not video.length or not audio.length:
         use_longest = True
     n = max(video.length, audio.length) if use_longest else min(video.length, audio.length)
 
-    def stretched(c: Clip) -> DataFrame:
+    def later(c: Clip, other: Clip) -> dict[str, Column]:
+        made = c.made(F.least(_pos(), F.lit(c.length - 1))) if c.made and c.length else {}
+        return {} if set(made) & set(other.df.columns) else made
+
+    def stretched(c: Clip, other: Clip) -> DataFrame:
+        df = c.df.drop(*later(c, other))
         if not use_longest or c.length in (0, n):
-            return c.df.where(_pos() < n)
-        return c.df.unionByName(held_on(c.df, c.length - 1, c.length, n))
+            return df.where(_pos() < n)
+        return df.unionByName(held_on(df, c.length - 1, c.length, n))
 
     kind = "full" if not video.length or not audio.length else "inner"
-    return video.with_df(stretched(video).join(stretched(audio), "position", kind), n)
+    out = stretched(video, audio).join(stretched(audio, video), "position", kind)
+    made = later(video, audio) | later(audio, video)
+    if made:
+        out = out.withColumns(made).select("position", *(x for c in (video, audio) for x in c.df.columns if x != "position"))
+    return video.with_df(out, n)
 
 
 def held_on(df: DataFrame, source: int, first: int, end: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import to_yuv
@@ -18,9 +18,13 @@ def colour(spark: SparkSession, rows: int, r: int = 0, g: int = 0, b: int = 0, a
 
 def silence(spark: SparkSession, rows: int, frequency: int = 48000, channels: int = 2, fps: tuple[int, int] = (25, 1), profile: str = "dv") -> Clip:
     """Zeros, as many as each frame has; without channels the audio is null."""
-    n = samples_for_frame(F.col("id"), frequency, fps, profile)
-    data = F.array_repeat(F.lit(0.0), (n * channels).cast("int")) if channels else F.lit(None).cast("array<double>")
-    return Clip(spark.range(rows).select(F.col("id").alias("position"), (n if channels else F.lit(0).cast("long")).alias("samples"), data.alias("audio")), rows, fps)
+
+    def made(position: Column) -> dict[str, Column]:
+        n = samples_for_frame(position, frequency, fps, profile)
+        data = F.array_repeat(F.lit(0.0), (n * channels).cast("int")) if channels else F.lit(None).cast("array<double>")
+        return {"samples": n if channels else F.lit(0).cast("long"), "audio": data}
+
+    return Clip(spark.range(rows).select(F.col("id").alias("position")).withColumns(made(F.col("position"))), rows, fps, made)
 
 
 def tone(spark: SparkSession, rows: int = 250, periods: float = 16.0, peak: float = 1.0, frequency: int = 48000, channels: int = 2, fps: tuple[int, int] = (25, 1)) -> Clip:
