@@ -452,15 +452,29 @@ def decode_codes(df: DataFrame, column: str, name: str, tries: int = 3, mask: bo
 
 
 def waveform(samples: np.ndarray, width: int = 64, height: int = 32) -> np.ndarray:
-    """A picture of samples in -1..1: white where the column's range passes."""
-    out = np.full((height, width), 16, np.uint8)
-    edges = np.linspace(0, len(samples), width + 1).astype(int)
-    for k in range(width):
-        part = samples[edges[k] : max(edges[k + 1], edges[k] + 1)]
-        if len(part):
-            lo, hi = ((1 - np.array([part.max(), part.min()]).clip(-1, 1)) / 2 * (height - 1)).astype(int)
-            out[lo : hi + 1, k] = 235
-    return out
+    """Pictures of samples in -1..1 (the last axis): white where a column's range passes."""
+    n = samples.shape[-1]
+    if not n:
+        return np.full((*samples.shape[:-1], height, width), 16, np.uint8)
+    edges = np.linspace(0, n, width + 1).astype(int)[:-1]  # where two are equal, reduceat takes the one sample there
+    lo, hi = (((1 - f.reduceat(samples, edges, -1).clip(-1, 1)) / 2 * (height - 1)).astype(int)[..., None, :] for f in (np.maximum, np.minimum))
+    line = np.arange(height)[:, None]
+    return np.where((line >= lo) & (line <= hi), np.uint8(235), np.uint8(16))
+
+
+def drawn(series: pd.Series, pf: str, width: int, height: int, planes: Callable[[np.ndarray], list[np.ndarray]], most: int = 1 << 22) -> pd.DataFrame:
+    """A picture of each row's samples, null for null ones: planes gives those of rows of one length (rows x samples), in parts of bounded size."""
+    out: list = [(None,) * 4] * len(series)
+    series = series.reset_index(drop=True)
+    known = series[series.notna()]
+    step = max(1, most // max(1, width * height))
+    for _, at in known.groupby(known.map(len)).groups.items():
+        for a in range(0, len(at), step):
+            part = at[a : a + step]
+            raw = planes(np.array([np.asarray(v, float) for v in known[part]]))
+            for k, i in enumerate(part):
+                out[i] = (pf, width, height, [p[k].tobytes() for p in raw])
+    return pd.DataFrame(out, columns=["pf", "width", "height", "planes"])
 
 
 def visualise(df: DataFrame, samples: str, column: str, width: int = 64, height: int = 32) -> DataFrame:
@@ -468,7 +482,7 @@ def visualise(df: DataFrame, samples: str, column: str, width: int = 64, height:
 
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in batches:
-            yield pd.DataFrame([("grey8", width, height, [waveform(np.asarray(v, float), width, height).tobytes()]) if v is not None else (None,) * 4 for v in series], columns=["pf", "width", "height", "planes"])
+            yield drawn(series, "grey8", width, height, lambda x: [waveform(x, width, height)])
 
     work.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return df.withColumn(column, F.when(F.col(samples).isNotNull(), F.pandas_udf(work, IMAGE)(samples)))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.functions.bind import let
 from cadenza.model import Clip
 
 
@@ -55,12 +56,22 @@ def stereo(spark: SparkSession, sf_dir: str) -> Clip:
 
 
 def plane_sums(df: DataFrame, planes: int, column: str = "image") -> DataFrame:
-    """position and, for each plane from 1, total and weighted: the sums of its samples and of samples times their place from 1."""
-    out = [F.col("position")]
-    for k in range(1, planes + 1):
-        hexed = F.hex(F.element_at(f"{column}.planes", k))
-        at = F.sequence(F.lit(0), (F.length(hexed) / 2 - 1).cast("int"))
-        samples = let(hexed, lambda h, at=at: F.transform(at, lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("long")))
-        zero = F.lit(0).cast("long")
-        out += [F.aggregate(samples, zero, lambda s, x: s + x).alias(f"total{k}"), F.aggregate(F.transform(samples, lambda x, i: x * (i + 1)), zero, lambda s, x: s + x).alias(f"weighted{k}")]
-    return df.select(*out)
+    """position and, for each plane from 1, total and weighted: the sums of its samples and of samples times their place from 1; null where the plane is.
+
+    In numpy: what Spark has to take a byte out of a string or a number out of its digits takes time with the square of a plane's size, or some hundred instructions a sample.
+    """
+
+    def summed(plane: bytes | None) -> list[int | None]:
+        if plane is None:
+            return [None, None]
+        x = np.frombuffer(plane, np.uint8).astype(np.int64)
+        return [int(x.sum()), int(x @ np.arange(1, len(x) + 1))]
+
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            yield pd.Series([None if image is None else [n for k in range(planes) for n in summed(image[k])] for image in series], dtype=object)
+
+    work.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    names = [f"{what}{k}" for k in range(1, planes + 1) for what in ("total", "weighted")]
+    sums = df.select("position", F.pandas_udf(work, "array<long>")(F.col(column).getField("planes")).alias("_sums"))
+    return sums.select("position", *(F.get("_sums", F.lit(k)).alias(n) for k, n in enumerate(names)))
