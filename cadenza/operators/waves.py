@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.operators.image import IMAGE
+from cadenza.operators.image import IMAGE, drawn
 from cadenza.operators.windows import last_seen
 
 # Colours as Y, U and V.
@@ -20,27 +20,27 @@ WHITE = (234, 128, 128)
 
 def _levels(samples: np.ndarray, width: int, full: float, half: int) -> np.ndarray:
     """The sample of each column of the picture as whole lines above the middle, a column of the result for each channel."""
-    at = (len(samples) / width * np.arange(width)).astype(int)
-    return np.trunc(samples[at] / full * half).astype(int)
+    at = (samples.shape[-2] / width * np.arange(width)).astype(int)
+    return np.trunc(samples[..., at, :] / full * half).astype(int)
 
 
 def dots(samples: np.ndarray, width: int, height: int, scattered: bool = False) -> list[np.ndarray]:
-    """Planes R, G and B with a dot a column for each channel of samples (n, channels): the first is red, the others are green over it.
+    """Planes R, G and B with a dot a column for each channel of samples (n, channels, or of several rows): the first is red, the others are green over it.
 
     scattered: each channel has a part of the picture of its own; up to two lie one below the other, more in two columns.
     """
-    out = np.zeros((3, height, width), np.uint8)
-    channels = samples.shape[1]
+    first, (n, channels) = samples.shape[:-2], samples.shape[-2:]
+    samples = samples.reshape(int(np.prod(first)), n, channels)
+    out = np.zeros((3, len(samples), height, width), np.uint8)
     down = (channels + 1) // 2 if channels > 2 else channels
     w, h = (width // 2 if channels > 2 else width, height // down) if scattered else (width, height)
-    if not (len(samples) and w and h):
-        return list(out)
-    level = _levels(samples, w, 32767.0, h // 2)
-    for j in range(channels):
-        right, below = divmod(j, down) if scattered else (0, 0)
-        line = np.clip(below * h + h // 2 - level[:, j], 0, height - 1)
-        out[:, line, right * w + np.arange(w)] = np.array([[0 if j else 255], [255 if j else 0], [0]])
-    return list(out)
+    if n and w and h:
+        level = _levels(samples, w, 32767.0, h // 2)
+        for j in range(channels):
+            right, below = divmod(j, down) if scattered else (0, 0)
+            line = np.clip(below * h + h // 2 - level[..., j], 0, height - 1)
+            out[:, np.arange(len(samples))[:, None], line, right * w + np.arange(w)] = np.array([0 if j else 255, 255 if j else 0, 0])[:, None, None]
+    return list(out.reshape(3, *first, height, width))
 
 
 def lines(samples: np.ndarray, width: int, height: int, split: bool = False) -> list[np.ndarray]:
@@ -82,20 +82,20 @@ def waves(df: DataFrame, audio: str, image: str, channels: int = 2, width: int =
     if pf not in ("yuv420p", "rgb24p"):
         raise ValueError(pf)
 
-    def one(values: np.ndarray) -> tuple:
-        s = np.asarray(values, float)[: len(values) // channels * channels].reshape(-1, channels)
-        s = s[::-1] if reverse and not split else s
-        planes = lines(s, width, height, split) if pf == "yuv420p" else dots(s, width, height, scattered)
-        return pf, width, height, [p.tobytes() for p in planes]
+    def planes(x: np.ndarray) -> list[np.ndarray]:
+        n = x.shape[1] // channels
+        s = x[:, : n * channels].reshape(len(x), n, channels)
+        s = s[:, ::-1] if reverse and not split else s
+        return dots(s, width, height, scattered) if pf == "rgb24p" else [np.stack(p) for p in zip(*(lines(r, width, height, split) for r in s), strict=True)]
 
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in batches:
-            yield pd.DataFrame([one(v) if v is not None else (None,) * 4 for v in series], columns=["pf", "width", "height", "planes"])
+            yield drawn(series, pf, width, height, planes)
 
     work.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    own = F.col(image) if image in df.columns else F.lit(None).cast(IMAGE)
-    df = df.withColumn(image, own)
-    rows = last_seen(df, image, "_held") if hold and not force else df.withColumn("_held", F.col(image))
+    hold = hold and not force and image in df.columns  # else there is none to hold, and rows stay where they are
+    df = df if image in df.columns else df.withColumn(image, F.lit(None).cast(IMAGE))
+    rows = last_seen(df, image, "_held") if hold else df.withColumn("_held", F.col(image))
     wanted = F.when(F.lit(True) if force else F.col("_held").isNull(), F.col(audio))  # only these are drawn
     rows = rows.withColumn("_drawn", F.when(wanted.isNotNull(), F.pandas_udf(work, IMAGE)(wanted)))
     first, then = ("_drawn", image) if force else ("_held", "_drawn")
